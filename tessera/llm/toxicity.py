@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,24 @@ from .store import keep, small_batches
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled rows to learn from, at most (those of smallest hash), and tokens of the model.
 SAMPLE, TOKENS = 20_000, 50_000
-#: Standard errors a token's log-odds must clear; weight of the prior, in occurrences.
-SURE, PRIOR = 2.5, 10_000.0
+#: Standard errors a token's log-odds must clear: the calibration picks one of these.
+#: Weight of the prior, in occurrences.
+SURE, PRIOR = (2.5, 3.0, 3.5, 4.0, 5.0), 10_000.0
+#: Least weight of a toxic token, and letters of the beginnings that stand for unseen words.
+STRONG, STEMS = 2.0, (4, 5, 6)
+#: Words of which a worker remembers the weight, at most.
+CACHE = 300_000
 
 
 def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
+def forms(word: str) -> list[str]:
+    """A word, and beginnings of it, which inflected words share."""
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
+
+
 def segments(places: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score), in order.
 
@@ -67,15 +77,43 @@ class Model:
     scale: float
     curve: tuple[float, float, float]
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "_known", {})
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, _known={})
+
+    def weight(self, word: str) -> float:
+        """The largest weight among a word's forms; 0 for a word like any other."""
+        known = self._known
+        if len(known) > CACHE:
+            known.clear()
+        known[word] = w = max((self.weights.get(f, 0.0) for f in forms(word)), default=0.0)
+        return w
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of tokens, and all maximal segments. A word's n-th occurrence weighs
+        an n-th, so that a repeated line counts little more than the line."""
+        words, known, weight = tokens(text), self._known, self.weight
+        hits = [(i, w, x) for i, w in enumerate(words) if (x := known[w] if w in known else weight(w))]
+        seen: Counter = Counter()
+        places, scores = [], []
+        for i, w, x in hits:
+            seen[w] += 1
+            places.append(i)
+            scores.append(x / seen[w])
+        return len(words), segments(places, scores, self.drift)
+
     def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Tokens of the text, and every significant passage (first, last, significance)."""
-        words, weights = tokens(text), self.weights
-        places = [i for i, w in enumerate(words) if w in weights]
-        if not places:
-            return len(words), []
-        found = segments(places, [weights[words[i]] for i in places], self.drift)
-        noise = np.log(self.scale * len(words))
-        return len(words), [(a, b, x) for a, b, s in found if (x := self.rate * s - noise) > 0]
+        n, found = self.scan(text)
+        if not found:
+            return n, []
+        noise = float(np.log(self.scale * n))
+        return n, [(a, b, x) for a, b, s in found if (x := self.rate * s - noise) > 0]
 
     def features(self, text: str | None) -> tuple[float, float]:
         _, found = self.passages(text)
@@ -116,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
         for b in batches:
             both = Counter(), Counter()
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                both[y].update(set(tokens(t)))  # once for each text
+                both[y].update({f for w in set(tokens(t)) for f in forms(w)})  # once for each text
             words = list(both[0].keys() | both[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([both[1][w] for w in words], pa.int64()), pa.array([both[0][w] for w in words], pa.int64())], names=["token", "bad", "good"])
 
@@ -131,40 +169,46 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     odds = lambda n, of: F.log((n + prior) / (F.lit(of + PRIOR) - n - prior))
     delta = odds(F.col("bad"), bad) - odds(F.col("good"), good)
     error = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
-    sure = counts.withColumns({"delta": delta, "error": error}).where(F.col("delta") > SURE * F.col("error"))
+    sure = counts.withColumns({"delta": delta, "error": error}).where((F.col("delta") > SURE[0] * F.col("error")) & (F.col("delta") - F.col("error") > STRONG))
     rows = sure.orderBy(F.desc(F.col("delta") / F.col("error")), "token").limit(TOKENS).collect()
-    # Weights are lower bounds of the log-odds; the other tokens share what is left of either side.
-    weights = {r["token"]: float(r["delta"] - r["error"]) for r in rows}
-    left = (bad - sum(r["bad"] for r in rows) + 1) / (bad + 1), (good - sum(r["good"] for r in rows) + 1) / (good + 1)
-    drift = min(float(np.log(left[0] / left[1])), -0.01)
-    p = [(PRIOR * (r["bad"] + r["good"]) / (bad + good) + r["good"]) / (PRIOR + good) for r in rows]
-    rate = _rate(p, list(weights.values()), drift)
-    draft = Model(weights, drift, rate, 1.0, (0.0, 1.0, 0.0))
+    drafts = [_draft([r for r in rows if r["delta"] > z * r["error"]], bad, good) for z in SURE]
+    held = known.where("check").select(text, F.col("label").cast("int").alias("label"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, best = [], []
-            for t in b.column(0).to_pylist():
-                words = tokens(t)
-                places = [i for i, w in enumerate(words) if w in weights]
-                found = segments(places, [weights[words[i]] for i in places], drift)
-                n.append(len(words))
-                best.append(max((s for _, _, s in found), default=0.0))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(best, pa.float64())], names=["label", "n", "best"])
+            found = [(k, *d.scan(t)) for t in b.column(0).to_pylist() for k, d in enumerate(drafts)]
+            best = [max((s for _, _, s in f), default=0.0) for _, _, f in found]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int64()), pa.array(best, pa.float64())], names=["k", "n", "best"])
 
-    held = known.where("check").select(text, F.col("label").cast("int").alias("label"))
-    clean = held.where("label = 0").mapInArrow(measure, "label int, n long, best double").agg(F.count("*").alias("rows"), F.sum(F.col("n") * F.exp(-F.lit(rate) * F.col("best"))).alias("noise")).first()
-    scale = max(clean["rows"], 1) / max(clean["noise"] or 1.0, 1.0)
-    model = Model(weights, drift, draft.rate, scale, draft.curve)
+    rates = F.element_at(F.array(*[F.lit(d.rate) for d in drafts]), F.col("k") + 1)
+    noise = held.where("label = 0").mapInArrow(measure, "k int, n long, best double").groupBy("k").agg(F.count("*").alias("rows"), F.sum(F.col("n") * F.exp(-rates * F.col("best"))).alias("noise"))
+    for r in noise.collect():
+        drafts[r["k"]] = replace(drafts[r["k"]], scale=r["rows"] / max(r["noise"], 1.0))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [model.features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64())], names=["label", "best", "whole"])
-
-    rows = held.mapInArrow(describe, "label int, best double, whole double").groupBy("label", F.round("best", 1).alias("best"), F.round("whole", 1).alias("whole")).count().collect()  # of at most `sample` rows
-    curve = _logistic(np.array([[r["best"], r["whole"]] for r in rows]), np.array([r["label"] for r in rows]), np.array([r["count"] for r in rows])) if rows else (-2.0, 1.0, 0.0)
-    return Model(weights, drift, rate, scale, curve)
+            x = [(k, y, *d.features(t)) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, d in enumerate(drafts)]
+            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+            cols = list(zip(*x)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(cols, kinds)], names=["k", "label", "best", "whole"])
+
+    rows = held.mapInArrow(describe, "k int, label int, best double, whole double").groupBy("k", "label", F.round("best", 1).alias("best"), F.round("whole", 1).alias("whole")).count().orderBy("k", "label", "best", "whole").collect()  # of at most `sample` rows
+    fitted = []
+    for k, draft in enumerate(drafts):
+        own = [r for r in rows if r["k"] == k]
+        loss, curve = _logistic(np.array([[r["best"], r["whole"]] for r in own]), np.array([r["label"] for r in own]), np.array([r["count"] for r in own])) if own else (0.0, (-2.0, 1.0, 0.0))
+        fitted.append((loss, k, replace(draft, curve=curve)))
+    return min(fitted, key=lambda x: x[:2])[2]
+
+
+def _draft(rows: list, bad: int, good: int) -> Model:
+    """A model of these tokens, not yet calibrated. Weights are lower bounds of the
+    log-odds; the other tokens share what is left of either side."""
+    weights = {r["token"]: float(r["delta"] - r["error"]) for r in rows}
+    left = (bad - sum(r["bad"] for r in rows) + 1) / (bad + 1), (good - sum(r["good"] for r in rows) + 1) / (good + 1)
+    drift = min(float(np.log(max(left[0], 1e-9) / max(left[1], 1e-9))), -0.01)
+    p = [(PRIOR * (r["bad"] + r["good"]) / (bad + good) + r["good"]) / (PRIOR + good) for r in rows]
+    return Model(weights, drift, _rate(p, list(weights.values()), drift), 1.0, (0.0, 1.0, 0.0))
 
 
 def _rate(p: list[float], s: list[float], drift: float) -> float:
@@ -180,8 +224,9 @@ def _rate(p: list[float], s: list[float], drift: float) -> float:
     return max(lo, 0.05)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
-    """Weighted logistic regression with a small ridge, by Newton steps; slopes stay positive."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, tuple[float, float, float]]:
+    """Loss and curve of a weighted logistic regression with a small ridge, by Newton
+    steps; slopes are not let below zero."""
     a = np.column_stack([np.ones(len(x)), x])
     w, ridge = np.zeros(3), np.array([1e-6, 1e-2, 1e-2])
     for _ in range(50):
@@ -191,7 +236,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(max(w[1], 0)), float(max(w[2], 0))
+    w[1:] = np.maximum(w[1:], 0)
+    z = np.clip(a @ w, -30, 30)
+    return float((n * (np.logaddexp(0, z) - y * z)).sum()), (float(w[0]), float(w[1]), float(w[2]))
 
 
 def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text", passages: bool = False) -> DataFrame:
