@@ -7,12 +7,14 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]")
-        .config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.default.parallelism", "2")
+        .config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "true"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
