@@ -46,8 +46,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     total = F.sum("source_size").over(everything) * F.lit(share)
     level = ranked.withColumn("rest", total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("lambda", F.col("rest") / F.sum("w").over(after))
     level = level.withColumn("fits", F.col("lambda") * F.col("w") <= F.col("cap"))
-    found = F.min(F.when(F.col("fits"), F.struct((F.col("cap") / F.col("w")).alias("r"), "lambda"))).over(everything)
-    return level.withColumn("found", found["lambda"]).select("source", "source_size", "source_rows", F.least("cap", F.coalesce(F.col("found") * F.col("w"), F.col("cap"))).alias("target"))
+    # Past that place levels only fall, so the right one is the highest that fits.
+    return level.withColumn("found", F.max(F.when(F.col("fits"), F.col("lambda"))).over(everything)).select("source", "source_size", "source_rows", F.least("cap", F.coalesce(F.col("found") * F.col("w"), F.col("cap"))).alias("target"))
 
 
 def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", shards: int = 16, seed: int = 1, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:

@@ -140,7 +140,8 @@ def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]
 def plan(n: int, gram: np.ndarray, distance: int, joined: dict[int, float] | None = None, parts: list[list[int]] | None = None) -> tuple[list[list[int]], list[int]]:
     """Partitions and thresholds. `joined` has measured pairs that agree on all of
     a partition of `parts`; without it they come from the bits' frequencies."""
-    p = np.diag(gram) / max(n, 1)
+    n = max(n, 2)
+    p = np.diag(gram) / n
     options = []
     for m in [len(parts)] if parts else range(2, distance + 3):
         groups = parts or group_bits(n, gram, m)

@@ -23,8 +23,9 @@ TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled rows to learn from, at most (those of smallest hash), and tokens of the model.
 SAMPLE, TOKENS = 20_000, 50_000
 #: Standard errors a token's log-odds must clear: the calibration picks one of these.
-#: Weight of the prior, in occurrences.
-SURE, PRIOR = (2.5, 3.0, 3.5, 4.0, 5.0), 10_000.0
+SURE = (2.5, 3.0, 3.5, 4.0, 5.0)
+#: Weight of the prior: so many occurrences, or so much of all if that is less.
+PRIOR, PART = 10_000.0, 0.08
 #: Least weight of a toxic token, and letters of the beginnings that stand for unseen words.
 STRONG, STEMS = 2.0, (4, 5, 6)
 #: Words of which a worker remembers the weight, at most.
@@ -165,13 +166,14 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     if not bad or not good:
         share = chosen.agg(F.avg("label").alias("p")).first()["p"] or 0.0
         return Model({}, -0.02, 1.0, 1.0, (float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), 0.0, 0.0))
-    prior = F.lit(PRIOR) * (F.col("bad") + F.col("good")) / F.lit(float(bad + good))
-    odds = lambda n, of: F.log((n + prior) / (F.lit(of + PRIOR) - n - prior))
+    weight = min(PRIOR, PART * (bad + good))
+    prior = F.lit(weight) * (F.col("bad") + F.col("good")) / F.lit(float(bad + good))
+    odds = lambda n, of: F.log((n + prior) / (F.lit(of + weight) - n - prior))
     delta = odds(F.col("bad"), bad) - odds(F.col("good"), good)
     error = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
     sure = counts.withColumns({"delta": delta, "error": error}).where((F.col("delta") > SURE[0] * F.col("error")) & (F.col("delta") - F.col("error") > STRONG))
     rows = sure.orderBy(F.desc(F.col("delta") / F.col("error")), "token").limit(TOKENS).collect()
-    drafts = [_draft([r for r in rows if r["delta"] > z * r["error"]], bad, good) for z in SURE]
+    drafts = [_draft([r for r in rows if r["delta"] > z * r["error"]], bad, good, weight) for z in SURE]
     held = known.where("check").select(text, F.col("label").cast("int").alias("label"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +203,13 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     return min(fitted, key=lambda x: x[:2])[2]
 
 
-def _draft(rows: list, bad: int, good: int) -> Model:
+def _draft(rows: list, bad: int, good: int, weight: float) -> Model:
     """A model of these tokens, not yet calibrated. Weights are lower bounds of the
     log-odds; the other tokens share what is left of either side."""
     weights = {r["token"]: float(r["delta"] - r["error"]) for r in rows}
     left = (bad - sum(r["bad"] for r in rows) + 1) / (bad + 1), (good - sum(r["good"] for r in rows) + 1) / (good + 1)
     drift = min(float(np.log(max(left[0], 1e-9) / max(left[1], 1e-9))), -0.01)
-    p = [(PRIOR * (r["bad"] + r["good"]) / (bad + good) + r["good"]) / (PRIOR + good) for r in rows]
+    p = [(weight * (r["bad"] + r["good"]) / (bad + good) + r["good"]) / (weight + good) for r in rows]
     return Model(weights, drift, _rate(p, list(weights.values()), drift), 1.0, (0.0, 1.0, 0.0))
 
 
