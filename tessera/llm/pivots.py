@@ -20,12 +20,12 @@ from .store import keep
 
 
 def unit_vectors(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
-    """(rep, copies, members, vector): distinct valid vectors, with how many rows
+    """(vector, rep, copies): distinct valid vectors, with how many rows
     have each and the smallest ident among them. Null, empty or zero vectors and
     those with null or non-finite components are left out."""
     x = F.col(vector)
     good = x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
-    return vectors.where(F.coalesce(good, F.lit(False))).groupBy(x.cast("array<double>").alias("vector")).agg(F.min(ident).alias("rep"), F.count("*").alias("copies"))
+    return vectors.where(F.coalesce(good, F.lit(False))).groupBy(x.alias("vector")).agg(F.min(ident).alias("rep"), F.count("*").alias("copies"))
 
 
 def choose_pivots(vectors: DataFrame, number: int) -> np.ndarray:
@@ -35,7 +35,8 @@ def choose_pivots(vectors: DataFrame, number: int) -> np.ndarray:
 
 
 def describe(vectors: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
-    """(node, copies, vector, perm): unit vectors, and their closest pivots in order."""
+    """(node, copies, vector, perm): vectors as they came, and their closest pivots in order."""
+    kind = vectors.schema["vector"].dataType
     units = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
     near = min(near, len(units))
 
@@ -43,14 +44,19 @@ def describe(vectors: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            x = x / np.abs(x).max(axis=1, keepdims=True)  # against over- and underflow
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
             perm = np.argsort(-(x @ units.T), axis=1, kind="stable")[:, :near].astype(np.int32)
-            flat = lambda a, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * a.shape[1], pa.int32()), pa.array(a.ravel(), kind))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), flat(x, pa.float64()), flat(perm, pa.int32())], names=["node", "copies", "vector", "perm"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(perm) + 1) * perm.shape[1], pa.int32()), pa.array(perm.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("vector"), lists], names=["node", "copies", "vector", "perm"])
 
-    return vectors.select("node", "copies", "vector").mapInArrow(run, "node long, copies long, vector array<double>, perm array<int>")
+    return vectors.select("node", "copies", "vector").mapInArrow(run, f"node long, copies long, vector {kind.simpleString()}, perm array<int>")
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, in double precision."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # against over- and underflow
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _verify(cols: dict[str, np.ndarray], starts: np.ndarray, least: float, shared: int) -> pa.RecordBatch | None:
@@ -66,7 +72,8 @@ def _verify(cols: dict[str, np.ndarray], starts: np.ndarray, least: float, share
         right = np.arange(s, e)[cols["side"][s:e] == 1] if two else left
         if not len(right):
             continue
-        x, y = cols["vector"][left], cols["vector"][right]
+        x = unit(cols["vector"][left])
+        y = unit(cols["vector"][right]) if two else x
         at, other = np.nonzero(np.atleast_2d(x @ y.T) >= least)
         keep_ = np.ones(len(at), dtype=bool) if two else at < other
         at, other = left[at[keep_]], right[other[keep_]]
@@ -114,7 +121,7 @@ def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "em
     meet: each length is indexed with itself. Repeated rows each count. A null
     ident takes part but is never a component_id. Further columns are ignored.
     """
-    x = F.col(vector).cast("array<double>")
+    x = F.col(vector)
     distinct = unit_vectors(vectors, ident, vector)
     distinct = keep(distinct.withColumn("node", F.xxhash64("vector")), "vectors")
     parts = []
