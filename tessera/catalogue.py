@@ -2,10 +2,437 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import sinks
+from .functions import text as texts
+from .functions.residues import substitution_scores
+from .operators import alignment, clustering, crossval, features, regression, spatial, statistics, vectors
+from .plans import evaluation, views
+from .plans.options import Options
+from .plans.views import ATOMS, MEASURED, MEMBERS, PAIRS, PLACES, SEQUENCES, near
+from .sources import structures, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+REACH = 12.0
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    """Sums of floating numbers depend on their order in the last places."""
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# -- measurements ------------------------------------------------------------------
+
+
+@query(f"WITH {MEASURED} SELECT accession, affinity_type, structure_type, year, round(value, 6) AS value FROM valued")
+def affinity_decode(spark, sf_dir):
+    rows = views.measurements(spark, sf_dir)
+    return rounded(rows.select("accession", "affinity_type", "structure_type", "year", tables.log_value(F.col("raw"), F.col("affinity_type")).alias("value")), "value")
+
+
+def _measured(spark, sf_dir):
+    return views.measurements(spark, sf_dir).withColumn("value", tables.log_value(F.col("raw"), F.col("affinity_type")))
+
+
+@query(f"WITH {MEASURED} SELECT accession, affinity_type, year, round(value, 6) AS value FROM valued WHERE affinity_type <> 'IC50' AND year BETWEEN 1993 AND 1996 AND value >= ln(50000)")
+def affinity_filters(spark, sf_dir):
+    options = Options(ignore_types=("IC50",), years=(1993, 1996), least_value=50_000.0, most_value=1e12)
+    rows = evaluation.filter_affinity(_measured(spark, sf_dir), options)
+    return rounded(rows.select("accession", "affinity_type", "year", "value"), "value")
+
+
+@query(f"WITH {MEASURED} SELECT customer, accession, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY value, year, accession) AS r FROM valued) WHERE r = 1")
+def smallest_measurement(spark, sf_dir):
+    rows = _measured(spark, sf_dir).withColumnsRenamed({"accession": "own"}).withColumn("accession", F.col("customer")).withColumn("affinity_match", F.lpad(F.col("year").cast("string"), 5, "0")).withColumn("year", F.col("own"))
+    return rounded(evaluation.smallest(rows).select("customer", F.col("own").alias("accession"), "value"), "value")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey IN (SELECT user_id FROM events)")
+def semi_chain(spark, sf_dir):
+    kept, _ = evaluation.restrict(views.table(spark, sf_dir, "customer"), "c_custkey", (views.table(spark, sf_dir, "orders"), "o_custkey"), (views.table(spark, sf_dir, "events"), "user_id"))
+    return kept.select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT (c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey IN (SELECT user_id FROM events WHERE user_id IS NOT NULL))")
+def anti_rejects(spark, sf_dir):
+    _, rejects = evaluation.restrict(views.table(spark, sf_dir, "customer"), "c_custkey", (views.table(spark, sf_dir, "orders"), "o_custkey"), (views.table(spark, sf_dir, "events"), "user_id"))
+    return rejects.select("c_custkey", "c_mktsegment")
+
+
+@query(f"WITH {MEASURED} SELECT 'affinity_type' AS property, affinity_type AS value, count(*) AS n FROM measured GROUP BY 2 UNION ALL SELECT 'structure_type', structure_type, count(*) FROM measured GROUP BY 2")
+def metadata_counts(spark, sf_dir):
+    return evaluation.counts(views.measurements(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS accession, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    t = views.table(spark, sf_dir, "lineitem")
+    return t.groupBy(F.col("l_orderkey").alias("accession"), "l_linenumber").agg(F.count("*").alias("n")).where("n > 1").drop("l_linenumber")
+
+
+# -- atoms ---------------------------------------------------------------------------
+
+
+@query(f"WITH {ATOMS} SELECT type, count(*) AS n FROM atom GROUP BY type")
+def atom_inventory(spark, sf_dir):
+    return features.inventory(views.atoms(spark, sf_dir))
+
+
+@query(f"WITH {ATOMS} SELECT complex, count(*) AS n FROM atom GROUP BY complex HAVING count(DISTINCT side) = 2")
+def two_sides(spark, sf_dir):
+    return views.atoms(spark, sf_dir).groupBy("complex").agg(F.countDistinct("side").alias("sides"), F.count("*").alias("n")).where("sides = 2").drop("sides")
+
+
+@query(f"WITH {ATOMS} SELECT complex, count(*) FILTER (type = 'A') AS n_A, count(*) FILTER (type = 'N') AS n_N, count(*) FILTER (type = 'R') AS n_R FROM atom GROUP BY complex")
+def composition(spark, sf_dir):
+    return features.composition(views.atoms(spark, sf_dir), ["A", "N", "R"])
+
+
+@query(f"WITH {ATOMS} SELECT complex, first, second, count(*) AS n FROM (SELECT complex, lag(type) OVER (PARTITION BY complex ORDER BY side, o, line, part, price, type) AS first, type AS second FROM atom) WHERE first IS NOT NULL GROUP BY ALL")
+def adjacent_pairs(spark, sf_dir):
+    return features.adjacent_pairs(views.atoms(spark, sf_dir), ["side", "o", "line", "part", "price", "type"])
+
+
+@query(f"WITH {PAIRS} SELECT complex, type_a, type_b, (ceil(d) - 1)::int AS bin, count(*) AS n FROM pair WHERE d > 0 AND d <= 12 GROUP BY ALL")
+def distance_histogram(spark, sf_dir):
+    return features.distance_histogram(views.atoms(spark, sf_dir), 0.0, REACH, 12)
+
+
+def _edges(edges: list[float]) -> str:
+    return " + ".join(f"CASE WHEN d > {e!r} THEN 1 ELSE 0 END" for e in edges[1:-1])
+
+
+GEOMETRIC, LOGARITHMIC = features.geometric_edges(1.0, 10.0, 6), features.log_edges(1.0, 10.0, 5)
+
+
+@query(f"WITH {PAIRS} SELECT complex, type_a, type_b, {_edges(GEOMETRIC)} AS bin, count(*) AS n FROM pair WHERE d > 1 AND d <= 10 GROUP BY ALL")
+def distance_histogram_geometric(spark, sf_dir):
+    return features.distance_histogram(views.atoms(spark, sf_dir), 1.0, 10.0, 6, GEOMETRIC)
+
+
+@query(f"WITH {PAIRS} SELECT complex, type_a, type_b, {_edges(LOGARITHMIC)} AS bin, count(*) AS n FROM pair WHERE d > 1 AND d <= 10 GROUP BY ALL")
+def distance_histogram_log(spark, sf_dir):
+    return features.distance_histogram(views.atoms(spark, sf_dir), 1.0, 10.0, 5, LOGARITHMIC)
+
+
+@query(f"WITH {PAIRS} SELECT complex AS complex_id, type_a AS atom_1, type_b AS atom_2, " + ", ".join(f"count(*) FILTER (ceil(d / 3) = {k + 1}) AS bin{k}" for k in range(4)) + " FROM pair WHERE d > 0 AND d <= 12 GROUP BY ALL")
+def histogram_table(spark, sf_dir):
+    return sinks.histogram_table(features.distance_histogram(views.atoms(spark, sf_dir), 0.0, REACH, 4), 4)
+
+
+@query(f"WITH {PAIRS} SELECT complex, type_a, type_b, round(sum(1 / d), 6) AS inverse, round(sum(1 / (d * d)), 6) AS inverse_square FROM pair WHERE d > 0 AND d <= 12 GROUP BY ALL")
+def distance_sums(spark, sf_dir):
+    return rounded(features.distance_sums(views.atoms(spark, sf_dir), REACH), "inverse", "inverse_square")
+
+
+@query(f"WITH {PAIRS} SELECT complex, type_a, type_b, round(sum(pow(d, -2)), 4) AS sum_0, round(sum(pow(d, -1)), 4) AS sum_1, count(*)::double AS sum_2, round(sum(d), 4) AS sum_3 FROM pair WHERE d > 0 AND d <= 12 GROUP BY ALL")
+def power_sums(spark, sf_dir):
+    return rounded(features.power_sums(views.atoms(spark, sf_dir), REACH), "sum_0", "sum_1", "sum_3", digits=4)
+
+
+@query(f"WITH {PAIRS} SELECT complex, type_a, type_b, round(sum(exp(-d / 4)), 4) AS weight FROM pair WHERE d <= 12 GROUP BY ALL")
+def contact_weights(spark, sf_dir):
+    return rounded(features.contact_weights(views.atoms(spark, sf_dir), 4.0, REACH), "weight", digits=4)
+
+
+@query(f"WITH {PAIRS} SELECT complex, type_a, type_b, count(*) AS n FROM (SELECT DISTINCT complex, o_a, o_b, type_a, type_b FROM pair WHERE d <= 4) GROUP BY ALL")
+def residue_contacts(spark, sf_dir):
+    return features.residue_contacts(views.atoms(spark, sf_dir), 4.0, "o")
+
+
+@query(f"WITH {PAIRS} SELECT complex, count(*) AS n, round(min(d), 6) AS closest FROM pair WHERE d < 1.5 GROUP BY complex")
+def clash_counts(spark, sf_dir):
+    return rounded(spatial.clashes(views.atoms(spark, sf_dir), 1.5).groupBy("complex").agg(F.count("*").alias("n"), F.min("d").alias("closest")), "closest")
+
+
+_MD5 = "('0x' || substr(md5({}), 1, 8))::bigint"
+
+
+@query(f"WITH {PAIRS} SELECT complex, round(sum({_MD5.format(chr(39) + 'w:7:' + chr(39) + ' || type_a || ' + chr(39) + ':' + chr(39) + ' || type_b')} / 4294967296.0::double / (d * d)), 4) AS score FROM pair WHERE d > 0 AND d <= 12 GROUP BY complex")
+def surrogate_score(spark, sf_dir):
+    return rounded(features.surrogate_score(views.atoms(spark, sf_dir), REACH, 7), "score", digits=4)
+
+
+def _adjacency(s: str, other: str, to: str) -> str:
+    return f"{s} AS (SELECT a.complex, a.serial, count(*) AS n FROM place a JOIN place b ON a.complex = b.complex AND b.side {other} a.side AND {near('a', 'b')} <= {to} AND a.serial <> b.serial GROUP BY ALL)"
+
+
+@query(f"WITH {PLACES}, {_adjacency('own', '=', '2')}, {_adjacency('other', '<>', '4')} SELECT p.complex, p.type, least(own.n - 1, 2) AS self_n, least(coalesce(other.n, 0), 9) AS other_n, count(*) AS n FROM place p JOIN own ON p.complex = own.complex AND p.serial = own.serial LEFT JOIN other ON p.complex = other.complex AND p.serial = other.serial GROUP BY ALL")
+def adjacency(spark, sf_dir):
+    return features.adjacency(views.places(spark, sf_dir), 2.0, 4.0, 3, 10)
+
+
+def _nearest(side: str, name: str) -> str:
+    return f"WITH {PLACES} SELECT complex, side, serial, {name}, round(d, 6) AS d FROM (SELECT a.complex, a.side, a.serial, b.serial AS {name}, {near('a', 'b')} AS d, row_number() OVER (PARTITION BY a.complex, a.serial ORDER BY {near('a', 'b')}, b.serial) AS r FROM place a JOIN place b ON a.complex = b.complex AND a.type = 'H' AND b.type <> 'H' AND a.side {side} b.side WHERE {near('a', 'b')} <= 3) WHERE r = 1"
+
+
+@query(_nearest("=", "donor"))
+def hydrogen_donors(spark, sf_dir):
+    return rounded(spatial.hydrogen_donors(views.places(spark, sf_dir)), "d")
+
+
+@query(_nearest("<>", "acceptor"))
+def interface_acceptors(spark, sf_dir):
+    return rounded(spatial.interface_acceptors(views.places(spark, sf_dir)), "d")
+
+
+@query(f"""WITH {PLACES}, h AS (SELECT * FROM place WHERE type = 'H'), heavy AS (SELECT * FROM place WHERE type <> 'H'),
+donor AS (SELECT * FROM (SELECT h.complex, h.side, h.x, h.y, h.z, d.x AS dx, d.y AS dy, d.z AS dz, d.type AS donor_type, row_number() OVER (PARTITION BY h.complex, h.serial ORDER BY {near('h', 'd')}, d.serial) AS r FROM h JOIN heavy d ON h.complex = d.complex AND h.side = d.side WHERE {near('h', 'd')} > 0 AND {near('h', 'd')} <= 3) WHERE r = 1),
+triple AS (SELECT n.complex, n.donor_type, a.type AS acceptor_type, sqrt((n.dx - a.x) * (n.dx - a.x) + (n.dy - a.y) * (n.dy - a.y) + (n.dz - a.z) * (n.dz - a.z)) AS d, (n.x - n.dx) * (a.x - n.x) + (n.y - n.dy) * (a.y - n.y) + (n.z - n.dz) * (a.z - n.z) AS dot,
+((n.x - n.dx) * (n.x - n.dx) + (n.y - n.dy) * (n.y - n.dy) + (n.z - n.dz) * (n.z - n.dz)) * ((a.x - n.x) * (a.x - n.x) + (a.y - n.y) * (a.y - n.y) + (a.z - n.z) * (a.z - n.z)) AS norm FROM donor n JOIN heavy a ON n.complex = a.complex AND n.side <> a.side WHERE {near('n', 'a')} > 0 AND {near('n', 'a')} <= 5),
+angled AS (SELECT *, pi() - acos(greatest(-1.0, least(1.0, dot / sqrt(norm)))) AS angle FROM triple)
+SELECT complex, donor_type, acceptor_type, least(floor((angle - 0.5) / (pi() - 0.5) * 10), 9)::int AS angle_bin, least(floor((d - 1) / 4 * 10), 9)::int AS distance_bin, count(*) AS n FROM angled WHERE d BETWEEN 1 AND 5 AND angle >= 0.5 GROUP BY ALL""")
+def hydrogen_bonds(spark, sf_dir):
+    p = views.places(spark, sf_dir)
+    heavy = p.where("type <> 'H'")
+    own = spatial.pairs_within(p.where("type = 'H'"), heavy, 3.0, ["complex", "side"]).where("d > 0")
+    xyz = lambda p: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in "xyz"])
+    donor = own.groupBy("complex", "side", "a_serial").agg(F.min(F.struct("d", "b_serial", xyz("b").alias("at"), "b_type")).alias("m"), F.first(xyz("a")).alias("h"))
+    hydrogens = donor.select("complex", (3 - F.col("side")).alias("side"), "h.*", F.col("m.at").alias("donor"), F.col("m.b_type").alias("donor_type"))
+    triples = spatial.pairs_within(hydrogens, heavy, 5.0, ["complex", "side"]).where("d > 0")
+    return features.hydrogen_bonds(triples.select("complex", F.col("a_donor").alias("d"), xyz("a").alias("h"), xyz("b").alias("a"), F.col("a_donor_type").alias("donor_type"), F.col("b_type").alias("acceptor_type")))
+
+
+# -- vectors ---------------------------------------------------------------------------
+
+
+@query("SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))), 5) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
+def distance_matrix(spark, sf_dir):
+    return rounded(vectors.distance_matrix(views.vectors(spark, sf_dir)), "d", digits=5)
+
+
+@query("SELECT a.vec_id AS id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 5) AS dot, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def products(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    w = v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("other"))
+    return v.join(w, "id").select("id", F.round(vectors.dot(F.col("vector"), F.col("other")), 5).alias("dot"), F.round(vectors.cosine(F.col("vector"), F.col("other")), 5).alias("cosine"))
+
+
+@query("SELECT id, round(avg(label), 6) AS prediction FROM (SELECT a.vec_id AS id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::double[], b.embedding::double[]), b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE r <= 5 GROUP BY id")
+def neighbour_regression(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    return rounded(vectors.nearest_neighbours(v, v, 5), "prediction")
+
+
+@query("SELECT e.vec_id AS id, 64 + coalesce(len(s.v), 0) AS width, round(list_sum(e.embedding::double[]) + coalesce(list_sum(s.v), 0), 5) AS total FROM embeddings e LEFT JOIN (SELECT c_custkey, [c_acctbal] AS v FROM customer) s ON e.vec_id = s.c_custkey")
+def append_scores(spark, sf_dir):
+    f = views.vectors(spark, sf_dir).select("id", F.col("vector").alias("features"))
+    s = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array("c_acctbal").alias("scores"))
+    out = vectors.append_scores(f, s, "id")
+    return out.select("id", F.size("features").alias("width"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+# -- statistics --------------------------------------------------------------------------
+
+PREDICTED = "p AS (SELECT l_quantity AS observed, l_extendedprice AS predicted, l_suppkey AS cluster, 1.0::double AS w FROM lineitem), q AS (SELECT observed, predicted, cluster, 1.0::double / count(*) OVER (PARTITION BY cluster) AS w FROM p)"
+
+
+def _statistics(of: str) -> str:
+    sums = "sum(w) AS sw, sum(w * observed) AS sx, sum(w * predicted) AS sy, sum(w * observed * observed) AS sxx, sum(w * predicted * predicted) AS syy, sum(w * observed * predicted) AS sxy, sum(w * (observed - predicted) * (observed - predicted)) AS see"
+    return f"WITH {PREDICTED}, s AS (SELECT count(*) AS n, {sums} FROM {of}) SELECT n, round((sxy - sx * sy / sw) / sqrt((sxx - sx * sx / sw) * (syy - sy * sy / sw)), 6) AS pearson, round(sqrt(see / sw), 4) AS rmse, round(1 - see / (sxx - sx * sx / sw), 0) AS r2 FROM s"
+
+
+def _rounded_statistics(df: DataFrame) -> DataFrame:
+    return df.withColumns({"pearson": F.round("pearson", 6), "rmse": F.round("rmse", 4), "r2": F.round("r2", 0)})
+
+
+@query(_statistics("p"))
+def prediction_statistics(spark, sf_dir):
+    return _rounded_statistics(statistics.statistics(views.predictions(spark, sf_dir)))
+
+
+@query(_statistics("q"))
+def prediction_statistics_by_cluster_weight(spark, sf_dir):
+    return _rounded_statistics(statistics.statistics(views.predictions(spark, sf_dir), equal_clusters=True))
+
+
+@query("SELECT count(*) AS n, round(1 - sum((o_totalprice - c_acctbal) * (o_totalprice - c_acctbal)) / sum((o_totalprice - 1000) * (o_totalprice - 1000)), 6) AS r2 FROM orders JOIN customer ON o_custkey = c_custkey")
+def r2_against_baseline(spark, sf_dir):
+    o, c = views.table(spark, sf_dir, "orders"), views.table(spark, sf_dir, "customer")
+    model = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", F.col("o_totalprice").alias("observed"), F.col("c_acctbal").alias("predicted"))
+    base = o.select("o_orderkey", F.col("o_totalprice").alias("observed"), F.lit(1000.0).alias("predicted"))
+    return rounded(statistics.r2_against(model, base, "o_orderkey"), "r2")
+
+
+@query("SELECT l_suppkey AS complex, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd FROM lineitem GROUP BY l_suppkey")
+def trial_summary(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("complex"), "l_quantity")
+    return rounded(statistics.summary(rows, ["complex"], "l_quantity"), "mean", "sd")
+
+
+@query("SELECT round(sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity), 4) AS slope, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope_with_bias, round(regr_intercept(l_extendedprice, l_quantity), 3) AS bias FROM lineitem")
+def least_squares(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "lineitem").select(F.array("l_quantity").alias("features"), F.col("l_extendedprice").alias("response"))
+    (plain,), (slope, bias) = regression.fit_linear(rows), regression.fit_linear(rows, bias=True)
+    return spark.createDataFrame([(round(plain, 4), round(slope, 4), round(bias, 3))], "slope double, slope_with_bias double, bias double")
+
+
+@query("SELECT vec_id AS id, round(list_sum(embedding::double[]) * 0.5 + 2, 5) AS prediction FROM embeddings")
+def linear_prediction(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    model = F.concat(F.array_repeat(F.lit(0.5), F.size("vector")), F.array(F.lit(2.0)))
+    return v.select("id", F.round(regression.linear_prediction(model, F.col("vector").cast("array<double>")), 5).alias("prediction"))
+
+
+# -- clusters ----------------------------------------------------------------------------
+
+
+@query(f"WITH {MEMBERS}, g AS (SELECT clustering_id, min_dist, cluster_id, '(' || string_agg(complex_id::varchar, ',' ORDER BY complex_id) || ')' AS c FROM member GROUP BY ALL) SELECT clustering_id, min_dist::varchar || ':' || string_agg(c, '' ORDER BY c) AS value FROM g GROUP BY clustering_id, min_dist")
+def cluster_lines(spark, sf_dir):
+    return sinks.cluster_lines(views.members(spark, sf_dir))
+
+
+@query(f"WITH {MEMBERS}, g AS (SELECT clustering_id, min_dist, cluster_id, '(' || string_agg(complex_id::varchar, ',' ORDER BY complex_id) || ')' AS c FROM member GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY clustering_id ORDER BY c) - 1 AS k FROM g) SELECT m.clustering_id, m.min_dist, r.k::int AS cluster_id, m.complex_id::varchar AS complex_id FROM member m JOIN r ON m.clustering_id = r.clustering_id AND m.cluster_id = r.cluster_id")
+def cluster_file_round_trip(spark, sf_dir):
+    lines = sinks.cluster_lines(views.members(spark, sf_dir)).select(F.col("clustering_id").alias("at"), F.col("value").alias("line"))
+    return tables.parse_clusters(lines).select(F.col("clustering_id").cast("int").alias("clustering_id"), "min_dist", "cluster_id", "complex_id")
+
+
+@query(f"WITH {MEMBERS} SELECT clustering_id, cluster_id, string_agg(complex_id::varchar, ':' ORDER BY complex_id::varchar) AS identity FROM member GROUP BY ALL")
+def cluster_identity(spark, sf_dir):
+    return clustering.identities(views.members(spark, sf_dir))
+
+
+@query(f"WITH {MEMBERS} SELECT * FROM member WHERE complex_id IN (SELECT o_custkey FROM orders)")
+def keep_measured(spark, sf_dir):
+    measured = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("complex_id"))
+    return clustering.keep_measured(views.members(spark, sf_dir), measured)
+
+
+_EDGES = "near AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_distance(a.embedding::double[], b.embedding::double[]) < 1.12)"
+
+
+@query(f"WITH RECURSIVE {_EDGES}, reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT near.v, reach.r FROM reach JOIN near ON reach.id = near.u) SELECT id, min(r) AS component FROM reach GROUP BY id")
+def components_at_threshold(spark, sf_dir):
+    return clustering.components_at(vectors.distance_matrix(views.vectors(spark, sf_dir)), 1.12)
+
+
+@query()
+def single_linkage(spark, sf_dir):
+    out = clustering.single_linkage(vectors.distance_matrix(views.vectors(spark, sf_dir)), 5)
+    return out.groupBy("clustering_id").agg(F.first("min_dist").alias("min_dist"), F.countDistinct("cluster_id").alias("clusters"), F.count("*").alias("members"))
+
+
+# -- cross-validation --------------------------------------------------------------------
+
+
+@query(f"WITH {MEMBERS}, c AS (SELECT DISTINCT clustering_id, cluster_id FROM member), ok AS (SELECT clustering_id FROM c GROUP BY 1 HAVING count(*) >= 5) SELECT clustering_id, trial::int AS trial, cluster_id, ((row_number() OVER (PARTITION BY clustering_id, trial ORDER BY {_MD5.format(chr(39) + '3:' + chr(39) + ' || trial || ' + chr(39) + ':' + chr(39) + ' || cluster_id')}, cluster_id) - 1) % 5)::int AS fold FROM c JOIN ok USING (clustering_id), range(3) t(trial)")
+def grouped_folds(spark, sf_dir):
+    return crossval.folds(views.members(spark, sf_dir), 3, 5, 3).withColumn("fold", F.col("fold").cast("int"))
+
+
+@query(f"WITH {MEMBERS} SELECT *, 1.0::double / count(*) OVER (PARTITION BY clustering_id, cluster_id) AS w FROM member")
+def training_weights(spark, sf_dir):
+    return crossval.training_weights(views.members(spark, sf_dir))
+
+
+@query(f"WITH {MEMBERS}, g AS (SELECT clustering_id, cluster_id, string_agg(complex_id::varchar, ':' ORDER BY complex_id::varchar) AS identity FROM member GROUP BY ALL), d AS (SELECT DISTINCT complex_id, identity FROM member JOIN g USING (clustering_id, cluster_id)) SELECT complex_id, round(sum({_MD5.format(chr(39) + '5:' + chr(39) + ' || identity')} / 4294967296.0::double), 9) AS value FROM d GROUP BY complex_id")
+def random_affinity(spark, sf_dir):
+    return rounded(crossval.random_affinity(views.members(spark, sf_dir), 5), "value", digits=9)
+
+
+@query("""WITH e AS (SELECT l_returnflag AS g, l_quantity AS x, count(*) AS n, sum(l_extendedprice) AS s, sum(l_extendedprice * l_extendedprice) AS q FROM lineitem GROUP BY ALL),
+r AS (SELECT g, x, lead(x) OVER w AS after, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(q) OVER w AS lq, sum(n) OVER t AS tn, sum(s) OVER t AS ts, sum(q) OVER t AS tq FROM e WINDOW w AS (PARTITION BY g ORDER BY x), t AS (PARTITION BY g)),
+c AS (SELECT g, (x + after) / 2 AS threshold, lq - ls * ls / ln + (tq - lq) - (ts - ls) * (ts - ls) / (tn - ln) AS sse FROM r WHERE ln >= 6 AND tn - ln >= 5 AND after IS NOT NULL)
+SELECT g, arg_min(threshold, sse) AS threshold, round(min(sse) / 1e6, 0) AS sse FROM c GROUP BY g""")
+def best_split(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return crossval.best_splits(rows, 5, ["g"]).withColumn("sse", F.round(F.col("sse") / 1e6, 0))
+
+
+@query()
+def permutation_p(spark, sf_dir):
+    v = views.table(spark, sf_dir, "supplier").join(views.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = v.select(F.col("s_acctbal").alias("observed"), (F.col("s_suppkey") % 97).cast("double").alias("predicted"), F.col("s_nationkey").alias("cluster"))
+    return rounded(statistics.permutation_p(rows, 200, 1), "r")
+
+
+def _cross_validated(spark, sf_dir, model):
+    rows = views.vectors(spark, sf_dir).select(F.col("id").alias("complex_id"), F.col("vector").alias("features"), "response")
+    members = views.members(spark, sf_dir).drop("min_dist").where("clustering_id = 0")
+    return evaluation.cross_validate(members, rows, Options(trials=2, fold=5, model=model, forest=regression.ForestOptions(trees=5, leaf=3, feature_bag=0.3)))
+
+
+@query()
+def forest_cross_validation(spark, sf_dir):
+    return rounded(_cross_validated(spark, sf_dir, "forest").where("not training"), "predicted")
+
+
+@query()
+def neighbour_cross_validation(spark, sf_dir):
+    return rounded(_cross_validated(spark, sf_dir, "nn").where("not training"), "predicted")
+
+
+@query()
+def linear_cross_validation(spark, sf_dir):
+    return evaluation.trial_statistics(_cross_validated(spark, sf_dir, "linear"))
+
+
+# -- sequences ---------------------------------------------------------------------------
+
+_DIAGONAL = " ".join(f"WHEN '{a}' THEN {v}" for (a, b), v in sorted(substitution_scores().items()) if a == b)
+
+
+@query(f"WITH {SEQUENCES} SELECT item_id, length(sequence) AS n, coalesce(list_sum(list_transform(string_split(sequence, ''), lambda c: CASE c {_DIAGONAL} ELSE 0 END)), 0)::int AS score FROM seq")
+def self_score(spark, sf_dir):
+    return views.sequences(spark, sf_dir).select("item_id", F.length("sequence").alias("n"), alignment.self_score(F.col("sequence")).alias("score"))
+
+
+@query("SELECT item_id, translate(reverse(regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g')), 'ACGT', 'TGCA') AS sequence FROM benchmark")
+def reverse_complement(spark, sf_dir):
+    t = views.table(spark, sf_dir, "benchmark")
+    return t.select("item_id", alignment.reverse_complement(F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "")).alias("sequence"))
+
+
+def _aligned(spark, sf_dir, **how):
+    s = views.sequences(spark, sf_dir)
+    # Each with the next: the number of alignments is that of the rows.
+    after = F.lead("sequence").over(Window.orderBy("item_id"))
+    return alignment.pair_scores(s.select("item_id", F.col("sequence").alias("query"), after.alias("target")), "query", "target", **how)
+
+
+@query()
+def smith_waterman(spark, sf_dir):
+    return _aligned(spark, sf_dir)
+
+
+@query()
+def overlap_alignment(spark, sf_dir):
+    return _aligned(spark, sf_dir, mode="overlap")
+
+
+@query()
+def alignment_distances(spark, sf_dir):
+    s = views.sequences(spark, sf_dir)
+    two = s.select((F.col("item_id") / 2).cast("long").cast("string").alias("complex_id"), (F.col("item_id") % 2 + 1).cast("int").alias("side"), F.concat(F.lit("M"), "sequence").alias("sequence"))
+    return rounded(alignment.alignment_distances(two), "d")
+
+
+@query("SELECT page_id, regexp_extract(url, '^[A-Za-z0-9]+', 0) AS accession, upper(trim(url)) AS cleaned, regexp_matches(url, '[0-9]') AS digits FROM pages")
+def text_helpers(spark, sf_dir):
+    t = views.table(spark, sf_dir, "pages")
+    return t.select("page_id", texts.accession(F.col("url")).alias("accession"), texts.clean_upper(F.col("url")).alias("cleaned"), texts.has_digit(F.col("url")).alias("digits"))
