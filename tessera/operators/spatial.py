@@ -30,6 +30,12 @@ def cells(points: DataFrame, reach: float, around: bool) -> DataFrame:
     return points.withColumn("near", F.explode(near)).select("*", "near.*").drop("near")
 
 
+def partitions(df: DataFrame) -> int:
+    """Partitions of a join that makes far more rows than it reads."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def pairs_within(left: DataFrame, right: DataFrame, reach: float, keys: list[str] | None = None) -> DataFrame:
     """(*keys, a_<column>..., b_<column>..., d): pairs of one complex at a distance up to
     `reach`, with the columns of both points, of which unused ones are pruned. Exact:
@@ -39,7 +45,10 @@ def pairs_within(left: DataFrame, right: DataFrame, reach: float, keys: list[str
     mark = lambda df, side: [F.col(c).alias(f"{side}_{c}") for c in df.columns]
     a = cells(left, reach, True).select(*keys, *names, *mark(left, "a"))
     b = cells(right, reach, False).select(*keys, *names, *mark(right, "b"))
-    return a.join(b, [*keys, *names]).drop(*names).withColumn("d", distance()).where(F.col("d") <= float(reach))
+    # Pairs are many more than points: the exchange is not to be coalesced by the points' bytes.
+    n = partitions(left)
+    a, b = a.repartition(n, *keys, *names), b.repartition(n, *keys, *names)
+    return a.join(b.hint("shuffle_hash"), [*keys, *names]).drop(*names).withColumn("d", distance()).where(F.col("d") <= float(reach))
 
 
 def cross_pairs(points: DataFrame, reach: float) -> DataFrame:
