@@ -191,7 +191,7 @@ def read_structures(spark: SparkSession, path: str, options: StructureOptions =
     """Atoms of all `*.pdb` files in `path`, `complex_id` from the name; a file that is
     left out gives one row with only complex_id and reason. Two files of one accession
     are both left out."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.pdb").select(accession(F.col("_metadata.file_name")).alias("complex_id"), "value")
+    files = spark.read.text(f"{path.rstrip(chr(47))}/*.pdb", wholetext=True).select(accession(F.col("_metadata.file_name")).alias("complex_id"), "value")
     return parse_structures(files, options)
 
 
