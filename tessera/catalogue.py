@@ -183,7 +183,7 @@ def _adjacency(s: str, other: str, to: str) -> str:
 
 @query(f"WITH {PLACES}, {_adjacency('own', '=', '2')}, {_adjacency('other', '<>', '4')} SELECT p.complex, p.type, least(own.n - 1, 2) AS self_n, least(coalesce(other.n, 0), 9) AS other_n, count(*) AS n FROM place p JOIN own ON p.complex = own.complex AND p.serial = own.serial LEFT JOIN other ON p.complex = other.complex AND p.serial = other.serial GROUP BY ALL")
 def adjacency(spark, sf_dir):
-    return features.adjacency(views.places(spark, sf_dir), 2.0, 4.0, 3, 10)
+    return features.adjacency(views.places(spark, sf_dir), 2.0, 4.0, 3, 10, "code")
 
 
 def _nearest(side: str, name: str) -> str:

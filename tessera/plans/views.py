@@ -24,9 +24,12 @@ PAIRS = f"{ATOMS}, pair AS (SELECT * FROM (SELECT a.complex, a.o AS o_a, b.o AS
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct atoms with a name of their own, and R atoms called hydrogen."""
+    """Distinct atoms with a name and a number of their own, and R atoms called hydrogen."""
     a = atoms(spark, sf_dir).select("complex", "side", F.when(F.col("type") == "R", "H").otherwise(F.col("type")).alias("type"), "x", "y", "z").distinct()
-    return a.withColumn("serial", F.concat_ws("/", "side", "type", *[F.col(c).cast("int") for c in "xyz"]))
+    code = F.col("side") * 128 + F.ascii("type")
+    for c in "xyz":
+        code = code * 64 + F.col(c).cast("long")
+    return a.withColumns({"serial": F.concat_ws("/", "side", "type", *[F.col(c).cast("int") for c in "xyz"]), "code": code})
 
 
 PLACES = f"{ATOMS}, place AS (SELECT *, concat_ws('/', side, type, x::int, y::int, z::int) AS serial FROM (SELECT DISTINCT complex, side, CASE WHEN type = 'R' THEN 'H' ELSE type END AS type, x, y, z FROM atom))"
