@@ -23,10 +23,23 @@ import struct
 SPACE = "▁"
 #: Fixed values of the model format: piece types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Entries a worker keeps per cache before it starts afresh: bounds the memory.
+#: Entries of each of the two generations of a worker's cache: bounds the memory.
 CACHE = 400_000
 
 
+class Cache:
+    """Results by chunk. When the young generation is full it becomes the old one, which
+    is dropped, so that chunks in use stay."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+
+
 class CharacterMap:
     """The compiled character map: a double-array trie and a pool of replacements.
 
@@ -112,8 +125,7 @@ class PieceModel:
             self.chunk = re.compile(f"[{apart}]|{SPACE}*[^{SPACE}{apart}]+|{SPACE}+")
         else:
             self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self._ids: dict[str, bytes] = {}
-        self._counts: dict[str, int] = {}
+        self._ids, self._counts = Cache(), Cache()
 
     # -- normalisation -------------------------------------------------------
 
@@ -170,38 +182,40 @@ class PieceModel:
 
         Symbols stand in a linked list; a heap holds the adjacent pairs that join
         to a piece, by (rank, place). A popped pair whose sides have changed since
-        it was pushed is stale and passed over.
+        it was pushed has another rank, or none, and is passed over.
         """
         symbols = list(chunk)
         n, rank = len(symbols), self.rank
         if n < 2:
             return symbols
+        # An entry is rank * span + place, which orders as the pair does and compares faster.
+        span = n
+        heap = [r * span + i for i in range(n - 1) if (r := rank.get(chunk[i : i + 2])) is not None]
+        if not heap:
+            return symbols
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        heap = [(r, i, chunk[i : i + 2]) for i in range(n - 1) if (r := rank.get(chunk[i : i + 2])) is not None]
         heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
+        pop, push, get = heapq.heappop, heapq.heappush, rank.get
         while heap:
-            _, i, pair = pop(heap)
+            r, i = divmod(pop(heap), span)
             left = symbols[i]
-            if not left:
-                continue
             j = after[i]
-            if j >= n or len(left) + len(symbols[j]) != len(pair):
+            if not left or j >= n:
+                continue
+            pair = left + symbols[j]
+            if get(pair) != r:
                 continue
             symbols[i] = pair
             symbols[j] = ""
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                both = pair + symbols[k]
-                if (r := rank.get(both)) is not None:
-                    push(heap, (r, i, both))
+                if (r := get(pair + symbols[k])) is not None:
+                    push(heap, r * span + i)
             h = before[i]
-            if h >= 0:
-                both = symbols[h] + pair
-                if (r := rank.get(both)) is not None:
-                    push(heap, (r, h, both))
+            if h >= 0 and (r := get(symbols[h] + pair)) is not None:
+                push(heap, r * span + h)
         return [s for s in symbols if s]
 
     def chunk_ids(self, chunk: str) -> list[int]:
@@ -219,17 +233,18 @@ class PieceModel:
 
     def packed(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
-        cache = self._ids
-        if len(cache) > CACHE:
-            cache.clear()
+        self._ids.turn()
+        young, old = self._ids.young, self._ids.old
         out = []
         for chunk in self.chunk.findall(self.plain(text)):
-            got = cache.get(chunk)
+            got = young.get(chunk)
             if got is None:
-                ids = self.chunk_ids(chunk)
-                got = struct.pack(f"<{len(ids)}I", *ids)
+                got = old.get(chunk)
+                if got is None:
+                    ids = self.chunk_ids(chunk)
+                    got = struct.pack(f"<{len(ids)}I", *ids)
                 if len(chunk) <= 64:
-                    cache[chunk] = got
+                    young[chunk] = got
             out.append(got)
         return b"".join(out)
 
@@ -245,15 +260,16 @@ class PieceModel:
 
     def count(self, text: str) -> int:
         """Tokens of a whole text, without begin and end."""
-        cache, total = self._counts, 0
-        if len(cache) > CACHE:
-            cache.clear()
+        self._counts.turn()
+        young, old, total = self._counts.young, self._counts.old, 0
         for chunk in self.chunk.findall(self.plain(text)):
-            got = cache.get(chunk)
+            got = young.get(chunk)
             if got is None:
-                got = self.chunk_count(chunk)
+                got = old.get(chunk)
+                if got is None:
+                    got = self.chunk_count(chunk)
                 if len(chunk) <= 64:
-                    cache[chunk] = got
+                    young[chunk] = got
             total += got
         return total
 
