@@ -19,6 +19,10 @@ from .graph import components
 from .store import keep
 
 
+#: Pivots at least and at most, sampled vectors for each, and the cosine that parts them.
+LEAST_PIVOTS, MOST_PIVOTS, SAMPLED, APART = 256, 16_384, 4, 0.7
+
+
 def unit_vectors(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
     """(vector, rep, copies): distinct valid vectors, with how many rows
     have each and the smallest ident among them. Null, empty or zero vectors and
@@ -28,10 +32,25 @@ def unit_vectors(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
     return vectors.where(F.coalesce(good, F.lit(False))).groupBy(x.alias("vector")).agg(F.min(ident).alias("rep"), F.count("*").alias("copies"))
 
 
-def choose_pivots(vectors: DataFrame, number: int) -> np.ndarray:
-    """A bounded sample of the distinct vectors as pivots: those of smallest hash."""
-    rows = vectors.select("vector", F.xxhash64("vector").alias("h")).orderBy("h", "vector").limit(number).collect()
-    return np.array([r["vector"] for r in rows], dtype=np.float64)
+def pivot_number(rows: int) -> int:
+    """About the square root of the rows, so that lists grow no faster than that."""
+    return min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << max(0, int(np.ceil(np.log2(max(rows, 1)) / 2)))))
+
+
+def choose_pivots(vectors: DataFrame, number: int, apart: float = APART) -> np.ndarray:
+    """Pivots from a bounded sample of the distinct vectors (`SAMPLED` times `number`,
+    those of smallest hash), each with a cosine under `apart` to all before it. So a
+    large group of near-copies has one pivot among them, and its members agree on
+    the order of the others."""
+    rows = vectors.select("vector", F.xxhash64("vector").alias("h")).orderBy("h", "vector").limit(SAMPLED * number).collect()
+    x = unit(np.array([r["vector"] for r in rows], dtype=np.float64))
+    chosen: list[int] = []
+    free = np.ones(len(x), dtype=bool)
+    for i in range(len(x)):
+        if free[i] and len(chosen) < number:
+            chosen.append(i)
+            free &= x @ x[i] < apart
+    return x[chosen]
 
 
 def describe(vectors: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
@@ -111,7 +130,7 @@ def _forest(node: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray)
     return out + [(u, v, 0) for u, v in zip(node[places].tolist(), node[places[label]].tolist()) if u != v]
 
 
-def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", least: float = 0.9, pivots: int = 256, near: int = 8, shared: int = 3, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", least: float = 0.9, pivots: int | None = None, near: int = 8, shared: int = 2, block: int = BLOCK) -> DataFrame:
     """(ident, n_links, component_id, kept) of every row.
 
     n_links counts other rows linked directly (cosine >= `least` in double
@@ -127,7 +146,7 @@ def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "em
     parts = []
     for size in [r["n"] for r in distinct.select(F.size("vector").alias("n")).distinct().collect()]:  # lengths in the schema: few
         own = distinct.where(F.size("vector") == size)
-        table = choose_pivots(own, pivots)
+        table = choose_pivots(own, pivots or pivot_number(own.count()))
         index = keep(describe(own, table, near), "index")
         lists = index.select("node", "copies", "vector", "perm", F.explode("perm").alias("pivot"))
         dealt = block_pairs(lists, ["pivot"], "node", block).select("pivot", "lo", "hi", "side", "node", "copies", "vector", "perm")

@@ -166,3 +166,15 @@ def test_pivots_recall(spark, noise):
     assert (found <= links).all()
     print(f"noise {noise}: {found.sum()} of {links.sum()} links")
     assert links.sum() == 0 or found.sum() >= 0.9 * links.sum()
+
+
+def test_pivots_recall_in_a_hot_group(spark):
+    """A third of all vectors are near-copies of one: pivots from among them must not
+    make their orders arbitrary."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=64) + rng.normal(size=(500, 64)) * 0.2, rng.normal(size=(1000, 64))]).astype(np.float32)
+    out = pivots.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    links = (y @ y.T >= 0.9).sum() - len(x)
+    assert sum(r.n_links for r in out) >= 0.99 * links > 0
