@@ -78,6 +78,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _verifier(least: float, shared: int):
+    return lambda cols, starts: _verify(cols, starts, least, shared)
+
+
 def _verify(cols: dict[str, np.ndarray], starts: np.ndarray, least: float, shared: int) -> pa.RecordBatch | None:
     """Links of each inverted list: per node how many rows it links with, and edges of
     a spanning forest. A pair counts in the list of the smallest pivot it shares."""
@@ -150,7 +154,7 @@ def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "em
         index = keep(describe(own, table, near), "index")
         lists = index.select("node", "copies", "vector", "perm", F.explode("perm").alias("pivot"))
         dealt = block_pairs(lists, ["pivot"], "node", block).select("pivot", "lo", "hi", "side", "node", "copies", "vector", "perm")
-        parts.append(dealt.mapInArrow(by_group(["pivot", "lo", "hi"], lambda c, s: _verify(c, s, least, shared)), "a long, b long, links long"))
+        parts.append(dealt.mapInArrow(by_group(["pivot", "lo", "hi"], _verifier(least, min(shared, len(table)))), "a long, b long, links long"))
     found = parts[0] if parts else vectors.sparkSession.createDataFrame([], "a long, b long, links long")
     for p in parts[1:]:
         found = found.unionByName(p)
