@@ -49,6 +49,10 @@ NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 SPACES = re.compile(r"\s+")
 #: Words of a class, id or role that a block's signature keeps.
 WORD = re.compile(r"[a-z]+")
+#: Blocks nested deeper than this join the one at this depth, as browsers do at theirs.
+DEEPEST = 150
+#: Siblings of a wrapper, over which they become one repeated group of optional members.
+WIDEST = 128
 
 
 def signature(name: str, attrs: str) -> str:
@@ -62,7 +66,8 @@ def signature(name: str, attrs: str) -> str:
 def blocks(html: str | None) -> tuple[list, list[tuple[str, str, int]]]:
     """The block tree as nested [signature, children], and in page order each block's
     text as (path, text, characters in links). Text is '#' in the tree; inline
-    elements belong to their block; unclosed elements close as browsers do it."""
+    elements belong to their block; unclosed elements close as browsers do it. What
+    is nested over `DEEPEST` deep keeps its text, in the block at that depth."""
     tree: list = ["", []]
     stack: list[tuple[str, list, str]] = [("", tree, "")]  # (name, node, path)
     out: list[tuple[str, str, int]] = []
@@ -130,7 +135,10 @@ def blocks(html: str | None) -> tuple[list, list[tuple[str, str, int]]]:
                 close({"p"}, SECTIONS - {"li"} | BARRIERS)
             if name in CLOSES:
                 close(CLOSES[name], BARRIERS)
-            if not m[0].endswith("/>"):
+            if not m[0].endswith("/>") and len(stack) > DEEPEST:
+                stack.append((name, *stack[-1][1:]))
+                in_link = False
+            elif not m[0].endswith("/>"):
                 sig = signature(name, m[3])
                 node: list = [sig, []]
                 stack[-1][1][1].append(node)
@@ -160,7 +168,17 @@ def fold(items: list[list], widest: int = 4) -> list[list]:
                 group = [merged(a, b, True) for a, b in zip(out[-2 * w : -w], out[-w:])]
                 out[-2 * w :] = group
                 break
-    return out
+    return out if len(out) <= WIDEST else gathered(out)
+
+
+def gathered(items: list[list]) -> list[list]:
+    """Many siblings as one repeated group in which each signature is optional: it
+    matches any order of them, so a wrapper stays small whatever its pages hold."""
+    out: dict[str, list] = {}
+    for x in items:
+        known = out.get(x[0])
+        out[x[0]] = [x[0], aligned(known[1], x[1]) if known else x[1], True, True]
+    return list(out.values())
 
 
 def merged(a: list, b: list, repeated: bool = False) -> list:
@@ -175,6 +193,8 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
     n, m = len(a), len(b)
     if n == m and all(x[0] == y[0] for x, y in zip(a, b)):
         return [merged(x, y) for x, y in zip(a, b)]
+    if n > WIDEST or m > WIDEST:  # a group gathered from more signatures than that
+        return gathered(a + b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -301,35 +321,45 @@ def observe(pages: DataFrame, url: str, html: str) -> DataFrame:
 
 
 def _fold_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trees sorted by host (and salt): one wrapper for each, aligned as they come."""
+    """Trees sorted by host and salt: one wrapper for each, aligned as they come."""
     now, wrapper = None, None
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([json.dumps(wrapper, separators=(",", ":"))], pa.string())], names=["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([json.dumps(wrapper, separators=(",", ":"))], pa.string())], names=["host", "wrapper"])
 
     for b in batches:
-        for host, item in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for host, salt, item in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             tree = json.loads(item)
-            if host != now:
+            if (host, salt) != now:
                 if wrapper is not None:
                     yield out()
-                now, wrapper = host, tree
+                now, wrapper = (host, salt), tree
             else:
                 wrapper = merged(wrapper, tree)
     if wrapper is not None:
         yield out()
 
 
-def wrappers(observed: DataFrame, salts: int = 16) -> DataFrame:
+def wrappers(observed: DataFrame, share: int = 256) -> DataFrame:
     """(host, wrapper, main): each host's expression as JSON, and paths of its main slots.
 
-    Trees are aligned as a stream that keeps only the wrapper, first within each of
-    `salts` shares of a host's distinct trees, then over the shares' wrappers.
+    Trees are aligned as a stream that keeps only the wrapper. A host with over
+    `share` distinct trees is cut into shares of about that many, whose wrappers are
+    aligned in the same way, until one is left: no task holds a large host alone.
     """
-    trees = observed.where("kind = 't'").select("host", "item").withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(salts)))
-    schema = "host string, wrapper string"
-    part = trees.repartition("host", "salt").sortWithinPartitions("host", "salt", "item").select("host", "item").mapInArrow(_fold_trees, schema)
-    whole = part.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_fold_trees, schema)
+    whole = observed.where("kind = 't'").select("host", F.col("item").alias("wrapper"))
+    while True:
+        counts = whole.groupBy("host").agg(F.count("*").alias("n"))
+        most = counts.agg(F.max("n").alias("n")).first()["n"] or 0
+        large = counts.where(F.col("n") > share).select("host", F.ceil(F.col("n") / share).alias("shares"))
+        salted = whole.join(large, "host", "left") if most > share else whole.withColumn("shares", F.lit(1))
+        salted = salted.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.coalesce("shares", F.lit(1))))
+        dealt = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper")
+        folded_ = dealt.select("host", "salt", "wrapper").mapInArrow(_fold_trees, "host string, wrapper string")
+        if most <= share:
+            whole = folded_
+            break
+        whole = keep(folded_, "shares")
     # A row for each distinct path of a host: its wrapper has no more slots than that.
     paths = observed.where("kind = 'p'").groupBy("host").agg(F.collect_list(F.struct("item", "pages", "chars", "links", (F.col("least") != F.col("most")).alias("differs"))).alias("stats"))
     both = whole.join(paths, "host", "left")
@@ -351,6 +381,7 @@ def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", html: st
     Blocks' texts are joined by one space, with references decoded and each run of
     white space one space. Null or empty html, and pages without main text, give an
     empty text. Pages with a null url, or without `://`, share the empty host.
+    Unclosed, deeply nested and very wide pages are read like any other.
     Repeated rows each give a row; an empty table gives none; further columns are
     ignored.
     """

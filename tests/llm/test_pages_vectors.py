@@ -105,6 +105,26 @@ def test_wrappers_have_optional_and_repeated_groups():
     assert html.expression(trees[2]) == "(article(h2(#)+ p(#)+))"
 
 
+def test_deep_and_wide_pages(spark):
+    mixed = lambda seed, n: "".join(f"<{k}>{i}</{k}>" for i, k in enumerate(np.random.default_rng(seed).choice(["p", "h2", "pre", "ul", "section"], n)))
+    wide = {i: f"<body><nav>Menu</nav><article>{mixed(i, 300 + 40 * i)}</article></body>" for i in range(9)}
+    tags = "".join(f"<x-{i}>{i}</x-{i}>" for i in range(400))
+    odd = {20: "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after</p></article>", 21: "<article>" + "<ul><li>x" * 900, 22: f"<article>{tags}</article>", 23: f"<article><p>one</p>{tags}</article>", 24: "<article>" + "<" * 50_000}
+    want = {i: " ".join(map(str, range(300 + 40 * i))) for i in wide} | {20: "deep after", 21: "x " * 899 + "x", 22: " ".join(map(str, range(400))), 23: "one " + " ".join(map(str, range(400))), 24: "<" * 50_000}
+    df = spark.createDataFrame([(i, "http://h.com/", h) for i, h in (wide | odd).items()], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == want
+
+
+@pytest.mark.parametrize("share", [2, 5, 256])
+def test_wrappers_by_shares_keep_all_slots(spark, share):
+    page = lambda i: "<article>" + "".join(f"<{t}>x</{t}>" for k, t in enumerate(["h1", "p", "pre", "section", "h2"]) if i >> k & 1) + "</article>"
+    rows = [(i, f"http://{'hot' if i % 32 else 'cold'}.com/", page(i)) for i in range(64)]
+    seen = html.observe(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html")
+    out = html.wrappers(seen, share).collect()
+    assert sorted(r.host for r in out) == ["cold.com", "hot.com"]
+    assert {r.host: set(r.main) for r in out}["hot.com"] == {f"/article/{t}" for t in ["h1", "p", "pre", "section", "h2"]}
+
+
 def test_extract_matches_the_articles(spark, sf):
     import html as entities
     import re
