@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import columns_of, keep
 
 #: Words: runs of anything but ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -124,12 +124,15 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 def emit(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", seed: int = 1, **how) -> DataFrame:
     """The mix itself: the rows of `docs`, each as often as it is taken, with the
-    columns of `docs` and `mix_shard`; the order within a shard is by hash."""
+    columns of `docs` and `mix_shard` (which replaces one of that name); the order
+    within a shard is by hash."""
+    docs = docs.drop("mix_shard")
     plan = mix(docs, ident, source, text, seed=seed, **how)
     # Equal rows share a key: their copies add up and are dealt out over one of them each.
     key = F.xxhash64(F.lit(seed), ident, source, text)
     per = plan.groupBy("row_key").agg(F.flatten(F.collect_list("shards")).alias("all_shards"), F.count("*").alias("same"))
-    nth = docs.withColumn("row_key", key).join(per, "row_key")
+    # Rows travel as one struct, so that no name of theirs meets those used here.
+    nth = docs.select(key.alias("row_key"), F.struct(*columns_of(docs)).alias("row")).join(per, "row_key")
     k = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")) - 1
     mine = F.filter("all_shards", lambda s, i: F.pmod(i, F.col("same")) == F.col("nth"))
-    return nth.withColumn("nth", k).withColumn("mine", mine).select(*docs.columns, F.explode("mine").alias("mix_shard"))
+    return nth.withColumn("nth", k).select("row", F.explode(mine).alias("mix_shard")).select("row.*", "mix_shard")

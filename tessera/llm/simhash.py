@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK, block_pairs, by_group
 from .graph import components
-from .store import keep, small_batches
+from .store import columns_of, keep, small_batches
 
 BITS = 64
 #: Shingles hashed at a time, which bounds the memory a very long text takes.
@@ -254,4 +254,4 @@ def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", widt
     found = near_duplicates(docs, ident, text, width, distance)
     chosen = found.where(F.col(ident) == F.col("component_id")).select(ident).distinct()
     named = docs.where(F.col(ident).isNotNull()).join(chosen, ident, "left_semi").dropDuplicates([ident])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(ident).isNull()))
+    return named.select(*columns_of(docs)).union(docs.where(F.col(ident).isNull()))

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no folder, as in tests on one machine.
 LOCAL = "file:///tmp/checkpoints"
@@ -36,6 +37,11 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of `df`, whatever characters their names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bounds the rows of an Arrow batch: texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

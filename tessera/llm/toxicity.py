@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import keep, small_batches
 
@@ -282,4 +283,6 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text", most: float =
         for b in batches:
             yield b.filter(pa.array([m.score(t) < most for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # By place, for names may hold any characters.
+    kinds = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    return docs.toDF(*kinds.names).mapInArrow(run, kinds).toDF(*names)

@@ -2,7 +2,7 @@ from pyspark.sql import types as T
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 #: Further columns whose names clash with those that operators use inside.
-CLASHING = "node long, size long, part int, key long, block int, host string, rank double, label int, component_id long, fingerprint string, shard int, copies long, row_key long, target double, ident long"
+CLASHING = "node long, size long, part int, key long, block int, host string, rank double, label int, component_id long, fingerprint string, shard int, copies long, row_key long, target double, ident long, all_shards string, same int, nth int, mine int, row int, a.b int, c`d int"
 
 PROSE = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix potions behind an old wooden door near the river bank and nobody sees them go home again before the morning light".split()
 
