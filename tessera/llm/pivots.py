@@ -42,8 +42,11 @@ def choose_pivots(vectors: DataFrame, number: int, apart: float = APART) -> np.n
     those of smallest hash), each with a cosine under `apart` to all before it. So a
     large group of near-copies has one pivot among them, and its members agree on
     the order of the others."""
-    rows = vectors.select("vector", F.xxhash64("vector").alias("h")).orderBy("h", "vector").limit(SAMPLED * number).collect()
-    x = unit(np.array([r["vector"] for r in rows], dtype=np.float64))
+    rows = vectors.select("vector", F.xxhash64("vector").alias("h")).orderBy("h", "vector").limit(SAMPLED * number).select("vector").toArrow()
+    if not rows.num_rows:
+        return np.empty((0, 0))
+    # In Arrow's own memory: a bounded sample, but of long vectors.
+    x = unit(rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1))
     chosen: list[int] = []
     free = np.ones(len(x), dtype=bool)
     for i in range(len(x)):
