@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, pieces, simhash, toxicity
+from tessera.llm import mixing, pieces, shingles, toxicity
 from tessera.llm.queries import tokenizer
 from tessera.llm.store import keep
 
@@ -17,8 +17,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates stays: those that five-word
+    shingles of a similarity of 0.8 or more link."""
+    return shingles.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(docs, tokenizer())
 
 
-STAGES = [("toxicity", drop_toxic), ("simhash near-dedup", drop_near_duplicates), ("mixing", mix_sources), ("sentencepiece", encode)]
+STAGES = [("toxicity", drop_toxic), ("shingle near-dedup", drop_near_duplicates), ("mixing", mix_sources), ("sentencepiece", encode)]
 
 #: SQL can express none of the stages; tests compare each with brute force.
 ORACLE_SQL = None
