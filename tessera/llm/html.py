@@ -3,8 +3,8 @@
 A page is a tree of blocks. Runs of like siblings fold into repeated groups. The
 trees of a host are aligned one after another into a wrapper: what is missing on
 one side becomes optional, what repeats on either is repeated, and text under a
-block is a slot. Slots are judged for the host as a whole, from all its pages, and
-a page's main text is the text in the slots of its host that were found to be main.
+block is a slot. Whether a slot holds links or template text is judged for the host,
+from all its pages; whether an article or main element decides, for each page.
 """
 
 from __future__ import annotations
@@ -253,27 +253,38 @@ def inside(path: str) -> bool:
     return any(MAIN & set(step.split(".")) for step in path.split("/"))
 
 
-def main_slots(wrapper: list, stats: dict[str, tuple[int, int, int, bool]]) -> list[str]:
-    """Those slots of a host's wrapper that hold main text. stats: for each path pages,
-    characters, characters in links, and whether its text differs between pages.
+def main_slots(wrapper: list, stats: dict[str, tuple[int, int, int, bool]]) -> tuple[list[str], list[str]]:
+    """Those slots of a host's wrapper that may hold main text, and those of them with
+    template text. stats: for each path distinct pages (`SEEN` at most), characters,
+    characters in links, and whether its text differs between pages.
 
-    Left out are slots outside the article by name. If any of the rest lies in an
-    article or main element, so must the others; else slots mostly of links, and
-    fixed template text where other slots differ, are left out too.
+    Left out are slots outside the article by name, and slots mostly of links that no
+    article or main element holds. Template is one same text on `SEEN` distinct pages.
     """
-    all_ = sorted(set(slots(wrapper)) & stats.keys())
-    found = [p for p in all_ if not outside(p)]
-    if any(inside(p) for p in found):
-        return [p for p in found if inside(p)]
-    found = [p for p in found if stats[p][2] * 2 <= stats[p][1]]
-    varied = [p for p in found if stats[p][3] or stats[p][0] < 3]
-    return varied or found
+    found = [p for p in sorted(set(slots(wrapper)) & stats.keys()) if not outside(p)]
+    found = [p for p in found if inside(p) or stats[p][2] * 2 <= stats[p][1]]
+    return found, [p for p in found if not stats[p][3] and stats[p][0] >= SEEN]
+
+
+def chosen(texts: list[tuple[str, str, int]], main: set[str], fixed: set[str]) -> list[str]:
+    """A page's main texts: those in an article or main element if it has any; else all
+    but the template's. Template text that is longer than the page's other text is
+    no template but an article that copies repeat."""
+    own = [(path, text) for path, text, _ in texts if path in main]
+    if any(inside(path) for path, _ in own):
+        return [text for path, text in own if inside(path)]
+    varied = [text for path, text in own if path not in fixed]
+    if 2 * sum(map(len, varied)) >= sum(len(text) for _, text in own):
+        return varied
+    return [text for _, text in own]
 
 
 # -- in Spark ----------------------------------------------------------------
 
 #: Distinct trees or paths a task holds before it hands them on, half summed.
 HELD = 20_000
+#: Distinct pages on which one same text is template.
+SEEN = 3
 
 
 def host_of(url: str | None) -> str:
@@ -282,18 +293,20 @@ def host_of(url: str | None) -> str:
 
 
 def observe(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, kind, item, pages, chars, links, least, most): folded trees (kind 't') and
+    """(host, kind, item, pages, chars, links, least, most, distinct): folded trees (kind 't') and
     paths with text (kind 'p') of all pages, summed within each task; least and most
-    are CRCs of a path's text on a page, equal if it never differs."""
+    are CRCs of a path's text on a page, equal if it never differs; distinct counts
+    pages of different text, up to `SEEN`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str, str], list[int]] = {}
-        names = ["host", "kind", "item", "pages", "chars", "links", "least", "most"]
+        differ: dict[tuple[str, str, str], set[int]] = {}
+        names = ["host", "kind", "item", "pages", "chars", "links", "least", "most", "ids"]
 
         def out() -> pa.RecordBatch:
             keys = list(zip(*sums)) or [(), (), ()]
             vals = list(zip(*sums.values())) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in keys] + [pa.array(list(c), pa.int64()) for c in vals], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in keys] + [pa.array(list(c), pa.int64()) for c in vals] + [pa.array([sorted(differ.get(k, ())) for k in sums], pa.list_(pa.int64()))], names=names)
 
         for b in batches:
             for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -305,19 +318,25 @@ def observe(pages: DataFrame, url: str, html: str) -> DataFrame:
                     s[0] += len(text)
                     s[1] += links
                     s[2] = zlib.crc32(text.encode("utf-8", "replace"), s[2])
+                whole = zlib.crc32(json.dumps(texts).encode())
                 for path, (chars, links, crc) in on_page.items():
                     s = sums.setdefault((host, "p", path), [0, 0, 0, crc, crc])
                     s[:] = s[0] + 1, s[1] + chars, s[2] + links, min(s[3], crc), max(s[4], crc)
+                    if len(d := differ.setdefault((host, "p", path), set())) < SEEN:
+                        d.add(whole)
                 t = sums.setdefault((host, "t", json.dumps(folded(tree), separators=(",", ":"))), [0, 0, 0, 0, 0])
                 t[0] += 1
             if len(sums) > HELD:
                 yield out()
                 sums.clear()
+                differ.clear()
         yield out()
 
-    seen = pages.select(url, html).mapInArrow(run, "host string, kind string, item string, pages long, chars long, links long, least long, most long")
+    seen = pages.select(url, html).mapInArrow(run, "host string, kind string, item string, pages long, chars long, links long, least long, most long, ids array<long>")
+    # At most `SEEN` from each task.
+    distinct = F.least(F.size(F.array_distinct(F.flatten(F.collect_list("ids")))), F.lit(SEEN))
     sums = [F.sum(c).alias(c) for c in ("pages", "chars", "links")]
-    return seen.groupBy("host", "kind", "item").agg(*sums, F.min("least").alias("least"), F.max("most").alias("most"))
+    return seen.groupBy("host", "kind", "item").agg(*sums, F.min("least").alias("least"), F.max("most").alias("most"), distinct.alias("distinct"))
 
 
 def _fold_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +360,8 @@ def _fold_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def wrappers(observed: DataFrame, share: int = 256) -> DataFrame:
-    """(host, wrapper, main): each host's expression as JSON, and paths of its main slots.
+    """(host, wrapper, main, fixed): each host's expression as JSON, and paths of its main
+    slots and of those with template text.
 
     Trees are aligned as a stream that keeps only the wrapper. A host with over
     `share` distinct trees is cut into shares of about that many, whose wrappers are
@@ -361,18 +381,19 @@ def wrappers(observed: DataFrame, share: int = 256) -> DataFrame:
             break
         whole = keep(folded_, "shares")
     # A row for each distinct path of a host: its wrapper has no more slots than that.
-    paths = observed.where("kind = 'p'").groupBy("host").agg(F.collect_list(F.struct("item", "pages", "chars", "links", (F.col("least") != F.col("most")).alias("differs"))).alias("stats"))
+    paths = observed.where("kind = 'p'").groupBy("host").agg(F.collect_list(F.struct("item", "distinct", "chars", "links", (F.col("least") != F.col("most")).alias("differs"))).alias("stats"))
     both = whole.join(paths, "host", "left")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            main = []
+            main, fixed = [], []
             for w, stats in zip(b.column("wrapper").to_pylist(), b.column("stats").to_pylist()):
-                known = {s["item"]: (s["pages"], s["chars"], s["links"], s["differs"]) for s in stats or []}
-                main.append(main_slots(json.loads(w), known))
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("wrapper"), pa.array(main, pa.list_(pa.string()))], names=["host", "wrapper", "main"])
+                known = {s["item"]: (s["distinct"], s["chars"], s["links"], s["differs"]) for s in stats or []}
+                for to, paths in zip((main, fixed), main_slots(json.loads(w), known)):
+                    to.append(paths)
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("wrapper"), *(pa.array(x, pa.list_(pa.string())) for x in (main, fixed))], names=["host", "wrapper", "main", "fixed"])
 
-    return both.select("host", "wrapper", "stats").mapInArrow(judge, "host string, wrapper string, main array<string>")
+    return both.select("host", "wrapper", "stats").mapInArrow(judge, "host string, wrapper string, main array<string>, fixed array<string>")
 
 
 def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -386,17 +407,16 @@ def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", html: st
     ignored.
     """
     small_batches(pages.sparkSession)
-    found = keep(wrappers(keep(observe(pages, url, html), "observed")), "wrappers").select(F.col("host").alias("on"), "main")
+    found = keep(wrappers(keep(observe(pages, url, html), "observed")), "wrappers").select(F.col("host").alias("on"), "main", "fixed")
     kind = pages.schema[ident].dataType.simpleString()
     rows = pages.select(F.col(ident).alias("ident"), F.col(url).alias("url"), F.col(html).alias("html"), spark_host(F.col(url)).alias("host"))
-    joined = rows.join(found, F.col("host") == F.col("on"), "left").select("ident", "url", "html", "main")
+    joined = rows.join(found, F.col("host") == F.col("on"), "left").select("ident", "url", "html", "main", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for h, main in zip(b.column("html").to_pylist(), b.column("main").to_pylist()):
-                wanted = set(main or ())
-                texts.append(" ".join(t for path, t, _ in blocks(h)[1] if path in wanted))
+            for h, main, fixed in zip(*(b.column(c).to_pylist() for c in ("html", "main", "fixed"))):
+                texts.append(" ".join(chosen(blocks(h)[1], set(main or ()), set(fixed or ()))))
             yield pa.RecordBatch.from_arrays([b.column("ident"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["ident", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"ident {kind}, url string, text string, n_chars long").withColumnsRenamed({"ident": ident, "url": url})
