@@ -47,7 +47,7 @@ MAIN = frozenset(["article", "main"])
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|(<?[^<]+|<)", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACES = re.compile(r"\s+")
-#: Words of a class, id or role that a block's signature keeps.
+#: Words of a name in class, id or role: all of them must be known ones.
 WORD = re.compile(r"[a-z]+")
 #: Blocks nested deeper than this join the one at this depth, as browsers do at theirs.
 DEEPEST = 150
@@ -56,10 +56,17 @@ WIDEST = 128
 
 
 def signature(name: str, attrs: str) -> str:
-    """Element name with those words of class, id and role that tell its purpose."""
+    """Element name with the words of class, id and role that tell its purpose. Names
+    count as a whole: of `cookie-notice` both words are known, of `no-sidebar` one."""
     if not attrs or "=" not in attrs:
         return name
-    words = {w for m in NAMES.finditer(attrs) for w in WORD.findall((m[2] or m[3] or m[4] or "").lower())}
+    words: set[str] = set()
+    for m in NAMES.finditer(attrs):
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            if token in MAIN:
+                words.add(token)
+            elif OUTSIDE_WORDS.issuperset(parts := WORD.findall(token)):
+                words.update(parts)
     return ".".join([name, *sorted(words & OUTSIDE_WORDS), *sorted(words & MAIN)])
 
 
@@ -235,18 +242,20 @@ def slots(node: list, path: str = "") -> Iterator[str]:
             yield from slots(child, f"{path}/{child[0]}")
 
 
-def outside(path: str) -> bool:
-    """Whether a path leads through what is not the article by its elements and names.
-    A `header` inside the article is the article's own."""
+def outside(path: str, spared: frozenset[str] = frozenset()) -> str:
+    """The block, as the start of `path`, that is not the article by its element or
+    names; empty if there is none. Blocks in `spared` do not count. A `header` inside
+    the article is the article's own."""
     main = False
-    for step in path.split("/"):
+    steps = path.split("/")
+    for k, step in enumerate(steps):
         name, *words = step.split(".")
-        if name in OUTSIDE or name == "header" and not main:
-            return True
-        if any(w in OUTSIDE_WORDS and w not in MAIN for w in words) and name not in ("html", "body"):
-            return True
+        out = name in OUTSIDE or name == "header" and not main
+        out = out or name not in ("html", "body") and any(w in OUTSIDE_WORDS and w not in MAIN for w in words)
+        if out and (at := "/".join(steps[: k + 1])) not in spared:
+            return at
         main = main or name in MAIN or bool(MAIN & set(words))
-    return False
+    return ""
 
 
 def inside(path: str) -> bool:
@@ -258,19 +267,47 @@ def main_slots(wrapper: list, stats: dict[str, tuple[int, int, int, bool]]) -> t
     template text. stats: for each path distinct pages (`SEEN` at most), characters,
     characters in links, and whether its text differs between pages.
 
-    Left out are slots outside the article by name, and slots mostly of links that no
-    article or main element holds. Template is one same text on `SEEN` distinct pages.
+    Left out are slots mostly of links that no article or main element holds. Template is one same text on `SEEN` distinct pages.
     """
-    found = [p for p in sorted(set(slots(wrapper)) & stats.keys()) if not outside(p)]
-    found = [p for p in found if inside(p) or stats[p][2] * 2 <= stats[p][1]]
+    found = [p for p in sorted(set(slots(wrapper)) & stats.keys()) if inside(p) or stats[p][2] * 2 <= stats[p][1]]
     return found, [p for p in found if not stats[p][3] and stats[p][0] >= SEEN]
 
 
+def spared(texts: list[tuple[str, str, int]], main: set[str], fixed: set[str]) -> frozenset[str]:
+    """Blocks of a page that are outside by name and yet hold its article. While no
+    article or main element lies elsewhere: such a block if it has one that is longer
+    than the text elsewhere, or if it has most of the page's text. Links and template
+    text do not count."""
+    out: frozenset[str] = frozenset()
+    chars: dict[str, int] = {}
+    for path, text, links in texts:
+        chars[path] = chars.get(path, 0) + len(text) - links
+    total = sum(chars.values())
+    while True:
+        held: dict[str, list[int]] = {}
+        plain = 0
+        for path in main & chars.keys():
+            if at := outside(path, out):
+                if path not in fixed:
+                    sums = held.setdefault(at, [0, 0])
+                    sums[0] += chars[path]
+                    sums[1] += chars[path] * inside(path[len(at) - len(at.rsplit("/", 1)[1]) :])
+            elif inside(path):
+                return out
+            else:
+                plain += chars[path]
+        found = [(most, at) for at, (all_, article) in held.items() if (most := max(article * (article > plain), all_ * (2 * all_ > total)))]
+        if not found:
+            return out
+        out |= {max(found)[1]}
+
+
 def chosen(texts: list[tuple[str, str, int]], main: set[str], fixed: set[str]) -> list[str]:
-    """A page's main texts: those in an article or main element if it has any; else all
+    """A page's main texts, without those outside: those in an article or main element if it has any; else all
     but the template's. Template text that is longer than the page's other text is
     no template but an article that copies repeat."""
-    own = [(path, text) for path, text, _ in texts if path in main]
+    out = spared(texts, main, fixed)
+    own = [(path, text) for path, text, _ in texts if path in main and not outside(path, out)]
     if any(inside(path) for path, _ in own):
         return [text for path, text in own if inside(path)]
     varied = [text for path, text in own if path not in fixed]

@@ -20,3 +20,17 @@ def test_copies_are_no_template(spark):
     assert extracted(spark, copies) == [story] * 5 + [f"Other {i} {story}" for i in range(3)]
     short = [("http://h.com/", "<body><h1>Short</h1><div><p>Longer text that one other page varies</p></div></body>")] * 3 + [("http://h.com/", "<body><div><p>Varied</p></div></body>")]
     assert extracted(spark, short)[0].startswith("Short ")
+
+
+def test_wrappers_named_for_what_they_hold_beside_the_article(spark):
+    body = lambda i: f"<h1>Title {i}</h1><p>Story {i} is told here at some length</p>"
+    want = lambda i: f"Title {i} Story {i} is told here at some length"
+    opens = ["<div class='content has-sidebar'>", "<div class=no-sidebar>", "<div id='header-fixed'>", "<div class='share-enabled comments-open'>", "<section class='reviews'>", "<form>"]
+    pages = [(f"http://h{k}.com/", f"<body><nav><a>Menu</a></nav>{o}<article>{body(i)}</article></body>") for k, o in enumerate(opens) for i in range(4)]
+    pages += [(f"http://p{k}.com/", f"<body><nav><a>Menu</a></nav>{o}<div>{body(i)}</div></body>") for k, o in enumerate(opens) for i in range(4)]
+    assert extracted(spark, pages) == [want(i) for _ in range(2) for _ in opens for i in range(4)]
+
+
+def test_what_is_outside_stays_outside(spark):
+    page = lambda i: f"<body><div class='cookie-notice'>We use cookies {i}</div><div><p>The story {i} is longer than the rest of it</p></div><section class=comments><article>Reply {i}</article></section></body>"
+    assert extracted(spark, [("http://h.com/", page(i)) for i in range(4)]) == [f"The story {i} is longer than the rest of it" for i in range(4)]
