@@ -37,6 +37,11 @@ def pivot_number(rows: int) -> int:
     return min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << max(0, int(np.ceil(np.log2(max(rows, 1)) / 2)))))
 
 
+def near_number(pivots: int) -> int:
+    """Closest pivots of a vector: more of many pivots, which part close vectors sooner."""
+    return 8 + max(0, int(np.ceil(np.log2(max(pivots, 1)) / 2 - 5)))
+
+
 def choose_pivots(vectors: DataFrame, number: int, apart: float = APART) -> np.ndarray:
     """Pivots from a bounded sample of the distinct vectors (`SAMPLED` times `number`,
     those of smallest hash), each with a cosine under `apart` to all before it. So a
@@ -137,7 +142,7 @@ def _forest(node: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray)
     return out + [(u, v, 0) for u, v in zip(node[places].tolist(), node[places[label]].tolist()) if u != v]
 
 
-def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", least: float = 0.9, pivots: int | None = None, near: int = 8, shared: int = 2, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", least: float = 0.9, pivots: int | None = None, near: int | None = None, shared: int = 1, block: int = BLOCK) -> DataFrame:
     """(ident, n_links, component_id, kept) of every row.
 
     n_links counts other rows linked directly (cosine >= `least` in double
@@ -154,7 +159,7 @@ def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "em
     for size in [r["n"] for r in distinct.select(F.size("vector").alias("n")).distinct().collect()]:  # lengths in the schema: few
         own = distinct.where(F.size("vector") == size)
         table = choose_pivots(own, pivots or pivot_number(own.count()))
-        index = keep(describe(own, table, near), "index")
+        index = keep(describe(own, table, near or near_number(len(table))), "index")
         lists = index.select("node", "copies", "vector", "perm", F.explode("perm").alias("pivot"))
         dealt = block_pairs(lists, ["pivot"], "node", block).select("pivot", "lo", "hi", "side", "node", "copies", "vector", "perm")
         parts.append(dealt.mapInArrow(by_group(["pivot", "lo", "hi"], _verifier(least, min(shared, len(table)))), "a long, b long, links long"))
