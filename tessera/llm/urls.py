@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .store import drop, keep
 
+#: Rounds in which ranks must settle; a host n links from all seeds takes n at least.
+ROUNDS = 1000
+
 #: Absolute and scheme-relative link targets in attributes; relative ones stay on their host.
 LINK = r"""(?i)\shref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]+)"""
 
@@ -62,10 +65,12 @@ def host_edges(pages: DataFrame, html: str = "html", host: str = "host") -> Data
     return links.where((F.col("dst") != "") & (F.col("dst") != F.col("src"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def page_rank(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, settled: float = 1e-6) -> DataFrame:
+def page_rank(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, settled: float = 1e-6, whole: bool = False) -> DataFrame:
     """(host, rank): personalised PageRank from `seeds` (host, share) along `edges`
     (src, dst, weight). A host without links gives its rank back to no one; ranks are
-    compared, so this loss matters not. Stops when a round moves less than `settled`."""
+    compared, so this loss matters not. Stops when a round reaches no new host and
+    moves no host's rank by more than `settled` of it; with `whole` it raises if
+    `rounds` run out before."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     flow = keep(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "flow")
     rank = keep(seeds.select("host", F.col("share").alias("rank")), "rank")
@@ -74,11 +79,15 @@ def page_rank(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         moves = rank.join(flow, rank.host == flow.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         start = seeds.select("host", (F.col("share") * (1 - damping)).alias("rank"))
         after = keep(start.unionByName(moves).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
-        change = after.join(rank.withColumnRenamed("rank", "old"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).first()["d"]
+        moved = F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))) / F.col("rank")
+        change = after.join(rank.withColumnRenamed("rank", "old"), "host", "left").agg(F.max(moved).alias("d")).first()["d"]
         drop(rank)
         rank = after
         if change is None or change < settled:
             break
+    else:
+        if whole:
+            raise RuntimeError(f"ranks did not settle in {rounds} rounds")
     return rank
 
 
@@ -92,7 +101,7 @@ def host_verdicts(pages: DataFrame, html: str = "html", threshold: float = 1.0)
     for side, name, along in (("good", "trust", edges), ("bad", "distrust", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))):
         total = seen.agg(F.sum(side).alias("n")).first()["n"] or 0.0
         seeds = seen.where(F.col(side) > 0).select("host", (F.col(side) / F.lit(total or 1.0)).alias("share"))
-        ranks[name] = page_rank(seeds, along).withColumnRenamed("rank", name)
+        ranks[name] = page_rank(seeds, along, rounds=ROUNDS, whole=True).withColumnRenamed("rank", name)
     out = seen.select("host").join(ranks["trust"], "host", "left").join(ranks["distrust"], "host", "left").fillna(0.0, ["trust", "distrust"])
     return out.withColumn("host_verdict", F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow"))
 
