@@ -5,7 +5,8 @@ the sentencepiece package, or its pieces when that is missing) and offers
 
 * `normalise`: longest-prefix normalisation through the compiled character map,
   with the source byte of every normalised byte recorded;
-* `pieces`: heap-and-linked-list merging of one chunk, by score, leftmost first;
+* `encode`: ids of a text and the bytes of it that each covers, by `normalise` and
+  heap-and-linked-list merging, by score, leftmost first;
 * `count`: the same merging, counting only (initial symbols minus merges).
 
 A text is cut into chunks where no piece of the vocabulary can reach across:
@@ -19,6 +20,9 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections.abc import Callable
+
+import numpy as np
 
 SPACE = "▁"
 #: Fixed values of the model format: piece types.
@@ -27,17 +31,26 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE = 400_000
 
 
-class Cache:
-    """Results by chunk. When the young generation is full it becomes the old one, which
-    is dropped, so that chunks in use stay."""
+class Cache(dict):
+    """Results of `work` by chunk. When it is full it becomes the old generation, which
+    is dropped at the next turn, so that chunks in use stay. Long chunks are not kept."""
+
+    def __init__(self, work: Callable) -> None:
+        super().__init__()
+        self.work, self.old = work, {}
 
-    def __init__(self) -> None:
-        self.young: dict = {}
-        self.old: dict = {}
+    def __missing__(self, chunk: str):
+        got = self.old.get(chunk)
+        if got is None:
+            got = self.work(chunk)
+        if len(chunk) <= 64:
+            self[chunk] = got
+        return got
 
     def turn(self) -> None:
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
 
 
 class CharacterMap:
@@ -55,6 +68,13 @@ class CharacterMap:
             self.units = struct.unpack_from(f"<{n // 4}I", blob, 4)
             self.pool = blob[4 + n :]
 
+    def firsts(self) -> bytes:
+        """The bytes that keys begin with."""
+        if not self.units:
+            return b""
+        at = self._offset(self.units[0])
+        return bytes(b for b in range(1, 256) if (at ^ b) < len(self.units) and self.units[at ^ b] & 0x800000FF == b)
+
     def longest(self, text: bytes, at: int) -> tuple[int, bytes] | None:
         """Length and replacement of the longest key that starts at `at`."""
         units, found = self.units, None
@@ -82,7 +102,8 @@ class CharacterMap:
 
 
 class PieceModel:
-    """A BPE model of the sentencepiece library; other model types raise ValueError."""
+    """A BPE model of the sentencepiece library. Models of other types, those with
+    user-defined or unused pieces, and white space as a suffix raise ValueError."""
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -98,26 +119,21 @@ class PieceModel:
         spec = proto.normalizer_spec
         self.dummy_prefix = spec.add_dummy_prefix
         self.squeeze = spec.remove_extra_whitespaces
-        self.escape = spec.escape_whitespaces
-        self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
-        if self.suffix:
+        self.mark = SPACE if spec.escape_whitespaces else " "
+        if proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("white space as a suffix is not supported")
-        self.charmap = CharacterMap(spec.precompiled_charsmap)
-        self.names = [p.piece for p in proto.pieces]
-        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        self.map_by(spec.precompiled_charsmap)
+        names = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        joined = {c for p in names if len(p) > 1 for c in p}
+        self.ids = names
         # Equal scores are equal ranks, so the leftmost of them goes first.
-        scores = sorted({-p.score for p in proto.pieces if p.type == NORMAL})
-        order = {s: r for r, s in enumerate(scores)}
+        order = {s: r for r, s in enumerate(sorted({-p.score for p in proto.pieces if p.type == NORMAL}))}
         self.rank = {p.piece: order[-p.score] for p in proto.pieces if p.type == NORMAL}
-        self.byte_ids = {}
-        for i, p in enumerate(proto.pieces):
-            if p.type == BYTE:
-                self.byte_ids[int(p.piece[3:5], 16)] = i
+        self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.bos = next((i for i, p in enumerate(proto.pieces) if p.piece == proto.trainer_spec.bos_piece), -1)
         self.eos = next((i for i, p in enumerate(proto.pieces) if p.piece == proto.trainer_spec.eos_piece), -1)
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        inner = any(SPACE in p.lstrip(SPACE) for p in names)
         apart = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
         if inner:
             self.chunk = re.compile(r"[\s\S]+")
@@ -125,173 +141,151 @@ class PieceModel:
             self.chunk = re.compile(f"[{apart}]|{SPACE}*[^{SPACE}{apart}]+|{SPACE}+")
         else:
             self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self._ids, self._counts = Cache(), Cache()
+        self._encoded, self._counts = Cache(self._encode), Cache(self._count)
 
     # -- normalisation -------------------------------------------------------
 
-    def plain(self, text: str) -> str:
-        """`normalise` without the alignment, for models with no character map."""
-        if self.charmap.units or self.squeeze:
-            return self.normalise(text)[0].decode("utf-8")
-        if not text:
-            return ""
-        out = text.replace(" ", SPACE) if self.escape else text
-        return (SPACE if self.escape else " ") + out if self.dummy_prefix else out
+    def map_by(self, blob: bytes) -> None:
+        """Sets the character map, and what finds the places where it may apply."""
+        self.charmap = CharacterMap(blob)
+        firsts = self.charmap.firsts() + (b" " if self.squeeze else b"")
+        self.special = re.compile(b"[" + re.escape(firsts) + b"]") if firsts else None
 
-    def normalise(self, text: str) -> tuple[bytes, list[int]]:
-        """Normalised UTF-8 and, for each of its bytes and its end, the source byte.
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
+        """Normalised text and, for each of its UTF-8 bytes and its end, the source byte.
 
         At each place the longest prefix in the character map is replaced; without
-        one, a character stands for itself. The space mark replaces spaces.
+        one, a character stands for itself. The space mark replaces spaces. Stretches
+        in which the map has no key are taken as they are.
         """
         source = text.encode("utf-8")
-        out, align = bytearray(), []
-        mark = SPACE.encode() if self.escape else b" "
-
-        def put(piece: bytes, at: int) -> None:
-            out.extend(piece)
-            align.extend([at] * len(piece))
-
-        if source and self.dummy_prefix:
-            put(mark, 0)
+        if not source:
+            return "", np.zeros(1, dtype=np.int32)
+        mark, wide = self.mark.encode("utf-8"), len(self.mark.encode("utf-8"))
+        out: list[bytes] = [mark] if self.dummy_prefix else []
+        #: For each part of the output, the source byte of each of its bytes, as arrays.
+        align: list[np.ndarray] = [np.zeros(wide, dtype=np.int32)] if self.dummy_prefix else []
         at, n, gap = 0, len(source), self.squeeze
-        while at < n:
-            hit = self.charmap.longest(source, at)
-            if hit:
-                size, piece = hit
-            else:
-                lead = source[at]
-                size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                piece = source[at : at + size]
+
+        def plain(stop: int) -> None:
+            if stop > at:
+                part = source[at:stop]
+                places = np.arange(at, stop, dtype=np.int32)
+                if wide > 1 and b" " in part:
+                    places = np.repeat(places, np.where(np.frombuffer(part, np.uint8) == 32, wide, 1))
+                out.append(part.replace(b" ", mark))
+                align.append(places)
+
+        while self.special and (m := self.special.search(source, at)):
+            here = m.start()
+            hit = self.charmap.longest(source, here)
+            if not hit and source[here] != 32:  # no key starts at this character after all
+                size = 1 if source[here] < 0x80 else 2 if source[here] < 0xE0 else 3 if source[here] < 0xF0 else 4
+                hit = size, source[here : here + size]
+            size, piece = hit or (1, b" ")
+            if here > at:
+                gap = False
+            plain(here)
             if self.squeeze and gap:
                 piece = piece.lstrip(b" ")
             if self.squeeze and piece:
                 gap = piece.endswith(b" ")
-            put(piece.replace(b" ", mark) if b" " in piece else piece, at)
-            at += size
+            piece = piece.replace(b" ", mark)
+            out.append(piece)
+            align.append(np.full(len(piece), here, dtype=np.int32))
+            at = here + size
+        plain(n)
+        whole = b"".join(out)
         if self.squeeze:
-            while out.endswith(mark) and len(out) > len(mark):
-                del out[-len(mark) :], align[-len(mark) :]
-        align.append(n)
-        return bytes(out), align
+            size = len(whole)
+            while size > wide and whole.endswith(mark, 0, size):
+                size -= wide
+            whole = whole[:size]
+        return whole.decode("utf-8"), np.append(np.concatenate(align or [np.zeros(0, np.int32)])[: len(whole)], np.int32(n))
 
     # -- merging -------------------------------------------------------------
 
-    def merged(self, chunk: str) -> list[str]:
-        """The symbols of a chunk after all merges.
+    def merge(self, chunk: str) -> tuple[list[int], int]:
+        """Where each symbol of a chunk ends after all merges (0 where none starts any
+        more), and the number of merges.
 
-        Symbols stand in a linked list; a heap holds the adjacent pairs that join
-        to a piece, by (rank, place). A popped pair whose sides have changed since
-        it was pushed has another rank, or none, and is passed over.
+        Symbols are a linked list: the next one starts where one ends. A heap holds the
+        adjacent pairs that join to a piece, by (rank, place). A popped pair whose sides
+        have changed since it was pushed has another rank, or none, and is passed over.
         """
-        symbols = list(chunk)
-        n, rank = len(symbols), self.rank
-        if n < 2:
-            return symbols
-        # An entry is rank * span + place, which orders as the pair does and compares faster.
-        span = n
-        heap = [r * span + i for i in range(n - 1) if (r := rank.get(chunk[i : i + 2])) is not None]
-        if not heap:
-            return symbols
+        n, get = len(chunk), self.rank.get
         after = list(range(1, n + 1))
+        # An entry is rank * n + place, which orders as the pair does and compares faster.
+        heap = [r * n + i for i in range(n - 1) if (r := get(chunk[i : i + 2])) is not None]
+        if not heap:
+            return after, 0
         before = list(range(-1, n - 1))
         heapq.heapify(heap)
-        pop, push, get = heapq.heappop, heapq.heappush, rank.get
+        pop, push = heapq.heappop, heapq.heappush
+        merges = 0
         while heap:
-            r, i = divmod(pop(heap), span)
-            left = symbols[i]
+            rank, i = divmod(pop(heap), n)
             j = after[i]
-            if not left or j >= n:
+            if not j or j >= n:
                 continue
-            pair = left + symbols[j]
-            if get(pair) != r:
+            k = after[j]
+            if get(chunk[i:k]) != rank:
                 continue
-            symbols[i] = pair
-            symbols[j] = ""
-            after[i] = k = after[j]
+            merges += 1
+            after[i], after[j] = k, 0
             if k < n:
                 before[k] = i
-                if (r := get(pair + symbols[k])) is not None:
-                    push(heap, r * span + i)
-            h = before[i]
-            if h >= 0 and (r := get(symbols[h] + pair)) is not None:
-                push(heap, r * span + h)
-        return [s for s in symbols if s]
-
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """Ids of one chunk; a symbol outside the vocabulary gives its bytes."""
-        out, ids = [], self.ids
-        for s in self.merged(chunk):
-            i = ids.get(s)
+                if (r := get(chunk[i : after[k]])) is not None:
+                    push(heap, r * n + i)
+            if (h := before[i]) >= 0 and (r := get(chunk[h:k])) is not None:
+                push(heap, r * n + h)
+        return after, merges
+
+    def _encode(self, chunk: str) -> bytes:
+        """Of each id of one chunk, itself and the normalised bytes it takes. A symbol
+        outside the vocabulary gives its bytes, the last of which takes them all."""
+        out: list[int] = []
+        after, _ = self.merge(chunk)
+        at = 0
+        while at < len(chunk):
+            symbol = chunk[at : after[at]]
+            at = after[at]
+            raw = symbol.encode("utf-8")
+            i = self.ids.get(symbol)
             if i is not None:
-                out.append(i)
-            elif self.byte_ids:
-                out.extend(self.byte_ids[b] for b in s.encode("utf-8"))
+                out += (i, len(raw))
             else:
-                out.append(self.unknown)
-        return out
-
-    def packed(self, text: str) -> bytes:
-        """Ids of a whole text, as little-endian unsigned 32-bit integers."""
-        self._ids.turn()
-        young, old = self._ids.young, self._ids.old
-        out = []
-        for chunk in self.chunk.findall(self.plain(text)):
-            got = young.get(chunk)
-            if got is None:
-                got = old.get(chunk)
-                if got is None:
-                    ids = self.chunk_ids(chunk)
-                    got = struct.pack(f"<{len(ids)}I", *ids)
-                if len(chunk) <= 64:
-                    young[chunk] = got
-            out.append(got)
-        return b"".join(out)
-
-    def chunk_count(self, chunk: str) -> int:
-        """Tokens of one chunk: its initial symbols (bytes for a character outside
-        the vocabulary) minus its merges; no identifier is looked up."""
-        outside = sum(len(c.encode("utf-8")) - 1 for c in chunk if c not in self.rank) if self.byte_ids else 0
-        return len(chunk) + outside - self.merges(chunk)
-
-    def merges(self, chunk: str) -> int:
-        """Number of merges that the heap makes in one chunk."""
-        return len(chunk) - len(self.merged(chunk))
+                more = [self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]
+                for b in more[:-1]:
+                    out += (b, 0)
+                out += (more[-1], len(raw))
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a whole text, and the begin and the end of each in bytes of the original
+        text.
+
+        Pieces are projected through the alignment of `normalise`. Byte pieces of one
+        character share its span as the library has it: all but the last are empty.
+        """
+        self._encoded.turn()
+        normal, align = self.normalise(text)
+        both = np.frombuffer(b"".join(map(self._encoded.__getitem__, self.chunk.findall(normal))), dtype="<u4").reshape(-1, 2)
+        edges = np.zeros(len(both) + 1, dtype=np.int64)
+        np.cumsum(both[:, 1], out=edges[1:])
+        places = align[edges]
+        return both[:, 0], places[:-1], places[1:]
+
+    def _count(self, chunk: str) -> int:
+        """Tokens of one chunk: its initial symbols (bytes for a character outside the
+        vocabulary) minus its merges, counted as they are popped; no identifier is
+        looked up."""
+        merges = self.merge(chunk)[1]
+        if not self.byte_ids:
+            return len(chunk) - merges
+        return sum(1 if c in self.rank else len(c.encode("utf-8")) for c in chunk) - merges
 
     def count(self, text: str) -> int:
         """Tokens of a whole text, without begin and end."""
         self._counts.turn()
-        young, old, total = self._counts.young, self._counts.old, 0
-        for chunk in self.chunk.findall(self.plain(text)):
-            got = young.get(chunk)
-            if got is None:
-                got = old.get(chunk)
-                if got is None:
-                    got = self.chunk_count(chunk)
-                if len(chunk) <= 64:
-                    young[chunk] = got
-            total += got
-        return total
-
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, begin, end) of every piece: bytes of the original text.
-
-        Byte pieces of one character share the character's span between them as
-        the library does: all but the last are empty, the last covers it.
-        """
-        normal, align = self.normalise(text)
-        out, at = [], 0
-        for chunk in self.chunk.findall(normal.decode("utf-8")):
-            for s in self.merged(chunk):
-                raw = s.encode("utf-8")
-                begin, end = align[at], align[at + len(raw)]
-                at += len(raw)
-                i = self.ids.get(s)
-                if i is not None:
-                    out.append((i, begin, end))
-                elif self.byte_ids:
-                    out.extend((self.byte_ids[b], begin, begin) for b in raw[:-1])
-                    out.append((self.byte_ids[raw[-1]], begin, end))
-                else:
-                    out.append((self.unknown, begin, end))
-        return out
+        return sum(map(self._counts.__getitem__, self.chunk.findall(self.normalise(text)[0])))

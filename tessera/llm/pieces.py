@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .piece_bpe import PieceModel
-from .store import small_batches
+from .store import slices
 
 #: Tokens over which `over_limit` holds.
 LIMIT = 4096
@@ -31,63 +31,58 @@ def processor(path: str):
 
 
 def _passed(df: DataFrame, ident: str, text: str) -> tuple[DataFrame, str]:
-    small_batches(df.sparkSession)
     return df.select(ident, text), f"`{ident}` {df.schema[ident].dataType.simpleString()}"
 
 
-def encode(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
-    """(ident, ids, decoded) of every row, and with `spans` the arrays begins and ends.
+def _encoded(m: PieceModel, lib, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+    """Ids with begin and end, begins, ends, and the decoded text."""
+    ids, begins, ends = m.encode(text)
+    ids = np.concatenate(([m.bos], ids, [m.eos])).astype("<u4")
+    last = len(text.encode("utf-8"))
+    return ids, np.concatenate(([0], begins, [last])).astype("<u4"), np.concatenate(([0], ends, [last])).astype("<u4"), lib.decode(ids.tolist())
+
+
+def encode(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ident, ids, begins, ends, decoded) of every row.
 
     ids are those of the sentencepiece library with begin and end ids and without
     sampling; decoded is its decoding of all of them. begins and ends are, for each
     id, the bytes of the original text it covers; begin and end ids cover none.
     A null text counts as empty. Repeated rows each give a row; an empty table
-    gives none; further columns are ignored. `path` must exist on every worker.
+    gives none; further columns are ignored. `path` must exist on every worker; its
+    model may have no user-defined or unused pieces.
     """
     rows, schema = _passed(docs, ident, text)
-    more = ", begins array<int>, ends array<int>" if spans else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, lib = model(path), processor(path)
-        edge = np.array([m.bos], "<u4").tobytes(), np.array([m.eos], "<u4").tobytes()
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            packed = [edge[0] + m.packed(t) + edge[1] for t in texts]
-            sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
-            flat = np.frombuffer(b"".join(packed), dtype="<i4")
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-            decoded = [lib.decode(np.frombuffer(p, dtype="<i4").tolist()) for p in packed]
-            cols, names = [b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(decoded, pa.string())], [ident, "ids", "decoded"]
-            if spans:
-                found = [m.spans(t) for t in texts]
-                for name, k, lead in (("begins", 1, True), ("ends", 2, True)):
-                    cols.append(pa.array([[0, *(s[k] for s in f), len(t.encode("utf-8"))] for f, t in zip(found, texts)], pa.list_(pa.int32())))
-                    names.append(name)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return rows.mapInArrow(run, f"{schema}, ids array<int>, decoded string{more}")
+        for b in slices(batches):
+            found = [_encoded(m, lib, t or "") for t in b.column(1).to_pylist()]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([f[k] for f in found]).astype("<i4"))) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array([f[3] for f in found], pa.string())], names=[ident, "ids", "begins", "ends", "decoded"])
+
+    return rows.mapInArrow(run, f"{schema}, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, n_tokens, ids_sha256, decoded_sha256): `encode`, with its ids and decoded
-    text digested where they arise, so that only digests leave the worker. ids count
-    as little-endian unsigned 32-bit integers, text as UTF-8."""
+    """(ident, n_tokens, ids_sha256, decoded_sha256, spans_sha256): `encode`, with its
+    arrays and decoded text digested where they arise, so that only digests leave the
+    worker. ids, and begins followed by ends, count as little-endian unsigned 32-bit
+    integers, text as UTF-8."""
     rows, schema = _passed(docs, ident, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, lib = model(path), processor(path)
-        edge = np.array([m.bos], "<u4").tobytes(), np.array([m.eos], "<u4").tobytes()
-        for b in batches:
-            sizes, ids, decoded = [], [], []
+        for b in slices(batches):
+            sizes, digests = [], []
             for t in b.column(1).to_pylist():
-                packed = edge[0] + m.packed(t or "") + edge[1]
-                sizes.append(len(packed) // 4)
-                ids.append(hashlib.sha256(packed).hexdigest())
-                text_ = lib.decode(np.frombuffer(packed, dtype="<i4").tolist())
-                decoded.append(hashlib.sha256(text_.encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[ident, "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, begins, ends, decoded = _encoded(m, lib, t or "")
+                sizes.append(len(ids))
+                digests.append([hashlib.sha256(x).hexdigest() for x in (ids.tobytes(), decoded.encode("utf-8"), begins.tobytes() + ends.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *(pa.array([d[k] for d in digests], pa.string()) for k in range(3))], names=[ident, "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    return rows.mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
 
 def count_tokens(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -101,7 +96,7 @@ def count_tokens(docs: DataFrame, path: str, ident: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = np.array([m.count(t) for t in texts], dtype=np.int64)
             size = np.array([len(t.encode("utf-8")) for t in texts], dtype=np.int64)
