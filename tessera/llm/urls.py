@@ -12,10 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, keep
+from .store import drop, keep, lookup
 
 #: Rounds in which ranks must settle; a host n links from all seeds takes n at least.
 ROUNDS = 1000
+#: Links of a host that one task takes in a round.
+HUB = 50_000
 
 #: Absolute and scheme-relative link targets in attributes; relative ones stay on their host.
 LINK = r"""(?i)\shref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]+)"""
@@ -65,30 +67,40 @@ def host_edges(pages: DataFrame, html: str = "html", host: str = "host") -> Data
     return links.where((F.col("dst") != "") & (F.col("dst") != F.col("src"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def page_rank(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, settled: float = 1e-6, whole: bool = False) -> DataFrame:
+def page_rank(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = ROUNDS, settled: float = 1e-6) -> DataFrame:
     """(host, rank): personalised PageRank from `seeds` (host, share) along `edges`
-    (src, dst, weight). A host without links gives its rank back to no one; ranks are
-    compared, so this loss matters not. Stops when a round reaches no new host and
-    moves no host's rank by more than `settled` of it; with `whole` it raises if
-    `rounds` run out before."""
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    flow = keep(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "flow")
+    (src, dst, weight); the ranks of all hosts add to 1.
+
+    A host without links returns its rank to the seeds. That scales all ranks alike,
+    so each round lets it go and the last one divides by what is left. Settled is when
+    a round reaches no new host and moves no host's rank by more than `settled` of it;
+    raises if `rounds` run out before. No seeds or no edges are defined: no rank, and
+    the seeds' own.
+    """
+    out = edges.groupBy("src").agg(F.sum("weight").alias("out"), F.count("*").alias("links"))
+    edges = keep(edges, "edges")
+    shared = lookup(edges, out, "src", "inner").select("src", "dst", (F.col("weight") / F.col("out")).alias("share"), F.ceil(F.col("links") / HUB).alias("salts"))
+    # A hub's links are dealt out over salts; the salts of all hubs are under links / HUB.
+    flow = keep(shared.withColumn("salt", F.pmod(F.xxhash64("dst"), F.col("salts"))).select("src", "dst", "share", "salt"), "flow")
+    hubs = keep(out.where(F.col("links") > HUB).select(F.col("src").alias("host"), F.ceil(F.col("links") / HUB).alias("salts")), "hubs")
     rank = keep(seeds.select("host", F.col("share").alias("rank")), "rank")
     for _ in range(rounds):
+        salted = rank.join(hubs, "host", "left").select("host", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)).alias("salt"))
         # Sums come by partial aggregation, so a host that many link to is no hot group.
-        moves = rank.join(flow, rank.host == flow.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+        moves = salted.join(flow, (salted.host == flow.src) & (salted.salt == flow.salt)).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         start = seeds.select("host", (F.col("share") * (1 - damping)).alias("rank"))
         after = keep(start.unionByName(moves).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
         moved = F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))) / F.col("rank")
-        change = after.join(rank.withColumnRenamed("rank", "old"), "host", "left").agg(F.max(moved).alias("d")).first()["d"]
+        row = after.join(rank.withColumnRenamed("rank", "old"), "host", "left").agg(F.max(moved).alias("d"), F.sum("rank").alias("total")).first()
         drop(rank)
         rank = after
-        if change is None or change < settled:
+        if row["d"] is None or row["d"] < settled:
             break
     else:
-        if whole:
-            raise RuntimeError(f"ranks did not settle in {rounds} rounds")
-    return rank
+        raise RuntimeError(f"ranks did not settle in {rounds} rounds")
+    for kept in (edges, flow, hubs):
+        drop(kept)
+    return rank.select("host", (F.col("rank") / F.lit(row["total"] or 1.0)).alias("rank"))
 
 
 def host_verdicts(pages: DataFrame, html: str = "html", threshold: float = 1.0) -> DataFrame:
@@ -101,7 +113,7 @@ def host_verdicts(pages: DataFrame, html: str = "html", threshold: float = 1.0)
     for side, name, along in (("good", "trust", edges), ("bad", "distrust", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))):
         total = seen.agg(F.sum(side).alias("n")).first()["n"] or 0.0
         seeds = seen.where(F.col(side) > 0).select("host", (F.col(side) / F.lit(total or 1.0)).alias("share"))
-        ranks[name] = page_rank(seeds, along, rounds=ROUNDS, whole=True).withColumnRenamed("rank", name)
+        ranks[name] = page_rank(seeds, along).withColumnRenamed("rank", name)
     out = seen.select("host").join(ranks["trust"], "host", "left").join(ranks["distrust"], "host", "left").fillna(0.0, ["trust", "distrust"])
     return out.withColumn("host_verdict", F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow"))
 
@@ -117,5 +129,5 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str
     """
     own = ["host", "path", "rule", "rule_verdict", "trust", "distrust", "host_verdict", "verdict"]
     marked = judged(pages.drop(*[c for c in own if c != url and c != html]), rules, url)
-    hosts = host_verdicts(marked, html, threshold)
-    return marked.join(hosts, "host", "left").withColumn("verdict", F.coalesce("rule_verdict", "host_verdict"))
+    hosts = keep(host_verdicts(marked, html, threshold), "verdicts")
+    return lookup(marked, hosts, "host").withColumn("verdict", F.coalesce("rule_verdict", "host_verdict"))

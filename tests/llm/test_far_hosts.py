@@ -14,4 +14,4 @@ def test_page_rank_raises_unless_settled(spark):
     seeds = spark.createDataFrame([("a", 1.0)], "host string, share double")
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
     with pytest.raises(RuntimeError):
-        urls.page_rank(seeds, edges, rounds=3, whole=True)
+        urls.page_rank(seeds, edges, rounds=3)

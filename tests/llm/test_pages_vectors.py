@@ -1,3 +1,4 @@
+import json
 from collections import Counter
 
 import numpy as np
@@ -41,25 +42,43 @@ def test_rules(spark, sf):
     assert all(r.verdict == verdict.get(r.rule, r.verdict) and r.verdict in ("allow", "block") for r in out)
 
 
-def brute_rank(seeds, edges, rounds=20, damping=0.85):
-    rank, out = dict(seeds), Counter()
-    for (s, _), w in edges.items():
-        out[s] += w
-    for _ in range(rounds):
-        new = Counter({h: x * (1 - damping) for h, x in seeds.items()})
-        for (s, d), w in edges.items():
-            new[d] += damping * rank.get(s, 0) * w / out[s]
-        rank = dict(new)
-    return rank
+def brute_rank(seeds, edges, damping=0.85):
+    """Power iteration to the end; hosts without links return their rank to the seeds."""
+    hosts = sorted(set(seeds) | {h for e in edges for h in e})
+    at = {h: i for i, h in enumerate(hosts)}
+    m, s = np.zeros((len(hosts), len(hosts))), np.zeros(len(hosts))
+    for h, x in seeds.items():
+        s[at[h]] = x
+    for (a, b), w in edges.items():
+        m[at[b], at[a]] += w
+    out = m.sum(axis=0)
+    for i in range(len(hosts)):
+        m[:, i] = m[:, i] / out[i] if out[i] else s
+    rank = s.copy()
+    for _ in range(3000):
+        rank = (1 - damping) * s + damping * m @ rank
+    return {h: rank[at[h]] for h in hosts if rank[at[h]] > 0}
+
+
+def ranked(spark, seeds, edges, **how):
+    table = spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, weight double")
+    return {r.host: r["rank"] for r in urls.page_rank(spark.createDataFrame(list(seeds.items()), "host string, share double"), table, settled=1e-9, **how).collect()}
+
+
+@pytest.mark.parametrize("hub", [2, 50_000])
+def test_page_rank(spark, monkeypatch, hub):
+    monkeypatch.setattr(urls, "HUB", hub)
+    edges = {("a", "b"): 2.0, ("b", "c"): 1.0, ("a", "c"): 1.0, ("c", "a"): 1.0, ("d", "a"): 5.0, ("a", "end"): 1.0, ("b", "end"): 3.0, ("x", "y"): 1.0} | {("a", f"leaf{k}"): 1.0 for k in range(7)}
+    seeds = {"a": 0.75, "d": 0.25}
+    want, got = brute_rank(seeds, edges), ranked(spark, seeds, edges)
+    assert got.keys() == want.keys() and all(abs(got[h] - want[h]) < 1e-7 for h in want)
+    assert ranked(spark, {}, edges) == {} and ranked(spark, {"a": 1.0}, {}) == {"a": 1.0}
 
 
-def test_page_rank(spark):
-    edges = {("a", "b"): 2.0, ("b", "c"): 1.0, ("a", "c"): 1.0, ("c", "a"): 1.0, ("d", "a"): 5.0}
-    seeds = {"a": 0.75, "d": 0.25}
-    out = urls.page_rank(spark.createDataFrame(list(seeds.items()), "host string, share double"), spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, weight double"), settled=0.0)
-    want = brute_rank(seeds, edges)
-    got = {r.host: r["rank"] for r in out.collect()}
-    assert got.keys() == {h for h in want} and all(abs(got[h] - want[h]) < 1e-9 for h in want)
+def test_page_rank_reaches_the_end_of_a_chain_of_60(spark):
+    edges = {(f"h{i}", f"h{i + 1}"): 1.0 for i in range(60)}
+    want, got = brute_rank({"h0": 1.0}, edges), ranked(spark, {"h0": 1.0}, edges)
+    assert len(got) == 61 and all(abs(got[h] - want[h]) < 1e-7 for h in want)
 
 
 def test_links_decide_for_other_hosts(spark):
@@ -119,10 +138,11 @@ def test_deep_and_wide_pages(spark):
 def test_wrappers_by_shares_keep_all_slots(spark, share):
     page = lambda i: "<article>" + "".join(f"<{t}>x</{t}>" for k, t in enumerate(["h1", "p", "pre", "section", "h2"]) if i >> k & 1) + "</article>"
     rows = [(i, f"http://{'hot' if i % 32 else 'cold'}.com/", page(i)) for i in range(64)]
-    seen = html.observe(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html")
-    out = html.wrappers(seen, share).collect()
+    pages = html.keep(html.parsed(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html"), "pages")
+    out = html.wrappers(html.shapes(html.lookup(pages, html.keep(html.constants(pages), "constants"), "host")), share).collect()
     assert sorted(r.host for r in out) == ["cold.com", "hot.com"]
-    assert {r.host: set(r.main) for r in out}["hot.com"] == {f"/article/{t}" for t in ["h1", "p", "pre", "section", "h2"]}
+    (article,) = json.loads({r.host: r.wrapper for r in out}["hot.com"])[1]
+    assert article[0] in ("article", "article#") or {c[0].split("#")[0] for c in article[1]} == {"h1", "p", "pre", "section", "h2"}
 
 
 def test_extract_matches_the_articles(spark, sf):
