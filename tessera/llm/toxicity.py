@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import keep, small_batches
+from .store import keep, slices
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Labelled rows to learn from, at most (those of smallest hash), and tokens of the model.
-SAMPLE, TOKENS = 20_000, 50_000
+#: Labelled rows to learn from, at most (those of smallest hash).
+SAMPLE = 20_000
 #: Standard errors a token's log-odds must clear: the calibration picks one of these.
 SURE = (2.5, 3.0, 3.5, 4.0, 5.0)
 #: Weight of the prior: so many occurrences, or so much of all if that is less.
@@ -144,16 +144,17 @@ def sample_labels(labels: DataFrame, ident: str, label: str, most: int) -> DataF
 def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from at most `sample` labelled rows, none of them of fold 0.
 
-    Three quarters give token counts, one quarter the calibration. Without labels of
-    both kinds every text scores as the share of toxic labels (0 without labels).
+    Three quarters give token counts, one quarter the calibration. A document that
+    labels call both toxic and clean counts as toxic; null labels and those of no
+    document count for nothing; a document's repeated rows each count. Without labels
+    of both kinds every text scores as the share of toxic labels (0 without labels).
     """
-    small_batches(docs.sparkSession)
     chosen = keep(sample_labels(labels, ident, label, sample), "labels")
     # At most `sample` rows of three narrow columns.
     known = keep(docs.select(ident, text).join(F.broadcast(chosen), ident).select(text, "label", "check"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             both = Counter(), Counter()
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 both[y].update({f for w in set(tokens(t)) for f in forms(w)})  # once for each text
@@ -173,12 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     delta = odds(F.col("bad"), bad) - odds(F.col("good"), good)
     error = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
     sure = counts.withColumns({"delta": delta, "error": error}).where((F.col("delta") > SURE[0] * F.col("error")) & (F.col("delta") - F.col("error") > STRONG))
-    rows = sure.orderBy(F.desc(F.col("delta") / F.col("error")), "token").limit(TOKENS).collect()
+    rows = sure.orderBy(F.desc(F.col("delta") / F.col("error")), "token").collect()  # tokens of at most `sample` texts
     drafts = [_draft([r for r in rows if r["delta"] > z * r["error"]], bad, good, weight) for z in SURE]
     held = known.where("check").select(text, F.col("label").cast("int").alias("label"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [(k, *d.scan(t)) for t in b.column(0).to_pylist() for k, d in enumerate(drafts)]
             best = [max((s for _, _, s in f), default=0.0) for _, _, f in found]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int64()), pa.array(best, pa.float64())], names=["k", "n", "best"])
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
         drafts[r["k"]] = replace(drafts[r["k"]], scale=r["rows"] / max(r["noise"], 1.0))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = [(k, y, *d.features(t)) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, d in enumerate(drafts)]
             kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64()]
             cols = list(zip(*x)) or [()] * 4
@@ -251,15 +252,14 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
     Null and empty texts have no tokens and get the curve's bias. Rows are scored
     alone, so repeated rows and ties score alike; further columns are ignored.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[ident].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most TOKENS weights
+    held = docs.sparkSession.sparkContext.broadcast(model)  # weights of tokens of the labelled sample
     more = ", passages array<struct<first:int,last:int,significance:double>>" if passages else ""
     struct = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("significance", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
+        for b in slices(batches):
             found = [m.passages(t)[1] for t in b.column(1).to_pylist()]
             scores = [m.of(max((x for _, _, x in f), default=0.0), float(np.log1p(sum(x for _, _, x in f)))) for f in found]
             cols, names = [b.column(0), pa.array(scores, pa.float64())], [ident, "score"]
@@ -272,15 +272,16 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", most: float = 0.5) -> DataFrame:
-    """The rows of `docs` that score under `most`, with all their columns."""
+    """The rows of `docs` that score under `most`, with all their columns, whatever their
+    names. Null and empty texts have no toxic passage and score the curve's bias;
+    repeated rows and ties stay or go alike; an empty table stays empty."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([m.score(t) < most for t in b.column(at).to_pylist()], pa.bool_()))
 
     # By place, for names may hold any characters.
