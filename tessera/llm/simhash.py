@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK, block_pairs, by_group
 from .graph import components
-from .store import columns_of, keep, small_batches
+from .store import drop, keep, lookup, slices
 
 BITS = 64
 #: Shingles hashed at a time, which bounds the memory a very long text takes.
@@ -54,11 +54,10 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """(ident, fp): fp is the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[ident].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[ident, "fp"])
 
@@ -100,11 +99,14 @@ def group_bits(n: int, gram: np.ndarray, parts: int) -> list[list[int]]:
     corr = np.abs((gram / max(n, 1) - np.outer(p, p)) / np.outer(dev, dev))
     np.fill_diagonal(corr, 0)
     groups: list[list[int]] = [[] for _ in range(parts)]
-    room = [BITS // parts + (k < BITS % parts) for k in range(parts)]
+    room = np.array([len(gram) // parts + (k < len(gram) % parts) for k in range(parts)])
+    sums, size = np.zeros((len(gram), parts)), np.zeros(parts, dtype=np.int64)
     for bit in np.argsort(-corr.max(axis=1), kind="stable").tolist():
-        open_ = [k for k in range(parts) if len(groups[k]) < room[k]]
-        best = max(open_, key=lambda k: (corr[bit, groups[k]].mean() if groups[k] else 0.05, -k))
+        mean = np.where(size > 0, sums[bit] / np.maximum(size, 1), 0.05)
+        best = int(np.argmax(np.where(size < room, mean, -1.0)))
         groups[best].append(bit)
+        size[best] += 1
+        sums[:, best] += corr[:, bit]
     return [sorted(g) for g in groups]
 
 
@@ -149,7 +151,8 @@ def plan(n: int, gram: np.ndarray, distance: int, joined: dict[int, float] | Non
         for k, g in enumerate(groups):
             near = within([2 * p[b] * (1 - p[b]) for b in g], distance)
             pairs = joined[k] / max(near[0], 1e-300) if joined else n * (n - 1) / 2
-            costs.append([ROW_COST * n * probes(len(g), t) + PAIR_COST * min(pairs * near[t], n * (n - 1) / 2 + 1) for t in range(distance + 1)])
+            # Rows are both stored and looked up under all probes, so V probes make V times the pairs that the threshold asks for.
+            costs.append([ROW_COST * n * (v := probes(len(g), t)) + PAIR_COST * pairs * near[t] * v for t in range(distance + 1)])
         options.append((*allocate(costs, distance), groups))
     _, ts, groups = min(options, key=lambda x: x[0])
     return groups, ts
@@ -241,17 +244,10 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     own = keep(fps.groupBy("fp").agg(F.min(ident).alias("first")), "distinct")
     roots = components(link(own, distance), "a", "b")
     labelled = own.join(roots, own.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    labelled = keep(labelled, "roots")
     firsts = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = labelled.join(firsts, "root").select("fp", "component_id")
+    labels = keep(lookup(labelled, firsts, "root", "inner").select("fp", "component_id"), "labels")
+    drop(own)
+    drop(labelled)
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(labels, "fp").select(ident, shown.alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """`docs` with one row of each group of near-duplicates: that of the smallest
-    ident. Rows of one ident are one document, of which one row stays. Rows
-    without an ident have no place in that order and all stay."""
-    found = near_duplicates(docs, ident, text, width, distance)
-    chosen = found.where(F.col(ident) == F.col("component_id")).select(ident).distinct()
-    named = docs.where(F.col(ident).isNotNull()).join(chosen, ident, "left_semi").dropDuplicates([ident])
-    return named.select(*columns_of(docs)).union(docs.where(F.col(ident).isNull()))
+    return lookup(fps, labels, "fp", "inner").select(ident, shown.alias("fingerprint"), "component_id")
