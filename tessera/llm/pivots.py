@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK, block_pairs, by_group
 from .graph import components
-from .store import keep
+from .store import drop, keep, lookup, slices
 
 
 #: Pivots at least and at most, sampled vectors for each, and the cosine that parts them.
@@ -52,13 +52,19 @@ def choose_pivots(vectors: DataFrame, number: int, apart: float = APART) -> np.n
         return np.empty((0, 0))
     # In Arrow's own memory: a bounded sample, but of long vectors.
     x = unit(rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1))
-    chosen: list[int] = []
-    free = np.ones(len(x), dtype=bool)
-    for i in range(len(x)):
-        if free[i] and len(chosen) < number:
-            chosen.append(i)
-            free &= x @ x[i] < apart
-    return x[chosen]
+    chosen = np.empty((0, x.shape[1]))
+    for at in range(0, len(x), 256):  # those free of all before the block, then one after another within it
+        block = x[at : at + 256]
+        block = block[(block @ chosen.T < apart).all(axis=1)]
+        free = np.ones(len(block), dtype=bool)
+        near = block @ block.T >= apart
+        for i in range(len(block)):
+            if free[i]:
+                free[i + 1 :] &= ~near[i, i + 1 :]
+        chosen = np.concatenate([chosen, block[free]])
+        if len(chosen) >= number:
+            break
+    return chosen[:number]
 
 
 def describe(vectors: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
@@ -68,11 +74,11 @@ def describe(vectors: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
     near = min(near, len(units))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, 512):  # rows x pivots in double precision are in memory at a time
             x = unit(b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
-            perm = np.argsort(-(x @ units.T), axis=1, kind="stable")[:, :near].astype(np.int32)
+            far = -(x @ units.T)
+            perm = np.argpartition(far, near - 1, axis=1)[:, :near] if near < len(units) else np.tile(np.arange(near), (len(x), 1))
+            perm = np.take_along_axis(perm, np.argsort(np.take_along_axis(far, perm, axis=1), axis=1), axis=1).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(perm) + 1) * perm.shape[1], pa.int32()), pa.array(perm.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("vector"), lists], names=["node", "copies", "vector", "perm"])
 
@@ -169,10 +175,12 @@ def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "em
     found = keep(found, "found")
     links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.where("a <> b"), "a", "b")
-    nodes = distinct.select("node", "vector", "rep", "copies").join(links, "node", "left").join(roots, "node", "left")
-    nodes = nodes.withColumn("root", F.coalesce("root", "node"))
+    nodes = distinct.select("node", "rep", "copies").join(links, "node", "left").join(roots, "node", "left")
+    nodes = keep(nodes.withColumn("root", F.coalesce("root", "node")), "roots")
     firsts = nodes.groupBy("root").agg(F.min("rep").alias("first"))
-    labels = nodes.join(firsts, "root").select(F.col("node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "first")
-    rows = vectors.select(F.col(ident), F.xxhash64(x).alias("node"))
-    out = rows.join(labels, "node", "left").select(ident, F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n").isNull(), F.col(ident)).otherwise(F.col("first")).alias("component_id"))
+    labels = lookup(nodes, firsts, "root", "inner").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "first")
+    labels = keep(labels, "labels")
+    drop(nodes)
+    rows = keep(vectors.select(F.col(ident).alias("ident"), F.xxhash64(x).alias("node")), "rows")
+    out = lookup(rows, labels, "node").select(F.col("ident").alias(ident), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n").isNull(), F.col("ident")).otherwise(F.col("first")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(ident) == F.col("component_id"), F.lit(False)))
