@@ -29,7 +29,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "shards")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "shards", "places")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
-    return scored.select("doc_id", F.coalesce(toxicity.fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = toxicity.score(docs, model, passages=True)
+    return scored.select("doc_id", F.coalesce(toxicity.fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"), arrays=False)
+    return media.media_columns(table(spark, sf_dir, "documents")).drop("media")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can express: host, path and rule."""
+    return urls.judged(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2 that SQL can express: sizes and targets of the sources."""
+    sizes = table(spark, sf_dir, "documents").select("source", mixing.word_count("text").alias("size"))
+    return mixing.source_targets(sizes).select("source", "source_size", F.round("target", 4).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1,
     "op2_mix_sources": op2,
@@ -80,7 +91,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8,
     "op9_html_extraction": op9,
     "op10_embedding_near_dedup": op10,
+    "url_rules": url_rules,
+    "mix_targets": mix_targets,
 }
 
-#: None of the ten can be written in SQL: see their tests against brute force.
-ORACLE_SQL: dict[str, str] = {}
+_RULE = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in sorted(RULES, key=lambda r: -len(r.name)))
+
+#: The hashes, models and tokenizers of the others cannot be written in SQL: they have tests against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op10_embedding_near_dedup": """WITH RECURSIVE good AS (SELECT vec_id, embedding::double[] AS e FROM embeddings
+WHERE list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+near AS (SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT near.v, reach.r FROM reach JOIN near ON reach.id = near.u),
+component AS (SELECT id, min(r) AS r FROM reach GROUP BY id), degree AS (SELECT u, count(*) AS n FROM near GROUP BY u)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, r AS component_id, id = r AS kept FROM component LEFT JOIN degree ON u = id""",
+    "url_rules": f"""WITH cut AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages) SELECT page_id, host, path, CASE {_RULE} END AS rule FROM cut""",
+    "mix_targets": r"""WITH size AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::bigint AS source_size FROM documents GROUP BY source),
+weighed AS (SELECT source, source_size, 2.0::double * source_size AS cap, [3.0::double, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM size),
+level AS (SELECT k.cap / k.w AS ratio, ((SELECT 1.5::double * sum(source_size) FROM size) - coalesce(sum(o.cap) FILTER (o.cap / o.w < k.cap / k.w), 0)) / sum(o.w) FILTER (o.cap / o.w >= k.cap / k.w) AS l FROM weighed k, weighed o GROUP BY k.source, k.cap, k.w)
+SELECT source, source_size, round(least(cap, coalesce((SELECT max(l) FROM level WHERE l <= ratio) * w, cap)), 4) AS target FROM weighed""",
+}

@@ -8,7 +8,9 @@ import corpus_pipeline
 from tessera.llm import toxicity
 from tessera.llm.queries import tokenizer
 
-from .test_text import brute_components, brute_fingerprint, brute_targets
+from .helpers import docs, hard_rows
+from .test_shingles import alike, brute_shingles
+from .test_text import brute_components, brute_targets
 
 
 def test_each_stage_against_brute_force(spark, sf, tmp_path):
@@ -27,7 +29,7 @@ def test_each_stage_against_brute_force(spark, sf, tmp_path):
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in before if model.score(r.text) < 0.5)
 
     two, kept = written(near(spark, one, sf), "near")
-    label = brute_components([brute_fingerprint(r.text) for r in rows], lambda a, b: (a ^ b).bit_count() <= 4)
+    label = brute_components([brute_shingles(r.text) for r in rows], alike)
     least = {}
     for i, r in enumerate(rows):
         least[label[i]] = min(least.get(label[i], r.doc_id), r.doc_id)
@@ -48,3 +50,22 @@ def test_each_stage_against_brute_force(spark, sf, tmp_path):
     lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer())
     ids = {r.doc_id: np.array(lib.encode(r.text, add_bos=True, add_eos=True), "<u4") for r in kept}
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in out) == Counter((r.doc_id, len(ids[r.doc_id]), hashlib.sha256(ids[r.doc_id].tobytes()).hexdigest()) for r in mixed)
+
+
+def test_each_stage_takes_hard_rows(spark, sf):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, empty tables."""
+    rows = docs(spark, clash=True)
+    toxic, near, mixing, last = (f for _, f in corpus_pipeline.STAGES)
+    count = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    all_ = Counter((r[0], r[1]) for r in hard_rows())
+    one = toxic(spark, rows, sf)
+    assert one.columns == rows.columns and not count(one) - all_ and (None, None) in count(one)
+    two = near(spark, rows, sf)
+    assert two.columns == rows.columns and sorted(i for i, _ in count(two).elements() if i is not None) == [1, 4, 7, 9, 10, 11]
+    assert sum(n for (i, _), n in count(two).items() if i is None) == 2
+    three = mixing(spark, rows, sf)
+    assert three.columns == rows.columns and all(n <= 2 * all_[k] for k, n in count(three).items()) and set(count(three)) <= set(all_)
+    four = last(spark, rows, sf)
+    assert Counter(r.doc_id for r in four.collect()) == Counter(r[0] for r in hard_rows())
+    for stage in (toxic, near, mixing, last):
+        assert stage(spark, docs(spark, []), sf).collect() == []

@@ -58,12 +58,25 @@ def test_columns_of_any_name_stay(spark):
     assert shingles.one_of_each(df.limit(0)).collect() == []
 
 
-def test_candidates_recall_at_0_8():
-    """Sets of a similarity of exactly 0.8: nearly all share a band."""
+@pytest.mark.parametrize("n", [1000, 100_000, 10_000_000])
+def test_candidates_recall_at_0_8(n):
+    """Sets of a similarity of exactly 0.8: nearly all share a bucket and are confirmed."""
     rng = np.random.default_rng(1)
+    gram = np.full((shingles.BITS, shingles.BITS), n / 4)
+    np.fill_diagonal(gram, n / 2)
+    groups, ts = shingles.plan(n, gram, 0.8)
+    q = shingles.expected(0.8)
+    most = q * shingles.CONFIRM + shingles.ERRORS * (shingles.CONFIRM * q * (1 - q)) ** 0.5
     hits = 0
     for _ in range(1000):
         x = rng.integers(0, 2**64, 90, dtype=np.uint64)  # 80 in both of 100
-        a, b = (shingles.band_keys(np.sort(s)) for s in (x, np.append(x[10:], rng.integers(0, 2**64, 10, dtype=np.uint64))))
-        hits += any(u == v for u, v in zip(a, b))
-    assert hits >= 995
+        a, b = (np.unpackbits(shingles.fingerprint(v).view(np.uint8), bitorder="little") for v in (x, np.append(x[10:], rng.integers(0, 2**64, 10, dtype=np.uint64))))
+        apart = a != b
+        hits += any(apart[g].sum() <= t for g, t in zip(groups, ts) if t >= 0) and apart[: shingles.CONFIRM].sum() <= most
+    assert hits >= 990
+
+
+def test_thresholds_add_up_to_the_recall():
+    assert shingles.allocate([[5.0, 9.0], [1.0, 30.0]], [[1.0, 2.0], [1.0, 1.1]], 2.0)[1] == [0, 0]
+    assert shingles.allocate([[50.0, 60.0], [1.0, 30.0]], [[1.0, 2.0], [1.0, 2.0]], 2.0)[1] == [-1, 1]
+    assert shingles.allocate([[1.0, 2.0]], [[0.1, 0.2]], 2.0)[0] == float("inf")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import media, mixing, pieces, sharding, simhash, toxicity
 from tessera.llm.piece_bpe import CharacterMap, PieceModel
@@ -53,7 +54,6 @@ def test_simhash_hard_rows(spark):
 
 def test_simhash_empty(spark):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
-    assert simhash.one_of_each(docs(spark, [])).collect() == []
 
 
 @pytest.mark.parametrize("block", [8, 2048])
@@ -107,13 +107,6 @@ def test_unequal_thresholds_find_the_same(spark, monkeypatch):
     assert linked == {a for a in x if any(a != b and (a ^ b).bit_count() <= 4 for b in x)}
 
 
-def test_one_of_each(spark):
-    rows = docs(spark, clash=True)
-    kept = simhash.one_of_each(rows)
-    assert kept.columns == rows.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 7, 9, 10, 11, None, None])
-
-
 # -- mixing ----------------------------------------------------------------------
 
 
@@ -145,9 +138,12 @@ def test_mix(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     out = mixing.mix(table, shards=7).collect()
     again = mixing.mix(table.repartition(3), shards=7).collect()
-    key = lambda r: (r.doc_id, r.taken, tuple(r.shards))
+    key = lambda r: (r.doc_id, r.taken, tuple(r.shards), tuple(r.places))
     assert Counter(map(key, out)) == Counter(map(key, again))
     assert len(out) == table.count()
+    for shard in range(7):
+        at = sorted(p for r in out for s, p in zip(r.shards, r.places) if s == shard)
+        assert at == list(range(len(at)))
     by = {}
     for r in out:
         assert r.taken == r.copies * r.size <= 2 * r.size and len(r.shards) == r.copies and all(0 <= s < 7 for s in r.shards)
@@ -163,7 +159,7 @@ def test_mix_hard_rows_and_emit(spark):
     out = mixing.mix(rows, shards=3).collect()
     assert len(out) == rows.count() and sum(r.size for r in out) == sum(len((t or "").encode().split()) for _, t, *_ in hard_rows())
     emitted = mixing.emit(rows, shards=3)
-    assert emitted.columns == [*rows.columns, "mix_shard"]
+    assert emitted.columns == [*rows.columns, "mix_shard", "mix_place"]
     copies = Counter()
     for r in out:
         copies[r.doc_id, r.size] += r.copies
@@ -171,6 +167,21 @@ def test_mix_hard_rows_and_emit(spark):
     assert mixing.mix(docs(spark, [])).collect() == [] and mixing.emit(docs(spark, [])).collect() == []
 
 
+def test_mix_tells_nulls_apart_and_spreads_repeated_rows(spark, monkeypatch):
+    rows = [(None, "five words are in here", "en", "web", 1), (None, "five words are in here", "en", None, 1), (1, "five words are in here", "en", None, 1)]
+    out = mixing.mix(docs(spark, rows)).collect()
+    assert len({r.row_key for r in out}) == 3
+    monkeypatch.setattr(mixing, "RUN", 100)
+    many = docs(spark, [(7, "two words", "en", "a", 1)]).crossJoin(spark.range(5000)).drop("id").union(docs(spark, [(8, "three more words", "en", "b", 1)]))
+    keyed = mixing.counted(many.select("doc_id", "source"), ["doc_id", "source"])
+    assert sorted((r.doc_id, r.nth) for r in keyed.collect()) == [(7, k) for k in range(1, 5001)] + [(8, 1)]
+    assert max(r["count"] for r in keyed.groupBy(F.spark_partition_id()).count().collect()) < 5000
+    mixed = mixing.mix(many, shards=4).collect()
+    target = [r.target for r in mixed if r.doc_id == 7][0]
+    assert len(mixed) == 5001 and abs(sum(r.taken for r in mixed if r.doc_id == 7) - target) <= 1
+    assert mixing.emit(many, shards=4).count() == sum(r.copies for r in mixed)
+
+
 def test_splitting_tree_is_exact(spark):
     quotas = spark.createDataFrame([("a", 0, 40), ("b", 0, 13), (None, 1, 11)], "source string, block long, quota long")
     leaves = mixing.splitting_tree(quotas, 8, 1).collect()
@@ -187,23 +198,61 @@ def test_pieces_match_the_library(spark, sf):
     m, lib = PieceModel(tokenizer()), sentencepiece.SentencePieceProcessor(model_file=tokenizer())
     texts = ODD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
     for t in texts:
-        ids = lib.encode(t)
-        assert np.frombuffer(m.packed(t), "<u4").tolist() == ids == [s[0] for s in m.spans(t)]
-        assert m.count(t) == len(ids)
+        want = lib.encode(t, return_type="proto").pieces
+        ids, begins, ends = m.encode(t)
+        assert list(zip(ids.tolist(), begins.tolist(), ends.tolist())) == [(p.id, p.begin, p.end) for p in want]
+        assert m.count(t) == len(want)
 
 
 def test_spans_cover_the_source():
     m = PieceModel(tokenizer())
     for t in ODD:
         raw, at = t.encode(), 0
-        for _, begin, end in m.spans(t):
+        for begin, end in zip(*(x.tolist() for x in m.encode(t)[1:])):
             assert begin == at or begin <= end
             at = max(at, end)
         assert at == len(raw)
 
 
-def test_character_map_takes_the_longest_prefix():
-    # A double array for "a" -> "b" and "ab" -> "c", laid out by hand.
+def brute_normalise(m, text):
+    """One character at a time, as the library's documentation tells it."""
+    source, out, align = text.encode(), b"", []
+    mark = m.mark.encode()
+    if source and m.dummy_prefix:
+        out, align = mark, [0] * len(mark)
+    at, gap = 0, m.squeeze
+    while at < len(source):
+        size, piece = m.charmap.longest(source, at) or (len(text.encode()[at:].decode()[0].encode()), None)
+        piece = source[at : at + size] if piece is None else piece
+        while gap and piece.startswith(b" "):
+            piece = piece[1:]
+        if piece:
+            gap = m.squeeze and piece.endswith(b" ")
+        piece = piece.replace(b" ", mark)
+        out, align, at = out + piece, align + [at] * len(piece), at + size
+    while m.squeeze and out.endswith(mark) and len(out) > len(mark):
+        out = out[: -len(mark)]
+    return out.decode(), align[: len(out)]
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("mapped", [False, True])
+def test_normalise_aligns_through_the_character_map(squeeze, mapped):
+    m = PieceModel(tokenizer())
+    m.squeeze = squeeze
+    m.map_by(small_map() if mapped else b"")
+    for t in [*ODD, "abab xaxb", "a", "b a", " a  ab   b ", "\u00e9ab\u00e9a " * 50, "ba" * 9]:
+        normal, align = m.normalise(t)
+        want, places = brute_normalise(m, t)
+        assert normal == want and len(align) == len(want.encode()) + 1 and align[-1] == len(t.encode())
+        raw, starts = t.encode(), {i for i, b in enumerate(want.encode()) if b & 0xC0 != 0x80}
+        assert all(align[i] == places[i] for i in starts) and all(raw[: align[i]].decode() is not None for i in starts)
+        ids, begins, ends = m.encode(t)
+        assert (begins <= ends).all() and (np.diff(begins) >= 0).all()
+
+
+def small_map():
+    """A double array for "a" -> "b" and "ab" -> "c", laid out by hand."""
     units = [0] * 512
     off = lambda o: o << 10
     units[0] = off(256)
@@ -213,9 +262,13 @@ def test_character_map_takes_the_longest_prefix():
     b = 300 ^ 98
     units[b] = off(b ^ 400) | 1 << 8 | 98
     units[400] = 1 << 31 | 2
-    blob = np.array([512 * 4, *units], "<u4").tobytes() + b"b\0c\0"
-    found = CharacterMap(blob)
+    return np.array([512 * 4, *units], "<u4").tobytes() + b"b\0c\0"
+
+
+def test_character_map_takes_the_longest_prefix():
+    found = CharacterMap(small_map())
     assert found.longest(b"ax", 0) == (1, b"b") and found.longest(b"xab", 1) == (2, b"c") and found.longest(b"x", 0) is None
+    assert found.firsts() == b"a"
 
 
 def test_encode_and_count(spark):
@@ -225,9 +278,12 @@ def test_encode_and_count(spark):
     for r in hard_rows():
         ids = lib.encode(r[1] or "", add_bos=True, add_eos=True)
         want[r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest()] += 1
-    assert Counter(tuple(r) for r in pieces.encode_digests(rows, tokenizer()).collect()) == want
-    full = pieces.encode(rows, tokenizer(), spans=True).collect()
+    digests = pieces.encode_digests(rows, tokenizer()).collect()
+    assert Counter(tuple(r)[:4] for r in digests) == want
+    full = pieces.encode(rows, tokenizer()).collect()
     assert all(len(r.ids) == len(r.begins) == len(r.ends) for r in full)
+    spans = lambda r: hashlib.sha256(np.array([*r.begins, *r.ends], "<u4").tobytes()).hexdigest()
+    assert Counter((r.doc_id, r.spans_sha256) for r in digests) == Counter((r.doc_id, spans(r)) for r in full)
     assert Counter((r.doc_id, len(r.ids)) for r in full) == Counter((k[0], k[1]) for k in want.elements())
     counts = pieces.count_tokens(rows, tokenizer()).collect()
     assert Counter((r.doc_id, r.n_tokens + 2) for r in counts) == Counter((k[0], k[1]) for k in want.elements())
@@ -252,16 +308,40 @@ def test_media_round_trip(spark):
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest()
         assert len(r.times) == len(r.codes) and list(r.times) == sorted(r.times)
     assert seen == texts
-    slim = media.media_columns(docs(spark), arrays=False).collect()
-    assert Counter((r.doc_id, r.feature) for r in slim) == Counter((r.doc_id, r.feature) for r in rows)
+    assert media.media_columns(docs(spark, [])).collect() == []
 
 
 def test_peaks_find_a_tone():
     t = np.arange(4096)
     tone = (128 + 100 * np.sin(2 * np.pi * 12 * t / media.FRAME)).astype(np.uint8).tobytes()
-    found = media.peaks(tone)
-    assert (found[:-1, 0] == 12).all()
-    assert len(media.peaks(b"\0" * 64)) == 1 and len(media.peaks(b"\1" * 257)) == 2
+    frames, bins = media.peaks(tone)
+    assert set(frames[bins == 12]) == set(range(media.frames_of(4096)))
+    assert not len(media.peaks(b"\0" * 64)[0]) and not len(media.fingerprint(b"\1" * 257)[0])
+
+
+def brute_fingerprint_of_sound(samples):
+    """Peaks and pairs by comparing every bin with each neighbour, and every two peaks."""
+    n, hop = media.frames_of(len(samples)), media.FRAME // 2
+    x = np.frombuffer(samples, np.uint8).astype(np.float32)
+    x = np.append(x, np.full(max(0, (n - 1) * hop + media.FRAME - len(x)), x[-1], np.float32))
+    window = np.hanning(media.FRAME).astype(np.float32)
+    power = np.array([np.abs(np.fft.rfft((f - f.mean(keepdims=True)) * window)) for f in (x[k * hop : k * hop + media.FRAME] for k in range(n))])
+    tops = []
+    for i in range(n):
+        for j in range(power.shape[1]):
+            near = power[max(0, i - media.FRAMES_BY) : i + media.FRAMES_BY + 1, max(0, j - media.BINS_BY) : j + media.BINS_BY + 1]
+            if power[i, j] > media.FLOOR and power[i, j] >= near.max():
+                tops.append((i, j))
+    return sorted((i, a << 16 | b << 4 | k - i) for i, a in tops for k, b in tops if (i, a) < (k, b) and k - i <= media.SPAN and abs(a - b) <= media.REACH)
+
+
+@pytest.mark.parametrize("at_once", [3, 4096])
+def test_pair_codes_match_brute_force(monkeypatch, at_once):
+    monkeypatch.setattr(media, "AT_ONCE", at_once)
+    for text in [prose(40, 3), prose(400, 4), "ab" * 700, "x" * 300, "short"]:
+        raw = text.encode()
+        raw += bytes(-len(raw) % 64)
+        assert list(zip(*(v.tolist() for v in media.fingerprint(raw)))) == brute_fingerprint_of_sound(raw)
 
 
 # -- toxicity ----------------------------------------------------------------------
@@ -353,4 +433,23 @@ def test_sharding_hot_and_hard(spark):
     rows = hard_rows() + [(100 + i, "the same text", "en", "a", 1) for i in range(300)]
     by = check_shards(rows, sharding.shard_by_bytes(docs(spark, rows, clash=True), 5, range_rows=50).collect(), 5)
     assert sum(map(len, by.values())) == len(rows)
+    assert len({k for k, v in by.items() for r in v if r.doc_id and r.doc_id >= 100}) == 1
     assert sharding.shard_by_bytes(docs(spark, []), 5).collect() == []
+
+
+def test_groups_stay_whole_where_a_shard_has_room(spark):
+    """Groups of 28 % of a shard, and one of two and a half shards, which is cut."""
+    texts = [prose(60, k) for k in range(1200)]
+    mean = sum(len(t.encode()) + 16 for t in texts) / 10
+    copies = lambda t, share: [t] * round(share * mean / (len(t.encode()) + 16))
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts + copies("the first text " * 6, 0.28) + copies("the second text " * 6, 0.28) + copies("a third text " * 6, 2.5))]
+    for range_rows in (50_000, 40):
+        by = check_shards(rows, sharding.shard_by_bytes(docs(spark, rows), 10, range_rows=range_rows).collect(), 10)
+        text = {r[0]: r[1] for r in rows}
+        homes = {}
+        for k, v in by.items():
+            for r in v:
+                homes.setdefault(text[r.doc_id], set()).add(k)
+        assert all(len(h) == 1 for t, h in homes.items() if not t.startswith("a third")) and len(homes["a third text " * 6]) >= 3
+        sizes = [sum(r.size for r in v) for v in by.values()]
+        assert max(sizes) <= 1.03 * min(sizes)
