@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.residues import LETTERS, UNKNOWN
 from ..functions.text import uniform
-from .spatial import clashes, cross_pairs, pair_types, pairs_within
+from .spatial import by_types, cross_pairs, nearest, pairs_within
 
 
 def composition(residues: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -55,8 +54,19 @@ def distance_histogram(points: DataFrame, low: float, high: float, bins: int, ed
     Bins are (edge, next edge]; pairs at `low` or nearer, or beyond `high`, drop out.
     """
     at = edge_bin(F.col("d"), edges) if edges else linear_bin(F.col("d"), low, high, bins)
-    counted = pair_types(cross_pairs(points, high)).withColumn("bin", at).where("bin is not null")
-    return counted.groupBy("complex", "type_a", "type_b", "bin").agg(F.count("*").alias("n"))
+    counted = cross_pairs(points, high).withColumn("bin", at).where("bin is not null")
+    return by_types(counted, ["complex", "bin"], ("n", F.count("*")))
+
+
+def minimum_distance_histogram(points: DataFrame, low: float, high: float, bins: int, key: str = "serial") -> DataFrame:
+    """(complex, type, bin, n): atoms by type and by the distance to the nearest atom of
+    the other side. Bins are (edge, next edge]; nearer ones count in the first, and
+    atoms with none up to `high` in the last."""
+    other = points.withColumn("side", 3 - F.col("side"))
+    near = nearest(points, other, high, ["complex", "side"], [key])
+    at = F.coalesce(F.greatest(linear_bin(F.greatest(F.col("d"), F.lit(low)), low, high, bins), F.when(F.col("d") <= low, 0)), F.lit(bins - 1))
+    both = points.select("complex", "side", key, "type").join(near, ["complex", "side", key], "left")
+    return both.groupBy("complex", "type", at.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def self_histogram_features(histogram: DataFrame, types: list[str], bins: int) -> DataFrame:
@@ -72,30 +82,36 @@ def adjacency(points: DataFrame, self_reach: float, other_reach: float, most_sel
     """(type, self_n, other_n, n): atoms by type, by neighbours of their own side and of
     the other one. Atoms without a neighbour of their own are left out; the number of
     their own counts from zero; both are clamped to most - 1."""
-    own = pairs_within(points, points, self_reach, ["complex", "side"]).where(F.col(f"a_{key}") != F.col(f"b_{key}"))
-    own = own.groupBy("complex", "side", F.col(f"a_{key}").alias(key)).agg(F.count("*").alias("self_n"))
-    other = pairs_within(points, points.withColumn("side", 3 - F.col("side")), other_reach, ["complex", "side"])
-    other = other.groupBy("complex", "side", F.col(f"a_{key}").alias(key)).agg(F.count("*").alias("other_n"))
-    both = points.select("complex", "side", key, "type").join(own, ["complex", "side", key]).join(other, ["complex", "side", key], "left")
-    return both.groupBy("complex", "type", F.least(F.col("self_n") - 1, F.lit(most_self - 1)).alias("self_n"), F.least(F.coalesce("other_n", F.lit(0)), F.lit(most_other - 1)).alias("other_n")).agg(F.count("*").alias("n"))
+    near = pairs_within(points, points, max(self_reach, other_reach), ["complex"])
+    own = (F.col("a_side") == F.col("b_side")) & (F.col("d") <= self_reach) & (F.col(f"a_{key}") != F.col(f"b_{key}"))
+    other = (F.col("a_side") != F.col("b_side")) & (F.col("d") <= other_reach)
+    each = near.groupBy("complex", "a_side", F.col(f"a_{key}").alias(key)).agg(F.first("a_type").alias("type"), F.count_if(own).alias("own"), F.count_if(other).alias("other")).where("own > 0")
+    return each.groupBy("complex", "type", F.least(F.col("own") - 1, F.lit(most_self - 1)).alias("self_n"), F.least("other", F.lit(most_other - 1)).alias("other_n")).agg(F.count("*").alias("n"))
 
 
 def distance_sums(points: DataFrame, reach: float) -> DataFrame:
     """(complex, type_a, type_b, inverse, inverse_square), pairs at distance 0 left out."""
-    near = pair_types(cross_pairs(points, reach)).where("d > 0")
-    return near.groupBy("complex", "type_a", "type_b").agg(F.sum(1 / F.col("d")).alias("inverse"), F.sum(1 / (F.col("d") * F.col("d"))).alias("inverse_square"))
+    near = cross_pairs(points, reach).where("d > 0")
+    return by_types(near, ["complex"], ("inverse", F.sum(1 / F.col("d"))), ("inverse_square", F.sum(1 / (F.col("d") * F.col("d")))))
 
 
 def power_sums(points: DataFrame, reach: float, powers: tuple[int, ...] = (-2, -1, 0, 1)) -> DataFrame:
     """(complex, type_a, type_b, sum_<k>...): sums of powers of the distances above 0."""
-    near = pair_types(cross_pairs(points, reach)).where("d > 0")
-    return near.groupBy("complex", "type_a", "type_b").agg(*[F.sum(F.pow("d", F.lit(float(p)))).alias(f"sum_{k}") for k, p in enumerate(powers)])
+    near = cross_pairs(points, reach).where("d > 0")
+    return by_types(near, ["complex"], *[(f"sum_{k}", F.sum(_power(F.col("d"), p))) for k, p in enumerate(powers)])
+
+
+def _power(d: Column, p: int) -> Column:
+    """Small powers by products, which cost a fraction of a general power."""
+    one = F.lit(1.0)
+    for _ in range(abs(p)):
+        one = one * d
+    return 1 / one if p < 0 else one
 
 
 def contact_weights(points: DataFrame, scale: float, reach: float) -> DataFrame:
     """(complex, type_a, type_b, weight): sums of exp(-d / scale)."""
-    near = pair_types(cross_pairs(points, reach))
-    return near.groupBy("complex", "type_a", "type_b").agg(F.sum(F.exp(-F.col("d") / scale)).alias("weight"))
+    return by_types(cross_pairs(points, reach), ["complex"], ("weight", F.sum(F.exp(-F.col("d") / scale))))
 
 
 def residue_contacts(points: DataFrame, reach: float, residue: str = "res_no") -> DataFrame:
@@ -104,6 +120,19 @@ def residue_contacts(points: DataFrame, reach: float, residue: str = "res_no") -
     return near.distinct().groupBy("complex", "type_a", "type_b").agg(F.count("*").alias("n"))
 
 
+def hydrogen_triples(points: DataFrame, own_reach: float = 3.0, other_reach: float = 5.0) -> DataFrame:
+    """(complex, d, h, a, donor_type, acceptor_type): each hydrogen with the nearest other
+    atom of its side (of equally near ones, the smallest serial), and every other atom
+    of the other side near it."""
+    heavy = points.where(~F.startswith("type", F.lit("H")))
+    own = pairs_within(points.where(F.startswith("type", F.lit("H"))), heavy, own_reach, ["complex", "side"]).where("d > 0")
+    xyz = lambda p: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in "xyz"])
+    donor = own.groupBy("complex", "side", "a_serial").agg(F.min(F.struct("d", "b_serial", xyz("b").alias("at"), "b_type")).alias("m"), F.first(xyz("a")).alias("h"))
+    hydrogens = donor.select("complex", (3 - F.col("side")).alias("side"), "h.*", F.col("m.at").alias("donor"), F.col("m.b_type").alias("donor_type"))
+    triples = pairs_within(hydrogens, heavy, other_reach, ["complex", "side"]).where("d > 0")
+    return triples.select("complex", F.col("a_donor").alias("d"), xyz("a").alias("h"), xyz("b").alias("a"), F.col("a_donor_type").alias("donor_type"), F.col("b_type").alias("acceptor_type"))
+
+
 def hydrogen_bonds(triples: DataFrame, bins: int = 10, low: float = 1.0, high: float = 5.0, least_angle: float = 0.5) -> DataFrame:
     """(complex, donor_type, acceptor_type, angle_bin, distance_bin, n) of rows with
     structs d, h and a (x, y, z): by donor-acceptor distance in [low, high] and angle
@@ -121,9 +150,9 @@ def hydrogen_bonds(triples: DataFrame, bins: int = 10, low: float = 1.0, high: f
 
 def surrogate_score(points: DataFrame, reach: float, seed: int) -> DataFrame:
     """(complex, score): sums of w / d^2 over pairs, w by type pair from the seed."""
-    near = pair_types(cross_pairs(points, reach)).where("d > 0")
+    sums = distance_sums(points, reach)
     weight = uniform("w", seed, F.col("type_a"), F.col("type_b")) / F.lit(4294967296.0)
-    return near.groupBy("complex").agg(F.sum(weight / (F.col("d") * F.col("d"))).alias("score"))
+    return sums.groupBy("complex").agg(F.sum(weight * F.col("inverse_square")).alias("score"))
 
 
 def inventory(points: DataFrame) -> DataFrame:
@@ -131,8 +160,15 @@ def inventory(points: DataFrame) -> DataFrame:
     return points.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("type"))
 
 
-#: Features that a plan can name.
-FEATURES: dict[str, Callable[..., DataFrame]] = {
-    "composition": composition, "adjacent_pairs": adjacent_pairs, "distance_histogram": distance_histogram, "adjacency": adjacency, "distance_sums": distance_sums,
-    "power_sums": power_sums, "contact_weights": contact_weights, "residue_contacts": residue_contacts, "hydrogen_bonds": hydrogen_bonds, "surrogate_score": surrogate_score, "clashes": clashes,
-}
+def long_form(table: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(complex, name, value) of a feature table: names are the keys, and the value's."""
+    name = lambda v: F.concat_ws("|", *[F.lpad(F.col(k).cast("string"), 3, "0") if k.endswith("bin") else F.col(k).cast("string") for k in keys], F.lit(v))
+    entry = F.explode(F.array(*[F.struct(name(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values]))
+    return table.select("complex", entry.alias("x")).select("complex", "x.*")
+
+
+def as_vectors(long: DataFrame) -> DataFrame:
+    """(complex, features): values in the order of all names, 0 where a complex has none."""
+    names = [r["name"] for r in long.select("name").distinct().orderBy("name").collect()]  # types and bins
+    maps = long.groupBy("complex").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
+    return maps.select("complex", F.array(*[F.coalesce(F.try_element_at("m", F.lit(n)), F.lit(0.0)) for n in names]).cast("array<double>").alias("features"))

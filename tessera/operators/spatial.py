@@ -1,9 +1,10 @@
 """Spatial joins of points within a complex.
 
 Points are rows (complex, side, type, x, y, z); residues add `res_no` and `res_type`.
-Pairs meet through a grid: cells as wide as the reach, so only 27 cells hold what
-is near. The equi-join on complex and cell keeps the work in proportion to the
-pairs found, and the points of a cell are spread over tasks by the adaptive rules.
+Pairs meet through a grid: cells as wide as the reach, so only neighbouring cells hold
+what is near. Axes along which complexes are too short for cells to part anything are
+left out of it. The equi-join on complex and cell keeps the work in proportion to the
+pairs found; the points of a crowded cell are dealt over salts of it.
 """
 
 from __future__ import annotations
@@ -20,35 +21,52 @@ def distance(a: str = "a", b: str = "b") -> Column:
     return F.sqrt(reduce(lambda s, t: s + t, [(F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) * (F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) for c in AXES]))
 
 
-def cells(points: DataFrame, reach: float, around: bool) -> DataFrame:
-    """`points` with their cell, or with `around` a row for each of the 27 cells by it."""
-    own = [F.floor(F.col(c) / F.lit(float(reach))) for c in AXES]
-    if not around:
-        return points.withColumns({f"cell_{c}": v for c, v in zip(AXES, own)})
-    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    near = F.array(*[F.struct(*[(v + F.lit(s)).alias(f"cell_{c}") for c, v, s in zip(AXES, own, step)]) for step in steps])
-    return points.withColumn("near", F.explode(near)).select("*", "near.*").drop("near")
+#: Points of one side that a task holds of one cell.
+CROWD = 20_000
 
 
-def partitions(df: DataFrame) -> int:
-    """Partitions of a join that makes far more rows than it reads."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+def pruning_axes(points: DataFrame, reach: float, keys: list[str]) -> list[str]:
+    """The axes along which some complex is longer than three cells; at least one."""
+    extent = bounds(points, keys).agg(*[F.max(F.col(f"max_{c}") - F.col(f"min_{c}")).alias(c) for c in AXES]).first()
+    long = [c for c in AXES if (extent[c] or 0.0) > 3 * reach]
+    return long or [max(AXES, key=lambda c: extent[c] or 0.0)]
+
+
+def cells(points: DataFrame, reach: float, axes: list[str], around: bool) -> DataFrame:
+    """`points` with their cell, or with `around` a row for each of the cells by it."""
+    own = [F.floor(F.col(c) / F.lit(float(reach))) for c in axes]
+    out = points.withColumns({f"cell_{c}": v for c, v in zip(axes, own)})
+    if around:
+        for c in axes:
+            out = out.withColumn(f"cell_{c}", F.explode(F.sequence(F.col(f"cell_{c}") - 1, F.col(f"cell_{c}") + 1)))
+    return out
 
 
 def pairs_within(left: DataFrame, right: DataFrame, reach: float, keys: list[str] | None = None) -> DataFrame:
     """(*keys, a_<column>..., b_<column>..., d): pairs of one complex at a distance up to
     `reach`, with the columns of both points, of which unused ones are pruned. Exact:
-    the grid only finds candidates."""
+    the grid only finds candidates.
+
+    The planner's own exchange deals cells over tasks, so the adaptive rules may split
+    a cell of many left points; one of over `CROWD` right points has a salt for each
+    `CROWD` of them, and left points meet all salts.
+    """
     keys = keys or ["complex"]
-    names = [f"cell_{c}" for c in AXES]
+    axes = pruning_axes(right, reach, keys)
+    cell = [*keys, *[f"cell_{c}" for c in axes]]
     mark = lambda df, side: [F.col(c).alias(f"{side}_{c}") for c in df.columns]
-    a = cells(left, reach, True).select(*keys, *names, *mark(left, "a"))
-    b = cells(right, reach, False).select(*keys, *names, *mark(right, "b"))
-    # Pairs are many more than points: the exchange is not to be coalesced by the points' bytes.
-    n = partitions(left)
-    a, b = a.repartition(n, *keys, *names), b.repartition(n, *keys, *names)
-    return a.join(b.hint("shuffle_hash"), [*keys, *names]).drop(*names).withColumn("d", distance()).where(F.col("d") <= float(reach))
+    a = cells(left, reach, axes, True).select(*cell, *mark(left, "a"))
+    b = cells(right, reach, axes, False).select(*cell, *mark(right, "b"))
+    crowded = b.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*cell, F.ceil(F.col("n") / CROWD).cast("int").alias("salts"))
+    if crowded.limit(1).count():
+        salts = F.coalesce("salts", F.lit(1))
+        a = a.join(crowded, cell, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        b = b.join(crowded, cell, "left").withColumn("salt", F.pmod(F.xxhash64(*[f"b_{c}" for c in right.columns]), salts).cast("int")).drop("salts")
+        cell = [*cell, "salt"]
+    square = reduce(lambda s, t: s + t, [(F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in AXES])
+    # A square just over the bound may have a root on it, so the root decides again.
+    near = a.join(b.hint("merge"), cell).where(square <= float(reach) * float(reach) * (1 + 1e-12)).drop(*[c for c in cell if c not in keys])
+    return near.withColumn("d", distance()).where(F.col("d") <= float(reach))
 
 
 def cross_pairs(points: DataFrame, reach: float) -> DataFrame:
@@ -56,9 +74,12 @@ def cross_pairs(points: DataFrame, reach: float) -> DataFrame:
     return pairs_within(points.where("side = 1"), points.where("side = 2"), reach)
 
 
-def pair_types(pairs: DataFrame) -> DataFrame:
-    """`pairs` with the two types in order, as type_a and type_b."""
-    return pairs.withColumns({"type_a": F.least("a_type", "b_type"), "type_b": F.greatest("a_type", "b_type")})
+def by_types(pairs: DataFrame, by: list[str], *sums: tuple[str, Column]) -> DataFrame:
+    """(*by, type_a, type_b, sums...) of pairs, the two types in order. Sums are taken by
+    the types as they come, and types are put in order after that."""
+    first = pairs.groupBy(*by, "a_type", "b_type").agg(*[c.alias(name) for name, c in sums])
+    ordered = first.groupBy(*[c for c in by], F.least("a_type", "b_type").alias("type_a"), F.greatest("a_type", "b_type").alias("type_b"))
+    return ordered.agg(*[F.sum(name).alias(name) for name, _ in sums]).select(by[0], "type_a", "type_b", *by[1:], *[name for name, _ in sums])
 
 
 def nearest(left: DataFrame, right: DataFrame, reach: float, keys: list[str], by: list[str]) -> DataFrame:
@@ -68,6 +89,11 @@ def nearest(left: DataFrame, right: DataFrame, reach: float, keys: list[str], by
     return near.groupBy(*keys, *[F.col(f"a_{c}").alias(c) for c in by]).agg(F.min("d").alias("d"))
 
 
+def without_type(points: DataFrame, kind: str) -> DataFrame:
+    """`points` without those of one type."""
+    return points.where(F.col("type") != kind)
+
+
 def hydrogen_donors(points: DataFrame, reach: float = 3.0) -> DataFrame:
     """(complex, side, serial, donor, d): of each hydrogen, the nearest other atom of
     its own side; of equally near ones, the smallest serial."""
@@ -91,9 +117,9 @@ def clashes(points: DataFrame, threshold: float) -> DataFrame:
     return cross_pairs(points, threshold).where(F.col("d") < float(threshold))
 
 
-def bounds(points: DataFrame) -> DataFrame:
+def bounds(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Least and greatest coordinate of each complex on each axis."""
-    return points.groupBy("complex").agg(*[f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("min", F.min), ("max", F.max))])
+    return points.groupBy(*(keys or ["complex"])).agg(*[f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("min", F.min), ("max", F.max))])
 
 
 def transform(points: DataFrame, rotation: list[list[float]], shift: list[float]) -> DataFrame:
