@@ -10,8 +10,6 @@ LETTERS = {
 #: Modified residues read as the one they come from.
 MODIFIED = {"MSE": "MET", "SEP": "SER"}
 UNKNOWN = "UNKNOWN"
-#: Width of composition vectors: the twenty, UNKNOWN, and one that is always zero.
-COMPOSITION_WIDTH = 22
 #: Side-chain classes; residues not named have none.
 PROPERTIES = {
     "POSITIVE": ("ARG", "HIS", "LYS"),
@@ -42,18 +40,14 @@ T  0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
 W -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
 Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
 V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+B -2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4
+Z -1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4
+X -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1
 """
-# Frequencies that weigh the two residues of an ambiguous letter,
-# and the cells in which the published table differs from the rounded mean.
-AMBIGUOUS = {"B": {"D": 0.055, "N": 0.045}, "Z": {"E": 0.062, "Q": 0.038}}
-EXCEPTIONS = {("B", "K"): 0, ("B", "P"): -2, ("Z", "C"): -3}
 
 
 def substitution_scores(triangle: str = TRIANGLE) -> dict[tuple[str, str], int]:
-    """Scores by pair of letters, of a lower triangle; other tables may be passed in.
-
-    B and Z get the frequency-weighted means of their two residues, X minus one.
-    """
+    """Scores by pair of letters, of a lower triangle; other tables may be passed in."""
     scores: dict[tuple[str, str], int] = {}
     order: list[str] = []
     for line in triangle.strip().splitlines():
@@ -61,18 +55,7 @@ def substitution_scores(triangle: str = TRIANGLE) -> dict[tuple[str, str], int]:
         order.append(letter)
         for other, v in zip(order, values):
             scores[letter, other] = scores[other, letter] = int(v)
-
-    def mean(x: str, y: str) -> int:
-        xs, ys = AMBIGUOUS.get(x, {x: 1.0}), AMBIGUOUS.get(y, {y: 1.0})
-        total = sum(a * b for a in xs.values() for b in ys.values())
-        return round(sum(a * b * scores[p, q] for p, a in xs.items() for q, b in ys.items()) / total)
-
-    known = [*order, *(x for x in AMBIGUOUS if set(AMBIGUOUS[x]) <= set(order))]
-    more = {(x, y): mean(x, y) for x in known for y in known if x in AMBIGUOUS or y in AMBIGUOUS}
-    scores |= more
-    if triangle is TRIANGLE:
-        scores |= EXCEPTIONS | {(b, a): v for (a, b), v in EXCEPTIONS.items()}
-    return scores | {(x, y): -1 for x in [*known, "X"] for y in [*known, "X"] if "X" in (x, y)}
+    return scores
 
 
 #: IUPAC nucleotide codes, as the bases each stands for.

@@ -24,22 +24,6 @@ def accession(name: Column) -> Column:
     return F.regexp_extract(name, "^[A-Za-z0-9]+", 0)
 
 
-def element_type(c: Column, ignore_charge: bool = False) -> Column:
-    """Atom type from an element field: stripped, upper case; `*` is UNKNOWN.
-
-    `ignore_charge` drops digits and signs from the end. Empty fields are null.
-    """
-    name = clean_upper(c)
-    if ignore_charge:
-        name = F.regexp_replace(name, r"[0-9+\-]+$", "")
-    return F.when(name == "", None).when(name == "*", "UNKNOWN").otherwise(name)
-
-
-def is_hydrogen(kind: Column) -> Column:
-    """Whether a type's name starts with H, mercury and its like included."""
-    return F.startswith(kind, F.lit("H"))
-
-
 def uniform(*parts: Column | str | int) -> Column:
     """A repeatable integer in [0, 2^32) from the MD5 of the parts joined by colons."""
     text = F.concat_ws(":", *[F.lit(p) if isinstance(p, int) else (F.lit(p) if isinstance(p, str) else p.cast("string")) for p in parts])

@@ -118,18 +118,28 @@ def reverse_complement(sequence: Column) -> Column:
     return F.translate(F.reverse(F.upper(sequence)), *COMPLEMENT)
 
 
-def pair_scores(pairs: DataFrame, query: str, target: str, **how) -> DataFrame:
-    """`pairs` with the alignment score of two of its columns; null for a null."""
+RANGES = ("query_start", "query_stop", "target_start", "target_stop")
+
+
+def pair_scores(pairs: DataFrame, query: str, target: str, ranges: bool = False, **how) -> DataFrame:
+    """`pairs` with the alignment score of two of its columns, and with `ranges` where the
+    best alignment starts and stops in both, from 0 and inclusive; null for a null.
+    `how` is that of `align`: mode, alphabet, mask_n, triangle. Alignments cost the
+    product of their lengths, so rows are dealt out by their number."""
     names = pairs.columns
+    more = ["score", *(RANGES if ranges else ())]
+    spread = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = zip(b.column(names.index(query)).to_pylist(), b.column(names.index(target)).to_pylist())
-            scores = [None if x is None or y is None else align(x, y, **how)[0] for x, y in both]
-            yield b.append_column("score", pa.array(scores, pa.int64()))
+            found = [(None,) * 5 if x is None or y is None else align(x, y, **how) for x, y in both]
+            for k, name in enumerate(more):
+                b = b.append_column(name, pa.array([f[k] for f in found], pa.int64()))
+            yield b
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    return pairs.mapInArrow(run, f"{schema}, score long")
+    return pairs.repartition(spread).mapInArrow(run, ", ".join([schema, *(f"{name} long" for name in more)]))
 
 
 def alignment_distances(sequences: DataFrame, block: int = 64) -> DataFrame:

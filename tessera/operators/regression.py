@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class ForestOptions:
     """trees; leaf: least rows on the right of a split, one less than on the left; shares
-    of rows and of features that a tree sees, drawn without replacement."""
+    of rows and of features that a tree sees, drawn without replacement. stratified:
+    rows are drawn from the clusters in turn, in a random order of both."""
 
     trees: int = 100
     leaf: int = 1
     data_bag: float = 0.5
     feature_bag: float = 1.0
     seed: int = 1
+    stratified: bool = False
 
 
 @dataclass
@@ -108,11 +110,25 @@ def build_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, features: np.ndarray
     return tree
 
 
-def build_forest(x: np.ndarray, y: np.ndarray, w: np.ndarray, options: ForestOptions, *task) -> list[Tree]:
+def bag(rng: np.random.Generator, n: int, size: int, clusters: np.ndarray | None = None) -> np.ndarray:
+    """`size` of n rows; with `clusters`, one of each in turn until there are enough."""
+    order = rng.permutation(n)
+    if clusters is not None:
+        names, code = np.unique(clusters, return_inverse=True)
+        turn = rng.permutation(len(names))[code[order]]
+        round_ = np.empty(n, dtype=np.int64)
+        for t in range(len(names)):
+            own = np.flatnonzero(turn == t)
+            round_[own] = np.arange(len(own))
+        order = order[np.lexsort((turn, round_))]
+    return np.sort(order[:size])
+
+
+def build_forest(x: np.ndarray, y: np.ndarray, w: np.ndarray, options: ForestOptions, *task, clusters: np.ndarray | None = None) -> list[Tree]:
     trees = []
     for k in range(options.trees):
         rng = random(options.seed, *task, k)
-        rows = np.sort(rng.permutation(len(y))[: max(1, int(options.data_bag * len(y)))])
+        rows = bag(rng, len(y), max(1, int(options.data_bag * len(y))), clusters if options.stratified else None)
         features = np.sort(rng.permutation(x.shape[1])[: max(1, int(options.feature_bag * x.shape[1]))])
         trees.append(build_tree(x[rows], y[rows], w[rows], features, options.leaf))
     return trees

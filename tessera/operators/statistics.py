@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import uniform
@@ -43,30 +43,41 @@ def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
 
 
-def permutation_p(rows: DataFrame, permutations: int, seed: int, two_tailed: bool = True) -> DataFrame:
-    """(r, p, hits): how often shuffled clusters correlate as much as the real ones.
+def permutation_p(rows: DataFrame, permutations: int, seed: int, by: list[str] | None = None, equal_clusters: bool = False) -> DataFrame:
+    """(*by, r, p, hits): how often shuffled clusters correlate as much as the real ones,
+    either way.
 
     In each permutation a slot j takes the observed of cluster perm(j) and the
     predicted of cluster j, both drawn with replacement as often as a uniform number
-    between the sizes of the two. The draws come from MD5, so reruns agree. One
-    cluster, or no permutation, gives no p.
+    between the sizes of the two; with `equal_clusters` a slot weighs one. The draws
+    come from MD5, so reruns agree. Only clusters and their sizes are permuted: rows
+    meet their draws by their place in the cluster. No permutation gives p -1; a group
+    of one cluster, p null.
     """
-    clusters = rows.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("observed", "predicted"))).alias("v"))
-    if permutations < 1 or clusters.limit(2).count() < 2:
-        return statistics(rows).select(F.col("pearson").alias("r"), F.lit(None).cast("double").alias("p"), F.lit(0).cast("long").alias("hits"))
-    from pyspark.sql import Window
-
-    runs = clusters.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    w = Window.partitionBy("perm")
-    slot = runs.withColumn("slot", F.row_number().over(w.orderBy("cluster")))
-    dealt = runs.withColumn("slot", F.row_number().over(w.orderBy(uniform("p", seed, F.col("perm"), F.col("cluster")), "cluster"))).select("perm", "slot", F.col("v").alias("from"))
-    both = slot.join(dealt, ["perm", "slot"])
-    lo, hi = F.least(F.size("v"), F.size("from")), F.greatest(F.size("v"), F.size("from"))
-    size = lo + uniform("n", seed, F.col("perm"), F.col("slot")) % (hi - lo + 1)
-    drawn = both.withColumn("k", F.explode(F.sequence(F.lit(1), size.cast("int"))))
-    pick = lambda a, name: F.get(F.col(a), (uniform(name, seed, F.col("perm"), F.col("slot"), F.col("k")) % F.size(a)).cast("int"))
-    drawn = drawn.select("perm", pick("from", "o")["observed"].alias("observed"), pick("v", "q")["predicted"].alias("predicted"))
-    rs = statistics(drawn, ["perm"]).select("pearson")
-    real = statistics(rows).first()["pearson"]
-    more = F.abs("pearson") >= abs(real or 0.0) if two_tailed else F.col("pearson") >= F.lit(real)
-    return rs.agg(F.lit(real).alias("r"), (F.count_if(more) / F.lit(float(permutations))).alias("p"), F.count_if(more).alias("hits"))
+    by = by or []
+    real = statistics(rows, by, equal_clusters).select(*by, F.col("pearson").alias("r"))
+    if permutations < 1:
+        return real.withColumns({"p": F.lit(-1.0), "hits": F.lit(0).cast("long")})
+    place = Window.partitionBy(*by, "cluster").orderBy("observed", "predicted")
+    placed = rows.select(*by, "cluster", "observed", "predicted", (F.row_number().over(place) - 1).alias("pos"))
+    # A row for each cluster of a group.
+    sizes = rows.groupBy(*by, "cluster").agg(F.count("*").alias("n")).withColumn("slot", F.row_number().over(Window.partitionBy(*by).orderBy("cluster")))
+    runs = sizes.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    draw = lambda name, *parts: uniform(name, seed, *[F.col(c) for c in (*by, "perm", *parts)])
+    shuffled = Window.partitionBy(*by, "perm").orderBy(draw("p", "cluster"), "cluster")
+    dealt = runs.select(*by, "perm", F.row_number().over(shuffled).alias("slot"), F.col("cluster").alias("from"), F.col("n").alias("from_n"))
+    both = runs.join(dealt, [*by, "perm", "slot"])
+    lo, hi = F.least("n", "from_n"), F.greatest("n", "from_n")
+    drawn = both.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), lo + draw("n", "slot") % (hi - lo + 1))))
+    drawn = drawn.withColumns({"x": draw("o", "slot", "k") % F.col("from_n"), "y": draw("q", "slot", "k") % F.col("n")})
+    first = placed.select(*by, F.col("cluster").alias("from"), F.col("pos").alias("x"), "observed")
+    second = placed.select(*by, "cluster", F.col("pos").alias("y"), "predicted")
+    drawn = drawn.join(first, [*by, "from", "x"]).join(second, [*by, "cluster", "y"])
+    rs = statistics(drawn.select(*by, "perm", F.col("slot").alias("cluster"), "observed", "predicted"), [*by, "perm"], equal_clusters)
+    clusters = sizes.groupBy(*by).agg(F.count("*").alias("clusters"))
+    one = F.lit(1).alias("one")
+    keys = [*by, "one"]
+    each = rs.select(*by, one, F.col("pearson").alias("drawn")).join(real.select("*", one), keys).join(clusters.select("*", one), keys)
+    hits = F.count_if(F.abs("drawn") >= F.abs("r"))
+    found = each.groupBy(*by, "r").agg(hits.alias("hits"), F.first("clusters").alias("clusters"))
+    return found.select(*by, "r", F.when(F.col("clusters") > 1, F.col("hits") / F.lit(float(permutations))).alias("p"), "hits")

@@ -127,7 +127,7 @@ def parse(text: str, options: StructureOptions = StructureOptions()) -> list[tup
                 raise Rejected("not a dimer")
             if not hetero and remark and targets and chain not in targets:
                 continue
-            if len(line) < 78:
+            if len(line) < 80:
                 raise Rejected("short line")
             kind = line[76:].strip().upper()
             if options.ignore_charge:
@@ -224,6 +224,15 @@ def rejected(atoms: DataFrame) -> DataFrame:
     return atoms.where("reason is not null").select("complex_id", "reason")
 
 
+def declared_residues(files: DataFrame) -> DataFrame:
+    """(complex_id, chain, residues): the three-letter names that SEQRES lines of rows
+    (complex_id, value) give each chain, in order."""
+    lines = files.select("complex_id", F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where(F.startswith("line", F.lit("SEQRES")))
+    names = F.filter(F.split(F.trim(F.substring("line", 20, 51)), r"\s+"), lambda x: x != "")
+    each = lines.select("complex_id", F.substring("line", 12, 1).alias("chain"), F.struct("at", names.alias("names")).alias("part"))
+    return each.groupBy("complex_id", "chain").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["names"])).alias("residues"))
+
+
 def sequences(atoms: DataFrame) -> DataFrame:
     """(complex_id, side, sequence): one letter for each known residue, by number."""
     letters = F.create_map(*[F.lit(v) for kv in LETTERS.items() for v in kv])

@@ -140,3 +140,12 @@ def checked_clusters(long: DataFrame) -> DataFrame:
     if bad:
         raise ValueError(f"{bad['complex_id']} is not once in each clustering")
     return long
+
+
+def read_open_access(spark: SparkSession, path: str) -> DataFrame:
+    """(accession, article) of lines `accession,article` below a header; blank lines are
+    passed over, an accession that occurs twice fails."""
+    rows = lines(spark, path).select(F.transform(F.split("value", ","), strip).alias("f"))
+    header = rows.first()["f"]  # of one file
+    pairs = rows.where(F.col("f") != F.array(*map(F.lit, header))).select(F.col("f")[0].alias("accession"), F.get("f", F.lit(1)).alias("article"))
+    return unique(pairs.where("accession <> ''"), "accession")
