@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict, replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -60,12 +62,15 @@ def cross_validate(members: DataFrame, rows: DataFrame, options: Options, model:
     """(clustering_id, trial, fold, cluster, complex_id, observed, predicted, training).
 
     members: (clustering_id, cluster_id, complex_id); rows: (complex_id, features,
-    response), one for each complex, every member having one. A task is a clustering,
+    response), one for each complex; a member without one fails. A task is a clustering,
     trial and fold: it trains on the other folds and predicts its own; rows with
     `training` hold what it fits to its training rows.
     """
     model = model or options.model
     spark = rows.sparkSession
+    lost = members.join(rows, "complex_id", "left_anti").select("complex_id").first()
+    if lost:
+        raise ValueError(f"no features of {lost['complex_id']}")
     known = crossval.training_weights(members, options.equal_clusters_in_training).join(rows.select("complex_id", F.col("response").cast("double").alias("observed")), "complex_id")
     dealt = known.join(crossval.folds(members, options.trials, options.fold, options.seed), ["clustering_id", "cluster_id"])
     tasks = dealt.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(options.fold - 1))))
@@ -73,19 +78,25 @@ def cross_validate(members: DataFrame, rows: DataFrame, options: Options, model:
     shared = None
     if (width or 0) * n <= SHARED:
         # At most SHARED numbers.
-        shared = spark.sparkContext.broadcast({r["complex_id"]: np.array(r["features"], dtype=np.float64) for r in rows.select("complex_id", "features").collect()})
+        table = rows.select("complex_id", F.col("features").cast("array<double>").alias("features")).toArrow()
+        flat = table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        shared = spark.sparkContext.broadcast(({c: i for i, c in enumerate(table.column("complex_id").to_pylist())}, flat.reshape(table.num_rows, -1)))
     else:
         tasks = tasks.join(rows.select("complex_id", "features"), "complex_id")
     kind = members.schema["complex_id"].dataType.simpleString()
 
     def run(task: pd.DataFrame) -> pd.DataFrame:
         task = task.sort_values("complex_id", kind="stable")
-        x = np.stack([shared.value[c] for c in task["complex_id"]] if shared else [np.array(v, dtype=np.float64) for v in task["features"]])
+        if shared:
+            at, matrix = shared.value
+            x = matrix[[at[c] for c in task["complex_id"]]]
+        else:
+            x = np.stack([np.array(v, dtype=np.float64) for v in task["features"]])
         y, w = task["observed"].to_numpy(), task["w"].to_numpy()
         test = (task["fold"] == task["task"]).to_numpy()
         key = tuple(int(task[c].iloc[0]) for c in ("clustering_id", "trial", "task"))
         if model == "forest":
-            guess = regression.predict(regression.build_forest(x[~test], y[~test], w[~test], options.forest, *key), x)
+            guess = regression.predict(regression.build_forest(x[~test], y[~test], w[~test], options.forest, *key, clusters=task["cluster_id"].to_numpy()[~test]), x)
         elif model == "nn":
             guess = regression.nearest_mean(x, x[~test], y[~test], options.neighbours)
         else:
@@ -100,17 +111,48 @@ def trial_statistics(predictions: DataFrame, equal_clusters: bool = False) -> Da
     return statistics.statistics(predictions.where("not training"), ["clustering_id", "trial"], equal_clusters)
 
 
-def report(members: DataFrame, model: DataFrame, baseline: DataFrame, options: Options) -> DataFrame:
-    """(clustering_id, clusters, and mean and sd over trials of each statistic), one row
-    for each clustering that was evaluated, of the baseline and of the model."""
-    out = members.groupBy("clustering_id").agg(F.countDistinct("cluster_id").alias("clusters"))
-    for name, rows in (("baseline", baseline), ("model", model)):
-        each = trial_statistics(rows, options.equal_clusters).groupBy("clustering_id").agg(*[f(c).alias(f"{name}_{c}_{s}") for c in ("pearson", "rmse", "r2") for s, f in (("mean", F.avg), ("sd", F.stddev_pop))])
-        out = out.join(each, "clustering_id")
-    both = model.where("not training").alias("m").join(baseline.where("not training").alias("b"), ["clustering_id", "trial", "complex_id"])
-    err = lambda s: F.sum((F.col(f"{s}.observed") - F.col(f"{s}.predicted")) * (F.col(f"{s}.observed") - F.col(f"{s}.predicted")))
-    against = both.groupBy("clustering_id", "trial").agg((1 - F.try_divide(err("m"), err("b"))).alias("r2")).groupBy("clustering_id").agg(F.avg("r2").alias("r2_against_baseline_mean"), F.stddev_pop("r2").alias("r2_against_baseline_sd"))
-    return out.join(against, "clustering_id").orderBy("clustering_id")
+#: Names of the report's columns, by the statistic they hold.
+R, P, RMSE, R2 = ("{ave}{name}_r", "stdev_{name}_r"), "{name}_p_value", ("{ave}{name}_RMSE", "stdev_{name}_RMSE"), ("{ave}{name}_R2", "stdev_{name}_R2")
+
+
+def model_columns(rows: DataFrame, name: str, options: Options, errors: bool = True) -> DataFrame:
+    """(clustering_id, columns): mean and deviation over trials of Pearson's r, RMSE and R2,
+    and the mean p-value; of one trial, the values and no p. Without `errors`, r only."""
+    test = rows.where("not training")
+    each = trial_statistics(rows, options.equal_clusters)
+    cols = lambda c, names: [F.avg(c).alias(names[0].format(ave="ave_", name=name)), *([F.stddev_pop(c).alias(names[1].format(name=name))] if options.trials > 1 else [])]
+    out = each.groupBy("clustering_id").agg(*cols("pearson", R))
+    if options.trials > 1:
+        p = statistics.permutation_p(test, options.permutations, options.seed, ["clustering_id", "trial"], options.equal_clusters)
+        out = out.join(p.groupBy("clustering_id").agg(F.avg("p").alias(P.format(name=name))), "clustering_id")
+    if errors:
+        out = out.join(each.groupBy("clustering_id").agg(*cols("rmse", RMSE), *cols("r2", R2)), "clustering_id")
+    return out
+
+
+def report(members: DataFrame, model: DataFrame, baseline: DataFrame, options: Options, beside: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The statistics of each clustering that was evaluated, of the baseline, of the models
+    beside and of the model: 18 columns and 3 for each model beside (of one trial 9, and
+    one each). min_cluster_distance is null for clusterings that have none."""
+    low = F.min("min_dist") if "min_dist" in members.columns else F.lit(None).cast("double")
+    out = members.groupBy("clustering_id").agg(low.alias("min_cluster_distance"), F.countDistinct("cluster_id").alias("number_of_clusters"))
+    out = out.join(model_columns(baseline, "baseline", options), "clustering_id")
+    for name, rows in (beside or {}).items():
+        out = out.join(model_columns(rows, name, options, errors=False), "clustering_id")
+    out = out.join(model_columns(model, "model", options), "clustering_id")
+    test = lambda df, p: statistics.weighted(df.where("not training"), ["clustering_id", "trial"], options.equal_clusters).select("clustering_id", "trial", "complex_id", "observed", "w", F.col("predicted").alias(p))
+    both = test(model, "m").join(test(baseline, "b").drop("observed", "w"), ["clustering_id", "trial", "complex_id"])
+    err = lambda p: F.sum(F.col("w") * (F.col("observed") - F.col(p)) * (F.col("observed") - F.col(p)))
+    r2 = both.groupBy("clustering_id", "trial").agg((1 - F.try_divide(err("m"), err("b"))).alias("r2")).groupBy("clustering_id")
+    r2 = r2.agg(F.avg("r2").alias("ave_model_R2(baseline)"), *([F.stddev_pop("r2").alias("stdev_model_R2(baseline)")] if options.trials > 1 else []))
+    return out.join(r2, "clustering_id").orderBy("clustering_id").drop("clustering_id")
+
+
+def preamble(spark: SparkSession, options: Options, counted: DataFrame | None) -> DataFrame:
+    """(key, value): the options of an experiment, and counts of its measurements."""
+    flat = {f"{k}.{j}" if isinstance(v, dict) else k: u for k, v in asdict(options).items() for j, u in (v.items() if isinstance(v, dict) else [("", v)])}
+    out = spark.createDataFrame([(k, str(v)) for k, v in flat.items()], "key string, value string")
+    return out if counted is None else out.unionByName(counted.select(F.concat_ws(".", "property", "value").alias("key"), F.col("n").cast("string").alias("value")))
 
 
 def per_complex(predictions: DataFrame) -> DataFrame:
@@ -138,15 +180,47 @@ def composition_vectors(atoms: DataFrame) -> DataFrame:
 
 
 def structure_vectors(atoms: DataFrame, options: Options) -> DataFrame:
-    """(complex_id, features): the distance histogram as one vector."""
+    """(complex_id, features): the options' structural feature as one vector, zeros for
+    complexes without any of it."""
     points = points_of(atoms)
-    types = [r["type"] for r in points.select("type").distinct().collect()]  # element names
-    histogram = features.distance_histogram(points, options.low, options.high, options.bins)
-    vectors_ = features.self_histogram_features(histogram, types, options.bins)
-    width = len(types) * (len(types) + 1) // 2 * options.bins
+    found = feature_vectors(points, atoms, options).withColumnRenamed("complex", "complex_id")
+    width = found.select(F.max(F.size("features"))).first()[0] or 0
     every = points.select(F.col("complex").alias("complex_id")).distinct()
-    none = F.array_repeat(F.lit(0.0), width)
-    return every.join(vectors_.withColumnRenamed("complex", "complex_id"), "complex_id", "left").withColumn("features", F.coalesce("features", none))
+    return every.join(found, "complex_id", "left").withColumn("features", F.coalesce("features", F.array_repeat(F.lit(0.0), width)))
+
+
+def feature_vectors(points: DataFrame, atoms: DataFrame, options: Options) -> DataFrame:
+    """(complex, features) of the feature that the options name."""
+    o, name = options, options.feature
+    residues = residues_of(atoms)
+    typed = points.withColumn("type", F.col("res_type"))
+    pair = ["type_a", "type_b"]
+    if name.startswith("distance_histogram"):
+        types = [r["type"] for r in points.select("type").distinct().collect()]  # element names
+        edges = {"distance_histogram_geometric": features.geometric_edges, "distance_histogram_log": features.log_edges}.get(name)
+        histogram = features.distance_histogram(points, o.low, o.high, o.bins, edges(o.low, o.high, o.bins) if edges else None)
+        return features.self_histogram_features(histogram, types, o.bins)
+    if name == "composition":
+        return composition_vectors(atoms).withColumnRenamed("complex_id", "complex")
+    if name == "minimum_distance":
+        long = features.long_form(features.minimum_distance_histogram(points, o.low, o.high, o.bins), ["type", "bin"], ["n"])
+    elif name == "adjacent_pairs":
+        long = features.long_form(features.adjacent_pairs(residues, ["side", "res_no", "type"]), ["first", "second"], ["n"])
+    elif name == "adjacency":
+        table = features.adjacency(points, o.self_reach, o.other_reach, o.self_most, o.other_most)
+        long = features.long_form(table.withColumnsRenamed({"self_n": "self_bin", "other_n": "other_bin"}), ["type", "self_bin", "other_bin"], ["n"])
+    elif name == "distance_sums":
+        long = features.long_form(features.distance_sums(points, o.high), pair, ["inverse", "inverse_square"])
+    elif name == "power_sums":
+        long = features.long_form(features.power_sums(points, o.high), pair, [f"sum_{k}" for k in range(4)])
+    elif name == "contact_weights":
+        long = features.long_form(features.contact_weights(typed, o.other_reach, o.high), pair, ["weight"])
+    elif name == "residue_contacts":
+        long = features.long_form(features.residue_contacts(typed, o.other_reach), pair, ["n"])
+    else:
+        table = features.hydrogen_bonds(features.hydrogen_triples(points))
+        long = features.long_form(table, ["donor_type", "acceptor_type", "angle_bin", "distance_bin"], ["n"])
+    return features.as_vectors(long)
 
 
 def build_clusters(atoms: DataFrame, options: Options) -> DataFrame:
@@ -173,11 +247,13 @@ def run(spark: SparkSession, options: Options) -> dict[str, DataFrame]:
         raise ValueError("structures are needed, and affinity unless a control stands for it")
     read = keep(structures.read_structures(spark, options.structures, options.reading))
     atoms = structures.usable(read)
+    if options.without_type:
+        atoms = atoms.where(F.col("atom_type") != options.without_type)
     out = {"rejected": structures.rejected(read), "inventory": features.inventory(points_of(atoms))}
     if options.histograms:
         histogram = features.distance_histogram(points_of(atoms), options.low, options.high, options.bins)
         sinks.write_histograms(histogram, options.bins, options.histograms)
-    scores, replace = external_scores(spark, options)
+    scores, only = external_scores(spark, options)
     if options.affinity:
         measured = filter_affinity(smallest(tables.read_affinity(spark, options.affinity)), options)
         measured, out["unmatched"] = restrict(measured, "accession", (atoms, "complex_id"), (scores, "complex_id"))
@@ -202,13 +278,20 @@ def run(spark: SparkSession, options: Options) -> dict[str, DataFrame]:
     members = keep(clustering.keep_measured(members, response))
     structural = structure_vectors(atoms, options)
     if scores is not None:
-        structural = vectors.append_scores(structural, scores, "complex_id", replace)
+        structural = vectors.append_scores(structural, scores, "complex_id", only)
     rows = keep(structural.join(response, "complex_id"))
     base = keep(composition_vectors(atoms).join(response, "complex_id"))
     baseline = keep(cross_validate(members, base, options, "forest"))
-    model = keep(cross_validate(members, rows, options))
-    out |= {"clusters": members, "baseline": baseline, "model": model, "statistics": report(members, model, baseline, options), "complexes": per_complex(model)}
+    fits = {}
+    for kind in dict.fromkeys((options.model, *options.beside)):
+        # Least squares fits power sums, as sums of pairwise terms.
+        table = keep(structure_vectors(atoms, replace(options, feature="power_sums")).join(response, "complex_id")) if kind == "linear" and not only else rows
+        fits[kind] = keep(cross_validate(members, table, options, kind))
+    model = fits[options.model]
+    beside = {kind: fits[kind] for kind in ("linear", "nn") if kind in options.beside}
+    out |= {"clusters": members, "baseline": baseline, "model": model, "beside": beside, "statistics": report(members, model, baseline, options, beside), "complexes": per_complex(model)}
+    out["preamble"] = preamble(spark, options, out.get("counts"))
     if options.output:
-        for name in ("statistics", "complexes"):
+        for name in ("preamble", "statistics", "complexes"):
             sinks.write_report(out[name], f"{options.output}/{name}")
     return out
