@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from .plans import evaluation, views
 from .plans.options import Options
 from .plans.views import ATOMS, MEASURED, MEMBERS, PAIRS, PLACES, SEQUENCES, near
 from .sources import structures, tables
+from .store import keep, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -207,14 +209,7 @@ triple AS (SELECT n.complex, n.donor_type, a.type AS acceptor_type, sqrt((n.dx -
 angled AS (SELECT *, pi() - acos(greatest(-1.0, least(1.0, dot / sqrt(norm)))) AS angle FROM triple)
 SELECT complex, donor_type, acceptor_type, least(floor((angle - 0.5) / (pi() - 0.5) * 10), 9)::int AS angle_bin, least(floor((d - 1) / 4 * 10), 9)::int AS distance_bin, count(*) AS n FROM angled WHERE d BETWEEN 1 AND 5 AND angle >= 0.5 GROUP BY ALL""")
 def hydrogen_bonds(spark, sf_dir):
-    p = views.places(spark, sf_dir)
-    heavy = p.where("type <> 'H'")
-    own = spatial.pairs_within(p.where("type = 'H'"), heavy, 3.0, ["complex", "side"]).where("d > 0")
-    xyz = lambda p: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in "xyz"])
-    donor = own.groupBy("complex", "side", "a_serial").agg(F.min(F.struct("d", "b_serial", xyz("b").alias("at"), "b_type")).alias("m"), F.first(xyz("a")).alias("h"))
-    hydrogens = donor.select("complex", (3 - F.col("side")).alias("side"), "h.*", F.col("m.at").alias("donor"), F.col("m.b_type").alias("donor_type"))
-    triples = spatial.pairs_within(hydrogens, heavy, 5.0, ["complex", "side"]).where("d > 0")
-    return features.hydrogen_bonds(triples.select("complex", F.col("a_donor").alias("d"), xyz("a").alias("h"), xyz("b").alias("a"), F.col("a_donor_type").alias("donor_type"), F.col("b_type").alias("acceptor_type")))
+    return features.hydrogen_bonds(features.hydrogen_triples(views.places(spark, sf_dir)))
 
 
 # -- vectors ---------------------------------------------------------------------------
@@ -331,10 +326,15 @@ def components_at_threshold(spark, sf_dir):
     return clustering.components_at(vectors.distance_matrix(views.vectors(spark, sf_dir)), 1.12)
 
 
-@query()
+# One node after another joins the tree, each by its least distance to those in it.
+@query("""WITH RECURSIVE node AS (SELECT embedding::double[] AS e, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings), line AS (SELECT a.i, list(list_distance(a.e, b.e) ORDER BY b.i) AS far FROM node a, node b GROUP BY a.i),
+grown AS (SELECT list_transform(far, lambda x, j: CASE WHEN j > 1 THEN x END) AS best, NULL::double AS d FROM line WHERE i = 1
+UNION ALL SELECT list_transform(best, lambda x, j: CASE WHEN x IS NOT NULL AND j <> i THEN least(x, far[j]) END), least_ FROM (SELECT best, list_min(best) AS least_, list_position(best, list_min(best)) AS spot FROM grown WHERE list_min(best) IS NOT NULL) s JOIN line ON i = spot),
+edge AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS k, lag(d) OVER (ORDER BY d) AS prior FROM grown WHERE d IS NOT NULL), cut AS (SELECT *, (SELECT count(*) FROM node) AS n FROM edge)
+SELECT row_number() OVER (ORDER BY d)::int - 1 AS clustering_id, round(d, 6) AS min_dist, n - k AS clusters, n AS members FROM cut WHERE n - k >= 5 AND (prior IS NULL OR d > prior)""")
 def single_linkage(spark, sf_dir):
     out = clustering.single_linkage(vectors.distance_matrix(views.vectors(spark, sf_dir)), 5)
-    return out.groupBy("clustering_id").agg(F.first("min_dist").alias("min_dist"), F.countDistinct("cluster_id").alias("clusters"), F.count("*").alias("members"))
+    return rounded(out.groupBy("clustering_id").agg(F.first("min_dist").alias("min_dist"), F.countDistinct("cluster_id").alias("clusters"), F.count("*").alias("members")), "min_dist")
 
 
 # -- cross-validation --------------------------------------------------------------------
@@ -364,9 +364,27 @@ def best_split(spark, sf_dir):
     return crossval.best_splits(rows, 5, ["g"]).withColumn("sse", F.round(F.col("sse") / 1e6, 0))
 
 
-@query()
+def _permuted(name: str, rows: str, by: tuple[str, ...], permutations: int, seed: int) -> str:
+    """CTEs that end in `name` (*by, r, p, hits), as `statistics.permutation_p` of `rows`."""
+    g, n = "".join(f"{c}, " for c in by), name
+    on = lambda a, b, *more: " AND ".join(f"{a}.{c} = {b}.{d}" for c, d in [*((c, c) for c in by), *more])
+    h = lambda what, *parts: _MD5.format(f"'{what}:{seed}'" + "".join(f" || ':' || {p}" for p in parts))
+    r = "(sum(o * q) - sum(o) * sum(q) / count(*)) / nullif(sqrt(greatest(sum(o * o) - sum(o) * sum(o) / count(*), 0) * greatest(sum(q * q) - sum(q) * sum(q) / count(*), 0)), 0)"
+    own = [f"a.{c}" for c in by]
+    return f"""{n}_size AS (SELECT {g}cluster, count(*) AS n, row_number() OVER ({f"PARTITION BY {', '.join(by)} " if by else ""}ORDER BY cluster) AS slot FROM {rows} GROUP BY {g}cluster),
+{n}_run AS (SELECT * FROM {n}_size, range({permutations}) t(perm)),
+{n}_place AS (SELECT *, row_number() OVER (PARTITION BY {g}cluster ORDER BY observed, predicted) - 1 AS pos FROM {rows}),
+{n}_deal AS (SELECT {g}perm, row_number() OVER (PARTITION BY {g}perm ORDER BY {h("p", *by, "perm", "cluster")}, cluster) AS slot, cluster AS src, n AS src_n FROM {n}_run),
+{n}_draw AS (SELECT a.*, b.src, b.src_n, unnest(range(1, least(n, src_n) + {h("n", *own, "a.perm", "a.slot")} % (greatest(n, src_n) - least(n, src_n) + 1) + 1)) AS k FROM {n}_run a JOIN {n}_deal b ON {on("a", "b", ("perm", "perm"), ("slot", "slot"))}),
+{n}_pick AS (SELECT *, {h("o", *by, "perm", "slot", "k")} % src_n AS x, {h("q", *by, "perm", "slot", "k")} % n AS y FROM {n}_draw),
+{n}_pair AS (SELECT {"".join(f"{c}, " for c in own)}a.perm, b.observed AS o, c.predicted AS q FROM {n}_pick a JOIN {n}_place b ON {on("a", "b", ("src", "cluster"), ("x", "pos"))} JOIN {n}_place c ON {on("a", "c", ("cluster", "cluster"), ("y", "pos"))}),
+{n}_each AS (SELECT {g}{r} AS drawn FROM {n}_pair GROUP BY {g}perm), {n}_real AS (SELECT {g}{r.replace("o)", "observed)").replace("q)", "predicted)").replace("(o ", "(observed ").replace("(q ", "(predicted ")} AS r FROM {rows} {f"GROUP BY {', '.join(by)}" if by else ""}),
+{n} AS (SELECT {"".join(f"a.{c}, " for c in by)}any_value(r) AS r, count(*) FILTER (abs(drawn) >= abs(r)) / {float(permutations)}::double AS p, count(*) FILTER (abs(drawn) >= abs(r)) AS hits FROM {n}_each a JOIN {n}_real b ON {on("a", "b") or "true"} {f"GROUP BY {', '.join(f'a.{c}' for c in by)}" if by else ""})"""
+
+
+@query(f"WITH v AS (SELECT s_acctbal AS observed, (s_suppkey % 97)::double AS predicted, s_nationkey AS cluster FROM supplier), {_permuted('found', 'v', (), 200, 1)} SELECT round(r, 6) AS r, p, hits FROM found")
 def permutation_p(spark, sf_dir):
-    v = views.table(spark, sf_dir, "supplier").join(views.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    v = views.table(spark, sf_dir, "supplier")
     rows = v.select(F.col("s_acctbal").alias("observed"), (F.col("s_suppkey") % 97).cast("double").alias("predicted"), F.col("s_nationkey").alias("cluster"))
     return rounded(statistics.permutation_p(rows, 200, 1), "r")
 
@@ -382,7 +400,16 @@ def forest_cross_validation(spark, sf_dir):
     return rounded(_cross_validated(spark, sf_dir, "forest").where("not training"), "predicted")
 
 
-@query()
+def _neighbours(name: str, members: str, k: int, trials: int, fold: int, seed: int = 1) -> str:
+    """CTEs that end in `name`: cross-validated means of the k nearest training rows."""
+    order = _MD5.format(f"'{seed}:' || trial || ':' || cluster_id")
+    return f"""{name}_fold AS (SELECT *, (row_number() OVER (PARTITION BY clustering_id, trial ORDER BY {order}, cluster_id) - 1) % {fold} AS fold FROM (SELECT DISTINCT clustering_id, cluster_id FROM {members}), range({trials}) t(trial)),
+{name}_row AS (SELECT m.clustering_id, trial::int AS trial, fold::int AS fold, m.cluster_id AS cluster, m.complex_id, e.embedding::double[] AS v, e.label::double AS observed FROM {members} m JOIN {name}_fold USING (clustering_id, cluster_id) JOIN embeddings e ON e.vec_id = m.complex_id),
+{name}_near AS (SELECT a.* EXCLUDE v, b.observed AS other, row_number() OVER (PARTITION BY a.clustering_id, a.trial, a.complex_id ORDER BY list_distance(a.v, b.v), b.complex_id) AS r FROM {name}_row a JOIN {name}_row b ON a.clustering_id = b.clustering_id AND a.trial = b.trial AND a.fold <> b.fold),
+{name} AS (SELECT clustering_id, trial, fold, cluster, complex_id, observed, avg(other) AS predicted FROM {name}_near WHERE r <= {k} GROUP BY ALL)"""
+
+
+@query(f"WITH {MEMBERS}, fine AS (SELECT * FROM member WHERE clustering_id = 0), {_neighbours('found', 'fine', 5, 2, 5)} SELECT * REPLACE (round(predicted, 6) AS predicted), false AS training FROM found")
 def neighbour_cross_validation(spark, sf_dir):
     return rounded(_cross_validated(spark, sf_dir, "nn").where("not training"), "predicted")
 
@@ -392,6 +419,119 @@ def linear_cross_validation(spark, sf_dir):
     return evaluation.trial_statistics(_cross_validated(spark, sf_dir, "linear"))
 
 
+_CV = {name: _neighbours(name, "member", k, 2, 2) for name, k in (("baseline", 3), ("model", 7))}
+_BY = ("clustering_id", "trial")
+
+
+def _columns(n: str) -> str:
+    """CTE `<n>_columns`: the report's columns of one model."""
+    r2 = "1 - sum((observed - predicted) * (observed - predicted)) / (sum(observed * observed) - sum(observed) * sum(observed) / count(*))"
+    each = f"{n}_trial AS (SELECT clustering_id, trial, sqrt(avg((observed - predicted) * (observed - predicted))) AS rmse, {r2} AS r2 FROM {n} GROUP BY ALL)"
+    both = lambda c, name: f'avg({c}) AS "ave_{n}_{name}", stddev_pop({c}) AS "stdev_{n}_{name}"'
+    return f"{each}, {n}_columns AS (SELECT clustering_id, {both('r', 'r')}, avg(p) AS {n}_p_value, {both('rmse', 'RMSE')}, {both('r2', 'R2')} FROM {n}_trial JOIN {n}_p USING (clustering_id, trial) GROUP BY 1)"
+
+
+_REPORTED = [f"{s}_{n}_{c}" for n in ("baseline", "model") for c in ("r", "RMSE", "R2") for s in ("ave", "stdev")] + ["ave_model_R2(baseline)", "stdev_model_R2(baseline)"]
+
+
+@query(f"""WITH {MEMBERS}, {_CV["baseline"]}, {_CV["model"]}, {_permuted("baseline_p", "baseline", _BY, 30, 1)}, {_permuted("model_p", "model", _BY, 30, 1)}, {_columns("baseline")}, {_columns("model")},
+against AS (SELECT clustering_id, trial, 1 - sum((m.observed - m.predicted) * (m.observed - m.predicted)) / sum((b.observed - b.predicted) * (b.observed - b.predicted)) AS x FROM model m JOIN baseline b USING (clustering_id, trial, complex_id) GROUP BY 1, 2),
+rival AS (SELECT clustering_id, avg(x) AS "ave_model_R2(baseline)", stddev_pop(x) AS "stdev_model_R2(baseline)" FROM against GROUP BY 1), size AS (SELECT clustering_id, min(min_dist) AS min_cluster_distance, count(DISTINCT cluster_id) AS number_of_clusters FROM member GROUP BY 1)
+SELECT min_cluster_distance, number_of_clusters, baseline_p_value, model_p_value, {", ".join(f'round("{c}", 5) AS "{c}"' for c in _REPORTED)} FROM size JOIN baseline_columns USING (clustering_id) JOIN model_columns USING (clustering_id) JOIN rival USING (clustering_id)""")
+def report(spark, sf_dir):
+    rows = views.vectors(spark, sf_dir).select(F.col("id").alias("complex_id"), F.col("vector").alias("features"), "response")
+    members = views.members(spark, sf_dir)
+    options = Options(trials=2, fold=2, permutations=30, model="nn", neighbours=7)
+    fit = lambda k: keep(evaluation.cross_validate(members.drop("min_dist"), rows, replace(options, neighbours=k)))
+    table = evaluation.report(members, fit(7), fit(3), options)
+    return table.withColumns({c: F.round(F.col(f"`{c}`"), 5) for c in _REPORTED})
+
+
+@query(f"WITH {MEMBERS}, {_neighbours('found', 'member', 5, 2, 2)} SELECT complex_id, any_value(observed) AS observed, round(avg(predicted), 6) AS mean, round(stddev_pop(predicted), 6) AS sd FROM found GROUP BY 1")
+def complexes_report(spark, sf_dir):
+    rows = views.vectors(spark, sf_dir).select(F.col("id").alias("complex_id"), F.col("vector").alias("features"), "response")
+    fits = evaluation.cross_validate(views.members(spark, sf_dir).drop("min_dist"), rows, Options(trials=2, fold=2, model="nn"))
+    return rounded(evaluation.per_complex(fits), "mean", "sd")
+
+
+# -- sources -----------------------------------------------------------------------------
+
+
+def _written(spark: SparkSession, rows: DataFrame, *head: str) -> str:
+    """Path of one text file of rows (value), below the lines `head`, in order."""
+    path = new_path(spark)
+    first = spark.createDataFrame([(i, line) for i, line in enumerate(head)], "at int, value string")
+    both = rows.select(F.lit(len(head)).alias("at"), "value").unionByName(first)
+    both.repartition(1).sortWithinPartitions("at", "value").select("value").write.text(path)
+    return path
+
+
+@query(f"""WITH {PLACES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY complex ORDER BY side, type, x, y, z) AS n FROM place), two AS (SELECT complex FROM place GROUP BY complex HAVING count(DISTINCT side) = 2)
+SELECT complex::varchar AS complex_id, side, CASE side WHEN 1 THEN 'A' ELSE 'B' END AS chain, ((n - 1) // 4 + 1)::int AS res_no, CASE first_value(type) OVER (PARTITION BY complex, side, (n - 1) // 4 ORDER BY n) WHEN 'A' THEN 'ALA' WHEN 'N' THEN 'MET' ELSE 'UNKNOWN' END AS res_type, n::int AS serial, type AS atom_type, x + 0.125 AS x, -y AS y, z + 0.5 AS z, 5.25 AS bfactor, false AS hetero FROM numbered WHERE complex IN (FROM two)""")
+def structure_files(spark, sf_dir):
+    p = views.places(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("complex").orderBy("side", "type", "x", "y", "z")))
+    name = F.when(F.col("type") == "A", "ALA").when(F.col("type") == "N", "MSE").otherwise("XYZ")
+    line = F.format_string("ATOM  %5d  CA  %s %s%4d    %8.3f%8.3f%8.3f  1.00  5.25          %2s  ", "n", name, F.when(F.col("side") == 1, "A").otherwise("B"), F.floor((F.col("n") - 1) / 4) + 1, F.col("x") + 0.125, -F.col("y"), F.col("z") + 0.5, "type")
+    files = p.groupBy(F.col("complex").cast("string").alias("complex_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda r: r["line"]), "\n").alias("value"))
+    return structures.usable(structures.parse_structures(files))
+
+
+@query("""SELECT o_orderkey::varchar AS accession, CASE o_orderkey % 4 WHEN 0 THEN 'KD' WHEN 1 THEN 'KI' WHEN 2 THEN 'IC50' ELSE 'SCORE' END AS affinity_type, CASE o_orderkey % 3 WHEN 0 THEN '=' WHEN 1 THEN '<' ELSE '~' END AS affinity_match, CASE WHEN o_orderkey % 4 = 3 THEN round(o_totalprice, 2) ELSE round(ln(round(o_totalprice, 2)), 6) END AS value,
+CASE WHEN o_orderkey % 2 = 0 THEN 'XRAY' ELSE 'NMR' END AS structure_type, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 30 + 1)::double END AS resolution, year(o_orderdate)::int AS year, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 5)::double END AS ph, round(CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN o_orderkey % 40 + 273.15 ELSE 298.5 END::double, 2) AS temperature FROM orders""")
+def affinity_file(spark, sf_dir):
+    k, o = F.col("o_orderkey"), views.table(spark, sf_dir, "orders")
+    pick = lambda m, *names: F.element_at(F.array(*map(F.lit, names)), (k % m + 1).cast("int"))
+    fields = [k, F.when(k % 2 == 0, F.concat(F.lit("X-RAY="), k % 30 + 1)).otherwise("NMR"), F.year("o_orderdate"), pick(4, "Kd", "Ki", "IC50", "score"), pick(3, "=", "<", "~"), F.col("o_totalprice").cast("decimal(15,2)"), F.when(k % 5 > 0, k % 5).otherwise(F.lit(None)), F.when(k % 7 == 0, F.lit(None).cast("double")).when(k % 2 == 0, (k % 40).cast("double")).otherwise(298.5)]
+    line = F.concat(F.array_join(F.array(*[F.coalesce(f.cast("string"), F.lit("")) for f in fields]), ","), F.when(k % 11 == 0, F.lit(" # see, below")).otherwise(""))
+    path = _written(spark, o.select(line.alias("value")), "# measurements", "accession,structure_format,year,affinity_type,affinity_match,affinity_value,structure_pH,structure_Temperature", "a line without fields")
+    return tables.read_affinity(spark, path).withColumns({"value": F.round("value", 6), "temperature": F.round("temperature", 2)})
+
+
+@query("SELECT c_custkey::varchar AS complex_id, 2 AS n, round(c_acctbal::float::double, 1) AS first, c_nationkey::double AS last FROM customer")
+def score_file(spark, sf_dir):
+    c = views.table(spark, sf_dir, "customer")
+    path = _written(spark, c.select(F.concat_ws(",", "c_custkey", F.col("c_acctbal").cast("decimal(15,2)"), "c_nationkey").alias("value")), "# scores")
+    s = tables.read_scores(spark, path)
+    return s.select("complex_id", F.size("scores").alias("n"), F.round(F.col("scores")[0].cast("double"), 1).alias("first"), F.element_at("scores", -1).cast("double").alias("last"))
+
+
+@query("SELECT 'S' || s_suppkey AS complex_id, 2 AS n, round(s_acctbal::float::double, 1) AS first, s_nationkey::double AS last FROM supplier")
+def score_report(spark, sf_dir):
+    c = views.table(spark, sf_dir, "supplier")
+    path = _written(spark, c.select(F.concat(F.lit("SCORE:   "), F.col("s_acctbal").cast("decimal(15,2)"), F.lit("  "), F.col("s_nationkey"), F.lit(" S"), F.col("s_suppkey"), F.lit("_0001")).alias("value")), "SEQUENCE: ", "SCORE: total nation description")
+    s = tables.read_score_report(spark, path)
+    return s.select("complex_id", F.size("scores").alias("n"), F.round(F.col("scores")[0].cast("double"), 1).alias("first"), F.element_at("scores", -1).cast("double").alias("last"))
+
+
+@query(_SQL["cluster_file_round_trip"])
+def cluster_file(spark, sf_dir):
+    path = new_path(spark)
+    sinks.write_clusters(views.members(spark, sf_dir), path)
+    return tables.read_clusters(spark, path).select(F.col("clustering_id").cast("int").alias("clustering_id"), "min_dist", "cluster_id", "complex_id")
+
+
+@query("WITH f AS (SELECT page_id, unnest(range(1, 4)) AS k FROM pages) SELECT page_id::varchar AS complex_id, chain, 20 AS n, CASE chain WHEN 'A' THEN 'ALA' ELSE 'GLY' END AS first FROM (SELECT DISTINCT page_id FROM f), (VALUES ('A'), ('B')) c(chain)")
+def declared_residues(spark, sf_dir):
+    t = views.table(spark, sf_dir, "pages")
+    line = lambda k, chain, name: F.format_string(f"SEQRES {k:>3} {chain} %4d  {' '.join([name] * 10)}", F.lit(20))
+    text = F.concat_ws("\n", F.lit("HEADER"), line(1, "A", "ALA"), line(2, "A", "SER"), line(1, "B", "GLY"), line(2, "B", "TRP"))
+    out = structures.declared_residues(t.select(F.col("page_id").cast("string").alias("complex_id"), text.alias("value")))
+    return out.select("complex_id", "chain", F.size("residues").alias("n"), F.element_at("residues", 1).alias("first"))
+
+
+@query(f"""WITH {PLACES}, near AS (SELECT a.complex, a.side, a.serial, min({near('a', 'b')}) AS d FROM place a JOIN place b ON a.complex = b.complex AND a.side <> b.side WHERE {near('a', 'b')} <= 6 GROUP BY ALL)
+SELECT p.complex, p.type, CASE WHEN d IS NULL THEN 2 WHEN d <= 0 THEN 0 ELSE ceil(d / 2)::int - 1 END AS bin, count(*) AS n FROM place p LEFT JOIN near USING (complex, side, serial) GROUP BY ALL""")
+def minimum_distances(spark, sf_dir):
+    return features.minimum_distance_histogram(views.places(spark, sf_dir), 0.0, 6.0, 3)
+
+
+@query(f"WITH {ATOMS} SELECT complex, min(x + 1) AS min_x, max(x + 1) AS max_x, min(0 - z) AS min_y, max(0 - z) AS max_y, min(y) AS min_z, max(y) AS max_z FROM atom WHERE type <> 'N' GROUP BY complex")
+def moved_bounds(spark, sf_dir):
+    """Bounds after a rotation about the first axis and a shift, without one type."""
+    moved = spatial.transform(spatial.without_type(views.atoms(spark, sf_dir), "N"), [[1, 0, 0], [0, 0, -1], [0, 1, 0]], [1.0, 0.0, 0.0])
+    return spatial.bounds(moved)
+
+
 # -- sequences ---------------------------------------------------------------------------
 
 _DIAGONAL = " ".join(f"WHEN '{a}' THEN {v}" for (a, b), v in sorted(substitution_scores().items()) if a == b)
@@ -411,8 +551,8 @@ def reverse_complement(spark, sf_dir):
 def _aligned(spark, sf_dir, **how):
     s = views.sequences(spark, sf_dir)
     # Each with the next: the number of alignments is that of the rows.
-    after = F.lead("sequence").over(Window.orderBy("item_id"))
-    return alignment.pair_scores(s.select("item_id", F.col("sequence").alias("query"), after.alias("target")), "query", "target", **how)
+    after = s.select((F.col("item_id") - 1).alias("item_id"), F.col("sequence").alias("target"))
+    return alignment.pair_scores(s.withColumnRenamed("sequence", "query").join(after, "item_id", "left"), "query", "target", **how)
 
 
 @query()

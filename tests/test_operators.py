@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from tessera.functions.residues import PROPERTIES, substitution_scores
 from tessera.operators import alignment, clustering, crossval, features, regression, spatial, statistics, vectors
-from tessera.plans import evaluation
+from tessera.plans import evaluation, options
 from tessera.plans.options import Options
 
 
@@ -216,7 +216,7 @@ def test_statistics(spark):
     real = statistics.permutation_p(df.withColumn("predicted", df.observed), 40, 1).first()
     assert real.r == pytest.approx(1.0) and real.p == 0.0
     assert statistics.permutation_p(df, 40, 1).first() == statistics.permutation_p(df, 40, 1).first()
-    assert statistics.permutation_p(df, 0, 1).first().p is None
+    assert statistics.permutation_p(df, 0, 1).first().p == -1.0 and statistics.permutation_p(df.where("cluster = 1"), 5, 1).first().p is None
     with pytest.raises(Exception, match="differ"):
         other = df.withColumn("id", df.cluster).limit(1)
         statistics.r2_against(other, other.withColumn("observed", other.observed + 1), "id").collect()
@@ -234,7 +234,7 @@ def test_neighbours(spark):
 
 
 def test_options_are_checked():
-    for bad in ({"bins": 0}, {"low": 5.0, "high": 4.0}, {"fold": 1}, {"years": (2000, 1999)}, {"model": "x"}, {"forest": regression.ForestOptions(data_bag=0)}, {"scores": "a", "only_scores": "b"}):
+    for bad in ({"bins": 0}, {"low": 5.0, "high": 4.0}, {"fold": 1}, {"feature": "x"}, {"feature": "distance_histogram_log", "low": 0.0}, {"permutations": 1}, {"years": (2000, 1999)}, {"model": "x"}, {"forest": regression.ForestOptions(data_bag=0)}, {"scores": "a", "only_scores": "b"}):
         with pytest.raises(ValueError):
             Options(**bad)
 
@@ -250,11 +250,13 @@ def test_experiment(spark, tmp_path):
         lines.append(f"{k:02}xy,NMR,2009,Kd,=,{10.0 ** -(4 + k % 5)}")
     (tmp_path / "aff.csv").write_text("\n".join([HEADER.rsplit(",", 2)[0], *lines, "zzzz,NMR,2009,Kd,=,1e-3"]))
     (tmp_path / "s.csv").write_text("\n".join(f"{k:02}xy,{k}" for k in range(12)))
-    common = dict(structures=str(tmp_path), affinity=str(tmp_path / "aff.csv"), trials=2, fold=3, forest=regression.ForestOptions(trees=3), low=0.0, high=6.0, bins=2)
-    out = evaluation.run(spark, Options(cluster_by="composition", clusters=str(tmp_path / "clusters"), scores=str(tmp_path / "s.csv"), output=str(tmp_path / "report"), histograms=str(tmp_path / "hist"), **common))
+    common = dict(structures=str(tmp_path), affinity=str(tmp_path / "aff.csv"), trials=2, fold=3, permutations=20, forest=regression.ForestOptions(trees=3, stratified=True), low=0.0, high=6.0, bins=2)
+    out = evaluation.run(spark, Options(cluster_by="composition", clusters=str(tmp_path / "clusters"), scores=str(tmp_path / "s.csv"), output=str(tmp_path / "report"), histograms=str(tmp_path / "hist"), beside=("linear", "nn"), **common))
     assert [r.accession for r in out["unmatched"].collect()] == ["zzzz"] and out["complexes"].count() == 12
     table = out["statistics"].collect()
-    assert table and table[0].clusters == 12 and all(r.model_rmse_mean > 0 for r in table)
+    assert table and table[0].number_of_clusters == 12 and all(r.ave_model_RMSE > 0 and 0 <= r.model_p_value <= 1 for r in table)
+    assert len(out["statistics"].columns) == 18 + 6 and {"linear_p_value", "ave_nn_r", "stdev_nn_r", "ave_model_R2(baseline)"} <= set(out["statistics"].columns)
+    assert {r.key: r.value for r in out["preamble"].collect()}["affinity_type.KD"] == "12"
     assert spark.read.csv(str(tmp_path / "report/statistics"), header=True, sep="\t").count() == len(table)
     assert (tmp_path / "hist/complex_id=00xy").exists()
     again = evaluation.run(spark, Options(clusters=str(tmp_path / "clusters"), model="nn", only_scores=str(tmp_path / "s.csv"), neighbours=2, **common))
@@ -262,3 +264,69 @@ def test_experiment(spark, tmp_path):
     for control in ({"random_affinity": True}, {"surrogate_affinity": True, "model": "linear"}):
         out = evaluation.run(spark, Options(clusters=str(tmp_path / "clusters"), **{**common, "affinity": None, "trials": 1}, **control))
         assert out["complexes"].count() == 12
+    assert len(out["statistics"].columns) == 9
+    atoms = evaluation.structures.usable(evaluation.structures.read_structures(spark, str(tmp_path)))
+    for name in options.FEATURES:
+        vectors_ = evaluation.structure_vectors(atoms, Options(feature=name, low=0.5, high=6.0, bins=2)).collect()
+        assert len(vectors_) == 12 and len({len(r.features) for r in vectors_}) == 1 and any(any(r.features) for r in vectors_), name
+
+
+@pytest.mark.parametrize("crowd", [3, 20_000])
+def test_crowded_cells_are_dealt_over_salts(spark, monkeypatch, crowd):
+    monkeypatch.setattr(spatial, "CROWD", crowd)
+    rows, df = points(spark, 90, spread=3.0)
+    got = sorted((r.a_serial, r.b_serial) for r in spatial.cross_pairs(df, 1.5).collect())
+    assert got == sorted((a[6], b[6]) for a in rows for b in rows if a[0] == b[0] and a[1] == 1 and b[1] == 2 and far(a, b) <= 1.5)
+
+
+def test_stratified_bags_take_clusters_in_turn():
+    clusters = np.array([0] * 50 + [1] * 3 + [2] * 3)
+    for size, want in ((6, [2, 2, 2]), (9, [3, 3, 3]), (20, [14, 3, 3])):
+        rows = regression.bag(np.random.default_rng(1), 56, size, clusters)
+        assert len(set(rows)) == size and np.bincount(clusters[rows]).tolist() == want
+
+
+def test_alignment_of_tables(spark):
+    df = spark.createDataFrame([(1, "GGGWWWGGG", "DDWWWDD"), (2, None, "A"), (3, "", "A")], "id int, q string, t string")
+    out = {r.id: r for r in alignment.pair_scores(df, "q", "t", ranges=True).collect()}
+    assert (out[1].query_start, out[1].query_stop, out[1].target_start, out[1].target_stop) == (3, 5, 2, 4)
+    assert out[2].score is None and out[3].score == -99_999_999
+    na = spark.createDataFrame([("ACGTN", "acgtn")], "q string, t string")
+    assert alignment.pair_scores(na, "q", "t", alphabet="nucleotide", mask_n=True).first().score == 8
+
+
+def slow_tree(x, y, features, leaf):
+    """Predictions by a plain recursion over all thresholds."""
+    if len(y) <= leaf or not (split := slow_split(x[:, features], y, leaf)):
+        return lambda v: y.mean()
+    f, t = features[split[1]], split[2]
+    less = x[:, f] < t
+    left, right = slow_tree(x[less], y[less], features, leaf), slow_tree(x[~less], y[~less], features, leaf)
+    return lambda v: left(v) if v[f] < t else right(v)
+
+
+@pytest.mark.parametrize("model", ["forest", "linear"])
+def test_cross_validation_matches_a_plain_program(spark, model):
+    rng = np.random.default_rng(9)
+    n, x = 40, rng.normal(size=(40, 4))
+    y, cluster = x @ [1.0, 2.0, 0.0, -1.0] + rng.normal(size=40), np.arange(40) % 8
+    rows = spark.createDataFrame([(i, x[i].tolist(), float(y[i])) for i in range(n)], "complex_id long, features array<double>, response double")
+    members = spark.createDataFrame([(0, int(c), i) for i, c in enumerate(cluster)], "clustering_id int, cluster_id int, complex_id long")
+    how = Options(trials=2, fold=4, model=model, forest=regression.ForestOptions(trees=4, leaf=2, feature_bag=0.3))
+    got = evaluation.cross_validate(members, rows, how).collect()
+    for r in got:
+        train = np.array(sorted(q.complex_id for q in got if (q.trial, q.fold) == (r.trial, r.fold) and q.training))
+        if model == "linear":
+            a = x[train]
+            want = x[r.complex_id] @ np.linalg.solve(a.T @ a, a.T @ y[train])
+        else:
+            trees = []
+            for k in range(4):
+                draw = regression.random(1, 0, r.trial, r.fold, k)
+                own = train[np.sort(draw.permutation(len(train))[: len(train) // 2])]
+                features = draw.permutation(4)[:1]  # of several, two may part the rows alike
+                trees.append(slow_tree(x[own], y[own], features, 2)(x[r.complex_id]))
+            want = np.mean(trees)
+        assert abs(r.predicted - want) < 1e-9
+    with pytest.raises(ValueError, match="no features"):
+        evaluation.cross_validate(members, rows.where("complex_id < 30"), how)

@@ -35,7 +35,7 @@ def test_dimer_remarks():
     assert parsed(*REMARK, *move, *TWO, apply_biomt=True)[0][6:9] == (12.0, 1.125, 2.0)
 
 
-@pytest.mark.parametrize("lines, why", [([*TWO, atom(9, "C", 1)], "two chains"), (TWO[:2], "1 chains"), (["ATOM      1"], "short"), ([TWO[0], "CONECT    1"], "CONECT"), ([atom(1, "A", 1, kind="")], "element"), ([TWO[0].replace("1.125", "1.x25")], "number")])
+@pytest.mark.parametrize("lines, why", [([*TWO, atom(9, "C", 1)], "two chains"), (TWO[:2], "1 chains"), (["ATOM      1"], "short"), ([TWO[0][:79]], "short"), ([TWO[0], "CONECT    1"], "CONECT"), ([atom(1, "A", 1, kind="")], "element"), ([TWO[0].replace("1.125", "1.x25")], "number")])
 def test_rejects(lines, why):
     with pytest.raises(S.Rejected, match=why):
         parsed(*lines)
@@ -120,3 +120,14 @@ def test_cluster_files(spark, tmp_path):
         p.write_text(bad)
         with pytest.raises(Exception):  # noqa: B017
             T.read_clusters(spark, str(p)).collect()
+
+
+def test_declared_residues_and_open_access(spark, tmp_path):
+    text = "SEQRES   1 A   15  ALA GLY TRP\nSEQRES   2 A   15  SER\nSEQRES   1 B    1  GLY\nATOM"
+    out = S.declared_residues(spark.createDataFrame([("x", text), ("y", "ATOM"), ("z", None)], "complex_id string, value string")).collect()
+    assert {(r.complex_id, r.chain): r.residues for r in out} == {("x", "A"): ["ALA", "GLY", "TRP", "SER"], ("x", "B"): ["GLY"]}
+    (tmp_path / "oa.csv").write_text("PDB,PMCID\n1abc,PMC1\n\n2abc,PMC2\n")
+    assert [tuple(r) for r in T.read_open_access(spark, str(tmp_path / "oa.csv")).orderBy("accession").collect()] == [("1abc", "PMC1"), ("2abc", "PMC2")]
+    (tmp_path / "bad.csv").write_text("PDB,PMCID\n1abc,PMC1\n1abc,PMC2\n")
+    with pytest.raises(Exception, match="occurs twice"):
+        T.read_open_access(spark, str(tmp_path / "bad.csv")).collect()
