@@ -5,16 +5,20 @@ that add up to a distance: their buckets would hold nearly all pairs. So fingerp
 are wide, and the generalised pigeonhole works to a recall instead: correlated bits are
 grouped into partitions, and dynamic programming gives each its own threshold, or
 none, so that estimated candidates cost least while a pair at the similarity agrees
-within the threshold in some partition with probability `RECALL`. Candidates that the
+within the threshold in some partition with probability `RECALL`. Large tables need
+more and wider partitions than one grouping has bits for; then further groupings of
+the same bits add them, so buckets stay small at every size. Candidates that the
 fingerprints confirm form groups, and whole shingle sets decide within these.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 from itertools import combinations
-from math import acos, ceil, log, pi, sqrt
+from math import acos, ceil, exp, lgamma, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,12 @@ RECALL, ERRORS = 0.996, 3.5
 #: Bits may differ this much more often in sets of few shingles.
 MARGIN = 1.06
 #: Numbers of partitions and thresholds tried, and steps of the recall in the program.
-PARTITIONS, THRESHOLDS, STEPS = (6, 8, 12, 16, 20, 24, 28, 32, 40, 48, 56, 64), (0, 1), 200
+PARTITIONS, THRESHOLDS, STEPS = (6, 8, 12, 14, 16, 18, 20, 22, 24, 28, 32, 36, 40, 44, 48, 56, 64), (0, 1), 200
+#: Numbers of groupings tried, factors on what the program is asked for, as groupings
+#: share their bits, and partitions that each draw of several groupings fills.
+GROUPINGS, FACTORS, DEALT = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256), (1.0, 1.2, 1.5, 2.0, 2.5, 3.0, 4.0), 4
+#: Bits of a bucket's key that hold those of its partition.
+KEY_BITS = 48
 #: Rows of one block; two of them, with their shingles, are in memory together.
 BLOCK = 1024
 #: What turns one hash into each word of a fingerprint.
@@ -140,26 +149,80 @@ def allocate(costs: list[list[float]], gains: list[list[float]], need: float) ->
     return (best[STEPS][0], list(best[STEPS][1])) if STEPS in best else (float("inf"), [])
 
 
+@lru_cache(maxsize=100_000)
+def agreement(width: int, q: float) -> tuple[float, ...]:
+    """P(at most t of `width` bits differ) at each threshold, if each does with q."""
+    return tuple(within([q] * width, max(THRESHOLDS)))
+
+
+def recall(widths: list[int], ts: list[int], groupings: int, q: float) -> float:
+    """Share of the pairs that share a bucket, if each bit differs with q. All groupings
+    see the same bits, so it is that of each distance over all of them, weighed by how
+    many pairs have it."""
+    used = Counter((w, t) for w, t in zip(widths, ts) if t >= 0)
+    total = 0.0
+    for d in range(1, BITS):
+        share = exp(lgamma(BITS + 1) - lgamma(d + 1) - lgamma(BITS - d + 1) + d * log(q) + (BITS - d) * log(1 - q))
+        if share > 1e-7:
+            missed = sum(k * log(max(1 - agreement(w, d / BITS)[t], 1e-300)) for (w, t), k in used.items())
+            total += share * (1 - exp(groupings * missed))
+    return total
+
+
+def grouping(n: int, gram: np.ndarray, parts: int, number: int) -> list[list[int]]:
+    """One of several groupings. Its number deals the bits to draws of a few partitions
+    each, so that groupings differ; correlated bits are grouped within a draw."""
+    bits = np.random.default_rng(number).permutation(len(gram))
+    widths = [len(gram) // parts + (k < len(gram) % parts) for k in range(parts)]
+    out: list[list[int]] = []
+    at = 0
+    for k in range(0, parts, DEALT):
+        draw = bits[at : at + sum(widths[k : k + DEALT])]
+        out += [draw[g].tolist() for g in group_bits(n, gram[np.ix_(draw, draw)], len(widths[k : k + DEALT]))]
+        at += len(draw)
+    return out
+
+
 def plan(n: int, gram: np.ndarray, least: float) -> tuple[list[list[int]], list[int]]:
-    """Partitions of bits and their thresholds."""
+    """Partitions of bits and their thresholds: of one grouping, or of several that all
+    have the thresholds allotted to the first of them for its part of the recall."""
     n = max(n, 2)
-    p, q = np.diag(gram) / n, expected(least)
-    options = []
+    p, q, need = np.diag(gram) / n, expected(least), -log(1 - RECALL)
+
+    def estimates(groups: list[list[int]]) -> tuple[list[list[float]], list[list[float]]]:
+        costs, gains = [], []
+        for g in groups:
+            near = within([2 * p[b] * (1 - p[b]) for b in g], max(THRESHOLDS))
+            hit = agreement(len(g), q)
+            v = [probes(len(g), t) for t in THRESHOLDS]
+            costs.append([ROW_COST * n * v[t] + PAIR_COST * n * (n - 1) / 2 * near[t] * v[t] for t in THRESHOLDS])
+            gains.append([-log(max(1 - hit[t], 1e-12)) for t in THRESHOLDS])
+        return costs, gains
+
+    cost, ts, groups, number = float("inf"), [], [], 1
     for m in PARTITIONS:
-        for bits in {BITS, m * max(2, ceil(log(n, 2)))} if m * 2 <= BITS else {BITS}:
-            if bits > BITS:
-                continue
-            groups = group_bits(n, gram[:bits, :bits], m)
-            costs, gains = [], []
-            for g in groups:
-                near = within([2 * p[b] * (1 - p[b]) for b in g], max(THRESHOLDS))
-                hit = within([q] * len(g), max(THRESHOLDS))
-                v = [probes(len(g), t) for t in THRESHOLDS]
-                costs.append([ROW_COST * n * v[t] + PAIR_COST * n * (n - 1) / 2 * near[t] * v[t] for t in THRESHOLDS])
-                gains.append([-log(max(1 - hit[t], 1e-12)) for t in THRESHOLDS])
-            options.append((*allocate(costs, gains, -log(1 - RECALL)), groups))
-    _, ts, groups = min(options, key=lambda x: x[0])
-    return groups, ts
+        for bits in {BITS, m * max(2, ceil(log(n, 2)))}:
+            if m * 2 <= bits <= min(BITS, m * KEY_BITS):
+                own = group_bits(n, gram[:bits, :bits], m)
+                found = allocate(*estimates(own), need)
+                if found[0] < cost:
+                    (cost, ts), groups, number = found, own, 1
+    for m in PARTITIONS:
+        if BITS > m * KEY_BITS:
+            continue
+        own = grouping(n, gram, m, 0)
+        of, widths = estimates(own), [len(g) for g in own]
+        for k in GROUPINGS:
+            for factor in FACTORS:
+                found = allocate(*of, need * factor / k)
+                if found[0] * k >= cost:
+                    break
+                if recall(widths, found[1], k, q) >= RECALL:
+                    cost, ts, groups, number = found[0] * k, found[1], own, k
+                    break
+    if number > 1:
+        groups = [g for k in range(number) for g in grouping(n, gram, len(ts), k)]
+    return groups, ts * number
 
 
 def _keys(groups: list[list[int]], ts: list[int]):
@@ -168,13 +231,13 @@ def _keys(groups: list[list[int]], ts: list[int]):
     used = [(k, np.array(g), [sum(1 << b for b in c) for j in range(t + 1) for c in combinations(range(len(g)), j)]) for k, (g, t) in enumerate(zip(groups, ts)) if t >= 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096):
+        for b in slices(batches, 1024):
             words = _matrix(b.column(1))
             bits = _unpacked(words).astype(np.int64)
             cols = []
             for k, g, flips in used:
                 own = bits[:, g] @ (np.int64(1) << np.arange(len(g), dtype=np.int64))
-                cols += [np.int64(k) << 56 | own ^ f for f in flips]
+                cols += [np.int64(k) << KEY_BITS | own ^ f for f in flips]
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(words[:, : CONFIRM // 64]), _lists(np.stack(cols, axis=1))], names=["node", "words", "keys"])
 
     return run

@@ -58,7 +58,7 @@ def test_columns_of_any_name_stay(spark):
     assert shingles.one_of_each(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("n", [1000, 100_000, 10_000_000])
+@pytest.mark.parametrize("n", [1000, 100_000, 10_000_000, 10_000_000_000])
 def test_candidates_recall_at_0_8(n):
     """Sets of a similarity of exactly 0.8: nearly all share a bucket and are confirmed."""
     rng = np.random.default_rng(1)
@@ -76,6 +76,30 @@ def test_candidates_recall_at_0_8(n):
     assert hits >= 990
 
 
+def test_pairs_in_buckets_grow_slower_than_the_square():
+    """Pairs compared for each row, by random bits: a thousand times the rows make far
+    less than a thousand times of them, and no more buckets than the exponent allows."""
+    compared, buckets = [], []
+    for n in (10_000_000, 10_000_000_000):
+        gram = np.full((shingles.BITS, shingles.BITS), n / 4)
+        np.fill_diagonal(gram, n / 2)
+        groups, ts = shingles.plan(n, gram, 0.8)
+        used = [(len(g), shingles.probes(len(g), t)) for g, t in zip(groups, ts) if t >= 0]
+        buckets.append(sum(v for _, v in used))
+        compared.append(sum(v * v * n / 2 / 2**w for w, v in used))
+    assert compared[1] < 20 * compared[0] and buckets[1] < 20 * buckets[0] and buckets[0] < 400
+
+
+def test_groupings_differ():
+    gram = np.full((shingles.BITS, shingles.BITS), 250.0)
+    np.fill_diagonal(gram, 500.0)
+    a, b = (shingles.grouping(1000, gram, 20, k) for k in (0, 1))
+    assert list(map(len, a)) == list(map(len, b)) == [26] * 12 + [25] * 8
+    for of in (a, b):
+        assert sorted(i for g in of for i in g) == list(range(shingles.BITS))
+    assert max(len(set(x) & set(y)) for x in a for y in b) < 10
+
+
 def test_thresholds_add_up_to_the_recall():
     assert shingles.allocate([[5.0, 9.0], [1.0, 30.0]], [[1.0, 2.0], [1.0, 1.1]], 2.0)[1] == [0, 0]
     assert shingles.allocate([[50.0, 60.0], [1.0, 30.0]], [[1.0, 2.0], [1.0, 2.0]], 2.0)[1] == [-1, 1]
