@@ -27,10 +27,15 @@ def folder(spark: SparkSession) -> str:
     return (named or LOCAL).rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` and returns it as read again; `drop` removes it, `clear` all of them."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
