@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import sinks
 from .functions import text as texts
 from .functions.residues import substitution_scores
-from .operators import alignment, clustering, crossval, features, regression, spatial, statistics, vectors
+from .operators import alignment, clustering, crossval, features, forests, regression, spatial, statistics, vectors
 from .plans import evaluation, views
 from .plans.options import Options
 from .plans.views import ATOMS, MEASURED, MEMBERS, PAIRS, PLACES, SEQUENCES, near
@@ -400,6 +400,32 @@ def forest_cross_validation(spark, sf_dir):
     return rounded(_cross_validated(spark, sf_dir, "forest").where("not training"), "predicted")
 
 
+def _tree_step(name: str, rows: str, after: str) -> str:
+    """CTEs that split each node of `rows` (path, id, y, f1, ...) once: `name` has the nodes,
+    `after` the rows of their children."""
+    sse = lambda n, s, q: f"({q} - {s} * {s} / {n})"
+    return f"""{name}_cell AS (SELECT path, f, x, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM (SELECT path, y, unnest(range(len(v))) AS f, unnest(v) AS x FROM {rows}) GROUP BY 1, 2, 3),
+{name}_run AS (SELECT path, f, x, lead(x) OVER up AS above, sum(n) OVER up AS ln, sum(s) OVER up AS ls, sum(q) OVER up AS lq, sum(n) OVER g AS n, sum(s) OVER g AS s, sum(q) OVER g AS q FROM {name}_cell WINDOW up AS (PARTITION BY path, f ORDER BY x), g AS (PARTITION BY path, f)),
+{name}_best AS (SELECT path, f, (x + above) / 2 AS threshold, row_number() OVER (PARTITION BY path ORDER BY round(({sse("ln", "ls", "lq")} + {sse("(n - ln)", "(s - ls)", "(q - lq)")}) / {sse("n", "s", "q")}, 9), f, x) AS r FROM {name}_run, leaf WHERE ln >= leaf + 1 AND n - ln >= leaf),
+{name} AS (SELECT a.path, n, f AS feature, threshold, value FROM (SELECT path, count(*) AS n, avg(y) + mean AS value FROM {rows}, leaf GROUP BY path, mean) a LEFT JOIN {name}_best b ON a.path = b.path AND r = 1),
+{after} AS (SELECT a.path || CASE WHEN v[feature + 1] < threshold THEN 'L' ELSE 'R' END AS path, id, y, v FROM {rows} a JOIN {name} b ON a.path = b.path WHERE feature IS NOT NULL)"""
+
+
+@query(f"""WITH leaf AS (SELECT count(*) // 4 AS leaf, avg(o_totalprice) AS mean FROM orders),
+top AS (SELECT '' AS path, o_orderkey AS id, o_totalprice - mean AS y, [(o_custkey % 97)::double, month(o_orderdate)::double, year(o_orderdate)::double, ascii(o_orderstatus)::double] AS v FROM orders, leaf),
+{_tree_step("one", "top", "second")}, {_tree_step("two", "second", "third")}, {_tree_step("three", "third", "rest")}
+SELECT path, n, feature::int AS feature, threshold, round(value, 4) AS value FROM (FROM one UNION ALL FROM two UNION ALL FROM three)""")
+def regression_tree(spark, sf_dir):
+    """One tree over all orders whose leaves have a quarter of them at least, so it is two
+    splits deep at most; every node is split over the table, none in one group."""
+    o = views.table(spark, sf_dir, "orders")
+    vector = F.array(*[c.cast("double") for c in (F.col("o_custkey") % 97, F.month("o_orderdate"), F.year("o_orderdate"), F.ascii("o_orderstatus"))])
+    rows = keep(o.select(F.col("o_orderkey").alias("id"), vector.alias("features"), F.col("o_totalprice").alias("response")))
+    members = rows.select(F.lit("all").alias("model"), "id", F.lit(1.0).alias("w"), F.lit(0).alias("cluster"))
+    how = regression.ForestOptions(trees=1, leaf=max(1, rows.count() // 4), data_bag=1.0)
+    return rounded(forests.grow(rows, members, how, most=1)[1].select("path", "n", "feature", "threshold", "value"), "value", digits=4)
+
+
 def _neighbours(name: str, members: str, k: int, trials: int, fold: int, seed: int = 1) -> str:
     """CTEs that end in `name`: cross-validated means of the k nearest training rows."""
     order = _MD5.format(f"'{seed}:' || trial || ':' || cluster_id")

@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Digits to which errors of splits are compared, as shares of the node's own error: sums
+#: of floating numbers depend on their order beyond that, and splits that part the rows
+#: alike must not be told apart by it.
+DIGITS = 9
+
+
 @dataclass(frozen=True)
 class ForestOptions:
     """trees; leaf: least rows on the right of a split, one less than on the left; shares
@@ -36,6 +42,15 @@ class Tree:
     right: list[int]
     value: list[float]
     error: list[float]
+    rows: list[int]
+
+    def paths(self) -> list[str]:
+        """The way to each node: L or R for every split above it."""
+        out = [""] * len(self.feature)
+        for at, f in enumerate(self.feature):  # parents come before their children
+            if f >= 0:
+                out[self.left[at]], out[self.right[at]] = out[at] + "L", out[at] + "R"
+        return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(len(x), dtype=np.int64)
@@ -57,19 +72,21 @@ class Tree:
         return sum(e for f, e in zip(self.feature, self.error) if f < 0)
 
 
-def random(seed: int, *parts) -> np.random.Generator:
-    """A generator that depends on the seed and the parts alone."""
-    return np.random.default_rng(int.from_bytes(hashlib.md5(":".join(map(str, (seed, *parts))).encode()).digest()[:8], "little"))
+def draw(*parts) -> int:
+    """As `functions.text.uniform`: an integer in [0, 2^32) from the MD5 of the parts."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 
 
 def best_split(x: np.ndarray, y: np.ndarray, w: np.ndarray, features: np.ndarray, leaf: int) -> tuple[int, float] | None:
-    """(feature, threshold) of least weighted squared error; the first of equal ones.
+    """(feature, threshold) of least weighted squared error; of errors that agree to
+    `DIGITS` of the node's own, the first feature's and least threshold's.
 
     Left gets at least leaf + 1 rows, right at least leaf; equal values are not parted.
     """
     n = len(y)
     if n < 2 * leaf + 1:
         return None
+    y = y - np.average(y, weights=w)
     part = x[:, features]
     order = np.argsort(part, axis=0, kind="stable")
     v = np.take_along_axis(part, order, axis=0)
@@ -77,7 +94,8 @@ def best_split(x: np.ndarray, y: np.ndarray, w: np.ndarray, features: np.ndarray
     sse = lambda s0, s1, s2: s2 - s1 * s1 / s0
     left = sse(ws[:-1], wy[:-1], wyy[:-1])
     right = sse(np.maximum(ws[-1] - ws[:-1], 1e-300), wy[-1] - wy[:-1], wyy[-1] - wyy[:-1])
-    total = left + right
+    own = sse(ws[-1], wy[-1], wyy[-1])
+    total = np.round((left + right) / np.where(own > 0, own, 1.0), DIGITS)
     total[v[1:] <= v[:-1]] = np.inf
     count = np.arange(1, n)
     total[(count < leaf + 1) | (n - count < leaf)] = np.inf
@@ -89,7 +107,7 @@ def best_split(x: np.ndarray, y: np.ndarray, w: np.ndarray, features: np.ndarray
 
 
 def build_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, features: np.ndarray, leaf: int) -> Tree:
-    tree = Tree([], [], [], [], [], [])
+    tree = Tree([], [], [], [], [], [], [])
     stack = [(np.arange(len(y)), -1, 0)]
     while stack:
         rows, parent, side = stack.pop()
@@ -98,6 +116,7 @@ def build_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, features: np.ndarray
             (tree.right if side else tree.left)[parent] = node
         mean = float(np.average(y[rows], weights=w[rows]))
         tree.value.append(mean)
+        tree.rows.append(len(rows))
         tree.error.append(abs(float(np.average(y[rows] ** 2, weights=w[rows])) - mean * mean))
         split = best_split(x[rows], y[rows], w[rows], features, leaf) if len(rows) > leaf else None
         tree.feature.append(split[0] if split else -1)
@@ -110,27 +129,35 @@ def build_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, features: np.ndarray
     return tree
 
 
-def bag(rng: np.random.Generator, n: int, size: int, clusters: np.ndarray | None = None) -> np.ndarray:
-    """`size` of n rows; with `clusters`, one of each in turn until there are enough."""
-    order = rng.permutation(n)
+def bag(draws: np.ndarray, size: int, clusters: np.ndarray | None = None, turns: dict | None = None) -> np.ndarray:
+    """`size` of the rows, first those of least draw, of equal ones the first; with
+    `clusters`, one of each in turn, in the order of `turns`, until there are enough."""
+    order = np.argsort(draws, kind="stable")
     if clusters is not None:
-        names, code = np.unique(clusters, return_inverse=True)
-        turn = rng.permutation(len(names))[code[order]]
-        round_ = np.empty(n, dtype=np.int64)
-        for t in range(len(names)):
-            own = np.flatnonzero(turn == t)
-            round_[own] = np.arange(len(own))
-        order = order[np.lexsort((turn, round_))]
+        seen: dict = {}
+        place = []
+        for c in clusters[order]:
+            seen[c] = seen.get(c, 0) + 1
+            place.append((seen[c], turns[c], c))
+        order = order[sorted(range(len(order)), key=place.__getitem__)]
     return np.sort(order[:size])
 
 
-def build_forest(x: np.ndarray, y: np.ndarray, w: np.ndarray, options: ForestOptions, *task, clusters: np.ndarray | None = None) -> list[Tree]:
-    trees = []
-    for k in range(options.trees):
-        rng = random(options.seed, *task, k)
-        rows = bag(rng, len(y), max(1, int(options.data_bag * len(y))), clusters if options.stratified else None)
-        features = np.sort(rng.permutation(x.shape[1])[: max(1, int(options.feature_bag * x.shape[1]))])
-        trees.append(build_tree(x[rows], y[rows], w[rows], features, options.leaf))
+def build_forest(x: np.ndarray, y: np.ndarray, w: np.ndarray, options: ForestOptions, model: str, ids: list, clusters: np.ndarray | None = None) -> list[Tree]:
+    """The trees of one model whose rows, in the order of their ids, one group can hold;
+    `forests.grow` draws the same bags and takes the same splits without one."""
+    trees, n, width = [], len(y), x.shape[1]
+    o, size, most = options, max(1, int(options.data_bag * len(y))), max(1, int(options.feature_bag * x.shape[1]))
+    for k in range(o.trees):
+        rows = np.arange(n)
+        if o.data_bag < 1:
+            draws = np.array([draw(o.seed, "bag", model, k, i) for i in ids])
+            turns = {c: draw(o.seed, "cluster", model, k, c) for c in np.unique(clusters)} if o.stratified else None
+            rows = bag(draws, size, clusters if o.stratified else None, turns)
+        features = np.arange(width)
+        if most < width:
+            features = np.sort(np.argsort([draw(o.seed, "feature", model, k, f) for f in range(width)], kind="stable")[:most])
+        trees.append(build_tree(x[rows], y[rows], w[rows], features, o.leaf))
     return trees
 
 

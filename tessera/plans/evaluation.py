@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..operators import clustering, crossval, features, regression, statistics, vectors
+from ..operators import clustering, crossval, features, forests, regression, statistics, vectors
 from ..operators.alignment import alignment_distances
 from ..sources import structures, tables
 from ..store import keep
@@ -67,7 +67,6 @@ def cross_validate(members: DataFrame, rows: DataFrame, options: Options, model:
     `training` hold what it fits to its training rows.
     """
     model = model or options.model
-    spark = rows.sparkSession
     lost = members.join(rows, "complex_id", "left_anti").select("complex_id").first()
     if lost:
         raise ValueError(f"no features of {lost['complex_id']}")
@@ -75,28 +74,41 @@ def cross_validate(members: DataFrame, rows: DataFrame, options: Options, model:
     dealt = known.join(crossval.folds(members, options.trials, options.fold, options.seed), ["clustering_id", "cluster_id"])
     tasks = dealt.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(options.fold - 1))))
     width, n = rows.agg(F.max(F.size("features")), F.count("*")).first()
-    shared = None
-    if (width or 0) * n <= SHARED:
-        # At most SHARED numbers.
-        table = rows.select("complex_id", F.col("features").cast("array<double>").alias("features")).toArrow()
-        flat = table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        shared = spark.sparkContext.broadcast(({c: i for i, c in enumerate(table.column("complex_id").to_pylist())}, flat.reshape(table.num_rows, -1)))
-    else:
-        tasks = tasks.join(rows.select("complex_id", "features"), "complex_id")
-    kind = members.schema["complex_id"].dataType.simpleString()
+    if n <= forests.MOST and (width or 0) * n <= SHARED:
+        return _within_tasks(tasks, rows, options, model)
+    return _over_tables(tasks, rows, options, model)
+
+
+def _over_tables(tasks: DataFrame, rows: DataFrame, options: Options, model: str) -> DataFrame:
+    """`cross_validate` of tables of any size: no task holds the rows of a model."""
+    c = F.col
+    name = F.concat_ws(":", "clustering_id", "trial", "task")
+    named = keep(tasks.select(name.alias("model"), "clustering_id", "trial", "task", "fold", "cluster_id", c("complex_id").alias("id"), "observed", F.when(c("fold") != c("task"), c("w")).alias("w"), c("cluster_id").alias("cluster")))
+    table = rows.select(c("complex_id").alias("id"), "features", "response")
+    guesses = forests.predictions(table, named.select("model", "id", "w", "cluster"), options.forest, forests.MOST)
+    met = named.join(guesses, ["model", "id"])
+    return met.select("clustering_id", "trial", c("task").alias("fold"), "cluster", c("id").alias("complex_id"), "observed", "predicted", c("w").isNotNull().alias("training"))
+
+
+def _within_tasks(tasks: DataFrame, rows: DataFrame, options: Options, model: str) -> DataFrame:
+    """`cross_validate` of tables that a task can hold, up to `forests.MOST` rows: their
+    features are broadcast once, and a clustering, trial and fold is a group."""
+    # At most SHARED numbers.
+    table = rows.select("complex_id", F.col("features").cast("array<double>").alias("features")).toArrow()
+    flat = table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    shared = rows.sparkSession.sparkContext.broadcast(({c: i for i, c in enumerate(table.column("complex_id").to_pylist())}, flat.reshape(table.num_rows, -1)))
+    kind = rows.schema["complex_id"].dataType.simpleString()
 
     def run(task: pd.DataFrame) -> pd.DataFrame:
         task = task.sort_values("complex_id", kind="stable")
-        if shared:
-            at, matrix = shared.value
-            x = matrix[[at[c] for c in task["complex_id"]]]
-        else:
-            x = np.stack([np.array(v, dtype=np.float64) for v in task["features"]])
+        at, matrix = shared.value
+        x = matrix[[at[c] for c in task["complex_id"]]]
         y, w = task["observed"].to_numpy(), task["w"].to_numpy()
         test = (task["fold"] == task["task"]).to_numpy()
-        key = tuple(int(task[c].iloc[0]) for c in ("clustering_id", "trial", "task"))
         if model == "forest":
-            guess = regression.predict(regression.build_forest(x[~test], y[~test], w[~test], options.forest, *key, clusters=task["cluster_id"].to_numpy()[~test]), x)
+            name = ":".join(str(int(task[c].iloc[0])) for c in ("clustering_id", "trial", "task"))
+            ids = task["complex_id"].to_numpy()[~test].tolist()
+            guess = regression.predict(regression.build_forest(x[~test], y[~test], w[~test], options.forest, name, ids, task["cluster_id"].to_numpy()[~test]), x)
         elif model == "nn":
             guess = regression.nearest_mean(x, x[~test], y[~test], options.neighbours)
         else:

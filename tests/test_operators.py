@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -187,7 +189,7 @@ def test_trees_fit_and_forests_repeat():
     tree = regression.build_tree(x, y, np.ones(80), np.arange(5), 1)
     assert tree.splits() >= 1 and tree.residual() < 1e-12 and np.allclose(tree.predict(x), y)
     options = regression.ForestOptions(trees=7, data_bag=0.5)
-    one, two = (regression.predict(regression.build_forest(x, y, np.ones(80), options, 1, 2), x) for _ in range(2))
+    one, two = (regression.predict(regression.build_forest(x, y, np.ones(80), options, "1:2", list(range(80))), x) for _ in range(2))
     assert (one == two).all() and np.corrcoef(one, y)[0, 1] > 0.9
     assert len(regression.build_tree(x[:2], y[:2], np.ones(2), np.arange(5), 1).feature) == 1  # two rows never split
 
@@ -282,7 +284,7 @@ def test_crowded_cells_are_dealt_over_salts(spark, monkeypatch, crowd):
 def test_stratified_bags_take_clusters_in_turn():
     clusters = np.array([0] * 50 + [1] * 3 + [2] * 3)
     for size, want in ((6, [2, 2, 2]), (9, [3, 3, 3]), (20, [14, 3, 3])):
-        rows = regression.bag(np.random.default_rng(1), 56, size, clusters)
+        rows = regression.bag(np.random.default_rng(1).integers(0, 1 << 32, 56), size, clusters, {0: 5, 1: 3, 2: 9})
         assert len(set(rows)) == size and np.bincount(clusters[rows]).tolist() == want
 
 
@@ -322,9 +324,10 @@ def test_cross_validation_matches_a_plain_program(spark, model):
         else:
             trees = []
             for k in range(4):
-                draw = regression.random(1, 0, r.trial, r.fold, k)
-                own = train[np.sort(draw.permutation(len(train))[: len(train) // 2])]
-                features = draw.permutation(4)[:1]  # of several, two may part the rows alike
+                name = f"0:{r.trial}:{r.fold}:{k}"
+                number = lambda what, i: int(hashlib.md5(f"1:{what}:{name}:{i}".encode()).hexdigest()[:8], 16)  # noqa: B023, E731
+                own = np.array(sorted(sorted(train, key=lambda i: number("bag", i))[: len(train) // 2]))  # noqa: B023
+                features = np.array([min(range(4), key=lambda f: number("feature", f))])  # of several, two may part the rows alike; noqa: B023
                 trees.append(slow_tree(x[own], y[own], features, 2)(x[r.complex_id]))
             want = np.mean(trees)
         assert abs(r.predicted - want) < 1e-9
