@@ -230,7 +230,7 @@ def products(spark, sf_dir):
 @query("SELECT id, round(avg(label), 6) AS prediction FROM (SELECT a.vec_id AS id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::double[], b.embedding::double[]), b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE r <= 5 GROUP BY id")
 def neighbour_regression(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
-    return rounded(vectors.nearest_neighbours(v, v, 5), "prediction")
+    return rounded(vectors.nearest_neighbours(v, v, 5).drop("pairs"), "prediction")
 
 
 @query("SELECT e.vec_id AS id, 64 + coalesce(len(s.v), 0) AS width, round(list_sum(e.embedding::double[]) + coalesce(list_sum(s.v), 0), 5) AS total FROM embeddings e LEFT JOIN (SELECT c_custkey, [c_acctbal] AS v FROM customer) s ON e.vec_id = s.c_custkey")
@@ -327,16 +327,33 @@ def components_at_threshold(spark, sf_dir):
 
 
 # One node after another joins the tree, each by its least distance to those in it.
-@query("""WITH RECURSIVE node AS (SELECT embedding::double[] AS e, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings), line AS (SELECT a.i, list(list_distance(a.e, b.e) ORDER BY b.i) AS far FROM node a, node b GROUP BY a.i),
-grown AS (SELECT list_transform(far, lambda x, j: CASE WHEN j > 1 THEN x END) AS best, NULL::double AS d FROM line WHERE i = 1
-UNION ALL SELECT list_transform(best, lambda x, j: CASE WHEN x IS NOT NULL AND j <> i THEN least(x, far[j]) END), least_ FROM (SELECT best, list_min(best) AS least_, list_position(best, list_min(best)) AS spot FROM grown WHERE list_min(best) IS NOT NULL) s JOIN line ON i = spot),
-edge AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS k, lag(d) OVER (ORDER BY d) AS prior FROM grown WHERE d IS NOT NULL), cut AS (SELECT *, (SELECT count(*) FROM node) AS n FROM edge)
+_GROWN = """node AS (SELECT embedding::double[] AS e, vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings), line AS (SELECT a.i, list(list_distance(a.e, b.e) ORDER BY b.i) AS far FROM node a, node b GROUP BY a.i),
+grown AS (SELECT list_transform(far, lambda x, j: CASE WHEN j > 1 THEN x END) AS best, NULL::double AS d, 1::bigint AS i, 0 AS step FROM line WHERE i = 1
+UNION ALL SELECT list_transform(best, lambda x, j: CASE WHEN x IS NOT NULL AND j <> i THEN least(x, far[j]) END), least_, spot::bigint, step + 1 FROM (SELECT best, step, list_min(best) AS least_, list_position(best, list_min(best)) AS spot FROM grown WHERE list_min(best) IS NOT NULL) s JOIN line ON i = spot),
+edge AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS k, lag(d) OVER (ORDER BY d) AS prior FROM grown WHERE d IS NOT NULL), cut AS (SELECT *, (SELECT count(*) FROM node) AS n FROM edge)"""
+
+
+@query(f"""WITH RECURSIVE {_GROWN}
 SELECT row_number() OVER (ORDER BY d)::int - 1 AS clustering_id, round(d, 6) AS min_dist, n - k AS clusters, n AS members FROM cut WHERE n - k >= 5 AND (prior IS NULL OR d > prior)""")
 def single_linkage(spark, sf_dir):
     out = clustering.single_linkage(vectors.distance_matrix(views.vectors(spark, sf_dir)), 5)
     return rounded(out.groupBy("clustering_id").agg(F.first("min_dist").alias("min_dist"), F.countDistinct("cluster_id").alias("clusters"), F.count("*").alias("members")), "min_dist")
 
 
+# Whatever hangs together by distances under a cut joins the tree in one go, so a cluster
+# is a stretch of nodes in the order in which they join.
+@query(f"""WITH RECURSIVE {_GROWN},
+level AS (SELECT row_number() OVER (ORDER BY d)::int - 1 AS clustering_id, d AS cut_d FROM cut WHERE n - k >= 5 AND (prior IS NULL OR d > prior)),
+stretch AS (SELECT clustering_id, vec_id, sum((coalesce(d, 0) >= cut_d)::int) OVER (PARTITION BY clustering_id ORDER BY step) AS s FROM level, grown JOIN node ON node.i = grown.i),
+least AS (SELECT *, min(vec_id) OVER (PARTITION BY clustering_id, s) AS least_id FROM stretch), placed AS (SELECT *, dense_rank() OVER (PARTITION BY clustering_id ORDER BY least_id) - 1 AS cluster_id FROM least)
+SELECT clustering_id, md5(string_agg(cluster_id || ':' || vec_id, ',' ORDER BY vec_id)) AS members FROM placed GROUP BY clustering_id""")
+def linkage_members(spark, sf_dir):
+    """Who is in which cluster, as a digest for each clustering."""
+    out = clustering.single_linkage(vectors.distance_matrix(views.vectors(spark, sf_dir)), 5)
+    listed = F.array_sort(F.collect_list(F.struct("complex_id", F.concat_ws(":", F.col("cluster_id").cast("string"), F.col("complex_id").cast("string")).alias("x"))))
+    return out.groupBy("clustering_id").agg(F.md5(F.array_join(F.transform(listed, lambda m: m["x"]), ",")).alias("members"))
+
+
 # -- cross-validation --------------------------------------------------------------------
 
 
@@ -445,6 +462,24 @@ def linear_cross_validation(spark, sf_dir):
     return evaluation.trial_statistics(_cross_validated(spark, sf_dir, "linear"))
 
 
+_ORDER_FOLD = _MD5.format("'1:' || trial || ':' || cluster_id")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS complex_id, (o_custkey % 11)::int AS cluster_id, (1 + o_custkey % 97)::double AS a, month(o_orderdate)::double AS b, o_totalprice AS y FROM orders),
+f AS (SELECT trial, cluster_id, (row_number() OVER (PARTITION BY trial ORDER BY {_ORDER_FOLD}, cluster_id) - 1) % 4 AS fold FROM (SELECT DISTINCT cluster_id FROM o), range(2) t(trial)),
+own AS (SELECT trial, fold, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS "by" FROM o JOIN f USING (cluster_id) GROUP BY 1, 2),
+rest AS (SELECT x.trial, x.fold, sum(z.aa) AS aa, sum(z.ab) AS ab, sum(z.bb) AS bb, sum(z.ay) AS ay, sum(z."by") AS "by" FROM own x JOIN own z ON x.trial = z.trial AND x.fold <> z.fold GROUP BY 1, 2)
+SELECT trial::int AS trial, fold::int AS fold, complex_id, round(a * (ay * bb - "by" * ab) / (aa * bb - ab * ab) + b * ("by" * aa - ay * ab) / (aa * bb - ab * ab), 3) AS predicted FROM o JOIN f USING (cluster_id) JOIN rest USING (trial, fold)""")
+def linear_fold_factors(spark, sf_dir):
+    """Orders' prices by two numbers, cross-validated: a fold's fit comes from the factors of
+    the other folds."""
+    o = views.table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("complex_id"), F.array(*[c.cast("double") for c in (1 + F.col("o_custkey") % 97, F.month("o_orderdate"))]).alias("features"), F.col("o_totalprice").alias("response"))
+    members = o.select(F.lit(0).alias("clustering_id"), (F.col("o_custkey") % 11).cast("int").alias("cluster_id"), F.col("o_orderkey").alias("complex_id"))
+    out = evaluation.cross_validate(members, rows, Options(trials=2, fold=4, model="linear")).where("not training")
+    return rounded(out.select("trial", "fold", "complex_id", "predicted"), "predicted", digits=3)
+
+
 _CV = {name: _neighbours(name, "member", k, 2, 2) for name, k in (("baseline", 3), ("model", 7))}
 _BY = ("clustering_id", "trial")
 

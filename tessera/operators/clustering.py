@@ -1,131 +1,237 @@
-"""Single linkage, exactly, and tables of clusterings."""
+"""Single linkage, exactly, and tables of clusterings.
+
+Tables of any size go through joins. What is few, by count, is finished in one group or
+broadcast, which gives the same rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import keep
-
-#: Nodes of a tree that the driver takes: it holds one edge for each.
-MOST_NODES = 200_000
+from .running import running
 
 
-class Sets:
-    """Disjoint sets."""
+#: Links that one group takes, and that are broadcast: some 30 MB.
+FEW = 500_000
 
-    def __init__(self) -> None:
-        self.parent: dict = {}
 
-    def root(self, v):
-        while (p := self.parent.setdefault(v, v)) != v:
-            self.parent[v] = self.parent[p]
-            v = self.parent[v]
-        return v
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of 0 .. n - 1 that each is linked with, over any number of links."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, label[a], low)
+        np.minimum.at(after, label[b], low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def forest(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which links are in the minimum spanning forest, the earlier of equal ones by ids:
+    each component takes its least link, again and again."""
+    names, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ends = np.sort(codes.reshape(2, -1), axis=0)
+    order = np.lexsort((b, a, d)) if a.dtype != object else np.array(sorted(range(len(d)), key=lambda i: (d[i], a[i], b[i])), dtype=np.int64)
+    ends, label, kept = ends[:, order], np.arange(len(names)), np.zeros(len(d), bool)
+    open_ = np.arange(len(d))
+    while len(open_):
+        x, y = label[ends[:, open_]]
+        open_, x, y = open_[x != y], x[x != y], y[x != y]
+        best = np.full(len(names), len(d))
+        np.minimum.at(best, x, open_)
+        np.minimum.at(best, y, open_)
+        took = np.unique(best[best < len(d)])
+        kept[took] = True
+        label = least_labels(len(names), *label[ends[:, took]])[label]
+    return np.sort(order[kept])
+
+
+def _thinned(links: DataFrame) -> DataFrame:
+    """`links` (id_a, id_b, d) without those that are in no minimum spanning forest of
+    what a task has read lately: it holds up to `FEW` links and keeps their forest."""
+    schema = links.schema
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def thin() -> list[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            a, b, d = (table.column(c).to_numpy() for c in ("id_a", "id_b", "d"))
+            return table.take(pa.array(forest(d, a, b))).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size > FEW:
+                held = thin()
+                size = sum(h.num_rows for h in held)
+                if size > FEW // 2:  # of very many nodes
+                    yield from held
+                    held, size = [], 0
+        if size:
+            yield from thin()
+
+    return links.mapInArrow(work, schema)
+
+
+def _rooted(parents: DataFrame) -> DataFrame:
+    """(c, root) of a forest (c, p) in which roots have p = c, by jumping from parent to
+    parent: rounds are the logarithm of its height."""
+    now = keep(parents)
+    while True:
+        up = now.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+        after = keep(now.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+        if after.where("moved").isEmpty():
+            return after.select("c", F.col("p").alias("root"))
+        now = after.select("c", "p")
 
-    def join(self, a, b) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.parent[max(a, b)] = min(a, b)
-        return a != b
 
+def spanning_tree(distances: DataFrame, few: int = FEW) -> DataFrame:
+    """Minimum spanning forest (id_a, id_b, d) of rows (id_a, id_b, d), of equal distances
+    the first by ids. Links of an id with itself and null distances are none.
 
-def forest(edges: list[tuple]) -> list[tuple]:
-    """Minimum spanning forest of (d, a, b), ties by id."""
-    sets = Sets()
-    return [e for e in sorted(edges) if sets.join(e[1], e[2])]
+    Tasks drop links that are in no forest of their own, so that few of all pairs are
+    shuffled. Then, while there are over `few`, every component takes its least link to
+    another one, those so linked become one, and of the links between two components the
+    least stays: the components halve at least. The rest is one group's.
+    """
+    c = F.col
+    order = c("id_a") < c("id_b")
+    ways = [F.when(order, c(x)).otherwise(c(y)) for x, y in (("id_a", "id_b"), ("id_b", "id_a"))]
+    links = _thinned(distances.where("id_a <> id_b AND d IS NOT NULL").select(ways[0].alias("id_a"), ways[1].alias("id_b"), c("d").cast("double").alias("d")))
+    edges = keep(links.select(c("id_a").alias("a"), c("id_b").alias("b"), F.struct("d", "id_a", "id_b").alias("link")))
+    tree = []
+    while edges.count() > few:
+        both = edges.select(c("a").alias("c"), F.struct("link", c("b").alias("to")).alias("way")).unionByName(edges.select(c("b").alias("c"), F.struct("link", c("a").alias("to")).alias("way")))
+        least = keep(both.groupBy("c").agg(F.min("way").alias("way")).select("c", "way.to", "way.link"))
+        tree.append(least.select("link").distinct())
+        # Two components that take the same link point at each other; the smaller is the root.
+        other = least.select(c("c").alias("to"), c("to").alias("back"))
+        parents = least.join(other, "to").select("c", F.when((c("back") == c("c")) & (c("c") < c("to")), c("c")).otherwise(c("to")).alias("p"))
+        roots = _rooted(parents)
+        for end in "ab":
+            edges = edges.join(roots.select(c("c").alias(end), c("root").alias(f"root_{end}")), end)
+        met = edges.where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"), "link")
+        edges = keep(met.groupBy("a", "b").agg(F.min("link").alias("link")))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            link = table.column("link").combine_chunks()
+            # Components are the ends, links between them are told apart by their own ids.
+            a, b = (table.column(x).to_numpy() for x in "ab")
+            place = np.empty(table.num_rows, dtype=np.int64)
+            place[sorted(range(len(place)), key=list(zip(*(link.field(x).to_pylist() for x in ("d", "id_a", "id_b")))).__getitem__)] = np.arange(len(place))
+            yield from pa.Table.from_struct_array(link.take(pa.array(forest(place, a, b)))).select(["id_a", "id_b", "d"]).to_batches()
+
+    kind = edges.schema["a"].dataType.simpleString()
+    out = edges.coalesce(1).mapInArrow(finish, f"id_a {kind}, id_b {kind}, d double")  # at most `few` rows
+    for part in tree:
+        out = out.unionByName(part.select("link.id_a", "link.id_b", "link.d"))
+    return keep(out)
+
+
+def cuts(tree: DataFrame, nodes: int, fold: int) -> DataFrame:
+    """(clustering_id, min_dist) of each clustering with at least `fold` clusters, from
+    single members on; min_dist is the least distance left between clusters, and links
+    under it are joined."""
+    each = tree.groupBy("d").agg(F.count("*").cast("long").alias("n")).withColumn("all", F.lit(0))
+    run = running(each, ["all"], [F.col("d")], {"upto": F.col("n"), "rank": F.lit(1).cast("long")})
+    left = nodes - (F.col("upto") - F.col("n"))
+    return run.where(left >= fold).select((F.col("rank") - 1).cast("int").alias("clustering_id"), F.col("d").alias("min_dist"))
+
+
+def _labelled(links: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """`labels` (*keys, id, component) with the least label reachable by `links` (*keys,
+    u, v; both ways) of the same keys: repeated minima, and the label of the label, which
+    halves the rounds."""
+    label = labels
+    while True:
+        least = links.join(label.withColumnRenamed("id", "v"), [*keys, "v"]).groupBy(*keys, "u").agg(F.min("component").alias("m")).withColumnRenamed("u", "id")
+        hop = label.join(least, [*keys, "id"], "left").select(*keys, "id", "component", F.least("component", F.coalesce("m", "component")).alias("next"))
+        jump = label.select(*keys, F.col("id").alias("next"), F.col("component").alias("to"))
+        best = F.least("next", "to")
+        after = keep(hop.join(jump, [*keys, "next"]).select(*keys, "id", best.alias("component"), (best != F.col("component")).alias("moved")))
+        label = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return label
 
 
-def spanning_tree(distances: DataFrame) -> list[tuple]:
-    """Minimum spanning forest of rows (id_a, id_b, d).
+def single_linkage(distances: DataFrame, fold: int, few: int = FEW) -> DataFrame:
+    """(clustering_id, min_dist, cluster_id, complex_id): every clustering between two
+    distinct distances that has at least `fold` clusters, numbered from the finest;
+    clusters are numbered by their smallest members' order. Equal distances are joined
+    together; no distances, no clusterings.
 
-    Each task keeps the forest of its own edges, in steps of bounded size: an edge
-    outside it is in no minimum tree. The driver takes these one after another and
-    keeps the forest of those so far, under two edges a node (about 40 MB for
-    `MOST_NODES` nodes, over which it fails). Distances are computed once.
+    A clustering lists all members, so the result is as large as members times distinct
+    distances of the tree. Trees of up to `few` links are broadcast, and a task works out
+    one clustering after another; beyond that all clusterings find their clusters at
+    once by joins, each along the links that are shorter than its distance.
     """
-    kind = distances.schema["id_a"].dataType.simpleString()
+    tree = spanning_tree(distances, few)
+    nodes = keep(distances.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct())
+    found = keep(cuts(tree, nodes.count(), fold))
+    if nodes.count() <= few:
+        return _cut_in_tasks(tree, nodes, found)
+    return _cut_by_joins(tree, nodes, found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        for b in batches:
-            got = b.to_pydict()
-            kept = forest(kept + list(zip(got["d"], got["id_a"], got["id_b"])))
-        if kept:
-            d, a, b = zip(*kept)
-            yield pa.RecordBatch.from_pydict({"id_a": list(a), "id_b": list(b), "d": list(d)})
-
-    small = distances.select("id_a", "id_b", F.col("d").cast("double")).mapInArrow(run, f"id_a {kind}, id_b {kind}, d double")
-    kept, more, nodes = [], [], set()
-    for r in small.toLocalIterator():
-        more.append((r["d"], r["id_a"], r["id_b"]))
-        nodes |= {r["id_a"], r["id_b"]}
-        if len(nodes) > MOST_NODES:
-            raise ValueError(f"over {MOST_NODES} nodes cannot be clustered")
-        if len(more) > MOST_NODES:
-            kept, more = forest(kept + more), []
-    return forest(kept + more)
-
-
-def cuts(tree: list[tuple], fold: int) -> list[tuple[float, int]]:
-    """(min_dist, edges joined) of each clustering with at least `fold` clusters, from
-    single members on; min_dist is the least distance left between clusters."""
-    n, out = len(tree) + 1, []
-    for k, (d, _, _) in enumerate(tree):
-        if (k == 0 or d > tree[k - 1][0]) and n - k >= fold:
-            out.append((d, k))
-    return out
-
-
-def single_linkage(distances: DataFrame, fold: int) -> DataFrame:
-    """(clustering_id, min_dist, cluster_id, complex_id): every clustering between two
-    distinct distances that has at least `fold` clusters, numbered from the finest;
-    clusters are numbered by their members' order."""
-    tree = spanning_tree(distances)
-    spark = distances.sparkSession
-    kind = distances.schema["id_a"].dataType.simpleString()
-    found = cuts(tree, fold)
-    held = spark.sparkContext.broadcast(tree)  # under MOST_NODES edges
+
+def _cut_in_tasks(tree: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    links = tree.toArrow().sort_by("d")  # `FEW` at most, as are the nodes
+    names = np.sort(nodes.toArrow().column("id").to_numpy())
+    a, b = (np.searchsorted(names, links.column(x).to_numpy()) for x in ("id_a", "id_b"))
+    held = tree.sparkSession.sparkContext.broadcast((names, a, b, links.column("d").to_numpy()))
+    kind = nodes.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for number, d, k in zip(*(c.to_pylist() for c in b.columns)):
-                sets = Sets()
-                for _, x, y in held.value:
-                    sets.root(x), sets.root(y)
-                for _, x, y in held.value[:k]:
-                    sets.join(x, y)
-                members = sorted(sets.parent)
-                roots = [sets.root(v) for v in members]
-                order = {r: i for i, r in enumerate(sorted(set(roots)))}  # a root is its cluster's least member
-                size = len(members)
-                yield pa.RecordBatch.from_pydict({"clustering_id": pa.array([number] * size, pa.int32()), "min_dist": [d] * size, "cluster_id": pa.array([order[r] for r in roots], pa.int32()), "complex_id": members})
-
-    rows = spark.createDataFrame([(i, float(d), k) for i, (d, k) in enumerate(found)], "clustering_id int, min_dist double, k int")
-    return rows.repartition(max(1, min(len(found), 200)), "clustering_id").mapInArrow(run, f"clustering_id int, min_dist double, cluster_id int, complex_id {kind}")
+        names, a, b, d = held.value
+        for batch in batches:
+            for number, low in zip(*(batch.column(c).to_pylist() for c in ("clustering_id", "min_dist"))):
+                k, size = np.searchsorted(d, low), len(names)
+                _, cluster = np.unique(least_labels(size, a[:k], b[:k]), return_inverse=True)
+                yield pa.RecordBatch.from_pydict({"clustering_id": pa.array(np.full(size, number, np.int32)), "min_dist": np.full(size, low), "cluster_id": pa.array(cluster.astype(np.int32)), "complex_id": pa.array(names)})
+
+    spread = found.repartition(max(1, min(found.count(), 200)), "clustering_id")
+    return spread.mapInArrow(run, f"clustering_id int, min_dist double, cluster_id int, complex_id {kind}")
+
+
+def _cut_by_joins(tree: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    c = F.col
+    last = found.agg(F.max("clustering_id")).first()[0]
+    if last is None:
+        return found.join(nodes.withColumn("cluster_id", F.lit(0)), F.lit(False)).select("clustering_id", "min_dist", "cluster_id", c("id").alias("complex_id"))
+    all_ = nodes.withColumn("clustering_id", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    ranks = found.select(c("clustering_id").alias("own"), c("min_dist").alias("d"))
+    joined = tree.join(ranks, "d").where(c("own") < F.lit(last))  # links of later distances are in no clustering
+    joined = joined.withColumn("clustering_id", F.explode(F.sequence(c("own") + 1, F.lit(last))))
+    ways = F.array(F.struct(c("id_a").alias("u"), c("id_b").alias("v")), F.struct(c("id_b").alias("u"), c("id_a").alias("v")))
+    links = keep(joined.select("clustering_id", F.explode(ways).alias("x")).select("clustering_id", "x.u", "x.v"))
+    labels = _labelled(links, all_.select("clustering_id", "id", c("id").alias("component")), ["clustering_id"])
+    firsts = running(labels.where("id = component").select("clustering_id", "component"), ["clustering_id"], [c("component")], {"place": F.lit(1)})
+    numbered = labels.join(firsts, ["clustering_id", "component"]).join(found, "clustering_id")
+    return numbered.select("clustering_id", "min_dist", (c("place") - 1).cast("int").alias("cluster_id"), c("id").alias("complex_id"))
 
 
 def components_at(distances: DataFrame, threshold: float) -> DataFrame:
     """(id, component): members linked by distances under `threshold`, component being
-    the smallest id; ids without links are their own. By repeated minima."""
+    the smallest id; ids without links are their own."""
     # Both ways of each link, and each id with itself, in one pass over the distances.
     pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     loops = F.array(pair("id_a", "id_a"), pair("id_b", "id_b"))
     found = F.when(F.col("d") < threshold, F.concat(loops, F.array(pair("id_a", "id_b"), pair("id_b", "id_a")))).otherwise(loops)
     all_ = keep(distances.select(F.explode(found).alias("x")).select("x.u", "x.v").distinct())
-    both = all_.where("u <> v")
-    label = all_.where("u = v").select(F.col("u").alias("id"), F.col("v").alias("component"))
-    while True:
-        least = both.join(label, both.v == label.id).groupBy("u").agg(F.min("component").alias("m"))
-        hop = label.join(least, label.id == least.u, "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("next"))
-        # Pointer jumping: the label of the label, which halves the rounds.
-        jump = label.select(F.col("id").alias("at"), F.col("component").alias("to"))
-        after = keep(hop.join(jump, F.col("next") == F.col("at")).select("id", F.least("next", "to").alias("component"), (F.least("next", "to") != F.col("component")).alias("moved")))
-        label = after.select("id", "component")
-        if not after.where("moved").limit(1).count():
-            return label
+    return _labelled(all_.where("u <> v"), all_.where("u = v").select(F.col("u").alias("id"), F.col("v").alias("component")), [])
 
 
 def keep_measured(clusters: DataFrame, measured: DataFrame, key: str = "complex_id") -> DataFrame:

@@ -19,7 +19,7 @@ from . import regression
 from .running import running
 
 #: Rows of a node, at most, that one group grows to its leaves.
-MOST = 20_000
+MOST = 10_000
 NODE = ["model", "tree", "path"]
 
 

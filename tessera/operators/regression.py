@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import keep
+from .vectors import k_least, squared_distances
+
 
 #: Digits to which errors of splits are compared, as shares of the node's own error: sums
 #: of floating numbers depend on their order beyond that, and splits that part the rows
@@ -175,8 +178,9 @@ def least_squares(x: np.ndarray, y: np.ndarray, w: np.ndarray, bias: bool = Fals
 def nearest_mean(x: np.ndarray, train: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     """Plain mean of the k nearest; of equally near rows, the first."""
     out = np.empty(len(x))
-    for i, v in enumerate(x):
-        out[i] = y[np.argsort(((train - v) ** 2).sum(axis=1), kind="stable")[:k]].mean()
+    for at in range(0, len(x), 16):
+        for r, near in k_least(squared_distances(x[at : at + 16], train), k):
+            out[at + r] = y[near].mean()
     return out
 
 
@@ -186,28 +190,77 @@ def linear_prediction(model: Column, features: Column) -> Column:
     return F.aggregate(F.zip_with(F.slice(model, 1, F.size(features)), features, lambda m, x: m * x), F.lit(0.0), lambda s, v: s + v) + bias
 
 
+#: Rows that a group turns into its factor, as a multiple of what the factor has.
+REDUCE = 16
+
+
+def factor(a: np.ndarray) -> np.ndarray:
+    """R of QR: as many rows as columns at most, with the same inner products as `a`."""
+    return np.linalg.qr(a, mode="r") if len(a) > a.shape[1] else a
+
+
+def factors(rows: DataFrame, width: int) -> DataFrame:
+    """(g, v): for each g of `rows` (g, v) the R factor of its vectors of `width` numbers,
+    as `width` rows at most. Tasks factor what they read, groups of bounded size factor
+    what is left of a g until one can hold it: the logarithm of its rows in rounds."""
+    most = REDUCE * width
+
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        count = 0
+        for batch in batches:
+            names = batch.column("g").dictionary_encode()
+            code = names.indices.to_numpy()
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for c, name in enumerate(names.dictionary.to_pylist()):
+                held.setdefault(name, []).append(x[code == c])
+            count += batch.num_rows
+            if count > max(most, 10_000):
+                held = {name: [factor(np.concatenate(parts))] for name, parts in held.items()}
+                count = sum(len(p[0]) for p in held.values())
+                if count > max(most, 10_000) // 2:  # of very many g
+                    yield from map(_factor_rows, held, (p[0] for p in held.values()))
+                    held, count = {}, 0
+        for name, parts in held.items():
+            yield _factor_rows(name, factor(np.concatenate(parts)))
+
+    def joined(group: pa.Table) -> pa.Table:
+        x = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(group), -1)
+        return pa.Table.from_batches([_factor_rows(group.column("g")[0].as_py(), factor(x))])
+
+    now = keep(rows.mapInArrow(squeezed, "g string, v array<double>"))
+    while True:
+        sizes = now.groupBy("g").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("salts"))
+        dealt = now.join(sizes, "g").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int"))
+        more = (sizes.agg(F.max("salts")).first()[0] or 1) > 1
+        now = keep(dealt.groupBy("g", "salt").applyInArrow(joined, "g string, v array<double>"))
+        if not more:
+            return now
+
+
+def _factor_rows(name: str, r: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * r.shape[1]), pa.array(np.ascontiguousarray(r, dtype=np.float64).ravel()))
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(r), pa.string()), lists], names=["g", "v"])
+
+
+def solve(r: np.ndarray) -> np.ndarray:
+    """Least squares from a factor (or stacked ones) whose last column is the response."""
+    return np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=None)[0]
+
+
+def weighted_rows(g: Column, features: Column, response: Column, weight: Column, bias: bool = False) -> list[Column]:
+    """The columns (g, v) of rows for `factors`: features, a one for a bias, the response,
+    all by the root of the weight."""
+    parts = [features.cast("array<double>"), *([F.array(F.lit(1.0))] if bias else []), F.array(response.cast("double"))]
+    root = F.sqrt(weight.cast("double"))
+    return [g.alias("g"), F.transform(F.concat(*parts), lambda x: x * root).alias("v")]
+
+
 def fit_linear(rows: DataFrame, features: str = "features", response: str = "response", weight: str | None = None, bias: bool = False) -> list[float]:
-    """Coefficients from the summed products of the features: each task sends one matrix."""
+    """Coefficients by QR, which loses no digits to squares; the driver gets one factor."""
     w = F.col(weight) if weight else F.lit(1.0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-            a = np.column_stack([x, np.ones(len(x))] if bias else [x])
-            both = np.column_stack([a, b.column(1).to_numpy(zero_copy_only=False)])
-            g = both.T @ (both * b.column(2).to_numpy(zero_copy_only=False)[:, None])
-            total = g if total is None else total + g
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"g": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
-
-    sums = None
-    for r in rows.select(F.col(features).cast("array<double>").alias("x"), F.col(response).cast("double").alias("y"), w.cast("double").alias("w")).mapInArrow(run, "g array<double>").toLocalIterator():
-        sums = np.array(r["g"]) if sums is None else sums + np.array(r["g"])
-    if sums is None:
+    width = rows.select(F.max(F.size(features))).first()[0]
+    if width is None:
         raise ValueError("no rows")
-    n = int(round(len(sums) ** 0.5))
-    g = sums.reshape(n, n)
-    return np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=None)[0].tolist()
+    found = factors(rows.select(*weighted_rows(F.lit(""), F.col(features), F.col(response), w, bias)), width + 1 + bias)
+    return solve(np.array([r["v"] for r in found.select("v").collect()])).tolist()

@@ -85,11 +85,40 @@ def _over_tables(tasks: DataFrame, rows: DataFrame, options: Options, model: str
     name = F.concat_ws(":", "clustering_id", "trial", "task")
     named = keep(tasks.select(name.alias("model"), "clustering_id", "trial", "task", "fold", "cluster_id", c("complex_id").alias("id"), "observed", F.when(c("fold") != c("task"), c("w")).alias("w"), c("cluster_id").alias("cluster")))
     table = rows.select(c("complex_id").alias("id"), "features", "response")
-    guesses = forests.predictions(table, named.select("model", "id", "w", "cluster"), options.forest, forests.MOST)
+    if model == "forest":
+        guesses = forests.predictions(table, named.select("model", "id", "w", "cluster"), options.forest, forests.MOST)
+    elif model == "nn":
+        every = named.select("model", "id", "w", "observed").join(table.select("id", "features"), "id")
+        near = vectors.nearest_neighbours(every, every.where("w IS NOT NULL"), options.neighbours, vector="features", value="observed", itself=True, by="model")
+        guesses = near.select("model", "id", c("prediction").alias("predicted"))
+    else:
+        guesses = _linear_guesses(named, table, options.fold)
     met = named.join(guesses, ["model", "id"])
     return met.select("clustering_id", "trial", c("task").alias("fold"), "cluster", c("id").alias("complex_id"), "observed", "predicted", c("w").isNotNull().alias("training"))
 
 
+def _linear_guesses(named: DataFrame, table: DataFrame, fold: int) -> DataFrame:
+    """(model, id, predicted) by least squares: every fold of a clustering and trial becomes
+    one factor, and a model is fitted to those of the other folds, so rows are read once
+    for all of them. Factors are as large as the square of the features, not the rows."""
+    c = F.col
+    width = table.select(F.max(F.size("features"))).first()[0] or 0
+    runs = ["clustering_id", "trial"]
+    # Each row is in one fold of a run; of the models of the run, any that trains on it says its weight.
+    own = named.where("w IS NOT NULL").groupBy(*runs, "fold", "id").agg(F.first("w").alias("w"), F.first("observed").alias("observed"))
+    group = F.concat_ws(":", *runs, "fold")
+    found = regression.factors(own.join(table.select("id", "features"), "id").select(*regression.weighted_rows(group, c("features"), c("observed"), c("w"))), width + 1)
+    parts = F.split("g", ":")
+    other = found.select(*(parts[i].cast("int").alias(n) for i, n in enumerate((*runs, "fold"))), "v", F.explode(F.sequence(F.lit(0), F.lit(fold - 1))).alias("task")).where("fold <> task")
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"model": [":".join(map(str, key))], "line": [regression.solve(np.stack(part["v"].to_numpy())).tolist()]})
+
+    lines = keep(other.groupBy(*runs, "task").applyInPandas(fit, "model string, line array<double>"))
+    met = named.select("model", "id").join(table.select("id", "features"), "id").join(lines, "model")
+    return met.select("model", "id", vectors.dot(c("line"), c("features")).alias("predicted"))
+
+
 def _within_tasks(tasks: DataFrame, rows: DataFrame, options: Options, model: str) -> DataFrame:
     """`cross_validate` of tables that a task can hold, up to `forests.MOST` rows: their
     features are broadcast once, and a clustering, trial and fold is a group."""

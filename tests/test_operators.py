@@ -117,11 +117,12 @@ def test_alignment_distances(spark):
 # -- clustering ----------------------------------------------------------------------
 
 
-def test_single_linkage(spark):
+@pytest.mark.parametrize("few", [4, 500_000])
+def test_single_linkage(spark, few):
     rng = np.random.default_rng(4)
     x = rng.integers(0, 40, 14).astype(float)
     d = [(f"m{i:02}", f"m{j:02}", float(abs(x[i] - x[j]))) for i in range(14) for j in range(i + 1, 14)]
-    out = clustering.single_linkage(spark.createDataFrame(d, "id_a string, id_b string, d double").repartition(5), 3).collect()
+    out = clustering.single_linkage(spark.createDataFrame(d, "id_a string, id_b string, d double").repartition(5), 3, few).collect()
     by = {}
     for r in out:
         by.setdefault((r.clustering_id, r.min_dist), {}).setdefault(r.cluster_id, set()).add(r.complex_id)
@@ -144,6 +145,33 @@ def test_single_linkage(spark):
     assert got == {v: min(g) for g in by[keys[1]].values() for v in g}
 
 
+def plain_forest(links):
+    """Links of the minimum spanning forest by (d, a, b), one after the other."""
+    group = {v: {v} for _, a, b in links for v in (a, b)}
+    out = []
+    for d, a, b in sorted(links):
+        if group[a] is not group[b]:
+            out.append((d, a, b))
+            group[a] |= group[b]
+            for v in group[b]:
+                group[v] = group[a]
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 3, 10**6])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_spanning_trees_by_rounds_and_in_a_group(spark, few, kind):
+    rng = np.random.default_rng(few % 7)
+    name = (lambda i: int(i)) if kind == "long" else (lambda i: f"n{i:03}")
+    links = {(int(rng.integers(0, 6)) / 2.0, name(a), name(b)) for a, b in rng.integers(0, 60, (150, 2)) if a < b}
+    links |= {(1.0, name(100 + i), name(101 + i)) for i in range(40)}  # a long chain of equal distances
+    rows = [(b, a, d) if i % 2 else (a, b, d) for i, (d, a, b) in enumerate(sorted(links))] + [(name(5), name(5), 0.0), (name(1), name(2), None)]
+    df = spark.createDataFrame(rows, f"id_a {kind}, id_b {kind}, d double").repartition(4)
+    got = sorted((r.d, r.id_a, r.id_b) for r in clustering.spanning_tree(df, few).collect())
+    assert got == plain_forest(links)
+    assert clustering.spanning_tree(df.where("false"), few).collect() == [] and clustering.single_linkage(df.where("false"), 2, few).collect() == []
+
+
 # -- cross-validation, regressors, statistics ---------------------------------------------
 
 
