@@ -616,20 +616,55 @@ def _aligned(spark, sf_dir, **how):
     return alignment.pair_scores(s.withColumnRenamed("sequence", "query").join(after, "item_id", "left"), "query", "target", **how)
 
 
-@query()
+def _alignments(pairs: str, mode: str) -> str:
+    """CTEs that end in `scored` (k, score): the best alignments of `pairs` (k, query,
+    target), a recursion from one anti-diagonal to the next. Lists go by the row i, from 0:
+    of the last two diagonals the scores that end in a match (m), in a gap of the query
+    (a) and of the target (b)."""
+    table = substitution_scores()
+    rows = ", ".join("[" + ", ".join(str(table[x, y]) for y in views.LETTERS) + "]" for x in views.LETTERS)
+    codes = lambda c: f"list_transform(string_split({c}, ''), lambda x: position(x IN '{views.LETTERS}'))"
+    opened, extended = alignment.PROTEIN_GAPS
+    local = mode == "local"
+    floor = (lambda x: f"greatest({x}, 0)") if local else (lambda x: x)
+    more = (lambda g: f"CASE WHEN {g} > 0 THEN {g} - {extended} ELSE -{opened} END") if local else (lambda g: f"{g} - {extended}")
+    gap = lambda m, g: f"greatest({floor(m)} - {opened}, {more(g)})"
+    here = "i >= greatest(1, d + 1 - len(t)) AND i <= least(len(q), d)"  # d is the last diagonal
+    line = lambda inside, outside: f"list_transform(range(0, len(q) + 1), lambda i: CASE WHEN {here} THEN {inside} ELSE {outside} END)"
+    match = f"greatest({'0, ' if local else ''}m2[i], a2[i], b2[i]) + tab[q[i]][t[d + 1 - i]]"
+    ends = "true" if local else "(i = len(q) OR d + 1 - i = len(t))"
+    return f"""tables AS (SELECT [{rows}] AS tab), coded AS (SELECT k, {codes("query")} AS q, {codes("target")} AS t FROM {pairs} WHERE query <> '' AND target <> ''),
+flat AS (SELECT k, q, t, list_transform(range(0, len(q) + 1), lambda i: 0) AS m, list_transform(range(0, len(q) + 1), lambda i: -{opened}) AS g FROM coded),
+step AS (SELECT k, q, t, 1 AS d, m AS m2, g AS a2, g AS b2, m AS m1, g AS a1, g AS b1, {alignment.NOTHING} AS best FROM flat
+UNION ALL SELECT k, q, t, d + 1, m1, a1, b1, m0, a0, b0, greatest(best, coalesce(list_max(list_transform(range(0, len(q) + 1), lambda i: CASE WHEN {here} AND {ends} THEN m0[i + 1] END)), best))
+FROM (SELECT *, {line(match, 0)} AS m0, {line(gap("m1[i + 1]", "a1[i + 1]"), -opened)} AS a0, {line(gap("m1[i]", "b1[i]"), -opened)} AS b0 FROM step, tables WHERE d < len(q) + len(t))),
+scored AS (SELECT k, max(best)::bigint AS score FROM step GROUP BY k)"""
+
+
+def _next_sql(mode: str) -> str:
+    return f"""WITH RECURSIVE {SEQUENCES}, pair AS (SELECT a.item_id AS k, a.sequence AS query, b.sequence AS target FROM seq a LEFT JOIN seq b ON b.item_id = a.item_id + 1), {_alignments("pair", mode)}
+SELECT pair.k AS item_id, query, target, CASE WHEN query IS NOT NULL AND target IS NOT NULL THEN coalesce(score, {alignment.NOTHING}) END AS score FROM pair LEFT JOIN scored ON scored.k = pair.k"""
+
+
+@query(_next_sql("local"))
 def smith_waterman(spark, sf_dir):
     return _aligned(spark, sf_dir)
 
 
-@query()
+@query(_next_sql("overlap"))
 def overlap_alignment(spark, sf_dir):
     return _aligned(spark, sf_dir, mode="overlap")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEQUENCES}, chain AS (SELECT round(item_id / 2 - 0.25)::bigint::varchar AS c, item_id % 2 AS side, 'M' || sequence AS s FROM seq),
+pair AS (SELECT row_number() OVER () AS k, query, target FROM (SELECT DISTINCT a.s AS query, b.s AS target FROM chain a JOIN chain b ON a.c < b.c)), {_alignments("pair", "local")},
+own AS (SELECT s, list_sum(list_transform(string_split(s, ''), lambda x: tab[position(x IN '{views.LETTERS}')][position(x IN '{views.LETTERS}')])) AS n FROM (SELECT DISTINCT s FROM chain), tables),
+far AS (SELECT query, target, greatest(1 - score / sqrt(a.n * b.n), 0) AS d FROM pair JOIN scored USING (k) JOIN own a ON a.s = query JOIN own b ON b.s = target),
+way AS (SELECT a.c AS id_a, b.c AS id_b, a.side = b.side AS straight, sum(d) AS d FROM chain a JOIN chain b ON a.c < b.c JOIN far ON far.query = a.s AND far.target = b.s GROUP BY ALL)
+SELECT id_a, id_b, round(0.5 * min(d), 6) AS d FROM way GROUP BY 1, 2""")
 def alignment_distances(spark, sf_dir):
     s = views.sequences(spark, sf_dir)
-    two = s.select((F.col("item_id") / 2).cast("long").cast("string").alias("complex_id"), (F.col("item_id") % 2 + 1).cast("int").alias("side"), F.concat(F.lit("M"), "sequence").alias("sequence"))
+    two = s.select(F.floor(F.col("item_id") / 2).cast("long").cast("string").alias("complex_id"), (F.col("item_id") % 2 + 1).cast("int").alias("side"), F.concat(F.lit("M"), "sequence").alias("sequence"))
     return rounded(alignment.alignment_distances(two), "d")
 
 

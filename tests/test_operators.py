@@ -114,6 +114,31 @@ def test_alignment_distances(spark):
     assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")} and got["a", "b"] == 0.0 and abs(got["a", "c"] - got["b", "c"]) < 1e-12 and got["a", "c"] > 0.5
 
 
+def test_batches_give_what_single_pairs_give():
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("ARNDWCQEG"), int(rng.integers(0, 25))))
+    pairs = [(word(), word()) for _ in range(120)] + [("", "A"), ("A", "")]
+    for mode in ("local", "overlap"):
+        one = [alignment.align(x, y, mode) for x, y in pairs]
+        assert [tuple(r) for r in alignment.align_pairs(pairs, mode)] == one
+        assert alignment.align_pairs(pairs, mode, starts=False)[:, 0].tolist() == [r[0] for r in one]
+
+
+def test_a_cut_keeps_what_is_near(spark):
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(list(part), 30)) for part in ("ARND", "ARND", "WCFY", "WCFY", "HKPT", "ARND")]
+    seqs = [(f"c{i}", side, s[side:] + "AW"[side - 1]) for i, s in enumerate(base) for side in (1, 2)]
+    df = spark.createDataFrame(seqs, "complex_id string, side int, sequence string")
+    every = {(r.id_a, r.id_b): r.d for r in alignment.alignment_distances(df, block=2).collect()}
+    assert len(every) == 15
+    for cut in (0.0, 0.75, 0.9, 2.0):
+        assert {(r.id_a, r.id_b): r.d for r in alignment.alignment_distances(df, block=2, cut=cut).collect()} == {k: d for k, d in every.items() if d <= cut}
+    code, table = alignment.protein_table()
+    for _, _, x in seqs:
+        for _, _, y in seqs:
+            assert alignment.align(x, y)[0] <= alignment.score_bound(alignment.encoded(x, code), alignment.encoded(y, code), table)
+
+
 # -- clustering ----------------------------------------------------------------------
 
 
