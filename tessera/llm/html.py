@@ -592,7 +592,10 @@ def wrappers(trees: DataFrame, share: int = 256) -> DataFrame:
     `share` distinct trees is cut into shares of about that many, whose wrappers are
     aligned in the same way, until one is left: no task holds a large host alone.
     """
-    whole = keep(trees, "shapes")
+    # Tasks that saw trees of one shape gave it once each: these are one first, with their
+    # sums added, so that shares don't depend on how pages are dealt over tasks.
+    same = trees.repartition("host", "shape").sortWithinPartitions("host", "shape", "wrapper")
+    whole = keep(same.select("host", F.col("shape").alias("salt"), "wrapper").mapInArrow(_align, "host string, shape long, wrapper string"), "shapes")
     while True:
         counts = whole.groupBy("host").agg(F.count("*").alias("n"))
         most = counts.agg(F.max("n").alias("n")).first()["n"] or 0

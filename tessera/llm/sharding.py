@@ -94,7 +94,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, ident: str = "doc_id", tex
     shards; further columns are ignored.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    records = docs.select(F.col(ident).alias("ident"), (F.octet_length(whole).cast("long") + OVERHEAD).alias("size"), F.crc32(whole).alias("text_crc32"), F.xxhash64(whole).alias("key"), F.monotonically_increasing_id().alias("row"))
+    records = docs.select(F.col(ident).alias("ident"), (F.octet_length(whole).cast("long") + OVERHEAD).alias("size"), F.crc32(whole).alias("text_crc32"), F.xxhash64(whole).alias("key"))
     records = keep(records, "records")
     all_ = records.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     mean, rows = all_["bytes"] / shards, all_["n"] / shards
@@ -107,9 +107,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, ident: str = "doc_id", tex
     known = keep(large.select("key", "pieces").join(F.broadcast(homes), "key", "left"), "known")
     ranged = records.join(F.broadcast(known), "key", "left")
     ranged = ranged.withColumn("range", range_of(F.col("key"), splitters(records.join(F.broadcast(known), "key", "left_anti"), ranges)))
-    # A group of its own is a cell for itself, in pieces by row.
+    # A group of its own is a cell for itself, in pieces by ident; rows that are equal in it
+    # too are any of each other, so they are counted and dealt evenly over the pieces.
     small = subdivided(ranged.where("pieces is null"), range_rows, ranges).withColumns({"group": F.lit(None).cast("long"), "piece": F.lit(0)})
-    alone = ranged.where("pieces is not null").withColumns({"part": F.lit(0), "group": F.col("key"), "piece": F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int")})
+    same = ranged.where("pieces is not null").groupBy("ident", "size", "text_crc32", "key", "home", "range", "pieces").agg(F.count("*").alias("same"))
+    parts = same.withColumn("at", F.explode(F.sequence(F.lit(0), F.least("same", "pieces").cast("int") - 1)))
+    each = F.expr("same div pieces") + (F.col("at") < F.col("same") % F.col("pieces")).cast("int")
+    alone = parts.withColumns({"piece": ((F.pmod(F.xxhash64("ident"), F.col("pieces")) + F.col("at")) % F.col("pieces")).cast("int"), "each": each.cast("int")})
+    alone = alone.withColumns({"part": F.lit(0), "group": F.col("key"), "nth": F.explode(F.sequence(F.lit(1), F.col("each")))})
     cell = ["range", "part", "group", "piece"]
     names = ["ident", "size", "text_crc32", "key", "home", *cell]
     cut = keep(small.select(*names).unionByName(alone.select(*names)), "ranges")

@@ -347,13 +347,21 @@ def link(texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFram
 def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """`docs` with one row of each group of near-duplicates: that of the smallest
     ident reachable over links. Null texts count as empty; texts without words are
-    alike. Rows of one ident are one document, of which one row stays. Rows without
-    an ident have no place in that order and all stay. An empty table stays empty."""
+    alike. Rows of one ident and one text are one document, of which one row stays;
+    rows of one ident with several texts are a document each, so no group of texts
+    is left without one. Rows without an ident have no place in that order and all
+    stay. An empty table stays empty."""
     own = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(ident).alias("ident"), own.alias("text"), F.xxhash64(own).alias("node"))
     roots = keep(components(link(texts, least, block), "a", "b"), "roots")
     nodes = keep(texts.groupBy("node").agg(F.min("ident").alias("first")), "nodes")
     labelled = lookup(nodes, roots, "node")
-    chosen = labelled.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias(ident)).where(F.col(ident).isNotNull()).select(ident)
-    named = docs.where(F.col(ident).isNotNull()).join(chosen, ident, "left_semi").dropDuplicates([ident])
+    least_of = F.min(F.struct("first", "node")).alias("m")
+    chosen = labelled.where("first IS NOT NULL").groupBy(F.coalesce("root", "node").alias("root")).agg(least_of)
+    at = "node of the text"
+    while at in docs.columns:
+        at += "_"
+    chosen = chosen.select(F.col("m.first").alias(ident), F.col("m.node").alias(at))
+    known = docs.withColumn(at, F.xxhash64(own)).where(F.col(ident).isNotNull())
+    named = known.join(chosen, [ident, at], "left_semi").dropDuplicates([ident, at])
     return named.select(*columns_of(docs)).union(docs.where(F.col(ident).isNull()))

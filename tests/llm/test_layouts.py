@@ -99,3 +99,30 @@ def test_common_places_are_longest(monkeypatch, table):
         found = html.common(a, b)
         assert len(found) == best[-1, -1] and all(a[i] == b[j] for i, j in found)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+
+
+def test_shards_do_not_depend_on_the_layout(spark):
+    """One group of 600 equal texts, a third of it one row repeated, over any partitions."""
+    from collections import Counter
+
+    from tessera.llm import sharding
+
+    rows = [(i, f"text {i} " * (i % 9)) for i in range(400)] + [(5000 + i, "same words") for i in range(400)] + [(77, "same words")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [Counter(tuple(r) for r in sharding.shard_by_bytes(df.repartition(n), 8, range_rows=50).collect()) for n in (1, 2, 9, 31)]
+    assert all(f == found[0] for f in found[1:]) and sum(found[0].values()) == 1000
+    slots = {}
+    for r, n in found[0].items():
+        slots.setdefault(r[3], []).extend([r[4]] * n)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_wrappers_do_not_depend_on_the_layout(spark):
+    page = lambda i: f"<body><nav>Menu</nav><div class=c{i % 3}>" + "".join(f"<p>Story {i} part {k}</p>" for k in range(1 + i % 5)) + ("<ul><li>x</li></ul>" if i % 4 else "") + "</div></body>"
+    df = spark.createDataFrame([(i, f"http://h.com/{i}", page(i)) for i in range(120)], "page_id long, url string, html string")
+    found = []
+    for n in (1, 4, 16):
+        rows = html.parsed(df.repartition(n), "page_id", "url", "html")
+        marked = rows.join(html.constants(rows), "host", "left")
+        found.append([r.wrapper for r in html.wrappers(html.shapes(marked), share=7).collect()])
+    assert found[0] == found[1] == found[2] and len(found[0]) == 1

@@ -69,3 +69,16 @@ def test_each_stage_takes_hard_rows(spark, sf):
     assert Counter(r.doc_id for r in four.collect()) == Counter(r[0] for r in hard_rows())
     for stage in (toxic, near, mixing, last):
         assert stage(spark, docs(spark, []), sf).collect() == []
+
+
+def test_no_group_is_left_without_a_document(spark):
+    """Documents of two texts: each text's group keeps one, whoever else has the ident."""
+    from tessera.llm import shingles
+
+    from .helpers import prose
+
+    a, b, c = (prose(40, k) for k in (1, 2, 3))
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (1, a), (4, a + " x"), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS `node of the text`", "2 AS node")
+    kept = sorted((r.doc_id or 0, r.text) for r in shingles.one_of_each(df).collect())
+    assert kept == sorted([(1, a), (1, b), (3, c), (0, b)])
