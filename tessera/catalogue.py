@@ -391,7 +391,9 @@ def _permuted(name: str, rows: str, by: tuple[str, ...], permutations: int, seed
     return f"""{n}_size AS (SELECT {g}cluster, count(*) AS n, row_number() OVER ({f"PARTITION BY {', '.join(by)} " if by else ""}ORDER BY cluster) AS slot FROM {rows} GROUP BY {g}cluster),
 {n}_run AS (SELECT * FROM {n}_size, range({permutations}) t(perm)),
 {n}_place AS (SELECT *, row_number() OVER (PARTITION BY {g}cluster ORDER BY observed, predicted) - 1 AS pos FROM {rows}),
-{n}_deal AS (SELECT {g}perm, row_number() OVER (PARTITION BY {g}perm ORDER BY {h("p", *by, "perm", "cluster")}, cluster) AS slot, cluster AS src, n AS src_n FROM {n}_run),
+{n}_walk AS (SELECT {g}perm, slot, groups, wide, ceil(groups / wide)::bigint AS high, (slot - 1) % wide AS l, (slot - 1) // wide AS r, 0 AS round FROM (SELECT *, count(*) OVER (PARTITION BY {g}perm) AS groups, ceil(sqrt(count(*) OVER (PARTITION BY {g}perm)))::bigint AS wide FROM {n}_run)
+UNION ALL SELECT {g}perm, slot, groups, wide, high, CASE WHEN round % 2 = 0 THEN (l + {h("p", *by, "perm", f"round % {statistics.ROUNDS}", "r")}) % wide ELSE l END, CASE WHEN round % 2 = 1 THEN (r + {h("p", *by, "perm", f"round % {statistics.ROUNDS}", "l")}) % high ELSE r END, round + 1 FROM {n}_walk WHERE round % {statistics.ROUNDS} <> 0 OR round = 0 OR r * wide + l >= groups),
+{n}_deal AS (SELECT {", ".join([*own, "a.perm", "a.slot"])}, b.cluster AS src, b.n AS src_n FROM {n}_walk a JOIN {n}_size b ON {on("a", "b") + " AND " if by else ""}b.slot = a.r * a.wide + a.l + 1 WHERE round > 0 AND round % {statistics.ROUNDS} = 0 AND r * wide + l < groups),
 {n}_draw AS (SELECT a.*, b.src, b.src_n, unnest(range(1, least(n, src_n) + {h("n", *own, "a.perm", "a.slot")} % (greatest(n, src_n) - least(n, src_n) + 1) + 1)) AS k FROM {n}_run a JOIN {n}_deal b ON {on("a", "b", ("perm", "perm"), ("slot", "slot"))}),
 {n}_pick AS (SELECT *, {h("o", *by, "perm", "slot", "k")} % src_n AS x, {h("q", *by, "perm", "slot", "k")} % n AS y FROM {n}_draw),
 {n}_pair AS (SELECT {"".join(f"{c}, " for c in own)}a.perm, b.observed AS o, c.predicted AS q FROM {n}_pick a JOIN {n}_place b ON {on("a", "b", ("src", "cluster"), ("x", "pos"))} JOIN {n}_place c ON {on("a", "c", ("cluster", "cluster"), ("y", "pos"))}),
@@ -399,7 +401,7 @@ def _permuted(name: str, rows: str, by: tuple[str, ...], permutations: int, seed
 {n} AS (SELECT {"".join(f"a.{c}, " for c in by)}any_value(r) AS r, count(*) FILTER (abs(drawn) >= abs(r)) / {float(permutations)}::double AS p, count(*) FILTER (abs(drawn) >= abs(r)) AS hits FROM {n}_each a JOIN {n}_real b ON {on("a", "b") or "true"} {f"GROUP BY {', '.join(f'a.{c}' for c in by)}" if by else ""})"""
 
 
-@query(f"WITH v AS (SELECT s_acctbal AS observed, (s_suppkey % 97)::double AS predicted, s_nationkey AS cluster FROM supplier), {_permuted('found', 'v', (), 200, 1)} SELECT round(r, 6) AS r, p, hits FROM found")
+@query(f"WITH RECURSIVE v AS (SELECT s_acctbal AS observed, (s_suppkey % 97)::double AS predicted, s_nationkey AS cluster FROM supplier), {_permuted('found', 'v', (), 200, 1)} SELECT round(r, 6) AS r, p, hits FROM found")
 def permutation_p(spark, sf_dir):
     v = views.table(spark, sf_dir, "supplier")
     rows = v.select(F.col("s_acctbal").alias("observed"), (F.col("s_suppkey") % 97).cast("double").alias("predicted"), F.col("s_nationkey").alias("cluster"))
@@ -495,7 +497,7 @@ def _columns(n: str) -> str:
 _REPORTED = [f"{s}_{n}_{c}" for n in ("baseline", "model") for c in ("r", "RMSE", "R2") for s in ("ave", "stdev")] + ["ave_model_R2(baseline)", "stdev_model_R2(baseline)"]
 
 
-@query(f"""WITH {MEMBERS}, {_CV["baseline"]}, {_CV["model"]}, {_permuted("baseline_p", "baseline", _BY, 30, 1)}, {_permuted("model_p", "model", _BY, 30, 1)}, {_columns("baseline")}, {_columns("model")},
+@query(f"""WITH RECURSIVE {MEMBERS}, {_CV["baseline"]}, {_CV["model"]}, {_permuted("baseline_p", "baseline", _BY, 30, 1)}, {_permuted("model_p", "model", _BY, 30, 1)}, {_columns("baseline")}, {_columns("model")},
 against AS (SELECT clustering_id, trial, 1 - sum((m.observed - m.predicted) * (m.observed - m.predicted)) / sum((b.observed - b.predicted) * (b.observed - b.predicted)) AS x FROM model m JOIN baseline b USING (clustering_id, trial, complex_id) GROUP BY 1, 2),
 rival AS (SELECT clustering_id, avg(x) AS "ave_model_R2(baseline)", stddev_pop(x) AS "stdev_model_R2(baseline)" FROM against GROUP BY 1), size AS (SELECT clustering_id, min(min_dist) AS min_cluster_distance, count(DISTINCT cluster_id) AS number_of_clusters FROM member GROUP BY 1)
 SELECT min_cluster_distance, number_of_clusters, baseline_p_value, model_p_value, {", ".join(f'round("{c}", 5) AS "{c}"' for c in _REPORTED)} FROM size JOIN baseline_columns USING (clustering_id) JOIN model_columns USING (clustering_id) JOIN rival USING (clustering_id)""")

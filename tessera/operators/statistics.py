@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import uniform
@@ -43,14 +43,47 @@ def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
 
 
+#: Rounds of the bijection below.
+ROUNDS = 6
+
+
+def permuted(place: Column, n: Column, *key: Column | str | int) -> Column:
+    """The place that a keyed bijection of 0 .. n - 1 gives `place`: computed for each
+    place alone, so no order of all of them is made.
+
+    A place is a pair (l, r) below (a, b), a about the root of n and a b at least n. In
+    turn one of the two is shifted by a number drawn from the other, which can be undone.
+    What comes out at n or above goes in again: fewer than a places can, one after
+    another, so that ends.
+    """
+    a = F.ceil(F.sqrt(n)).cast("long")
+    b = F.ceil(n / a).cast("long")
+
+    def round_(s: Column, i: Column) -> Column:
+        l, r = s["l"], s["r"]
+        even = i % 2 == 0
+        left = F.when(even, (l + uniform(*key, i, r)) % a).otherwise(l)
+        right = F.when(even, r).otherwise((r + uniform(*key, i, l)) % b)
+        return F.struct(left.alias("l"), right.alias("r"))
+
+    def once(v: Column) -> Column:
+        start = F.struct((v % a).alias("l"), F.floor(v / a).cast("long").alias("r"))
+        done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, round_)
+        return done["r"] * a + done["l"]
+
+    again = F.sequence(F.lit(0).cast("long"), a * b - n)
+    return F.aggregate(again, F.lit(-1).cast("long"), lambda v, i: F.when((v >= 0) & (v < n), v).otherwise(once(F.when(v < 0, place.cast("long")).otherwise(v))))
+
+
 def permutation_p(rows: DataFrame, permutations: int, seed: int, by: list[str] | None = None, equal_clusters: bool = False) -> DataFrame:
     """(*by, r, p, hits): how often shuffled clusters correlate as much as the real ones,
     either way.
 
     In each permutation a slot j takes the observed of cluster perm(j) and the
     predicted of cluster j, both drawn with replacement as often as a uniform number
-    between the sizes of the two; with `equal_clusters` a slot weighs one. The draws
-    come from MD5, so reruns agree. Only clusters and their sizes are permuted: rows
+    between the sizes of the two; with `equal_clusters` a slot weighs one. perm(j) is
+    computed by `permuted`, so nothing is sorted for a permutation. The draws come from
+    MD5, so reruns agree. Only clusters and their sizes are permuted: rows
     meet their draws by their place in the cluster. No permutation gives p -1; a group
     of one cluster, p null.
     """
@@ -61,12 +94,12 @@ def permutation_p(rows: DataFrame, permutations: int, seed: int, by: list[str] |
     place = Window.partitionBy(*by, "cluster").orderBy("observed", "predicted")
     placed = rows.select(*by, "cluster", "observed", "predicted", (F.row_number().over(place) - 1).alias("pos"))
     # A row for each cluster of a group.
-    sizes = rows.groupBy(*by, "cluster").agg(F.count("*").alias("n")).withColumn("slot", F.row_number().over(Window.partitionBy(*by).orderBy("cluster")))
+    sizes = rows.groupBy(*by, "cluster").agg(F.count("*").alias("n")).withColumns({"slot": F.row_number().over(Window.partitionBy(*by).orderBy("cluster")), "groups": F.count("*").over(Window.partitionBy(*by))})
     runs = sizes.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     draw = lambda name, *parts: uniform(name, seed, *[F.col(c) for c in (*by, "perm", *parts)])
-    shuffled = Window.partitionBy(*by, "perm").orderBy(draw("p", "cluster"), "cluster")
-    dealt = runs.select(*by, "perm", F.row_number().over(shuffled).alias("slot"), F.col("cluster").alias("from"), F.col("n").alias("from_n"))
-    both = runs.join(dealt, [*by, "perm", "slot"])
+    key = ("p", seed, *[F.col(c) for c in (*by, "perm")])
+    dealt = runs.withColumn("from_slot", permuted(F.col("slot") - 1, F.col("groups"), *key) + 1).drop("groups")
+    both = dealt.join(sizes.select(*by, F.col("slot").alias("from_slot"), F.col("cluster").alias("from"), F.col("n").alias("from_n")), [*by, "from_slot"])
     lo, hi = F.least("n", "from_n"), F.greatest("n", "from_n")
     drawn = both.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), lo + draw("n", "slot") % (hi - lo + 1))))
     drawn = drawn.withColumns({"x": draw("o", "slot", "k") % F.col("from_n"), "y": draw("q", "slot", "k") % F.col("n")})

@@ -386,3 +386,18 @@ def test_cross_validation_matches_a_plain_program(spark, model):
         assert abs(r.predicted - want) < 1e-9
     with pytest.raises(ValueError, match="no features"):
         evaluation.cross_validate(members, rows.where("complex_id < 30"), how)
+
+
+def test_permuted_places_are_a_bijection(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1, 60).selectExpr("id AS n", "explode(sequence(0L, id - 1)) AS place", "id % 3 AS perm")
+    rows = df.withColumn("to", statistics.permuted(F.col("place"), F.col("n"), "p", 1, F.col("perm"))).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.n, []).append(r.to)
+    assert all(sorted(v) == list(range(n)) for n, v in by.items())
+    # Over many keys every place goes everywhere about as often.
+    keys = spark.range(3000).selectExpr("id AS perm", "explode(sequence(0L, 4L)) AS place").withColumn("to", statistics.permuted(F.col("place"), F.lit(5), "p", 1, F.col("perm")))
+    counts = [r["count"] for r in keys.groupBy("place", "to").count().collect()]
+    assert len(counts) == 25 and all(abs(c - 600) < 120 for c in counts)
