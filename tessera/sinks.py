@@ -14,8 +14,10 @@ def cluster_lines(clusters: DataFrame) -> DataFrame:
 
 
 def write_clusters(clusters: DataFrame, path: str) -> None:
-    """One text file, clusterings in order; an existing one is not overwritten."""
-    cluster_lines(clusters).repartition(1).sortWithinPartitions("clustering_id").select("value").write.mode("errorifexists").text(path)
+    """Text files of clusterings in order, within files and by the files' names, each of a
+    task of its own; what a retried task left is not committed. Existing ones are not
+    overwritten."""
+    cluster_lines(clusters).repartitionByRange("clustering_id").sortWithinPartitions("clustering_id").select("value").write.mode("errorifexists").text(path)
 
 
 def histogram_table(histogram: DataFrame, bins: int) -> DataFrame:

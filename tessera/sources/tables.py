@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators.running import running
+from ..store import keep
 
 #: Kinds of measurement, and signs of a match.
 TYPES = {"Kd": "KD", "Ki": "KI", "IC50": "IC50", "score": "SCORE"}
@@ -38,11 +40,20 @@ def required(value: Column, what: str, raw: Column) -> Column:
 
 def read_affinity(spark: SparkSession, path: str) -> DataFrame:
     """Measurements by header name, decoded. Lines without a comma are passed over; a
-    line of another width than the header, or a value that can't be read, fails."""
+    line of another width than the header, or a value that can't be read, fails.
+
+    A header is a line that names all needed columns. `path` may hold many files, each
+    with the header or without: they are one table, and two different headers fail."""
     rows = lines(spark, path).where(F.contains("value", F.lit(","))).select(split_csv(F.col("value")).alias("f"))
-    header = rows.first()["f"]  # of one file: the header is its first line
-    if missing := [c for c in AFFINITY if c not in header]:
+    named = F.size(F.array_intersect("f", F.array(*map(F.lit, AFFINITY)))) == len(AFFINITY)
+    found = rows.where(named).select("f").distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("files with different headers")
+    if not found:
+        first = rows.first()
+        missing = [c for c in AFFINITY if not first or c not in first["f"]]
         raise ValueError(f"no column {missing[0]}")
+    header = found[0]["f"]
     width = F.size("f") == len(header)
     body = rows.where(F.col("f") != F.array(*map(F.lit, header)))
     body = body.select(F.when(width, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("line of another width: "), F.array_join("f", ","))).cast("array<string>")).alias("f"))
@@ -106,18 +117,21 @@ def read_score_report(spark: SparkSession, path: str) -> DataFrame:
     """Score lines separated by white space: `SCORE: f1 ... fn id_0001` below a
     `SEQUENCE:` line and a `SCORE:` header. The last column before the id counts too."""
     text = spark.read.text(path).select(F.split(strip(F.col("value")), r"\s+").alias("a"))
-    rows = text.where((F.col("a")[0] == "SCORE:") & F.coalesce(F.expr("try_cast(a[1] as float)").isNotNull(), F.lit(False)))
+    rows = text.where((F.col("a")[0] == "SCORE:") & F.get("a", F.lit(1)).try_cast("float").isNotNull())
     return _scores(rows.select(F.regexp_extract(F.element_at("a", -1), r"^(.*?)(_[0-9]+)?$", 1).alias("id"), F.slice("a", 2, F.size("a") - 2).alias("f")))
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """(clustering_id, min_dist, cluster_id, complex_id) of lines `min_dist:(A,B)(C)`.
 
-    A line without a distance has -1. Lines must hold the same ids, each once.
+    A line without a distance has -1. Lines must hold the same ids, each once. Of several
+    files, as many tasks write them, those of later names go on with the clusterings.
     """
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
-    text = text.select("at", F.regexp_replace("line", "#.*$", "").alias("line")).where(F.col("line").rlike(r"\S"))
-    return parse_clusters(text)
+    meta = F.col("_metadata")
+    # Lines of a split are read in order, and splits of a file begin one after the other.
+    at = F.struct(meta["file_name"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("line"))
+    text = spark.read.text(path).select(at.alias("at"), F.regexp_replace("value", "#.*$|\r$", "").alias("line"))
+    return parse_clusters(keep(text.where(F.col("line").rlike(r"\S"))))
 
 
 def parse_clusters(text: DataFrame) -> DataFrame:
@@ -127,8 +141,8 @@ def parse_clusters(text: DataFrame) -> DataFrame:
     rows = text.withColumn("line", line).withColumn("min_dist", F.coalesce(F.expr("try_cast(nullif(trim(regexp_extract(line, '^([^:(]*):', 1)), '') as double)"), F.lit(-1.0)))
     groups = rows.select("at", "min_dist", F.posexplode(F.regexp_extract_all("line", F.lit(r"\(([^)]*)\)"), F.lit(1))).alias("cluster_id", "members"))
     long = groups.select("at", "min_dist", "cluster_id", F.explode(F.split("members", r"\s*,\s*")).alias("complex_id")).withColumn("complex_id", strip(F.col("complex_id")))
-    numbers = text.select("at").withColumn("clustering_id", F.expr("row_number() over (order by at) - 1"))  # a row for each line of one file
-    long = numbers.join(long, "at").select("clustering_id", "min_dist", "cluster_id", "complex_id")
+    numbers = running(text.select("at", F.lit(0).alias("all")), ["all"], [F.col("at")], {"clustering_id": F.lit(1)})
+    long = numbers.select("at", (F.col("clustering_id") - 1).cast("int").alias("clustering_id")).join(long, "at").select("clustering_id", "min_dist", "cluster_id", "complex_id")
     return checked_clusters(long)
 
 

@@ -131,3 +131,28 @@ def test_declared_residues_and_open_access(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("PDB,PMCID\n1abc,PMC1\n1abc,PMC2\n")
     with pytest.raises(Exception, match="occurs twice"):
         T.read_open_access(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_tables_of_several_files(spark, tmp_path):
+    """Files with the header, without it, and with comments are one table; two headers fail."""
+    head = "accession,structure_format,year,affinity_type,affinity_match,affinity_value"
+    (tmp_path / "a").mkdir()
+    for name, text in {"1.csv": f"# x\n{head}\n1abc,NMR,2001,Kd,=,1e-5\n", "2.csv": "2abc,NMR,2002,Ki,<,1e-6\r\n", "3.csv": f"{head}\n3abc,X-RAY=2.5,2003,score,~,-4 # y\n"}.items():
+        (tmp_path / "a" / name).write_text(text)
+    assert sorted((r.accession, r.year) for r in T.read_affinity(spark, str(tmp_path / "a")).collect()) == [("1abc", 2001), ("2abc", 2002), ("3abc", 2003)]
+    (tmp_path / "a" / "4.csv").write_text("year," + head.replace(",year", "") + "\n")
+    with pytest.raises(ValueError, match="different headers"):
+        T.read_affinity(spark, str(tmp_path / "a"))
+
+
+def test_cluster_files_of_many_tasks(spark, tmp_path):
+    rows = [(k, float(k) + 0.5, i // (k + 1), f"m{i:02}") for k in range(23) for i in range(12)]
+    members = spark.createDataFrame(rows, "clustering_id int, min_dist double, cluster_id int, complex_id string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sinks.write_clusters(members, str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(list((tmp_path / "out").glob("part-*"))) > 1
+    got = {(r.clustering_id, r.min_dist, r.cluster_id, r.complex_id) for r in T.read_clusters(spark, str(tmp_path / "out")).collect()}
+    assert got == set(rows)
