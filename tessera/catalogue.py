@@ -293,6 +293,17 @@ def linear_prediction(spark, sf_dir):
     return v.select("id", F.round(regression.linear_prediction(model, F.col("vector").cast("array<double>")), 5).alias("prediction"))
 
 
+@query("""WITH long AS (SELECT l_suppkey AS complex, concat_ws('|', l_returnflag, l_linestatus, lpad(floor(l_quantity / 10)::int::varchar, 3, '0'), 'n') AS name, count(*) AS n FROM lineitem GROUP BY 1, 2),
+every AS (SELECT complex, name FROM (SELECT DISTINCT complex FROM long), (SELECT DISTINCT name FROM long))
+SELECT complex, count(*)::int AS width, string_agg(coalesce(n, 0)::varchar, ',' ORDER BY name) AS features FROM every LEFT JOIN long USING (complex, name) GROUP BY complex""")
+def feature_vectors(spark, sf_dir):
+    """Line items by flags and quantity as vectors over a dictionary of all names."""
+    t = views.table(spark, sf_dir, "lineitem")
+    table = t.groupBy(F.col("l_suppkey").alias("complex"), F.col("l_returnflag").alias("type_a"), F.col("l_linestatus").alias("type_b"), F.floor(F.col("l_quantity") / 10).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    found = features.as_vectors(features.long_form(table, ["type_a", "type_b", "bin"], ["n"]))
+    return found.select("complex", F.size("features").alias("width"), F.array_join(F.transform("features", lambda x: x.cast("long").cast("string")), ",").alias("features"))
+
+
 # -- clusters ----------------------------------------------------------------------------
 
 

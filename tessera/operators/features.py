@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.residues import LETTERS, UNKNOWN
 from ..functions.text import uniform
+from ..store import keep
+from .running import running
 from .spatial import by_types, cross_pairs, nearest, pairs_within
 
 
@@ -71,11 +76,12 @@ def minimum_distance_histogram(points: DataFrame, low: float, high: float, bins:
 
 def self_histogram_features(histogram: DataFrame, types: list[str], bins: int) -> DataFrame:
     """(complex, features): counts in the order of type pairs and bins, zeros included."""
-    pairs = [(a, b) for i, a in enumerate(sorted(types)) for b in sorted(types)[i:]]
-    slots = {(a, b, k): i for i, (a, b, k) in enumerate((a, b, k) for a, b in pairs for k in range(bins))}
-    key = F.concat_ws("|", "type_a", "type_b", F.col("bin").cast("string"))
-    counts = histogram.groupBy("complex").agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("n").cast("double")))).alias("m"))
-    return counts.select("complex", F.array(*[F.coalesce(F.try_element_at("m", F.lit("|".join(map(str, s)))), F.lit(0.0)) for s in slots]).alias("features"))
+    known = sorted(types)
+    rank = F.create_map(*[x for i, t in enumerate(known) for x in (F.lit(t), F.lit(i))])
+    first, second = F.try_element_at(rank, F.col("type_a")), F.try_element_at(rank, F.col("type_b"))
+    before = first * len(known) - (first * (first - 1) / 2).cast("int")  # pairs that begin with an earlier type
+    code = F.when((first <= second) & F.col("bin").between(0, bins - 1), (before + second - first) * bins + F.col("bin"))
+    return dense(sparse(histogram.select("complex", code.alias("code"), F.col("n").alias("value"))), len(known) * (len(known) + 1) // 2 * bins)
 
 
 def adjacency(points: DataFrame, self_reach: float, other_reach: float, most_self: int, most_other: int, key: str = "serial") -> DataFrame:
@@ -167,8 +173,43 @@ def long_form(table: DataFrame, keys: list[str], values: list[str]) -> DataFrame
     return table.select("complex", entry.alias("x")).select("complex", "x.*")
 
 
+def dictionary(long: DataFrame) -> DataFrame:
+    """(name, code): codes from 0 in the order of all names, by ranks over ranges of them."""
+    names = long.select("name").distinct().withColumn("all", F.lit(0))
+    ranked = running(names, ["all"], [F.col("name")], {"code": F.lit(1).cast("long")})
+    return ranked.select("name", (F.col("code") - 1).cast("int").alias("code"))
+
+
+def sparse(coded: DataFrame) -> DataFrame:
+    """(complex, entries) from rows (complex, code, value): codes and values, in order of
+    codes; null codes are none."""
+    entry = F.when(F.col("code").isNotNull(), F.struct(F.col("code").cast("int").alias("code"), F.col("value").cast("double").alias("value")))
+    return coded.groupBy("complex").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+
+
+def dense(vectors: DataFrame, width: int) -> DataFrame:
+    """(complex, features) of sparse vectors: `width` numbers, 0 where there is no entry.
+    The plan is the same for any width."""
+    kind = vectors.schema["complex"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                entries = part.column("entries")
+                counts = np.diff(entries.offsets.to_numpy())
+                flat = entries.flatten()
+                out = np.zeros((part.num_rows, width))
+                row = np.repeat(np.arange(part.num_rows), counts)
+                out[row, flat.field("code").to_numpy(zero_copy_only=False)] = flat.field("value").to_numpy(zero_copy_only=False)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * width), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("complex"), lists], names=["complex", "features"])
+
+    return vectors.select("complex", "entries").mapInArrow(work, f"complex {kind}, features array<double>")
+
+
 def as_vectors(long: DataFrame) -> DataFrame:
     """(complex, features): values in the order of all names, 0 where a complex has none."""
-    names = [r["name"] for r in long.select("name").distinct().orderBy("name").collect()]  # types and bins
-    maps = long.groupBy("complex").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
-    return maps.select("complex", F.array(*[F.coalesce(F.try_element_at("m", F.lit(n)), F.lit(0.0)) for n in names]).cast("array<double>").alias("features"))
+    long = keep(long)
+    codes = keep(dictionary(long))
+    return dense(sparse(long.join(codes, "name").select("complex", "code", "value")), codes.count())

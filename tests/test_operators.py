@@ -401,3 +401,16 @@ def test_permuted_places_are_a_bijection(spark):
     keys = spark.range(3000).selectExpr("id AS perm", "explode(sequence(0L, 4L)) AS place").withColumn("to", statistics.permuted(F.col("place"), F.lit(5), "p", 1, F.col("perm")))
     counts = [r["count"] for r in keys.groupBy("place", "to").count().collect()]
     assert len(counts) == 25 and all(abs(c - 600) < 120 for c in counts)
+
+
+def test_sparse_features_become_vectors(spark):
+    rows = [("a", "z", 1.0), ("a", "b", 2.0), ("b", "b", 3.0), ("c", "q", 0.0), ("b", "é", 4.0)]
+    df = spark.createDataFrame(rows, "complex string, name string, value double").repartition(3)
+    names = sorted({n for _, n, _ in rows}, key=lambda n: n.encode())
+    assert {r.name: r.code for r in features.dictionary(df).collect()} == {n: i for i, n in enumerate(names)}
+    got = {r.complex: r.features for r in features.as_vectors(df).collect()}
+    assert got == {c: [next((v for k, m, v in rows if (k, m) == (c, n)), 0.0) for n in names] for c in "abc"}
+    assert features.as_vectors(df.where("false")).collect() == []
+    histogram = spark.createDataFrame([(1, "C", "N", 0, 5), (1, "N", "N", 1, 2), (2, "X", "Y", 0, 9), (3, "N", "C", 0, 1), (3, "C", "C", 7, 1)], "complex int, type_a string, type_b string, bin int, n int")
+    out = {r.complex: r.features for r in features.self_histogram_features(histogram, ["N", "C"], 2).collect()}
+    assert out == {1: [0, 0, 5, 0, 0, 2], 2: [0] * 6, 3: [0] * 6}
