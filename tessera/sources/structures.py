@@ -1,27 +1,29 @@
 """Fixed-width structure files: one row for each atom of each two-chain complex.
 
-Files are small and many: Spark reads each as one row, and a task turns it into
-atoms. A file that can't be used gives a reason instead, never an exception.
+Lines are rows with a file and a place. What a line means by its file's state (its
+remarks, its first model, its chains) comes from one row for each file, joined back, so
+a file may be as large as it likes and no Python worker reads it. A file that can't be
+used gives a reason instead, never an exception: that of its first faulty line.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.residues import LETTERS, MODIFIED, UNKNOWN
-from ..functions.text import accession
+from ..functions.text import accession, strip
+from ..store import keep
 
 SCHEMA = "complex_id string, side int, chain string, res_no int, res_type string, serial int, atom_type string, x double, y double, z double, bfactor double, hetero boolean, reason string"
 NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
-KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-#: Fixed values of the format: bonded atoms are listed up to this number of atoms.
-MOST_BONDED = 99_999
+#: Fixed values of the format: bonded atoms are listed up to this number of atoms; an
+#: atom bonds at most so many others.
+MOST_BONDED, MOST_BONDS = 99_999, 4
+FLOAT, INTEGER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$", r"^\s*[+-]?\d+\s*$"
 
 
 @dataclass(frozen=True)
@@ -38,182 +40,206 @@ class StructureOptions:
     apply_biomt: bool = False
 
 
-class Rejected(Exception):
-    pass
-
-
-@dataclass
-class Atom:
-    chain: str
-    res_no: int
-    serial: int
-    kind: str
-    xyz: tuple[float, float, float]
-    bfactor: float
-    hetero: bool
-
-
-def number(line: str, start: int, size: int, kind=float):
-    try:
-        return kind(line[start : start + size])
-    except ValueError:
-        raise Rejected(f"bad number at column {start}") from None
-
-
-def residue_type(name: str) -> str:
-    name = name.strip().upper()
-    name = MODIFIED.get(name, name)
-    return name if name in LETTERS else UNKNOWN
-
-
-def bonded(line: str) -> list[int]:
-    """The numbers of a CONECT line: five columns each, from column 6."""
-    fields = [line[k : k + 5].strip() for k in range(6, len(line.rstrip()), 5)]
-    numbers = [int(f) for f in fields if f.isdigit()]
-    if len(numbers) < 2:
-        raise Rejected("short CONECT")
-    return numbers
-
-
-def parse(text: str, options: StructureOptions = StructureOptions()) -> list[tuple]:
-    """Atoms as (side, chain, res_no, res_type, serial, atom_type, x, y, z, bfactor, hetero).
+def part(start: int, size: int | None = None) -> Column:
+    """The columns of a line from `start`, counted from 0."""
+    return F.substring("line", start + 1, size or 2**31 - 1 - start)
+
+
+def record() -> Column:
+    return part(0, 6)
+
+
+def residue_type(name: Column) -> Column:
+    """The standard name of a residue, modified ones by their parents; else unknown."""
+    name = F.upper(strip(name))
+    parents = F.create_map(*[F.lit(v) for kv in MODIFIED.items() for v in kv])
+    name = F.coalesce(parents[name], name)
+    return F.when(name.isin(*LETTERS), name).otherwise(UNKNOWN)
+
+
+def before(place: Column, pos: Column) -> Column:
+    """Whether `place`, null if there is none, lies before `pos`."""
+    return F.coalesce(place < pos, F.lit(False))
+
+
+def file_states(lines: DataFrame, options: StructureOptions) -> DataFrame:
+    """A row for each file with remarks or models: where the first REMARK 350, the mark of
+    a dimer and ENDMDL stand, and the chains granted by lines for biomolecule 1.
+
+    Chains count if the mark stands before them, or with `force_dimer`."""
+    w = Window.partitionBy("complex_id").orderBy("pos")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    remark = record() != "ENDMDL"
+    body = F.when(remark, part(10)).otherwise("")
+    told = F.regexp_extract(body, r"BIOMOLECULE:\s*(\d+)", 1)
+    listed = F.filter(F.transform(F.split(F.regexp_extract("body", "APPLY THE FOLLOWING TO CHAINS:(.*)", 1), ","), strip), lambda c: c != "")
+    said = lines.where(F.startswith("line", F.lit("REMARK 350")) | (record() == "ENDMDL")).select("complex_id", "pos", remark.alias("remark"), body.alias("body"), told.alias("told"))
+    said = said.withColumn("first", (F.col("told") == "") & F.coalesce(F.last(F.when(F.col("told") != "", F.col("told").rlike("^0*1$")), ignorenulls=True).over(w), F.lit(False)))
+    said = said.withColumn("unit", F.col("first") & F.col("body").rlike("BIOLOGICAL UNIT:|QUATERNARY STRUCTURE:") & F.contains("body", F.lit("DIMERIC")))
+    said = said.withColumn("names", F.when(F.col("first") & ~F.col("unit") & F.contains("body", F.lit("APPLY THE FOLLOWING TO CHAINS:")), listed))
+    marked = F.lit(True) if options.force_dimer else F.coalesce(F.max("unit").over(earlier), F.lit(False))
+    said = said.withColumns({"granted": marked & (F.size("names") > 0), "naming": F.last("names", ignorenulls=True).over(w)})
+    numbers = F.slice(F.split(strip(F.regexp_extract("body", r"BIOMT[123]\s+\d+\s+(.*)", 1)), r"\s+"), 1, 4)
+    moves = F.col("first") & ~F.col("unit") & F.col("names").isNull() & F.col("body").rlike(r"BIOMT[123]\s+\d+\s+")
+    bad = moves & ~((F.size(numbers) == 4) & F.forall(numbers, lambda v: v.rlike(FLOAT)))
+    said = said.withColumns({"move": F.when(moves & ~bad, F.transform(numbers, lambda v: v.try_cast("double"))), "bad": bad})
+    move = F.struct("pos", "naming", "move")
+    return said.groupBy("complex_id").agg(
+        F.min(F.when(F.col("remark"), F.col("pos"))).alias("remark_pos"),
+        F.min(F.when(F.col("unit"), F.col("pos"))).alias("dimer_pos"),
+        F.min(F.when(~F.col("remark"), F.col("pos"))).alias("end_pos"),
+        F.collect_list(F.when(F.col("granted"), F.struct("pos", "names"))).alias("grants"),
+        *([F.array_sort(F.collect_list(F.when(F.col("move").isNotNull(), move))).alias("moves"), F.min(F.when(F.col("bad"), F.col("pos"))).alias("bad_pos")] if options.apply_biomt else []),
+    )
+
+
+def atom_lines(lines: DataFrame, states: DataFrame, options: StructureOptions, how: str = "left") -> DataFrame:
+    """Fields of the atom lines that count, by their file's state; `reason` of faulty ones."""
+    rows = lines.where(record().isin("ATOM  ", "HETATM")).join(states, "complex_id", how)
+    pos, chain, size = F.col("pos"), part(21, 1), F.length("line")
+    hetero, remark = record() == "HETATM", before(F.col("remark_pos"), pos)
+    gated = F.lit(False) if options.force_dimer else remark & ~before(F.col("dimer_pos"), pos)
+    granted = F.filter(F.coalesce("grants", F.array()), lambda g: g["pos"] < pos)
+    passed = ~hetero & remark & (F.size(granted) > 0) & ~F.exists(granted, lambda g: F.array_contains(g["names"], chain))
+    kind = F.upper(strip(part(76)))
+    if options.ignore_charge:
+        kind = F.regexp_replace(kind, r"[0-9+\-]+$", "")
+    x = (options.x_start, 38 - options.x_start if options.x_start > 29 else 8)
+    numbers = {"x": (*x, FLOAT), "y": (38, 8, FLOAT), "z": (46, 8, FLOAT), "res_no": (22, 4, INTEGER), "serial": (6, 5, INTEGER), "bfactor": (60, 7, FLOAT)}
+    unread = {n: ~part(start, width).rlike(pattern) & (F.lit(n != "bfactor") | (strip(part(start, width)) != "")) for n, (start, width, pattern) in numbers.items()}
+    reason = F.when(size < 54, "short line").when(gated, "not a dimer").when(size < 80, "short line").when(kind == "", "no element")
+    for n, wrong in unread.items():
+        reason = reason.when(wrong, f"bad number at column {numbers[n][0]}")
+    fields = [part(start, width).try_cast("int" if pattern is INTEGER else "double").alias(n) for n, (start, width, pattern) in numbers.items()]
+    counted = rows.where((F.col("end_pos").isNull() | (pos < F.col("end_pos"))) & ((size < 54) | gated | ~passed))
+    out = counted.select("complex_id", "pos", hetero.alias("hetero"), chain.alias("chain"), residue_type(part(17, 3)).alias("res_type"), F.when(kind == "*", UNKNOWN).otherwise(kind).alias("atom_type"), *fields, reason.alias("reason"))
+    return out.withColumn("bfactor", F.coalesce("bfactor", F.lit(0.0)))
+
+
+def bond_lines(lines: DataFrame) -> DataFrame:
+    """(complex_id, pos, bonded, reason) of the lines that say which atoms are bonded: five
+    columns for a number, from column 6. Those after the first model count too."""
+    fields = F.transform(F.regexp_extract_all(F.regexp_replace(part(6), r"\s+$", ""), F.lit("(.{1,5})"), 1), strip)
+    bonded = F.transform(F.filter(fields, lambda f: f.rlike(r"^\d+$")), lambda f: f.cast("int"))
+    return lines.where(record() == "CONECT").select("complex_id", "pos", bonded.alias("bonded")).withColumn("reason", F.when(F.size("bonded") < 2, "short CONECT"))
+
+
+def verdicts(files: DataFrame, lines: DataFrame, states: DataFrame, options: StructureOptions) -> DataFrame:
+    """A row for each file: its state, the chains present, whether its bonds count,
+    and the reason why it can't be used, if any.
+
+    A third chain is a fault unless remarks have granted chains before."""
+    atoms = atom_lines(lines, states, options).select("complex_id", "pos", "reason", F.when(~F.col("hetero") & F.col("reason").isNull(), F.col("chain")).alias("chain"), F.lit(1).alias("atom"), F.lit(False).alias("overfull"))
+    bonds = bond_lines(lines).select("complex_id", "pos", "reason", F.lit(None).cast("string").alias("chain"), F.lit(0).alias("atom"), (F.size("bonded") > MOST_BONDS + 1).alias("overfull"))
+    fault = F.min(F.when(F.col("reason").isNotNull(), F.struct("pos", "reason"))).alias("fault")
+    chains = atoms.unionByName(bonds).groupBy("complex_id", "chain").agg(fault, F.sum("atom").alias("atoms"), F.max("overfull").alias("overfull"), F.min("pos").alias("first"))
+    each = chains.groupBy("complex_id").agg(F.min("fault").alias("fault"), F.sum("atoms").alias("atoms"), F.max("overfull").alias("overfull"), F.array_sort(F.collect_list(F.when(F.col("chain").isNotNull(), F.struct("first", "chain")))).alias("chains"))
+    all_ = files.groupBy("complex_id").agg(F.count("*").alias("files")).join(each, "complex_id", "left").join(states, "complex_id", "left")
+    all_ = all_.withColumn("chains", F.coalesce("chains", F.array()))
+    n, third = F.size("chains"), F.get("chains", F.lit(2))["first"]
+    free = ~F.exists(F.coalesce("grants", F.array()), lambda g: g["pos"] < third)
+    found = [F.col("fault"), F.when(third.isNotNull() & free, fault_at(third, "more than two chains")), F.when(F.col("end_pos").isNotNull() & (n != 2), fault_at(F.col("end_pos"), "first model has not two chains"))]
+    if options.apply_biomt:
+        found.append(F.when(F.col("bad_pos").isNotNull(), fault_at(F.col("bad_pos"), "bad BIOMT")))
+    first = F.array_min(F.array_compact(F.array(*found)))["reason"]
+    reason = F.when(F.col("files") > 1, "accession occurs more than once").otherwise(F.coalesce(first, F.when(n != 2, F.concat(n.cast("string"), F.lit(" chains")))))
+    bonded = ~F.coalesce("overfull", F.lit(False)) & (F.coalesce("atoms", F.lit(0)) <= MOST_BONDED)
+    all_ = all_.withColumns({"reason": reason, "bonded_count": bonded, "present": F.transform("chains", lambda c: c["chain"])})
+    return all_.select(*states.columns, "present", "bonded_count", "reason")
+
+
+def fault_at(pos: Column, why: str) -> Column:
+    return F.struct(pos.alias("pos"), F.lit(why).alias("reason"))
+
+
+def attached(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(complex_id, serial, chain, res_no): the residue that bonds lead each hetero atom to.
+
+    Bonds, sorted, are gone through again and again, and one with a reached end reaches
+    the other. So an atom's label is the earliest (pass, bond) that reaches it, and one
+    label leads to the next: rounds of joins in which only atoms with new labels take
+    part, until none is. Of labels for one place the latest counts, as the atom they come
+    from may have got another residue meanwhile. A lost executor costs one round at most."""
+    key = ["complex_id", "serial"]
+    owners = atoms.where("not hetero").groupBy(*key).agg(F.max_by(F.struct("chain", "res_no"), "pos").alias("residue"))
+    free = atoms.where("hetero").select(*key).distinct().join(owners, key, "left_anti")
+    ends = bonds.select("complex_id", F.col("bonded")[0].alias("one"), F.explode(F.expr("slice(bonded, 2, size(bonded))")).alias("two"))
+    both = ends.unionByName(ends.select("complex_id", F.col("two").alias("one"), F.col("one").alias("two"))).distinct()
+    edges = keep(both.withColumnRenamed("one", "serial").join(free, key).select(*key, F.col("two").alias("by"), F.struct(F.least("serial", "two").alias("a"), F.greatest("serial", "two").alias("b")).alias("bond")))
+    known = owners.withColumnRenamed("serial", "by")
+    label, count = F.struct(F.lit(1).alias("turn"), "bond", F.lit(0).alias("age"), "residue").alias("label"), 0
+    best = keep(edges.join(known, ["complex_id", "by"]).groupBy(*key).agg(F.min(label).alias("label")).withColumn("fresh", F.lit(True)))
+    inner = edges.join(free.withColumnRenamed("serial", "by"), ["complex_id", "by"], "left_semi")
+    if inner.isEmpty():
+        return best.select(*key, "label.residue.*")
+    inner = keep(inner)
+    while not best.where("fresh").isEmpty():
+        news = best.where("fresh").select("complex_id", F.col("serial").alias("by"), "label")
+        count += 1
+        turn = F.col("label.turn") + F.when(F.col("label.bond") < F.col("bond"), 0).otherwise(1)
+        reached = inner.join(news, ["complex_id", "by"]).select(*key, F.struct(turn.alias("turn"), "bond", F.lit(-count).alias("age"), "label.residue").alias("label"), F.lit(None).alias("old"))
+        all_ = best.select(*key, "label", F.col("label").alias("old")).union(reached)
+        least = all_.groupBy(*key).agg(F.min("label").alias("label"), F.min("old").alias("old"))
+        same = reduce(lambda a, b: a & b, [F.col(f"old.{c}").eqNullSafe(F.col(f"label.{c}")) for c in ("turn", "bond", "residue")])
+        best = keep(least.select(*key, "label", (~same).alias("fresh")))
+    return best.select(*key, "label.residue.*")
+
+
+def moved(rows: DataFrame) -> DataFrame:
+    """Atoms moved by the first three lines of the transform that names their chain."""
+    of_chain = F.slice(F.filter(F.coalesce("moves", F.array()), lambda m: F.array_contains(m["naming"], F.col("chain"))), 1, 3)
+    rows = rows.withColumn("by", F.transform(of_chain, lambda m: m["move"]))
+    place = {c: F.when(F.size("by") == 3, reduce(lambda a, b: a + b, [F.col("by")[k][i] * F.col(a) for i, a in enumerate("xyz")]) + F.col("by")[k][3]).otherwise(F.col(c)) for k, c in enumerate("xyz")}
+    return rows.withColumns(place)
+
+
+def structures(files: DataFrame, lines: DataFrame, options: StructureOptions) -> DataFrame:
+    """Atoms of files (complex_id) with lines (complex_id, pos, line); `pos` orders the
+    lines of a file.
 
     Of several models the first counts. REMARK 350 names the chains of biomolecule
     1, which must be marked a dimer; without it, chains are those of the atoms. A
     hetero atom bonded to a residue, over others if need be, becomes part of it.
     Exactly two chains must have atoms. Insertion codes and alternate locations are
-    not told apart; a residue's type is that of its first atom.
-    """
-    remark, dimer, molecule, targets = False, False, 0, []
-    moves: dict[str, list[list[float]]] = {}
-    naming: list[str] = []
-    atoms: list[Atom] = []
-    types: dict[tuple[str, int], str] = {}
-    pairs: set[tuple[int, int]] = set()
-    overflow = False
-    for line in text.splitlines():
-        record = line[:6]
-        if line.startswith("REMARK 350"):
-            remark, body = True, line[10:]
-            if m := re.search(r"BIOMOLECULE:\s*(\d+)", body):
-                molecule = int(m[1])
-            elif molecule == 1 and re.search(r"BIOLOGICAL UNIT:|QUATERNARY STRUCTURE:", body) and "DIMERIC" in body:
-                dimer = True
-            elif molecule == 1 and (m := re.search(r"APPLY THE FOLLOWING TO CHAINS:(.*)", body)):
-                naming = [c.strip() for c in m[1].split(",") if c.strip()]
-                if dimer or options.force_dimer:
-                    targets += [c for c in naming if c not in targets]
-            elif molecule == 1 and (m := re.search(r"BIOMT([123])\s+\d+\s+(.*)", body)):
-                row = [float(v) for v in m[2].split()[:4]]
-                for c in naming:
-                    moves.setdefault(c, []).append(row)
-        elif record == "ENDMDL":
-            chains = {a.chain for a in atoms if not a.hetero}
-            if len(chains) != 2:
-                raise Rejected("first model has not two chains")
-            # Later models are passed over; bonds may still follow.
-            for rest in text[text.index("ENDMDL") :].splitlines():
-                if rest.startswith("CONECT"):
-                    overflow |= _bonds(rest, pairs)
-            break
-        elif record == "CONECT":
-            overflow |= _bonds(line, pairs)
-        elif record in ("ATOM  ", "HETATM"):
-            hetero = record == "HETATM"
-            if len(line) < 54:
-                raise Rejected("short line")
-            chain = line[21]
-            if remark and not dimer and not options.force_dimer:
-                raise Rejected("not a dimer")
-            if not hetero and remark and targets and chain not in targets:
-                continue
-            if len(line) < 80:
-                raise Rejected("short line")
-            kind = line[76:].strip().upper()
-            if options.ignore_charge:
-                kind = re.sub(r"[0-9+\-]+$", "", kind)
-            if not kind:
-                raise Rejected("no element")
-            kind = UNKNOWN if kind == "*" else kind
-            xyz = number(line, options.x_start, 38 - options.x_start if options.x_start > 29 else 8), number(line, 38, 8), number(line, 46, 8)
-            atom = Atom(chain, number(line, 22, 4, int), number(line, 6, 5, int), kind, xyz, number(line, 60, 7) if line[60:67].strip() else 0.0, hetero)
-            atoms.append(atom)
-            if not hetero:
-                types.setdefault((chain, atom.res_no), residue_type(line[17:20]))
-                if not targets and len({a.chain for a in atoms if not a.hetero} if len(types) < 3 else {k[0] for k in types}) > 2:
-                    raise Rejected("more than two chains")
-    if overflow or len(atoms) > MOST_BONDED:
-        pairs = set()
-    owner = {} if options.ignore_hetatm else attached(atoms, pairs)
-    kept = [(a, (a.chain, a.res_no)) for a in atoms if not a.hetero] + [(a, owner[a.serial]) for a in atoms if a.hetero and a.serial in owner]
-    chains = sorted({key[0] for _, key in kept})
-    if len(chains) != 2:
-        raise Rejected(f"{len(chains)} chains")
-    out = []
-    for a, (chain, res_no) in kept:
-        xyz = moved(a.xyz, moves[chain][:3]) if options.apply_biomt and len(moves.get(chain, ())) >= 3 else a.xyz
-        out.append((chains.index(chain) + 1, chain, res_no, types[chain, res_no], a.serial, a.kind, *xyz, a.bfactor, a.hetero))
-    return out
-
-
-def moved(xyz: tuple[float, float, float], rows: list[list[float]]) -> tuple[float, float, float]:
-    return tuple(sum(r[k] * xyz[k] for k in range(3)) + r[3] for r in rows)
-
-
-def _bonds(line: str, pairs: set[tuple[int, int]]) -> bool:
-    """Adds a line's bonds; whether it has more fields than the format allows."""
-    first, *others = bonded(line)
-    pairs.update((min(first, o), max(first, o)) for o in others)
-    return len(others) > 4
-
-
-def attached(atoms: list[Atom], pairs: set[tuple[int, int]]) -> dict[int, tuple[str, int]]:
-    """The residue of each hetero atom that bonds lead to; the smallest pair decides."""
-    owner = {a.serial: (a.chain, a.res_no) for a in atoms if not a.hetero}
-    hetero = {a.serial for a in atoms if a.hetero} - owner.keys()
-    found: dict[int, tuple[str, int]] = {}
-    left, grown = sorted(pairs), True
-    while grown:
-        grown, rest = False, []
-        for a, b in left:
-            for one, two in ((a, b), (b, a)):
-                if one in hetero and one not in found and (two in owner or two in found):
-                    found[one] = owner.get(two) or found[two]
-                    grown = True
-                    break
-            else:
-                rest.append((a, b))
-        left = rest
-    return found
+    not told apart; a residue's type is that of its first atom. A null text, and an
+    empty one, has no chains; numbers are plain decimals."""
+    wanted = F.startswith("line", F.lit("REMARK 350")) | record().isin("ENDMDL", "CONECT", "ATOM  ", "HETATM")
+    lines = keep(lines.where(wanted))
+    told = keep(verdicts(files, lines, file_states(lines, options), options))
+    good = told.where("reason is null")
+    atoms = atom_lines(lines, good.drop("reason", "present"), options, "inner").drop("reason")
+    rows = atoms.where("not hetero")
+    if not options.ignore_hetatm:
+        bonds = bond_lines(lines).join(good.where("bonded_count"), "complex_id", "left_semi")
+        if not bonds.isEmpty():
+            owners = attached(atoms, bonds)
+            rows = rows.unionByName(atoms.where("hetero").drop("chain", "res_no").join(owners, ["complex_id", "serial"]))
+    residue = Window.partitionBy("complex_id", "chain", "res_no")
+    own = ~F.col("hetero")
+    rows = rows.withColumn("res_type", F.min_by(F.when(own, F.col("res_type")), F.when(own, F.col("pos"))).over(residue))
+    rows = rows.join(good.select("complex_id", "present", *(["moves"] if options.apply_biomt else [])), "complex_id")
+    if options.apply_biomt:
+        rows = moved(rows)
+    side = F.when(F.col("chain") == F.array_min("present"), 1).otherwise(2)
+    out = rows.withColumns({"side": side, "reason": F.lit(None).cast("string")}).select(*NAMES)
+    return out.unionByName(told.where("reason is not null").select("complex_id", "reason"), allowMissingColumns=True)
 
 
 def read_structures(spark: SparkSession, path: str, options: StructureOptions = StructureOptions()) -> DataFrame:
     """Atoms of all `*.pdb` files in `path`, `complex_id` from the name; a file that is
     left out gives one row with only complex_id and reason. Two files of one accession
     are both left out."""
-    files = spark.read.text(f"{path.rstrip(chr(47))}/*.pdb", wholetext=True).select(accession(F.col("_metadata.file_name")).alias("complex_id"), "value")
-    return parse_structures(files, options)
+    where = f"{path.rstrip(chr(47))}/*.pdb"
+    name = accession(F.col("_metadata.file_name")).alias("complex_id")
+    files = spark.read.format("binaryFile").load(where).select(name)
+    lines = spark.read.text(where).select(name, F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("pos"), F.col("value").alias("line"))
+    return structures(files, lines, options)
 
 
 def parse_structures(files: DataFrame, options: StructureOptions = StructureOptions()) -> DataFrame:
     """As `read_structures`, of rows (complex_id, value)."""
-    twice = files.groupBy("complex_id").agg(F.count("*").alias("files"))
-    rows = files.join(twice, "complex_id").select("complex_id", "value", (F.col("files") > 1).alias("twice"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for ident, text, double in zip(*(c.to_pylist() for c in b.columns)):
-                try:
-                    if double:
-                        raise Rejected("accession occurs more than once")
-                    out += [(ident, *a, None) for a in parse(text or "", options)]
-                except Rejected as x:
-                    out.append((ident, *[None] * 11, str(x)))
-            cols = list(zip(*out)) or [()] * len(NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), KINDS[f.split()[1]]) for c, f in zip(cols, SCHEMA.split(", "))], names=NAMES)
-
-    return rows.mapInArrow(run, SCHEMA)
+    lines = files.select("complex_id", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("pos", "line"))
+    return structures(files.select("complex_id"), lines, options)
 
 
 def usable(atoms: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
+import random
+
 import pytest
 
 from tessera import sinks
 from tessera.sources import structures as S
 from tessera.sources import tables as T
 
+from . import plain_structures as plain
+
 
 def atom(serial, chain, res_no, name="GLY", xyz=(0.0, 0.0, 0.0), kind="C", record="ATOM  "):
     x, y, z = xyz
@@ -15,7 +19,7 @@ TWO = [atom(1, "A", 1, "ALA", (1.125, 2, 3), "N"), atom(2, "A", 2, "MSE"), atom(
 
 
 def parsed(*lines, **how):
-    return S.parse("\n".join(lines), S.StructureOptions(**how))
+    return plain.parse("\n".join(lines), S.StructureOptions(**how))
 
 
 def test_two_chains():
@@ -28,7 +32,7 @@ def test_two_chains():
 
 def test_dimer_remarks():
     assert len(parsed(*REMARK, *TWO, atom(9, "C", 1))) == 4  # C is no target
-    with pytest.raises(S.Rejected, match="dimer"):
+    with pytest.raises(plain.Rejected, match="dimer"):
         parsed(REMARK[0], *TWO)
     assert len(parsed(REMARK[0], *TWO, force_dimer=True)) == 4
     move = [f"REMARK 350   BIOMT{k}   1  {r}" for k, r in ((1, "0 1 0 10"), (2, "1 0 0 0"), (3, "0 0 1 -1"))]
@@ -37,13 +41,13 @@ def test_dimer_remarks():
 
 @pytest.mark.parametrize("lines, why", [([*TWO, atom(9, "C", 1)], "two chains"), (TWO[:2], "1 chains"), (["ATOM      1"], "short"), ([TWO[0][:79]], "short"), ([TWO[0], "CONECT    1"], "CONECT"), ([atom(1, "A", 1, kind="")], "element"), ([TWO[0].replace("1.125", "1.x25")], "number")])
 def test_rejects(lines, why):
-    with pytest.raises(S.Rejected, match=why):
+    with pytest.raises(plain.Rejected, match=why):
         parsed(*lines)
 
 
 def test_first_model_counts():
     assert len(parsed(*TWO, "ENDMDL", atom(5, "A", 9), atom(6, "Z", 9))) == 4
-    with pytest.raises(S.Rejected):
+    with pytest.raises(plain.Rejected):
         parsed(TWO[0], "ENDMDL", *TWO)
 
 
@@ -61,6 +65,43 @@ def test_insertion_codes_merge():
     assert {r[3] for r in parsed(*TWO, twice) if r[1:3] == ("A", 1)} == {"ALA"}
 
 
+def cases():
+    """Files of every kind of record, whole and broken, and random ones."""
+    het = [atom(10, "A", 50, "LIG", kind="ZN", record="HETATM"), atom(11, "A", 50, "LIG", kind="FE", record="HETATM"), atom(12, "A", 51, "HOH", kind="O", record="HETATM")]
+    move = [f"REMARK 350   BIOMT{k}   1  {r}" for k, r in ((1, "0 1 0 10"), (2, "1 0 0 0"), (3, "0 0 1 -1"))]
+    yield from ([], [""], TWO, TWO[:2], [*TWO, atom(9, "C", 1)], [*REMARK, *TWO, atom(9, "C", 1)], [REMARK[0], *TWO], ["ATOM      1"], [TWO[0][:79]], [TWO[0], "CONECT    1"], [atom(1, "A", 1, kind="")])
+    yield from ([TWO[0].replace("1.125", "1.x25")], [*TWO, "ENDMDL", atom(5, "A", 9), atom(6, "Z", 9)], [TWO[0], "ENDMDL", *TWO], [*REMARK, *move, *TWO], [*REMARK, move[0], *TWO], [*REMARK, "REMARK 350   BIOMT1   1  0 1 x", *TWO], [TWO[0], *REMARK, *TWO])
+    yield from ([*TWO, *het, "CONECT   10   11", "CONECT    2   10"], [*TWO, *het, "CONECT    2   10", "CONECT    1    2    3    4    5    6"], [*TWO, *het, "ENDMDL", "CONECT   11   12", "CONECT    4   12"], ["REMARK 350 BIOMOLECULE: 2", REMARK[1], REMARK[2], *TWO], [*TWO, atom(5, "A", 1, "TRP").replace("   1    ", "   1A   ")])
+    draw = random.Random(7)
+    bodies = ["BIOMOLECULE: 1", "BIOMOLECULE:  2", "SOFTWARE DETERMINED QUATERNARY STRUCTURE: DIMERIC", "BIOLOGICAL UNIT: TETRAMERIC", "APPLY THE FOLLOWING TO CHAINS: A, B", "APPLY THE FOLLOWING TO CHAINS: B,C", *(m[10:] for m in move)]
+    for _ in range(150):
+        lines = [f"REMARK 350 {draw.choice(bodies)}" for _ in range(draw.choice((0, 0, 1, 8)))] if draw.random() < 0.5 else [*REMARK, *(move if draw.random() < 0.5 else [])]
+        serials = range(1, draw.randint(4, 40))
+        for s in serials:
+            far = draw.random() < 0.5
+            lines.append(atom(s - draw.choice((0,) * 30 + (1,)), draw.choice("AB" if draw.random() < 0.97 else "ABC"), draw.randint(1, 5), draw.choice(("ALA", "MSE", "SEP", "HOH")), (s, -s / 8, 0.5), draw.choice(("C", "N1+", "*", "ZN")), "HETATM" if far else "ATOM  "))
+        bonds = [f"CONECT{draw.choice(serials):>5}" + "".join(f"{draw.choice(serials):>5}" for _ in range(draw.randint(1, 4))) for _ in range(draw.randint(0, 30))]
+        at = draw.randrange(len(lines) + 1)
+        yield [*lines[:at], *(["ENDMDL"] if draw.random() < 0.2 else []), *lines[at:], *bonds]
+
+
+@pytest.mark.parametrize("how", [{}, {"force_dimer": True, "ignore_charge": True}, {"apply_biomt": True, "x_start": 29}, {"ignore_hetatm": True}])
+def test_columns_give_what_the_plain_program_gives(spark, how):
+    options = S.StructureOptions(**how)
+    files = [(f"f{k}", "\r\n".join(lines) if k % 2 else "\n".join(lines)) for k, lines in enumerate(cases())]
+    expected, odd = [], {"null": "0 chains", "twice": "accession occurs more than once"}
+    for name, text in files:
+        try:
+            expected += [(name, *row, None) for row in plain.parse(text, options)]
+        except plain.Rejected as x:
+            odd[name] = str(x)
+    more = [("null", None), ("twice", "\n".join(TWO)), ("twice", "")]
+    got = S.parse_structures(spark.createDataFrame(files + more, "complex_id string, value string").repartition(7), options).collect()
+    assert {r.complex_id: r.reason for r in got if r.reason} == odd
+    assert sorted(map(repr, (tuple(r) for r in got if not r.reason))) == sorted(map(repr, expected))
+    assert any(r.hetero for r in got) != options.ignore_hetatm and len(expected) > 300
+
+
 def test_directory(spark, tmp_path):
     (tmp_path / "1abc.pdb").write_text("\n".join(TWO))
     (tmp_path / "2abc_x.pdb").write_text("\n".join(TWO[:2]))
