@@ -550,6 +550,67 @@ def structure_files(spark, sf_dir):
     return structures.usable(structures.parse_structures(files))
 
 
+_RECORDS = f"""WITH {PLACES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY complex ORDER BY side, type, x, y, z) AS n FROM place), own AS (SELECT *, (n - 1) // 4 + 1 AS res_no FROM numbered WHERE n % 4 IN (1, 2)),
+typed AS (SELECT *, CASE first_value(type) OVER (PARTITION BY complex, side, res_no ORDER BY n) WHEN 'A' THEN 'ALA' WHEN 'N' THEN 'MET' ELSE 'UNKNOWN' END AS res_type FROM own),
+told AS (SELECT complex, CASE WHEN complex % 6 = 2 THEN 'not a dimer' WHEN complex % 6 = 4 THEN 'more than two chains' WHEN count(DISTINCT side) = 2 THEN NULL WHEN complex % 6 = 1 THEN 'first model has not two chains' ELSE '1 chains' END AS reason FROM own GROUP BY complex),
+atoms AS (SELECT complex, side, res_no, res_type, n, type, false AS hetero FROM typed UNION ALL SELECT h.complex, o.side, o.res_no, o.res_type, h.n, h.type, true FROM numbered h JOIN typed o ON h.complex = o.complex AND o.n = (h.n - 1) // 4 * 4 + 2 WHERE h.n % 4 IN (3, 0) AND h.complex % 6 <> 3)
+"""
+
+
+def _structure_folder(spark, sf_dir):
+    """A folder of structure files, one for each complex: dimers by remarks with a chain
+    that is not theirs (complexes 0 of 6), two models (1), no dimers (2), an overfull line
+    of bonds (3), four chains (4), and plain ones. Two in four atoms are bonded hetero atoms."""
+    p = views.places(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("complex").orderBy("side", "type", "x", "y", "z")))
+    kind, far = F.col("complex") % 6, F.col("n") % 4
+    name = F.when(F.col("type") == "A", "ALA").when(F.col("type") == "N", "MSE").otherwise("XYZ")
+    form = "%s%5d  CA  %s %s%4d    %8.3f%8.3f%8.3f  1.00  5.25          %2s  "
+    atom = F.format_string(form, F.when(far.isin(1, 2), "ATOM  ").otherwise("HETATM"), "n", name, F.when(F.col("side") == 1, "A").otherwise("B"), F.floor((F.col("n") - 1) / 4) + 1, "x", "y", "z", "type")
+    bond = F.format_string("CONECT%5d%5d", F.col("n") - 1, "n")
+    one = p.select("complex").distinct()
+    fixed = lambda at, when, *lines: one.where(when).select("complex", F.posexplode(F.array(*map(F.lit, lines))).alias("n", "line")).select("complex", F.lit(at).alias("section"), F.col("n").cast("int").alias("n"), "line")
+    extra = lambda chain: f"ATOM  99999  CA  GLY {chain}   1       1.000   1.000   1.000  1.00  5.25           C  "
+    parts = [
+        fixed(0, kind.isin(0, 2), "HEADER", "REMARK 350 BIOMOLECULE: 1"),
+        fixed(1, kind == 0, "REMARK 350 SOFTWARE DETERMINED QUATERNARY STRUCTURE: DIMERIC", "REMARK 350 APPLY THE FOLLOWING TO CHAINS: A, B"),
+        p.select("complex", F.lit(2).alias("section"), "n", atom.alias("line")),
+        fixed(3, kind == 0, extra("C")),
+        fixed(3, kind == 1, "ENDMDL", extra("Z")),
+        fixed(3, kind == 4, extra("C"), extra("D")),
+        p.where(far.isin(3, 0)).select("complex", F.lit(4).alias("section"), "n", bond.alias("line")),
+        fixed(5, kind == 3, "CONECT    1    2    3    4    5    6"),
+    ]
+    lines = parts[0]
+    for other in parts[1:]:
+        lines = lines.unionByName(other)
+    path = new_path(spark)
+    sinks.write_named(lines.select(F.concat(F.col("complex").cast("string"), F.lit("_model")).alias("name"), F.struct("section", "n").alias("at"), "line"), path, ".pdb")
+    return path
+
+
+@query(_RECORDS + """SELECT complex::varchar AS complex_id, side, CASE side WHEN 1 THEN 'A' ELSE 'B' END AS chain, res_no::int AS res_no, res_type, n::int AS serial, type AS atom_type, hetero, reason FROM atoms JOIN told USING (complex) WHERE reason IS NULL
+UNION ALL SELECT complex::varchar, NULL, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM told WHERE reason IS NOT NULL""")
+def structure_records(spark, sf_dir):
+    """Files written one for each complex, and read back: remarks, models, hetero atoms and
+    bonds."""
+    return structures.read_structures(spark, _structure_folder(spark, sf_dir)).drop("x", "y", "z", "bfactor")
+
+
+@query(_RECORDS + """, residue AS (SELECT DISTINCT complex, side, res_no, res_type FROM typed JOIN told USING (complex) WHERE reason IS NULL)
+SELECT complex::varchar AS complex_id, side, coalesce(string_agg(CASE res_type WHEN 'ALA' THEN 'A' WHEN 'MET' THEN 'M' END, '' ORDER BY res_no), '') AS sequence FROM residue GROUP BY ALL""")
+def structure_sequences(spark, sf_dir):
+    return structures.sequences(structures.usable(structures.read_structures(spark, _structure_folder(spark, sf_dir))))
+
+
+@query(_SQL["histogram_table"])
+def histogram_files(spark, sf_dir):
+    """Histograms written to a file for each complex, and read back with their names."""
+    path = new_path(spark)
+    sinks.write_histograms(features.distance_histogram(views.atoms(spark, sf_dir), 0.0, REACH, 4), 4, path)
+    read = spark.read.csv(f"{path}/*.hist", "atom_1 string, atom_2 string, bin0 long, bin1 long, bin2 long, bin3 long", header=True)
+    return read.select(F.regexp_extract("_metadata.file_name", "^[0-9]+", 0).cast("long").alias("complex_id"), "*")
+
+
 @query("""SELECT o_orderkey::varchar AS accession, CASE o_orderkey % 4 WHEN 0 THEN 'KD' WHEN 1 THEN 'KI' WHEN 2 THEN 'IC50' ELSE 'SCORE' END AS affinity_type, CASE o_orderkey % 3 WHEN 0 THEN '=' WHEN 1 THEN '<' ELSE '~' END AS affinity_match, CASE WHEN o_orderkey % 4 = 3 THEN round(o_totalprice, 2) ELSE round(ln(round(o_totalprice, 2)), 6) END AS value,
 CASE WHEN o_orderkey % 2 = 0 THEN 'XRAY' ELSE 'NMR' END AS structure_type, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 30 + 1)::double END AS resolution, year(o_orderdate)::int AS year, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 5)::double END AS ph, round(CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN o_orderkey % 40 + 273.15 ELSE 298.5 END::double, 2) AS temperature FROM orders""")
 def affinity_file(spark, sf_dir):

@@ -313,7 +313,7 @@ def test_experiment(spark, tmp_path):
     assert len(out["statistics"].columns) == 18 + 6 and {"linear_p_value", "ave_nn_r", "stdev_nn_r", "ave_model_R2(baseline)"} <= set(out["statistics"].columns)
     assert {r.key: r.value for r in out["preamble"].collect()}["affinity_type.KD"] == "12"
     assert spark.read.csv(str(tmp_path / "report/statistics"), header=True, sep="\t").count() == len(table)
-    assert (tmp_path / "hist/complex_id=00xy").exists()
+    assert len(list((tmp_path / "hist").glob("*.hist"))) == 12 and (tmp_path / "hist/00xy.hist").read_text().startswith("atom_1,atom_2,bin0,bin1\n")
     again = evaluation.run(spark, Options(clusters=str(tmp_path / "clusters"), model="nn", only_scores=str(tmp_path / "s.csv"), neighbours=2, **common))
     assert again["complexes"].count() == 12
     for control in ({"random_affinity": True}, {"surrogate_affinity": True, "model": "linear"}):

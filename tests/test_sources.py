@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from tessera import sinks
@@ -197,3 +198,23 @@ def test_cluster_files_of_many_tasks(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("part-*"))) > 1
     got = {(r.clustering_id, r.min_dist, r.cluster_id, r.complex_id) for r in T.read_clusters(spark, str(tmp_path / "out")).collect()}
     assert got == set(rows)
+
+
+def test_named_files(spark, tmp_path):
+    """A file a name, whole and in order, whatever its lines; no overwriting; nothing of a
+    job that fails; a task that comes twice leaves one file."""
+    rows = spark.createDataFrame([("b/1", 2, "two"), ("a", 1, "x"), ("b/1", 1, "one"), ("b/1", 3, None)], "name string, at int, line string").repartition(4)
+    sinks.write_named(rows, str(tmp_path / "out"), ".t", "head")
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"a.t": "head\nx\n", "b%2F1.t": "head\none\ntwo\n\n", "_SUCCESS": "2"}
+    with pytest.raises(Exception, match="exists"):
+        sinks.write_named(rows, str(tmp_path / "out"), ".t")
+    with pytest.raises(Exception):  # noqa: B017  whatever error the engine wraps it in
+        sinks.write_named(spark.createDataFrame([("a", 1, "x"), (None, 1, "x")], "name string, at int, line string"), str(tmp_path / "bad"), ".t")
+    assert not (tmp_path / "bad").exists()
+    sinks.write_named(rows.limit(0), str(tmp_path / "none"), ".t")
+    assert [p.name for p in (tmp_path / "none").iterdir()] == ["_SUCCESS"]
+    twice = sinks.NamedFilesWriter(str(tmp_path / "twice"), ".t", "")
+    twice.claim()
+    batch = pa.RecordBatch.from_pydict({"name": ["a", "a"], "line": ["1", "2"]})
+    twice.commit([twice.write(iter([batch])), twice.write(iter([batch]))][:1])
+    assert {p.name: p.read_text() for p in (tmp_path / "twice").iterdir()} == {"a.t": "1\n2\n", "_SUCCESS": "1"}
