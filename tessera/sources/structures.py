@@ -23,7 +23,7 @@ NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 #: Fixed values of the format: bonded atoms are listed up to this number of atoms; an
 #: atom bonds at most so many others.
 MOST_BONDED, MOST_BONDS = 99_999, 4
-FLOAT, INTEGER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$", r"^\s*[+-]?\d+\s*$"
+FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 @dataclass(frozen=True)
@@ -62,18 +62,42 @@ def before(place: Column, pos: Column) -> Column:
     return F.coalesce(place < pos, F.lit(False))
 
 
-def file_states(lines: DataFrame, options: StructureOptions) -> DataFrame:
+def records(lines: DataFrame, options: StructureOptions) -> DataFrame:
+    """The lines that count, taken apart once: `record`, the text of remarks, the numbers of
+    bonds, the fields of atoms. `reason` says what is wrong with a line whatever its file;
+    of atoms, only those of a chain that counts need more than 54 columns."""
+    size, hetero = F.length("line"), record() == "HETATM"
+    atom = record().isin("ATOM  ", "HETATM")
+    wanted = lines.where(F.startswith("line", F.lit("REMARK 350")) | record().isin("ENDMDL", "CONECT") | atom)
+    kind = F.upper(strip(part(76)))
+    if options.ignore_charge:
+        kind = F.regexp_replace(kind, r"[0-9+\-]+$", "")
+    x = (options.x_start, 38 - options.x_start if options.x_start > 29 else 8)
+    numbers = {"x": (*x, "double"), "y": (38, 8, "double"), "z": (46, 8, "double"), "res_no": (22, 4, "int"), "serial": (6, 5, "int"), "bfactor": (60, 7, "double")}
+    values = {n: part(start, width).try_cast(t) for n, (start, width, t) in numbers.items()}
+    # Names of numbers, and signs of their types, are read by the engine but not meant here.
+    unread = {n: values[n].isNull() | part(start, width).rlike("[A-DF-Za-df-z]") for n, (start, width, _) in numbers.items()}
+    unread["bfactor"] = unread["bfactor"] & (strip(part(60, 7)) != "")
+    reason = F.when(size < 80, "short line").when(kind == "", "no element")
+    for n, wrong in unread.items():
+        reason = reason.when(wrong, f"bad number at column {numbers[n][0]}")
+    fields = F.transform(F.regexp_extract_all(F.regexp_replace(part(6), r"\s+$", ""), F.lit("(.{1,5})"), 1), strip)
+    bonded = F.when(record() == "CONECT", F.transform(F.filter(fields, lambda f: f.rlike(r"^\d+$")), lambda f: f.cast("int")))
+    of_atom = {"hetero": hetero, "chain": part(21, 1), "res_type": residue_type(part(17, 3)), "atom_type": F.when(kind == "*", UNKNOWN).otherwise(kind), **values, "bfactor": F.coalesce(values["bfactor"], F.lit(0.0)), "stub": size < 54}
+    return wanted.select("complex_id", "pos", F.when(F.startswith("line", F.lit("REMARK")), "REMARK").when(atom, "ATOM").otherwise(record()).alias("record"), F.when(F.startswith("line", F.lit("REMARK")), part(10)).alias("body"), bonded.alias("bonded"), *[F.when(atom, c).alias(n) for n, c in of_atom.items()], F.when(atom, reason).when(F.size(bonded) < 2, "short CONECT").alias("reason"))
+
+
+def file_states(rows: DataFrame, options: StructureOptions) -> DataFrame:
     """A row for each file with remarks or models: where the first REMARK 350, the mark of
     a dimer and ENDMDL stand, and the chains granted by lines for biomolecule 1.
 
     Chains count if the mark stands before them, or with `force_dimer`."""
     w = Window.partitionBy("complex_id").orderBy("pos")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    remark = record() != "ENDMDL"
-    body = F.when(remark, part(10)).otherwise("")
+    body = F.coalesce("body", F.lit(""))
     told = F.regexp_extract(body, r"BIOMOLECULE:\s*(\d+)", 1)
     listed = F.filter(F.transform(F.split(F.regexp_extract("body", "APPLY THE FOLLOWING TO CHAINS:(.*)", 1), ","), strip), lambda c: c != "")
-    said = lines.where(F.startswith("line", F.lit("REMARK 350")) | (record() == "ENDMDL")).select("complex_id", "pos", remark.alias("remark"), body.alias("body"), told.alias("told"))
+    said = rows.where(F.col("record").isin("REMARK", "ENDMDL")).select("complex_id", "pos", (F.col("record") == "REMARK").alias("remark"), body.alias("body"), told.alias("told"))
     said = said.withColumn("first", (F.col("told") == "") & F.coalesce(F.last(F.when(F.col("told") != "", F.col("told").rlike("^0*1$")), ignorenulls=True).over(w), F.lit(False)))
     said = said.withColumn("unit", F.col("first") & F.col("body").rlike("BIOLOGICAL UNIT:|QUATERNARY STRUCTURE:") & F.contains("body", F.lit("DIMERIC")))
     said = said.withColumn("names", F.when(F.col("first") & ~F.col("unit") & F.contains("body", F.lit("APPLY THE FOLLOWING TO CHAINS:")), listed))
@@ -93,54 +117,39 @@ def file_states(lines: DataFrame, options: StructureOptions) -> DataFrame:
     )
 
 
-def atom_lines(lines: DataFrame, states: DataFrame, options: StructureOptions, how: str = "left") -> DataFrame:
-    """Fields of the atom lines that count, by their file's state; `reason` of faulty ones."""
-    rows = lines.where(record().isin("ATOM  ", "HETATM")).join(states, "complex_id", how)
-    pos, chain, size = F.col("pos"), part(21, 1), F.length("line")
-    hetero, remark = record() == "HETATM", before(F.col("remark_pos"), pos)
-    gated = F.lit(False) if options.force_dimer else remark & ~before(F.col("dimer_pos"), pos)
-    granted = F.filter(F.coalesce("grants", F.array()), lambda g: g["pos"] < pos)
-    passed = ~hetero & remark & (F.size(granted) > 0) & ~F.exists(granted, lambda g: F.array_contains(g["names"], chain))
-    kind = F.upper(strip(part(76)))
-    if options.ignore_charge:
-        kind = F.regexp_replace(kind, r"[0-9+\-]+$", "")
-    x = (options.x_start, 38 - options.x_start if options.x_start > 29 else 8)
-    numbers = {"x": (*x, FLOAT), "y": (38, 8, FLOAT), "z": (46, 8, FLOAT), "res_no": (22, 4, INTEGER), "serial": (6, 5, INTEGER), "bfactor": (60, 7, FLOAT)}
-    unread = {n: ~part(start, width).rlike(pattern) & (F.lit(n != "bfactor") | (strip(part(start, width)) != "")) for n, (start, width, pattern) in numbers.items()}
-    reason = F.when(size < 54, "short line").when(gated, "not a dimer").when(size < 80, "short line").when(kind == "", "no element")
-    for n, wrong in unread.items():
-        reason = reason.when(wrong, f"bad number at column {numbers[n][0]}")
-    fields = [part(start, width).try_cast("int" if pattern is INTEGER else "double").alias(n) for n, (start, width, pattern) in numbers.items()]
-    counted = rows.where((F.col("end_pos").isNull() | (pos < F.col("end_pos"))) & ((size < 54) | gated | ~passed))
-    out = counted.select("complex_id", "pos", hetero.alias("hetero"), chain.alias("chain"), residue_type(part(17, 3)).alias("res_type"), F.when(kind == "*", UNKNOWN).otherwise(kind).alias("atom_type"), *fields, reason.alias("reason"))
-    return out.withColumn("bfactor", F.coalesce("bfactor", F.lit(0.0)))
+ATOM = ["complex_id", "pos", "hetero", "chain", "res_no", "res_type", "serial", "atom_type", "x", "y", "z", "bfactor"]
 
 
-def bond_lines(lines: DataFrame) -> DataFrame:
-    """(complex_id, pos, bonded, reason) of the lines that say which atoms are bonded: five
-    columns for a number, from column 6. Those after the first model count too."""
-    fields = F.transform(F.regexp_extract_all(F.regexp_replace(part(6), r"\s+$", ""), F.lit("(.{1,5})"), 1), strip)
-    bonded = F.transform(F.filter(fields, lambda f: f.rlike(r"^\d+$")), lambda f: f.cast("int"))
-    return lines.where(record() == "CONECT").select("complex_id", "pos", bonded.alias("bonded")).withColumn("reason", F.when(F.size("bonded") < 2, "short CONECT"))
+def atom_lines(rows: DataFrame, states: DataFrame, options: StructureOptions, how: str = "left") -> DataFrame:
+    """The atoms that count by their file's state, and what is wrong with them."""
+    rows = rows.where("record = 'ATOM'").join(states, "complex_id", how)
+    pos = F.col("pos")
+    remark = before(F.col("remark_pos"), pos)
+    gated = F.lit(False) if options.force_dimer else remark & ~before(F.col("dimer_pos"), pos)
+    granted = F.filter(F.coalesce("grants", F.array()), lambda g: g["pos"] < pos)
+    passed = ~F.col("hetero") & remark & (F.size(granted) > 0) & ~F.exists(granted, lambda g: F.array_contains(g["names"], F.col("chain")))
+    reason = F.when(F.col("stub"), "short line").when(gated, "not a dimer").otherwise(F.col("reason"))
+    counted = rows.where((F.col("end_pos").isNull() | (pos < F.col("end_pos"))) & (F.col("stub") | gated | ~passed))
+    return counted.select(*ATOM, reason.alias("reason"))
 
 
-def verdicts(files: DataFrame, lines: DataFrame, states: DataFrame, options: StructureOptions) -> DataFrame:
+def verdicts(files: DataFrame, rows: DataFrame, states: DataFrame, options: StructureOptions) -> DataFrame:
     """A row for each file: its state, the chains present, whether its bonds count,
-    and the reason why it can't be used, if any.
+    and the reason why it can't be used, if any. Bonds after the first model count too.
 
     A third chain is a fault unless remarks have granted chains before."""
-    atoms = atom_lines(lines, states, options).select("complex_id", "pos", "reason", F.when(~F.col("hetero") & F.col("reason").isNull(), F.col("chain")).alias("chain"), F.lit(1).alias("atom"), F.lit(False).alias("overfull"))
-    bonds = bond_lines(lines).select("complex_id", "pos", "reason", F.lit(None).cast("string").alias("chain"), F.lit(0).alias("atom"), (F.size("bonded") > MOST_BONDS + 1).alias("overfull"))
-    fault = F.min(F.when(F.col("reason").isNotNull(), F.struct("pos", "reason"))).alias("fault")
-    chains = atoms.unionByName(bonds).groupBy("complex_id", "chain").agg(fault, F.sum("atom").alias("atoms"), F.max("overfull").alias("overfull"), F.min("pos").alias("first"))
-    each = chains.groupBy("complex_id").agg(F.min("fault").alias("fault"), F.sum("atoms").alias("atoms"), F.max("overfull").alias("overfull"), F.array_sort(F.collect_list(F.when(F.col("chain").isNotNull(), F.struct("first", "chain")))).alias("chains"))
+    atoms = atom_lines(rows, states, options).select("complex_id", "pos", "reason", F.when(~F.col("hetero") & F.col("reason").isNull(), F.col("chain")).alias("chain"), F.lit(1).alias("atom"), F.lit(False).alias("overfull"))
+    bonds = rows.where("record = 'CONECT'").select("complex_id", "pos", "reason", F.lit(None).cast("string").alias("chain"), F.lit(0).alias("atom"), (F.size("bonded") > MOST_BONDS + 1).alias("overfull"))
+    at = F.when(F.col("reason").isNotNull(), F.col("pos"))
+    chains = atoms.unionByName(bonds).groupBy("complex_id", "chain").agg(F.min(at).alias("fault_pos"), F.min_by("reason", at).alias("fault"), F.sum("atom").alias("atoms"), F.max("overfull").alias("overfull"), F.min("pos").alias("first"))
+    each = chains.groupBy("complex_id").agg(F.min("fault_pos").alias("fault_pos"), F.min_by("fault", "fault_pos").alias("fault"), F.sum("atoms").alias("atoms"), F.max("overfull").alias("overfull"), F.array_sort(F.collect_list(F.when(F.col("chain").isNotNull(), F.struct("first", "chain")))).alias("chains"))
     all_ = files.groupBy("complex_id").agg(F.count("*").alias("files")).join(each, "complex_id", "left").join(states, "complex_id", "left")
     all_ = all_.withColumn("chains", F.coalesce("chains", F.array()))
     n, third = F.size("chains"), F.get("chains", F.lit(2))["first"]
     free = ~F.exists(F.coalesce("grants", F.array()), lambda g: g["pos"] < third)
-    found = [F.col("fault"), F.when(third.isNotNull() & free, fault_at(third, "more than two chains")), F.when(F.col("end_pos").isNotNull() & (n != 2), fault_at(F.col("end_pos"), "first model has not two chains"))]
+    found = [fault_at(F.col("fault_pos"), F.col("fault")), fault_at(F.when(free, third), "more than two chains"), fault_at(F.when(n != 2, F.col("end_pos")), "first model has not two chains")]
     if options.apply_biomt:
-        found.append(F.when(F.col("bad_pos").isNotNull(), fault_at(F.col("bad_pos"), "bad BIOMT")))
+        found.append(fault_at(F.col("bad_pos"), "bad BIOMT"))
     first = F.array_min(F.array_compact(F.array(*found)))["reason"]
     reason = F.when(F.col("files") > 1, "accession occurs more than once").otherwise(F.coalesce(first, F.when(n != 2, F.concat(n.cast("string"), F.lit(" chains")))))
     bonded = ~F.coalesce("overfull", F.lit(False)) & (F.coalesce("atoms", F.lit(0)) <= MOST_BONDED)
@@ -148,8 +157,8 @@ def verdicts(files: DataFrame, lines: DataFrame, states: DataFrame, options: Str
     return all_.select(*states.columns, "present", "bonded_count", "reason")
 
 
-def fault_at(pos: Column, why: str) -> Column:
-    return F.struct(pos.alias("pos"), F.lit(why).alias("reason"))
+def fault_at(pos: Column, why: str | Column) -> Column:
+    return F.when(pos.isNotNull(), F.struct(pos.alias("pos"), (F.lit(why) if isinstance(why, str) else why).alias("reason")))
 
 
 def attached(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -203,14 +212,13 @@ def structures(files: DataFrame, lines: DataFrame, options: StructureOptions) ->
     Exactly two chains must have atoms. Insertion codes and alternate locations are
     not told apart; a residue's type is that of its first atom. A null text, and an
     empty one, has no chains; numbers are plain decimals."""
-    wanted = F.startswith("line", F.lit("REMARK 350")) | record().isin("ENDMDL", "CONECT", "ATOM  ", "HETATM")
-    lines = keep(lines.where(wanted))
+    lines = keep(records(lines, options))
     told = keep(verdicts(files, lines, file_states(lines, options), options))
     good = told.where("reason is null")
     atoms = atom_lines(lines, good.drop("reason", "present"), options, "inner").drop("reason")
     rows = atoms.where("not hetero")
     if not options.ignore_hetatm:
-        bonds = bond_lines(lines).join(good.where("bonded_count"), "complex_id", "left_semi")
+        bonds = lines.where("record = 'CONECT'").join(good.where("bonded_count"), "complex_id", "left_semi")
         if not bonds.isEmpty():
             owners = attached(atoms, bonds)
             rows = rows.unionByName(atoms.where("hetero").drop("chain", "res_no").join(owners, ["complex_id", "serial"]))
