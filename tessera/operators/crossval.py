@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import uniform
+from .digests import list_digests
 
 
 def folds(members: DataFrame, trials: int, k: int, seed: int) -> DataFrame:
@@ -30,10 +31,11 @@ def training_weights(members: DataFrame, equal_clusters: bool = True) -> DataFra
 def random_affinity(members: DataFrame, seed: int) -> DataFrame:
     """(complex_id, value): each distinct cluster, by its members, adds one random
     number to all of them: a control in which clusters matter and structures don't."""
-    from .clustering import identities
-
-    named = members.join(identities(members), ["clustering_id", "cluster_id"])
-    return named.select("complex_id", "identity").distinct().groupBy("complex_id").agg(F.sum(uniform(str(seed), F.col("identity")) / F.lit(4294967296.0)).alias("value"))
+    ids = F.col("complex_id").cast("string")
+    # A digest stands for the members, which are as many as rows of it.
+    named = list_digests(members, ["clustering_id", "cluster_id"], [ids], ids, ":", f"{seed}:")
+    each = members.join(named, ["clustering_id", "cluster_id"]).select("complex_id", "md5").distinct()
+    return each.groupBy("complex_id").agg(F.sum(F.conv(F.substring("md5", 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)).alias("value"))
 
 
 def best_splits(rows: DataFrame, leaf: int, by: list[str] | None = None, x: str = "x", y: str = "y") -> DataFrame:

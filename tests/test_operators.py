@@ -414,3 +414,30 @@ def test_sparse_features_become_vectors(spark):
     histogram = spark.createDataFrame([(1, "C", "N", 0, 5), (1, "N", "N", 1, 2), (2, "X", "Y", 0, 9), (3, "N", "C", 0, 1), (3, "C", "C", 7, 1)], "complex int, type_a string, type_b string, bin int, n int")
     out = {r.complex: r.features for r in features.self_histogram_features(histogram, ["N", "C"], 2).collect()}
     assert out == {1: [0, 0, 5, 0, 0, 2], 2: [0] * 6, 3: [0] * 6}
+
+
+@pytest.mark.parametrize("most", [3, 1 << 20])
+def test_digests_of_long_lists(spark, most):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.digests import list_digests
+
+    rows = [(k, str(i)) for k, n in ((1, 400), (2, 1), (3, 70)) for i in range(n)] + [(3, None), (4, None)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    got = {r.k: r.md5 for r in list_digests(df, ["k"], [F.col("t")], F.col("t"), ":", "7:", most).collect()}
+    want = {k: "7:" + ":".join(sorted(t for j, t in rows if j == k and t is not None)) for k in (1, 2, 3, 4)}
+    assert got == {k: hashlib.md5(v.encode()).hexdigest() for k, v in want.items()}
+
+
+def test_random_affinity_does_not_carry_members(spark):
+    """A name of all members for each member of a cluster grows with the square of it."""
+    from pyspark.sql import functions as F
+
+    n = 4000
+    members = spark.range(n).select(F.lit(0).alias("clustering_id"), F.lit(1).alias("cluster_id"), F.col("id").alias("complex_id"))
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    got = {r.value for r in crossval.random_affinity(members, 5).collect()}
+    name = "5:" + ":".join(sorted(map(str, range(n))))
+    assert got == {int(hashlib.md5(name.encode()).hexdigest()[:8], 16) / 2**32}
+    assert shuffled() - before < 200 * n
