@@ -58,13 +58,13 @@ def counts(rows: DataFrame) -> DataFrame:
 # -- cross-validation -----------------------------------------------------------
 
 
-def cross_validate(members: DataFrame, rows: DataFrame, options: Options, model: str | None = None) -> DataFrame:
+def cross_validate(members: DataFrame, rows: DataFrame, options: Options, model: str | None = None, fitted: bool = True) -> DataFrame:
     """(clustering_id, trial, fold, cluster, complex_id, observed, predicted, training).
 
     members: (clustering_id, cluster_id, complex_id); rows: (complex_id, features,
     response), one for each complex; a member without one fails. A task is a clustering,
     trial and fold: it trains on the other folds and predicts its own; rows with
-    `training` hold what it fits to its training rows.
+    `training` hold what it fits to its training rows, none without `fitted`.
     """
     model = model or options.model
     lost = members.join(rows, "complex_id", "left_anti").select("complex_id").first()
@@ -75,26 +75,47 @@ def cross_validate(members: DataFrame, rows: DataFrame, options: Options, model:
     tasks = dealt.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(options.fold - 1))))
     width, n = rows.agg(F.max(F.size("features")), F.count("*")).first()
     if n <= forests.MOST and (width or 0) * n <= SHARED:
-        return _within_tasks(tasks, rows, options, model)
-    return _over_tables(tasks, rows, options, model)
+        return _within_tasks(tasks, rows, options, model, fitted)
+    return _over_tables(tasks, rows, options, model, fitted)
 
 
-def _over_tables(tasks: DataFrame, rows: DataFrame, options: Options, model: str) -> DataFrame:
+def _neighbour_guesses(tasks: DataFrame, rows: DataFrame, options: Options, fitted: bool) -> DataFrame:
+    """`cross_validate` by nearest neighbours: vectors meet once for all clusterings, trials
+    and folds, whose numbers go with them; what a model leaves out is a fold."""
+    c = F.col
+    own = keep(tasks.where("fold = task").select("clustering_id", "trial", "fold", c("cluster_id").alias("cluster"), c("complex_id").alias("id"), "observed"))
+    found = sorted(tuple(r) for r in own.select("clustering_id", "trial").distinct().collect())  # a row for each trial of a clustering
+    runs = rows.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(found)], "clustering_id int, trial int, run int")
+    folds = own.join(F.broadcast(runs), ["clustering_id", "trial"])
+    spots = F.map_from_entries(F.collect_list(F.struct("run", c("fold").cast("int"))))
+    marks = folds.groupBy("id").agg(spots.alias("at"), F.first("observed").alias("value")).select("id", "value", F.transform(F.sequence(F.lit(0), F.lit(max(0, len(found) - 1))), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(-1))).alias("marks"))
+    kind = vectors.vector_kind(rows.schema["features"].dataType.simpleString())
+    have = keep(marks.join(rows.select(c("complex_id").alias("id"), c("features").cast(kind).alias("v")), "id"))
+    asked = have.select(F.lit("").alias("label"), "id", "v", "marks")
+    if fitted:  # with each fold left out, its own among them
+        asked = have.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(options.fold - 1))))
+        asked = asked.select(c("task").cast("string").alias("label"), "id", "v", F.transform("marks", lambda m: F.when(m < 0, m).otherwise(c("task"))).alias("marks"))
+    near = vectors.nearest_in_blocks(asked, have.select("id", "v", "value", "marks"), options.neighbours, True, max(1, len(found)))
+    guesses = near.groupBy("label", "id", "run").agg(F.avg("value").alias("predicted"))
+    met = folds.join(guesses, ["id", "run"])
+    task = c("label").cast("int") if fitted else c("fold")
+    return met.select("clustering_id", "trial", task.cast("int").alias("fold"), "cluster", c("id").alias("complex_id"), "observed", "predicted", (task != c("fold")).alias("training"))
+
+
+def _over_tables(tasks: DataFrame, rows: DataFrame, options: Options, model: str, fitted: bool) -> DataFrame:
     """`cross_validate` of tables of any size: no task holds the rows of a model."""
     c = F.col
+    if model == "nn":
+        return _neighbour_guesses(tasks, rows, options, fitted)
     name = F.concat_ws(":", "clustering_id", "trial", "task")
     named = keep(tasks.select(name.alias("model"), "clustering_id", "trial", "task", "fold", "cluster_id", c("complex_id").alias("id"), "observed", F.when(c("fold") != c("task"), c("w")).alias("w"), c("cluster_id").alias("cluster")))
     table = rows.select(c("complex_id").alias("id"), "features", "response")
     if model == "forest":
         guesses = forests.predictions(table, named.select("model", "id", "w", "cluster"), options.forest, forests.MOST)
-    elif model == "nn":
-        every = named.select("model", "id", "w", "observed").join(table.select("id", "features"), "id")
-        near = vectors.nearest_neighbours(every, every.where("w IS NOT NULL"), options.neighbours, vector="features", value="observed", itself=True, by="model")
-        guesses = near.select("model", "id", c("prediction").alias("predicted"))
     else:
         guesses = _linear_guesses(named, table, options.fold)
     met = named.join(guesses, ["model", "id"])
-    return met.select("clustering_id", "trial", c("task").alias("fold"), "cluster", c("id").alias("complex_id"), "observed", "predicted", c("w").isNotNull().alias("training"))
+    return met.select("clustering_id", "trial", c("task").alias("fold"), "cluster", c("id").alias("complex_id"), "observed", "predicted", c("w").isNotNull().alias("training")).where(F.lit(fitted) | ~c("training"))
 
 
 def _linear_guesses(named: DataFrame, table: DataFrame, fold: int) -> DataFrame:
@@ -119,7 +140,7 @@ def _linear_guesses(named: DataFrame, table: DataFrame, fold: int) -> DataFrame:
     return met.select("model", "id", vectors.dot(c("line"), c("features")).alias("predicted"))
 
 
-def _within_tasks(tasks: DataFrame, rows: DataFrame, options: Options, model: str) -> DataFrame:
+def _within_tasks(tasks: DataFrame, rows: DataFrame, options: Options, model: str, fitted: bool) -> DataFrame:
     """`cross_validate` of tables that a task can hold, up to `forests.MOST` rows: their
     features are broadcast once, and a clustering, trial and fold is a group."""
     # At most SHARED numbers.
@@ -142,7 +163,8 @@ def _within_tasks(tasks: DataFrame, rows: DataFrame, options: Options, model: st
             guess = regression.nearest_mean(x, x[~test], y[~test], options.neighbours)
         else:
             guess = x @ regression.least_squares(x[~test], y[~test], w[~test])
-        return pd.DataFrame({"clustering_id": task["clustering_id"], "trial": task["trial"], "fold": task["task"], "cluster": task["cluster_id"], "complex_id": task["complex_id"], "observed": y, "predicted": guess, "training": ~test})
+        out = pd.DataFrame({"clustering_id": task["clustering_id"], "trial": task["trial"], "fold": task["task"], "cluster": task["cluster_id"], "complex_id": task["complex_id"], "observed": y, "predicted": guess, "training": ~test})
+        return out if fitted else out[test]
 
     return tasks.groupBy("clustering_id", "trial", "task").applyInPandas(run, f"clustering_id int, trial int, fold int, cluster int, complex_id {kind}, observed double, predicted double, training boolean")
 
