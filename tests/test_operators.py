@@ -441,3 +441,35 @@ def test_random_affinity_does_not_carry_members(spark):
     name = "5:" + ":".join(sorted(map(str, range(n))))
     assert got == {int(hashlib.md5(name.encode()).hexdigest()[:8], 16) / 2**32}
     assert shuffled() - before < 200 * n
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_linkage_of_vectors_without_their_matrix(spark, monkeypatch, block):
+    """Near, equal and far vectors: the same tree, clusterings and components as by all
+    distances, of which only forests leave a group."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + rng.normal(size=(40, 5)) / 4 for c in (0.0, 3.0, 50.0)] + [np.full((15, 5), 2.0), 1e6 + rng.normal(size=(9, 5))])
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(5)
+    matrix = vectors.distance_matrix(df).cache()
+    links = clustering.forest_links(df, block=block)
+    assert links.count() < len(x) * (30 if block == 7 else 12) < matrix.count()
+    monkeypatch.setattr(clustering, "FEW", 300)
+    for few in (100, 500_000):
+        weights = [sorted(round(r.d, 9) for r in clustering.spanning_tree(t, few).collect()) for t in (links, matrix)]
+        assert weights[0] == weights[1]
+    listed = clustering.single_linkage(matrix, 5).collect()
+    by = {}
+    for r in listed:
+        by.setdefault(r.clustering_id, []).append(r)
+    got = {r.clustering_id: r for r in clustering.levels(links, 5).collect()}
+    assert {k: (r.clusters, r.members) for k, r in got.items()} == {k: (len({m.cluster_id for m in v}), len(v)) for k, v in by.items()}
+    text = {k: ",".join(f"{m.cluster_id}:{m.complex_id}" for m in sorted(v, key=lambda m: m.complex_id)) for k, v in by.items()}
+    for few in (100, 500_000):
+        said = {r.clustering_id: r.members for r in clustering.member_digests(links, 5, few).collect()}
+        assert said == {k: hashlib.md5(t.encode()).hexdigest() for k, t in text.items()}
+    for threshold in (0.4, 20.0):
+        want = {r.id: r.component for r in clustering.components_at(matrix, threshold).collect()}
+        assert {r.id: r.component for r in clustering.components_of(df, threshold).collect()} == want
+    assert clustering.levels(clustering.forest_links(df.where("id < 0")), 2).collect() == []
