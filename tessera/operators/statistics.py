@@ -75,6 +75,10 @@ def permuted(place: Column, n: Column, *key: Column | str | int) -> Column:
     return F.aggregate(again, F.lit(-1).cast("long"), lambda v, i: F.when((v >= 0) & (v < n), v).otherwise(once(F.when(v < 0, place.cast("long")).otherwise(v))))
 
 
+#: Draws of a cluster that a task makes at a time.
+STRETCH = 8192
+
+
 def permutation_p(rows: DataFrame, permutations: int, seed: int, by: list[str] | None = None, equal_clusters: bool = False) -> DataFrame:
     """(*by, r, p, hits): how often shuffled clusters correlate as much as the real ones,
     either way.
@@ -101,7 +105,11 @@ def permutation_p(rows: DataFrame, permutations: int, seed: int, by: list[str] |
     dealt = runs.withColumn("from_slot", permuted(F.col("slot") - 1, F.col("groups"), *key) + 1).drop("groups")
     both = dealt.join(sizes.select(*by, F.col("slot").alias("from_slot"), F.col("cluster").alias("from"), F.col("n").alias("from_n")), [*by, "from_slot"])
     lo, hi = F.least("n", "from_n"), F.greatest("n", "from_n")
-    drawn = both.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), lo + draw("n", "slot") % (hi - lo + 1))))
+    sized = both.withColumn("draws", lo + draw("n", "slot") % (hi - lo + 1))
+    # A few clusters may have very many draws: stretches of them are dealt over tasks.
+    parts = sized.withColumn("start", F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws"), F.lit(STRETCH).cast("long"))))
+    spread = parts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "perm", "slot", "start")
+    drawn = spread.withColumn("k", F.explode(F.sequence("start", F.least(F.col("draws"), F.col("start") + (STRETCH - 1)))))
     drawn = drawn.withColumns({"x": draw("o", "slot", "k") % F.col("from_n"), "y": draw("q", "slot", "k") % F.col("n")})
     first = placed.select(*by, F.col("cluster").alias("from"), F.col("pos").alias("x"), "observed")
     second = placed.select(*by, "cluster", F.col("pos").alias("y"), "predicted")

@@ -67,6 +67,25 @@ def cross_validate(members: DataFrame, rows: DataFrame, options: Options, model:
     `training` hold what it fits to its training rows, none without `fitted`.
     """
     model = model or options.model
+    tasks, few = _dealt(members, rows, options)
+    if few:
+        return _within_tasks(tasks, rows, options, model, fitted)
+    return _over_tables(tasks, rows, options, model, fitted)
+
+
+def neighbour_fits(members: DataFrame, rows: DataFrame, options: Options, counts: list[int], fitted: bool = True) -> list[DataFrame]:
+    """`cross_validate` by each of several numbers of nearest neighbours. Vectors of large
+    tables meet once for all of them, as the nearest few are the first of the nearest many."""
+    tasks, few = _dealt(members, rows, options)
+    if few:
+        return [keep(_within_tasks(tasks, rows, replace(options, neighbours=k), "nn", fitted)) for k in counts]
+    found = keep(_neighbour_guesses(tasks, rows, options, fitted, counts))
+    return [found.select(*found.columns[:6], F.col(f"predicted_{k}").alias("predicted"), "training") for k in counts]
+
+
+def _dealt(members: DataFrame, rows: DataFrame, options: Options) -> tuple[DataFrame, bool]:
+    """Members with what was observed, their fold and each task, and whether a task can hold
+    all their rows."""
     lost = members.join(rows, "complex_id", "left_anti").select("complex_id").first()
     if lost:
         raise ValueError(f"no features of {lost['complex_id']}")
@@ -74,14 +93,13 @@ def cross_validate(members: DataFrame, rows: DataFrame, options: Options, model:
     dealt = known.join(crossval.folds(members, options.trials, options.fold, options.seed), ["clustering_id", "cluster_id"])
     tasks = dealt.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(options.fold - 1))))
     width, n = rows.agg(F.max(F.size("features")), F.count("*")).first()
-    if n <= forests.MOST and (width or 0) * n <= SHARED:
-        return _within_tasks(tasks, rows, options, model, fitted)
-    return _over_tables(tasks, rows, options, model, fitted)
+    return tasks, n <= forests.MOST and (width or 0) * n <= SHARED
 
 
-def _neighbour_guesses(tasks: DataFrame, rows: DataFrame, options: Options, fitted: bool) -> DataFrame:
-    """`cross_validate` by nearest neighbours: vectors meet once for all clusterings, trials
-    and folds, whose numbers go with them; what a model leaves out is a fold."""
+def _neighbour_guesses(tasks: DataFrame, rows: DataFrame, options: Options, fitted: bool, counts: list[int]) -> DataFrame:
+    """`cross_validate` by nearest neighbours, with a column `predicted_<k>` for each k of
+    `counts`: vectors meet once for all clusterings, trials and folds, whose numbers go with
+    them; what a model leaves out is a fold."""
     c = F.col
     own = keep(tasks.where("fold = task").select("clustering_id", "trial", "fold", c("cluster_id").alias("cluster"), c("complex_id").alias("id"), "observed"))
     found = sorted(tuple(r) for r in own.select("clustering_id", "trial").distinct().collect())  # a row for each trial of a clustering
@@ -95,18 +113,18 @@ def _neighbour_guesses(tasks: DataFrame, rows: DataFrame, options: Options, fitt
     if fitted:  # with each fold left out, its own among them
         asked = have.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(options.fold - 1))))
         asked = asked.select(c("task").cast("string").alias("label"), "id", "v", F.transform("marks", lambda m: F.when(m < 0, m).otherwise(c("task"))).alias("marks"))
-    near = vectors.nearest_in_blocks(asked, have.select("id", "v", "value", "marks"), options.neighbours, True, max(1, len(found)))
-    guesses = near.groupBy("label", "id", "run").agg(F.avg("value").alias("predicted"))
+    near = vectors.nearest_in_blocks(asked, have.select("id", "v", "value", "marks"), max(counts), True, max(1, len(found)))
+    guesses = near.groupBy("label", "id", "run").agg(*[F.avg(F.when(c("rank") <= k, c("value"))).alias(f"predicted_{k}") for k in counts])
     met = folds.join(guesses, ["id", "run"])
     task = c("label").cast("int") if fitted else c("fold")
-    return met.select("clustering_id", "trial", task.cast("int").alias("fold"), "cluster", c("id").alias("complex_id"), "observed", "predicted", (task != c("fold")).alias("training"))
+    return met.select("clustering_id", "trial", task.cast("int").alias("fold"), "cluster", c("id").alias("complex_id"), "observed", *[f"predicted_{k}" for k in counts], (task != c("fold")).alias("training"))
 
 
 def _over_tables(tasks: DataFrame, rows: DataFrame, options: Options, model: str, fitted: bool) -> DataFrame:
     """`cross_validate` of tables of any size: no task holds the rows of a model."""
     c = F.col
     if model == "nn":
-        return _neighbour_guesses(tasks, rows, options, fitted)
+        return _neighbour_guesses(tasks, rows, options, fitted, [options.neighbours]).withColumnRenamed(f"predicted_{options.neighbours}", "predicted")
     name = F.concat_ws(":", "clustering_id", "trial", "task")
     named = keep(tasks.select(name.alias("model"), "clustering_id", "trial", "task", "fold", "cluster_id", c("complex_id").alias("id"), "observed", F.when(c("fold") != c("task"), c("w")).alias("w"), c("cluster_id").alias("cluster")))
     table = rows.select(c("complex_id").alias("id"), "features", "response")
