@@ -146,21 +146,26 @@ def bag(draws: np.ndarray, size: int, clusters: np.ndarray | None = None, turns:
     return np.sort(order[:size])
 
 
+def drawn_features(options: ForestOptions, model: str, tree: int, width: int) -> np.ndarray:
+    """The features that a tree may split by, ascending; as `forests.chosen_features`."""
+    most = max(1, int(options.feature_bag * width))
+    if most == width:
+        return np.arange(width)
+    return np.sort(np.argsort([draw(options.seed, "feature", model, tree, f) for f in range(width)], kind="stable")[:most])
+
+
 def build_forest(x: np.ndarray, y: np.ndarray, w: np.ndarray, options: ForestOptions, model: str, ids: list, clusters: np.ndarray | None = None) -> list[Tree]:
     """The trees of one model whose rows, in the order of their ids, one group can hold;
     `forests.grow` draws the same bags and takes the same splits without one."""
     trees, n, width = [], len(y), x.shape[1]
-    o, size, most = options, max(1, int(options.data_bag * len(y))), max(1, int(options.feature_bag * x.shape[1]))
+    o, size = options, max(1, int(options.data_bag * len(y)))
     for k in range(o.trees):
         rows = np.arange(n)
         if o.data_bag < 1:
             draws = np.array([draw(o.seed, "bag", model, k, i) for i in ids])
             turns = {c: draw(o.seed, "cluster", model, k, c) for c in np.unique(clusters)} if o.stratified else None
             rows = bag(draws, size, clusters if o.stratified else None, turns)
-        features = np.arange(width)
-        if most < width:
-            features = np.sort(np.argsort([draw(o.seed, "feature", model, k, f) for f in range(width)], kind="stable")[:most])
-        trees.append(build_tree(x[rows], y[rows], w[rows], features, o.leaf))
+        trees.append(build_tree(x[rows], y[rows], w[rows], drawn_features(o, model, k, width), o.leaf))
     return trees
 
 

@@ -129,7 +129,7 @@ def _over_tables(tasks: DataFrame, rows: DataFrame, options: Options, model: str
     named = keep(tasks.select(name.alias("model"), "clustering_id", "trial", "task", "fold", "cluster_id", c("complex_id").alias("id"), "observed", F.when(c("fold") != c("task"), c("w")).alias("w"), c("cluster_id").alias("cluster")))
     table = rows.select(c("complex_id").alias("id"), "features", "response")
     if model == "forest":
-        guesses = forests.predictions(table, named.select("model", "id", "w", "cluster"), options.forest, forests.MOST)
+        guesses = forests.predictions(table, named.select("model", "id", "w", "cluster"), options.forest, forests.GROWN * forests.MOST, fitted)
     else:
         guesses = _linear_guesses(named, table, options.fold)
     met = named.join(guesses, ["model", "id"])
