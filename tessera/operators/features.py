@@ -91,7 +91,8 @@ def adjacency(points: DataFrame, self_reach: float, other_reach: float, most_sel
     near = pairs_within(points, points, max(self_reach, other_reach), ["complex"])
     own = (F.col("a_side") == F.col("b_side")) & (F.col("d") <= self_reach) & (F.col(f"a_{key}") != F.col(f"b_{key}"))
     other = (F.col("a_side") != F.col("b_side")) & (F.col("d") <= other_reach)
-    each = near.groupBy("complex", "a_side", F.col(f"a_{key}").alias(key)).agg(F.first("a_type").alias("type"), F.count_if(own).alias("own"), F.count_if(other).alias("other")).where("own > 0")
+    # The type goes with the key, as sums by it need no order; pairs that count nowhere do not.
+    each = near.where(own | other).groupBy("complex", "a_side", F.col(f"a_{key}").alias(key), F.col("a_type").alias("type")).agg(F.count_if(own).alias("own"), F.count_if(other).alias("other")).where("own > 0")
     return each.groupBy("complex", "type", F.least(F.col("own") - 1, F.lit(most_self - 1)).alias("self_n"), F.least("other", F.lit(most_other - 1)).alias("other_n")).agg(F.count("*").alias("n"))
 
 

@@ -2,9 +2,9 @@
 
 Points are rows (complex, side, type, x, y, z); residues add `res_no` and `res_type`.
 Pairs meet through a grid: cells as wide as the reach, so only neighbouring cells hold
-what is near. Axes along which complexes are too short for cells to part anything are
-left out of it. The equi-join on complex and cell keeps the work in proportion to the
-pairs found; the points of a crowded cell are dealt over salts of it.
+what is near. Axes along which cells leave out fewer pairs than their copies cost are
+left out of it, so small complexes meet whole. The equi-join on complex and cell keeps the
+work in proportion to the points; those of a crowded cell are dealt over salts of it.
 """
 
 from __future__ import annotations
@@ -25,11 +25,25 @@ def distance(a: str = "a", b: str = "b") -> Column:
 CROWD = 20_000
 
 
-def pruning_axes(points: DataFrame, reach: float, keys: list[str]) -> list[str]:
-    """The axes along which some complex is longer than three cells; at least one."""
-    extent = bounds(points, keys).agg(*[F.max(F.col(f"max_{c}") - F.col(f"min_{c}")).alias(c) for c in AXES]).first()
-    long = [c for c in AXES if (extent[c] or 0.0) > 3 * reach]
-    return long or [max(AXES, key=lambda c: extent[c] or 0.0)]
+#: What a copy of a point for a cell by it costs, in pairs that are tested.
+COPY = 250
+
+
+def pruning_axes(left: DataFrame, right: DataFrame, reach: float, keys: list[str]) -> tuple[list[str], int]:
+    """The axes to cut into cells, none if points of a complex are so few that testing all
+    their pairs costs less than a copy of each for every cell by it; and the right points
+    of the largest complex.
+
+    A cell has about as much of a complex's right points as it has of its length."""
+    sizes = bounds(right, keys, F.count("*").alias("r")).join(left.groupBy(*keys).agg(F.count("*").alias("l")), keys)
+    shares = {c: F.least(F.lit(1.0), F.lit(3.0 * reach) / F.greatest(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(1e-300))) if reach > 0 else F.lit(1.0) for c in AXES}
+    pairs = F.col("l").cast("double") * F.col("r")
+    # Sums over complexes of the pairs that each choice of axes leaves, all in one pass.
+    ways = [[c for i, c in enumerate(AXES) if way >> i & 1] for way in range(8)]
+    found = sizes.agg(F.sum("l").alias("l"), F.max("r").alias("r"), *[F.sum(reduce(lambda s, c: s * shares[c], way, pairs)).alias(f"w{i}") for i, way in enumerate(ways)]).first()
+    if not found["l"]:
+        return [], 0
+    return min(ways, key=lambda way: (found[f"w{ways.index(way)}"] + COPY * (3 ** len(way) - 1) * found["l"], len(way))), found["r"]
 
 
 def cells(points: DataFrame, reach: float, axes: list[str], around: bool) -> DataFrame:
@@ -52,13 +66,13 @@ def pairs_within(left: DataFrame, right: DataFrame, reach: float, keys: list[str
     `CROWD` of them, and left points meet all salts.
     """
     keys = keys or ["complex"]
-    axes = pruning_axes(right, reach, keys)
+    axes, most = pruning_axes(left, right, reach, keys)
     cell = [*keys, *[f"cell_{c}" for c in axes]]
     mark = lambda df, side: [F.col(c).alias(f"{side}_{c}") for c in df.columns]
     a = cells(left, reach, axes, True).select(*cell, *mark(left, "a"))
     b = cells(right, reach, axes, False).select(*cell, *mark(right, "b"))
-    crowded = b.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*cell, F.ceil(F.col("n") / CROWD).cast("int").alias("salts"))
-    if crowded.limit(1).count():
+    crowded = None if most <= CROWD else b.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*cell, F.ceil(F.col("n") / CROWD).cast("int").alias("salts"))
+    if crowded is not None and not crowded.isEmpty():
         salts = F.coalesce("salts", F.lit(1))
         a = a.join(crowded, cell, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
         b = b.join(crowded, cell, "left").withColumn("salt", F.pmod(F.xxhash64(*[f"b_{c}" for c in right.columns]), salts).cast("int")).drop("salts")
@@ -117,9 +131,9 @@ def clashes(points: DataFrame, threshold: float) -> DataFrame:
     return cross_pairs(points, threshold).where(F.col("d") < float(threshold))
 
 
-def bounds(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def bounds(points: DataFrame, keys: list[str] | None = None, *more: Column) -> DataFrame:
     """Least and greatest coordinate of each complex on each axis."""
-    return points.groupBy(*(keys or ["complex"])).agg(*[f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("min", F.min), ("max", F.max))])
+    return points.groupBy(*(keys or ["complex"])).agg(*more, *[f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("min", F.min), ("max", F.max))])
 
 
 def transform(points: DataFrame, rotation: list[list[float]], shift: list[float]) -> DataFrame:

@@ -473,3 +473,27 @@ def test_linkage_of_vectors_without_their_matrix(spark, monkeypatch, block):
         want = {r.id: r.component for r in clustering.components_at(matrix, threshold).collect()}
         assert {r.id: r.component for r in clustering.components_of(df, threshold).collect()} == want
     assert clustering.levels(clustering.forest_links(df.where("id < 0")), 2).collect() == []
+
+
+def test_small_complexes_meet_whole(spark):
+    """Copies for cells by a point cost more than the pairs of small complexes; large ones are
+    cut along the axes that pay."""
+    rng = np.random.default_rng(3)
+    made = lambda n, long: spark.createDataFrame([(0, *map(float, rng.random(3) * (long, 10, 10))) for _ in range(n)], "complex int, x double, y double, z double")
+    few, many = made(200, 50), made(6000, 200)
+    assert spatial.pruning_axes(few, few, 1.5, ["complex"]) == ([], 200)
+    assert spatial.pruning_axes(many, many, 1.5, ["complex"]) == (["x"], 6000)
+    assert spatial.pruning_axes(few.where("false"), few, 1.5, ["complex"]) == ([], 0)
+    assert spatial.pairs_within(many, few, 0.0).count() == 0
+
+
+@pytest.mark.parametrize("reach", [0.7, 2.0])
+def test_cells_and_whole_complexes_find_the_same_pairs(spark, monkeypatch, reach):
+    rows, df = points(spark, 120, spread=30.0)
+    found = []
+    for cost in (0, 1000):
+        monkeypatch.setattr(spatial, "COPY", cost)
+        axes, _ = spatial.pruning_axes(df, df, reach, ["complex"])
+        found.append((len(axes), sorted((r.a_serial, r.b_serial) for r in spatial.pairs_within(df, df, reach).collect())))
+    assert [n for n, _ in found] == [3, 0] and found[0][1] == found[1][1]
+    assert found[0][1] == sorted((a[6], b[6]) for a in rows for b in rows if a[0] == b[0] and far(a, b) <= reach)
