@@ -237,10 +237,11 @@ def read_structures(spark: SparkSession, path: str, options: StructureOptions =
     """Atoms of all `*.pdb` files in `path`, `complex_id` from the name; a file that is
     left out gives one row with only complex_id and reason. Two files of one accession
     are both left out."""
-    where = f"{path.rstrip(chr(47))}/*.pdb"
+    # A filter of one listing; a pattern in the path would make each file a path of its own.
+    every = lambda form: spark.read.format(form).option("pathGlobFilter", "*.pdb").load(path)
     name = accession(F.col("_metadata.file_name")).alias("complex_id")
-    files = spark.read.format("binaryFile").load(where).select(name)
-    lines = spark.read.text(where).select(name, F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("pos"), F.col("value").alias("line"))
+    files = every("binaryFile").select(name)
+    lines = every("text").select(name, F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("pos"), F.col("value").alias("line"))
     return structures(files, lines, options)
 
 

@@ -218,3 +218,14 @@ def test_named_files(spark, tmp_path):
     batch = pa.RecordBatch.from_pydict({"name": ["a", "a"], "line": ["1", "2"]})
     twice.commit([twice.write(iter([batch])), twice.write(iter([batch]))][:1])
     assert {p.name: p.read_text() for p in (tmp_path / "twice").iterdir()} == {"a.t": "1\n2\n", "_SUCCESS": "1"}
+
+
+def test_folders_are_listed_once_and_not_read_as_files(spark, tmp_path):
+    """Only files of the folder itself count, whatever its subfolders are called."""
+    line = "ATOM  {n:5d}  CA  ALA {c}{n:4d}    " + "%8.3f%8.3f%8.3f" % (1, 2, 3) + "  1.00  5.25           C  "
+    text = "\n".join(line.format(n=i + 1, c="AB"[i]) for i in range(2))
+    (tmp_path / "old.pdb").mkdir()
+    for name in ("1abc.pdb", "old.pdb/2def.pdb", "note.txt"):
+        (tmp_path / name).write_text(text)
+    got = S.read_structures(spark, str(tmp_path)).collect()
+    assert sorted({(r.complex_id, r.reason) for r in got}) == [("1abc", None)] and len(got) == 2
