@@ -497,3 +497,11 @@ def test_cells_and_whole_complexes_find_the_same_pairs(spark, monkeypatch, reach
         found.append((len(axes), sorted((r.a_serial, r.b_serial) for r in spatial.pairs_within(df, df, reach).collect())))
     assert [n for n, _ in found] == [3, 0] and found[0][1] == found[1][1]
     assert found[0][1] == sorted((a[6], b[6]) for a in rows for b in rows if a[0] == b[0] and far(a, b) <= reach)
+
+
+def test_components_of_few_links_and_by_joins_agree(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((300, 3))
+    df = spark.createDataFrame([(int(i * 7 % 300), v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+    few, joins = (sorted(map(tuple, clustering.components_of(df, 0.11, few=n).collect())) for n in (clustering.FEW, 0))
+    assert few == joins and len(few) == 300 and 1 < len({c for _, c in few}) < 300
