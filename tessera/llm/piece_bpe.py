@@ -21,6 +21,7 @@ import heapq
 import re
 import struct
 from collections.abc import Callable
+from operator import add
 
 import numpy as np
 
@@ -29,6 +30,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of each of the two generations of a worker's cache: bounds the memory.
 CACHE = 400_000
+_ID = struct.Struct("<II")
 
 
 class Cache(dict):
@@ -125,7 +127,8 @@ class PieceModel:
         self.map_by(spec.precompiled_charsmap)
         names = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         joined = {c for p in names if len(p) > 1 for c in p}
-        self.ids = names
+        #: Of each piece, its id and its bytes in UTF-8, packed.
+        self.taken = {p: _ID.pack(i, len(p.encode("utf-8"))) for p, i in names.items()}
         # Equal scores are equal ranks, so the leftmost of them goes first.
         order = {s: r for r, s in enumerate(sorted({-p.score for p in proto.pieces if p.type == NORMAL}))}
         self.rank = {p.piece: order[-p.score] for p in proto.pieces if p.type == NORMAL}
@@ -141,8 +144,33 @@ class PieceModel:
             self.chunk = re.compile(f"[{apart}]|{SPACE}*[^{SPACE}{apart}]+|{SPACE}+")
         else:
             self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.parts = None if inner else self._apart(names)
         self._encoded, self._counts = Cache(self._encode), Cache(self._count)
 
+    @staticmethod
+    def _apart(names: dict[str, int]) -> re.Pattern | None:
+        """What takes a chunk apart where no piece reaches across: characters that pieces
+        join, directly or through others, are of one kind, and so are all those that none
+        joins. None if there is but one kind."""
+        kind: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while (up := kind.setdefault(c, c)) != c:
+                kind[c] = c = kind[up]
+            return c
+
+        for p in names:
+            word = p.lstrip(SPACE)
+            for a, b in zip(word, word[1:]):
+                kind[find(a)] = find(b)
+        kinds: dict[str, list[str]] = {}
+        for c in kind:
+            kinds.setdefault(find(c), []).append(c)
+        if not kinds:
+            return None
+        sets = ["".join(map(re.escape, sorted(k))) for k in sorted(kinds.values(), key=len, reverse=True)]
+        return re.compile(f"{SPACE}*(?:" + "|".join(f"[{k}]+" for k in sets) + f"|[^{SPACE}{''.join(sets)}]+)|{SPACE}+")
+
     # -- normalisation -------------------------------------------------------
 
     def map_by(self, blob: bytes) -> None:
@@ -210,13 +238,15 @@ class PieceModel:
         more), and the number of merges.
 
         Symbols are a linked list: the next one starts where one ends. A heap holds the
-        adjacent pairs that join to a piece, by (rank, place). A popped pair whose sides
-        have changed since it was pushed has another rank, or none, and is passed over.
+        adjacent pairs that join to a piece, by (rank, place). `due` has the entry that
+        holds at each place, so a popped one that is another's, or none's any more, is
+        passed over without a look at its pair.
         """
         n, get = len(chunk), self.rank.get
         after = list(range(1, n + 1))
         # An entry is rank * n + place, which orders as the pair does and compares faster.
-        heap = [r * n + i for i in range(n - 1) if (r := get(chunk[i : i + 2])) is not None]
+        due = [-1 if r is None else r * n + i for i, r in enumerate(map(get, map(add, chunk, chunk[1:])))]
+        heap = [e for e in due if e >= 0]
         if not heap:
             return after, 0
         before = list(range(-1, n - 1))
@@ -224,42 +254,46 @@ class PieceModel:
         pop, push = heapq.heappop, heapq.heappush
         merges = 0
         while heap:
-            rank, i = divmod(pop(heap), n)
-            j = after[i]
-            if not j or j >= n:
+            entry = pop(heap)
+            i = entry % n
+            if due[i] != entry:
                 continue
+            j = after[i]
             k = after[j]
-            if get(chunk[i:k]) != rank:
-                continue
             merges += 1
             after[i], after[j] = k, 0
+            due[i] = -1
             if k < n:
                 before[k] = i
+                due[j] = -1
                 if (r := get(chunk[i : after[k]])) is not None:
-                    push(heap, r * n + i)
-            if (h := before[i]) >= 0 and (r := get(chunk[h:k])) is not None:
-                push(heap, r * n + h)
+                    due[i] = r = r * n + i
+                    push(heap, r)
+            if (h := before[i]) >= 0:
+                if (r := get(chunk[h:k])) is None:
+                    due[h] = -1
+                else:
+                    due[h] = r = r * n + h
+                    push(heap, r)
         return after, merges
 
     def _encode(self, chunk: str) -> bytes:
         """Of each id of one chunk, itself and the normalised bytes it takes. A symbol
         outside the vocabulary gives its bytes, the last of which takes them all."""
-        out: list[int] = []
+        if self.parts and len(parts := self.parts.findall(chunk)) > 1:
+            return b"".join(map(self._encoded.__getitem__, parts))
         after, _ = self.merge(chunk)
-        at = 0
-        while at < len(chunk):
-            symbol = chunk[at : after[at]]
-            at = after[at]
-            raw = symbol.encode("utf-8")
-            i = self.ids.get(symbol)
-            if i is not None:
-                out += (i, len(raw))
-            else:
-                more = [self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]
-                for b in more[:-1]:
-                    out += (b, 0)
-                out += (more[-1], len(raw))
-        return struct.pack(f"<{len(out)}I", *out)
+        out, at, n, taken = [], 0, len(chunk), self.taken
+        while at < n:
+            to = after[at]
+            out.append(taken.get(chunk[at:to]) or self._outside(chunk[at:to]))
+            at = to
+        return b"".join(out)
+
+    def _outside(self, symbol: str) -> bytes:
+        raw = symbol.encode("utf-8")
+        more = [self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]
+        return b"".join(_ID.pack(b, 0) for b in more[:-1]) + _ID.pack(more[-1], len(raw))
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a whole text, and the begin and the end of each in bytes of the original
@@ -280,6 +314,8 @@ class PieceModel:
         """Tokens of one chunk: its initial symbols (bytes for a character outside the
         vocabulary) minus its merges, counted as they are popped; no identifier is
         looked up."""
+        if self.parts and len(parts := self.parts.findall(chunk)) > 1:
+            return sum(map(self._counts.__getitem__, parts))
         merges = self.merge(chunk)[1]
         if not self.byte_ids:
             return len(chunk) - merges

@@ -204,6 +204,16 @@ def test_pieces_match_the_library(spark, sf):
         assert m.count(t) == len(want)
 
 
+def test_a_word_is_merged_once_whatever_stands_by_it(monkeypatch):
+    m, lib = PieceModel(tokenizer()), sentencepiece.SentencePieceProcessor(model_file=tokenizer())
+    merged, merge = Counter(), PieceModel.merge
+    monkeypatch.setattr(PieceModel, "merge", lambda self, chunk: merged.update([chunk]) or merge(self, chunk))
+    text = "verkeitung verkeitung. verkeitung, (verkeitung) verkeitungверк\u4e2d\u6587. ^verkeitung]- verkeitung... \u2581\u2581verkeitung!\n\tverkeitung\u00e9"
+    assert m.encode(text)[0].tolist() == lib.encode(text)
+    assert m.count(text) == len(lib.encode(text))
+    assert merged["\u2581verkeitung"] == 2 and not any("verkeitung" in c and not c.strip("\u2581").isalpha() for c in merged)  # ids, count
+
+
 def test_spans_cover_the_source():
     m = PieceModel(tokenizer())
     for t in ODD:
