@@ -505,3 +505,27 @@ def test_components_of_few_links_and_by_joins_agree(spark):
     df = spark.createDataFrame([(int(i * 7 % 300), v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
     few, joins = (sorted(map(tuple, clustering.components_of(df, 0.11, few=n).collect())) for n in (clustering.FEW, 0))
     assert few == joins and len(few) == 300 and 1 < len({c for _, c in few}) < 300
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1.0, 1e4), (1e-3, 5.0), (1e-25, 0.0), (1e25, 0.0), (1.0, 1e9)])
+def test_block_screening_leaves_nothing_out(scale, shift, monkeypatch):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(900, 16)) * scale + shift
+    x[100:140] = x[:40]
+    q, k = x[:600], 4
+    want = vectors.squared_distances(q, x)
+    want[np.arange(600), np.arange(600)] = np.inf
+    theta = np.partition(want, k + 3, axis=1)[:, k + 3].reshape(-1, 1)
+    if scale == 1.0 and shift == 0.0:  # plain numbers are screened in single precision
+        monkeypatch.setattr(vectors, "near_squares", None)
+    none, all_ = np.full((600, 1), -2), np.zeros((900, 1), dtype=int)
+    run, i, d, j = vectors._block_nearest(q, x, none, all_, theta, (np.arange(600), np.arange(900)), k)
+    got = sorted(zip(i.tolist(), d.tolist(), j.tolist()))
+    assert got == sorted((r, want[r, c], int(c)) for r, best in vectors.k_least(want, k) for c in best)
+
+
+def test_long_work_is_dealt_however_few_bytes_it_has(spark):
+    ids = spark.range(8, numPartitions=1)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert vectors.spread(ids, 8, 3).rdd.getNumPartitions() == min(3, most)
+    assert vectors.spread(ids, 8, 8).rdd.getNumPartitions() == 1
