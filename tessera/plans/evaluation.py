@@ -125,37 +125,44 @@ def _over_tables(tasks: DataFrame, rows: DataFrame, options: Options, model: str
     c = F.col
     if model == "nn":
         return _neighbour_guesses(tasks, rows, options, fitted, [options.neighbours]).withColumnRenamed(f"predicted_{options.neighbours}", "predicted")
+    if model != "forest":
+        return _linear_fits(tasks, rows, options.fold, fitted)
     name = F.concat_ws(":", "clustering_id", "trial", "task")
     named = keep(tasks.select(name.alias("model"), "clustering_id", "trial", "task", "fold", "cluster_id", c("complex_id").alias("id"), "observed", F.when(c("fold") != c("task"), c("w")).alias("w"), c("cluster_id").alias("cluster")))
     table = rows.select(c("complex_id").alias("id"), "features", "response")
-    if model == "forest":
-        guesses = forests.predictions(table, named.select("model", "id", "w", "cluster"), options.forest, forests.GROWN * forests.MOST, fitted)
-    else:
-        guesses = _linear_guesses(named, table, options.fold)
+    guesses = forests.predictions(table, named.select("model", "id", "w", "cluster"), options.forest, forests.GROWN * forests.MOST, fitted)
     met = named.join(guesses, ["model", "id"])
     return met.select("clustering_id", "trial", c("task").alias("fold"), "cluster", c("id").alias("complex_id"), "observed", "predicted", c("w").isNotNull().alias("training")).where(F.lit(fitted) | ~c("training"))
 
 
-def _linear_guesses(named: DataFrame, table: DataFrame, fold: int) -> DataFrame:
-    """(model, id, predicted) by least squares: every fold of a clustering and trial becomes
-    one factor, and a model is fitted to those of the other folds, so rows are read once
-    for all of them. Factors are as large as the square of the features, not the rows."""
+#: Rows that a task of linear fits takes, about.
+LINEAR = 100_000
+
+
+def _linear_fits(tasks: DataFrame, rows: DataFrame, fold: int, fitted: bool) -> DataFrame:
+    """`cross_validate` by least squares: every fold of a clustering and trial becomes one
+    factor, and a model is fitted to those of the other folds, so a row is written once for
+    each trial of a clustering, with its features, and meets its models where it lies.
+    Factors are as large as the square of the features, not the rows."""
     c = F.col
-    width = table.select(F.max(F.size("features"))).first()[0] or 0
+    width, n = rows.agg(F.max(F.size("features")), F.count("*")).first()
     runs = ["clustering_id", "trial"]
-    # Each row is in one fold of a run; of the models of the run, any that trains on it says its weight.
-    own = named.where("w IS NOT NULL").groupBy(*runs, "fold", "id").agg(F.first("w").alias("w"), F.first("observed").alias("observed"))
+    # Each row is in one fold of a run; the task after that one trains on it (itself, if there is but one).
+    own = tasks.where(c("task") == F.pmod(c("fold") + 1, F.lit(fold))).select(*runs, "fold", c("cluster_id").alias("cluster"), "complex_id", "observed", F.when(c("fold") != c("task"), c("w")).alias("w"))
+    own = keep(vectors.spread(own.join(rows.select("complex_id", "features"), "complex_id"), n, LINEAR))
     group = F.concat_ws(":", *runs, "fold")
-    found = regression.factors(own.join(table.select("id", "features"), "id").select(*regression.weighted_rows(group, c("features"), c("observed"), c("w"))), width + 1)
+    found = regression.factors(own.where("w IS NOT NULL").select(*regression.weighted_rows(group, c("features"), c("observed"), c("w"))), (width or 0) + 1)
     parts = F.split("g", ":")
     other = found.select(*(parts[i].cast("int").alias(n) for i, n in enumerate((*runs, "fold"))), "v", F.explode(F.sequence(F.lit(0), F.lit(fold - 1))).alias("task")).where("fold <> task")
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"model": [":".join(map(str, key))], "line": [regression.solve(np.stack(part["v"].to_numpy())).tolist()]})
+        return pd.DataFrame({"clustering_id": [int(key[0])], "trial": [int(key[1])], "task": [int(key[2])], "line": [regression.solve(np.stack(part["v"].to_numpy())).tolist()]})
 
-    lines = keep(other.groupBy(*runs, "task").applyInPandas(fit, "model string, line array<double>"))
-    met = named.select("model", "id").join(table.select("id", "features"), "id").join(lines, "model")
-    return met.select("model", "id", vectors.dot(c("line"), c("features")).alias("predicted"))
+    lines = keep(other.groupBy(*runs, "task").applyInPandas(fit, "clustering_id int, trial int, task int, line array<double>"))
+    if not fitted:
+        lines = lines.withColumn("fold", c("task"))
+    met = own.join(lines, runs if fitted else [*runs, "fold"])
+    return met.select(*runs, c("task").alias("fold"), "cluster", "complex_id", "observed", vectors.dot(c("line"), c("features")).alias("predicted"), (c("task") != c("fold")).alias("training"))
 
 
 def _within_tasks(tasks: DataFrame, rows: DataFrame, options: Options, model: str, fitted: bool) -> DataFrame:
