@@ -529,3 +529,22 @@ def test_long_work_is_dealt_however_few_bytes_it_has(spark):
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert vectors.spread(ids, 8, 3).rdd.getNumPartitions() == min(3, most)
     assert vectors.spread(ids, 8, 8).rdd.getNumPartitions() == 1
+
+
+def test_distance_matrix_copies_rows_to_few_blocks(spark, monkeypatch):
+    """Near, equal, far and odd vectors have the distances of a plain program; a row is
+    copied no more often than memory asks for, and a batch holds few pairs."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + rng.normal(size=(60, 6)) * s for c, s in ((0.0, 1.0), (9.0, 1e-7), (1e7, 1.0))] + [np.full((20, 6), 2.0)])
+    x[5, 2], x[6, 1], x[7, 3] = np.inf, np.nan, -np.inf
+    df = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>")
+    with np.errstate(invalid="ignore"):
+        want = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    monkeypatch.setattr(vectors, "BATCH", 16)
+    for block in (2, 512):
+        got = vectors.distance_matrix(df, block=block).collect()
+        assert len({(r.id_a, r.id_b) for r in got}) == len(got) == len(x) * (len(x) - 1) // 2
+        assert all(r.id_a < r.id_b for r in got)
+        np.testing.assert_allclose([r.d for r in got], [want[int(r.id_a[1:]), int(r.id_b[1:])] for r in got], rtol=1e-13)
+    # A group and a task for each two blocks, whatever the bytes: 200 rows are not cut into 100 blocks.
+    assert vectors.distance_matrix(df, block=2).rdd.getNumPartitions() == vectors.BLOCKS * (vectors.BLOCKS + 1) // 2
