@@ -40,18 +40,27 @@ class StructureOptions:
     apply_biomt: bool = False
 
 
+def plain(lines: DataFrame) -> DataFrame:
+    """`lines` with their bytes, and whether a character is a byte."""
+    return lines.withColumns({"bytes": F.col("line").cast("binary"), "plain": F.octet_length("line") == F.length("line")})
+
+
 def part(start: int, size: int | None = None) -> Column:
-    """The columns of a line from `start`, counted from 0."""
-    return F.substring("line", start + 1, size or 2**31 - 1 - start)
+    """The columns of a line from `start`, counted from 0; of a plain one without going
+    through those before."""
+    at, size = start + 1, size or 2**31 - 1 - start
+    return F.when(F.col("plain"), F.substring("bytes", at, size).cast("string")).otherwise(F.substring("line", at, size))
 
 
-def record() -> Column:
-    return part(0, 6)
+def field(start: int, size: int | None = None) -> Column:
+    """As `part`, without white space at either end; ASCII needs no pattern for that."""
+    c = part(start, size)
+    return F.when(F.col("plain"), F.btrim(c, F.lit(" \t\n\x0b\f\r"))).otherwise(strip(c))
 
 
 def residue_type(name: Column) -> Column:
-    """The standard name of a residue, modified ones by their parents; else unknown."""
-    name = F.upper(strip(name))
+    """The standard name of a residue in capitals, modified ones by their parents; else
+    unknown."""
     parents = F.create_map(*[F.lit(v) for kv in MODIFIED.items() for v in kv])
     name = F.coalesce(parents[name], name)
     return F.when(name.isin(*LETTERS), name).otherwise(UNKNOWN)
@@ -66,25 +75,35 @@ def records(lines: DataFrame, options: StructureOptions) -> DataFrame:
     """The lines that count, taken apart once: `record`, the text of remarks, the numbers of
     bonds, the fields of atoms. `reason` says what is wrong with a line whatever its file;
     of atoms, only those of a chain that counts need more than 54 columns."""
-    size, hetero = F.length("line"), record() == "HETATM"
-    atom = record().isin("ATOM  ", "HETATM")
-    wanted = lines.where(F.startswith("line", F.lit("REMARK 350")) | record().isin("ENDMDL", "CONECT") | atom)
-    kind = F.upper(strip(part(76)))
+    atom = F.col("head").isin("ATOM  ", "HETATM")
+    remark = F.startswith("line", F.lit("REMARK 350"))
+    wanted = lines.withColumn("head", F.substring("line", 1, 6)).where(remark | F.col("head").isin("ENDMDL", "CONECT") | atom)
+    wanted = plain(wanted).withColumns({"kind": field(76), "name": field(17, 3)})
+    # Most names are in capitals, and known.
+    kind = F.when((F.length("kind") == 1) & F.col("kind").between("A", "Z"), F.col("kind")).otherwise(F.upper("kind"))
+    name = F.when(F.col("name").isin(*LETTERS, *MODIFIED), F.col("name")).otherwise(F.upper("name"))
     if options.ignore_charge:
         kind = F.regexp_replace(kind, r"[0-9+\-]+$", "")
     x = (options.x_start, 38 - options.x_start if options.x_start > 29 else 8)
     numbers = {"x": (*x, "double"), "y": (38, 8, "double"), "z": (46, 8, "double"), "res_no": (22, 4, "int"), "serial": (6, 5, "int"), "bfactor": (60, 7, "double")}
-    values = {n: part(start, width).try_cast(t) for n, (start, width, t) in numbers.items()}
     # Names of numbers, and signs of their types, are read by the engine but not meant here.
-    unread = {n: values[n].isNull() | part(start, width).rlike("[A-DF-Za-df-z]") for n, (start, width, _) in numbers.items()}
+    # Most lines have no such letter in any number, which one look tells.
+    letter = "[A-DF-Za-df-z]"
+    lettered = F.concat(part(6, 5), part(22, 4), part(options.x_start, 67 - options.x_start)).rlike(letter)
+    read = {n: part(start, width).try_cast(t) for n, (start, width, t) in numbers.items()}
+    # Fields that are used more than once are columns first, so that each is worked out once.
+    wanted = wanted.select("complex_id", "pos", "line", "bytes", "plain", "head", kind.alias("kind"), name.alias("name"), lettered.alias("lettered"), *[c.alias(n) for n, c in read.items()])
+    unread = {n: F.col(n).isNull() | (F.col("lettered") & part(start, width).rlike(letter)) for n, (start, width, _) in numbers.items()}
     unread["bfactor"] = unread["bfactor"] & (strip(part(60, 7)) != "")
-    reason = F.when(size < 80, "short line").when(kind == "", "no element")
+    size = F.length("line")
+    reason = F.when(size < 80, "short line").when(F.col("kind") == "", "no element")
     for n, wrong in unread.items():
         reason = reason.when(wrong, f"bad number at column {numbers[n][0]}")
     fields = F.transform(F.regexp_extract_all(F.regexp_replace(part(6), r"\s+$", ""), F.lit("(.{1,5})"), 1), strip)
-    bonded = F.when(record() == "CONECT", F.transform(F.filter(fields, lambda f: f.rlike(r"^\d+$")), lambda f: f.cast("int")))
-    of_atom = {"hetero": hetero, "chain": part(21, 1), "res_type": residue_type(part(17, 3)), "atom_type": F.when(kind == "*", UNKNOWN).otherwise(kind), **values, "bfactor": F.coalesce(values["bfactor"], F.lit(0.0)), "stub": size < 54}
-    return wanted.select("complex_id", "pos", F.when(F.startswith("line", F.lit("REMARK")), "REMARK").when(atom, "ATOM").otherwise(record()).alias("record"), F.when(F.startswith("line", F.lit("REMARK")), part(10)).alias("body"), bonded.alias("bonded"), *[F.when(atom, c).alias(n) for n, c in of_atom.items()], F.when(atom, reason).when(F.size(bonded) < 2, "short CONECT").alias("reason"))
+    bonded = F.when(F.col("head") == "CONECT", F.transform(F.filter(fields, lambda f: f.rlike(r"^\d+$")), lambda f: f.cast("int")))
+    of_atom = {"hetero": F.col("head") == "HETATM", "chain": part(21, 1), "res_type": residue_type(F.col("name")), "atom_type": F.when(F.col("kind") == "*", UNKNOWN).otherwise(F.col("kind")), **{n: F.col(n) for n in numbers}, "bfactor": F.coalesce("bfactor", F.lit(0.0)), "stub": size < 54}
+    remark = F.startswith("line", F.lit("REMARK"))
+    return wanted.select("complex_id", "pos", F.when(remark, "REMARK").when(atom, "ATOM").otherwise(F.col("head")).alias("record"), F.when(remark, part(10)).alias("body"), bonded.alias("bonded"), *[F.when(atom, c).alias(n) for n, c in of_atom.items()], F.when(atom, reason).when(F.size(bonded) < 2, "short CONECT").alias("reason"))
 
 
 def file_states(rows: DataFrame, options: StructureOptions) -> DataFrame:

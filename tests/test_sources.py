@@ -229,3 +229,23 @@ def test_folders_are_listed_once_and_not_read_as_files(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = S.read_structures(spark, str(tmp_path)).collect()
     assert sorted({(r.complex_id, r.reason) for r in got}) == [("1abc", None)] and len(got) == 2
+
+
+def test_fields_of_any_letters(spark):
+    """Lines with letters of several bytes, small letters and tabs give the plain rows."""
+    small = [line.replace("ALA", "ala").replace("MSE", "mse")[:76] + "\tca " for line in TWO]
+    files = [("a", "\n".join(TWO)), ("b", "\n".join(line.replace("CA", "Cé") for line in TWO)), ("c", "\n".join(small)), ("d", "\n".join(line[:76] + "éñ  " for line in TWO)), ("e", "\n".join(line[:31] + " 1e0 nan"[:7] + line[38:] for line in TWO))]
+    got = S.parse_structures(spark.createDataFrame(files, "complex_id string, value string")).collect()
+    want = [(name, *row, None) for name, text in files[:4] for row in plain.parse(text)]
+    assert sorted(map(repr, (tuple(r) for r in got if not r.reason))) == sorted(map(repr, want))
+    assert [(r.complex_id, r.reason) for r in got if r.reason] == [("e", "bad number at column 30")]
+
+
+def test_structure_files_bring_a_complex_together_once(spark):
+    """Atoms are shuffled once to be told apart, numbered and written to their file."""
+    from tessera import catalogue
+
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    n = catalogue.queries()["structure_files"](spark, "/root/testdata/sf0.01").count()
+    assert shuffled() - before < 40 * n
