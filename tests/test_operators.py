@@ -548,3 +548,18 @@ def test_distance_matrix_copies_rows_to_few_blocks(spark, monkeypatch):
         np.testing.assert_allclose([r.d for r in got], [want[int(r.id_a[1:]), int(r.id_b[1:])] for r in got], rtol=1e-13)
     # A group and a task for each two blocks, whatever the bytes: 200 rows are not cut into 100 blocks.
     assert vectors.distance_matrix(df, block=2).rdd.getNumPartitions() == vectors.BLOCKS * (vectors.BLOCKS + 1) // 2
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_distance_matrix_shuffles_a_row_once_whatever_it_meets(spark, kind):
+    """A block is read by the tasks in which it meets others, not copied for them."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(320, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"id long, vector array<{kind}>")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    got = vectors.distance_matrix(df, block=20).collect()
+    assert (shuffled() - before) / len(x) < 4 * 64 * (8 if kind == "double" else 4)
+    assert len(got) == len({(r.id_a, r.id_b) for r in got}) == 320 * 319 // 2
+    want = np.sqrt(vectors.squared_distances(x.astype(float), x.astype(float)))
+    np.testing.assert_allclose([r.d for r in got], [want[r.id_a, r.id_b] for r in got], rtol=1e-13)
