@@ -563,3 +563,43 @@ def test_distance_matrix_shuffles_a_row_once_whatever_it_meets(spark, kind):
     assert len(got) == len({(r.id_a, r.id_b) for r in got}) == 320 * 319 // 2
     want = np.sqrt(vectors.squared_distances(x.astype(float), x.astype(float)))
     np.testing.assert_allclose([r.d for r in got], [want[r.id_a, r.id_b] for r in got], rtol=1e-13)
+
+
+def test_forests_of_parts_and_of_blocks_are_those_of_all_pairs():
+    """Parts bound what links of the rest may be in the tree: near, equal, rounded and far rows."""
+    rng = np.random.default_rng(0)
+    for trial in range(20):
+        x = rng.normal(size=(int(rng.integers(30, 140)), int(rng.integers(1, 6)))) * rng.choice([1, 1e-3, 100]) + rng.choice([0, 1e5])
+        x = np.round(x) if trial % 3 == 0 else x
+        x = np.concatenate([x, x + 50, x + 1000, x[:9]]) if trial % 5 == 0 else x
+        d, (i, j) = np.sqrt(vectors.squared_distances(x, x)), np.triu_indices(len(x), 1)
+        kept = clustering.forest(d[i, j], i, j)
+        want = np.sort(d[i, j][kept])
+        for below in (np.inf, float(np.median(want)) * 1.2 + 1e-6):
+            a, b, w = clustering._group_forest(x, below, 7)
+            near = d[i, j] < below
+            assert (clustering.least_labels(len(x), a, b) == clustering.least_labels(len(x), i[near], j[near])).all()
+            if below == np.inf:
+                np.testing.assert_array_equal(np.sort(w), want)
+                order, gaps = clustering.linkage_order(len(x), w, a, b)
+                assert sorted(order) == list(range(len(x))) and np.array_equal(np.sort(gaps[:-1]), want)
+
+
+@pytest.mark.parametrize("few", [None, 0])
+def test_components_shuffle_a_row_few_times(spark, few):
+    """Whatever blocks a row meets; equal to the components of all pairs, and rows that are near nothing are alone."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([c + rng.normal(size=(300, 16)) / 8 for c in (0.0, 0.4, 30.0)] + [rng.normal(size=(100, 16)) * 9]).astype(np.float32)
+    x[7, 3], x[8, 2] = np.nan, np.inf
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    links = clustering.forest_links(df, below=0.6, block=16, few=few).collect()
+    assert (shuffled() - before) / len(x) < 5 * 16 * 4
+    with np.errstate(invalid="ignore"):
+        d = np.sqrt(vectors.squared_distances(x.astype(float), x.astype(float)))
+    i, j = np.nonzero(d < 0.6)
+    want = clustering.least_labels(len(x), i, j)
+    a, b = (np.array([r[c] for r in links]) for c in ("id_a", "id_b"))
+    assert all(r.d < 0.6 and r.id_a != r.id_b and abs(d[r.id_a, r.id_b] - r.d) < 1e-12 for r in links)
+    assert (clustering.least_labels(len(x), a, b) == want).all() and 50 < len(set(want.tolist())) < 500
