@@ -603,3 +603,31 @@ def test_components_shuffle_a_row_few_times(spark, few):
     a, b = (np.array([r[c] for r in links]) for c in ("id_a", "id_b"))
     assert all(r.d < 0.6 and r.id_a != r.id_b and abs(d[r.id_a, r.id_b] - r.d) < 1e-12 for r in links)
     assert (clustering.least_labels(len(x), a, b) == want).all() and 50 < len(set(want.tolist())) < 500
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_member_digests_go_on_from_what_is_hashed(spark, kind):
+    """Over several parts of ids, a link or many at a time: the digests of a plain program;
+    the vectors' forest shuffles a row few times, whatever blocks it meets."""
+    rng = np.random.default_rng(2)
+    x = np.cumsum(rng.choice([1.0, 1.0, *(1 + rng.random(40))], 900))[rng.permutation(900)]
+    name = (lambda i: 3 * i) if kind == "long" else (lambda i: f"é{i:04}")
+    df = spark.createDataFrame([(name(i), [float(v)]) for i, v in enumerate(x)], f"id {kind}, vector array<double>").repartition(3)
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    links = clustering.forest_links(df, block=32)
+    assert links.count() < 8 * len(x) and (shuffled() - before) / len(x) < 150
+    got = {r.clustering_id: r.members for r in clustering.member_digests(links, 5).collect()}
+    order = np.argsort(x)
+    gaps = np.diff(x[order])
+    want = {}
+    for k, low in enumerate(sorted(set(np.abs(gaps).tolist()))):
+        stretch = np.concatenate([[0], np.cumsum(gaps >= low)])
+        if stretch[-1] + 1 < 5:
+            break
+        cluster = np.empty(len(x), int)
+        cluster[order] = stretch
+        number = {}
+        text = ",".join(f"{number.setdefault(c, len(number))}:{name(i)}" for i, c in enumerate(cluster.tolist()))
+        want[k] = hashlib.md5(text.encode()).hexdigest()
+    assert len(want) > 30 and got == want
